@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, packing, secrets
 
 QUERIES = {
+    "op2_best_two_fit": packing.op2_best_two_fit,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
