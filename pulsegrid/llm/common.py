@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,7 +50,7 @@ def chunks(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
     """Slices of ``batch`` whose values in ``column`` are about ``most_bytes`` at most, or one row."""
     if not batch.num_rows:
         return
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     begin = total = 0
     for i, n in enumerate(lengths):
         if i > begin and total + n > most_bytes:

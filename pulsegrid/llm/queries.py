@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, secrets
+from . import bpe, packing, quality, secrets
 
 QUERIES = {
     "op2_best_two_fit": packing.op2_best_two_fit,
+    "op4_subword_quality": quality.op4_subword_quality,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
