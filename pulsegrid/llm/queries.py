@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, secrets
+from . import ann, bpe, packing, quality, secrets, topk
 
 QUERIES = {
+    "op1_additive_quantisation": ann.op1_additive_quantisation,
     "op2_best_two_fit": packing.op2_best_two_fit,
     "op4_subword_quality": quality.op4_subword_quality,
+    "op7_kd_tree_top_k": topk.op7_kd_tree_top_k,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_kd_tree_top_k": topk.OP7_SQL,
+}
