@@ -24,8 +24,8 @@ from . import vectors as V
 from .common import table
 
 SAMPLE_ROWS = 16_384
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 4, 2
-RERANK = 256
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 1
+RERANK = 512
 SHARD_ROWS, BLOCK_ROWS = 16_384, 1024
 STEP = 512
 
