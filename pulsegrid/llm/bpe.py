@@ -3,8 +3,8 @@
 Encoding: the pre-tokens that a partition has not met yet become rows of byte
 tokens by position.  A recursive query joins neighbouring tokens with the merge
 table and contracts, in each word, the leftmost pair of least rank until no
-word has a pair left.  Results are kept (two bounded memos: the work follows
-the number of different words), and a document's ids are those of its
+word has a pair left.  Results are kept (a bounded memo: the work follows the
+number of different words), and a document's ids are those of its
 pre-tokens in order.  Decoding: token-position rows join the vocabulary and
 an ordered aggregation joins the bytes.
 
@@ -31,10 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 #: Words encoded in one recursive query, words kept by a worker, token rows decoded in one query, bytes of text per step.
-WORDS, KEPT, DECODED, STEP_BYTES = 40_000, 400_000, 200_000, 1 << 22
-
-#: Texts that are split by the pattern alone.
-ROOM = regex.compile(r"\s\s|\0")
+WORDS, KEPT, DECODED, STEP_BYTES = 200_000, 300_000, 200_000, 1 << 23
 
 ENCODE = """
 WITH RECURSIVE step(word, ids, done) AS (
@@ -63,8 +60,8 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
-        self.kept: dict[str, bytes] = {}  # by run of text
-        self.words: dict[str, bytes] = {}  # by pre-token
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         ranks = self.ranks
@@ -107,21 +104,17 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Without two white-space characters in a row a pre-token begins at every space, so the
-        runs from space to space are independent, and their ids are kept as well."""
-        split = [self.pattern.findall(t) if ROOM.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        if len(self.words) > KEPT:
-            self.words.clear()
-        if runs := list(set().union(*split).difference(self.kept)):
-            inner = [self.pattern.findall(r) for r in runs]
-            if new := set().union(*inner).difference(self.words):
-                self.words.update(self.learn(new))
-            get = self.words.__getitem__
-            self.kept.update((r, b"".join(map(get, words))) for r, words in zip(runs, inner, strict=True))
+        split = [self.pattern.findall(t) for t in texts]
+        if len(self.kept) > KEPT:  # words not met since the last change of the memo are forgotten
+            self.kept, self.old = {}, self.kept
+        new = set().union(*split).difference(self.kept)
+        if again := new.intersection(self.old):
+            self.kept.update((w, self.old[w]) for w in again)
+            new -= again
+        if new:
+            self.kept.update(self.learn(new))
         get = self.kept.__getitem__
-        return [b"".join(map(get, runs)) for runs in split]
+        return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids; long lists are decoded in slices."""
