@@ -18,7 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Anything but characters that NFC keeps and that lower-case one by one.
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u203b]")
-KEPT = 1_000_000
+STOPS = ",.;:!?"
+KEPT = 600_000
 
 
 class WordIds:
@@ -28,10 +29,28 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, runs: set[str]) -> None:
+        """Letters and the punctuation behind them are separate pre-tokens, so either is looked up alone."""
+        if len(self.kept) > KEPT:  # what was not met since the last change of the memo is forgotten
+            self.kept, self.old = {}, self.kept
+        runs = runs.difference(self.kept)
+        self.kept.update((r, self.old[r]) for r in runs.intersection(self.old))
+        parts: dict[str, tuple[str, ...]] = {}
+        for run in runs.difference(self.kept):
+            stem = run.rstrip(STOPS)
+            parts[run] = (stem, run[len(stem) :]) if len(stem) < len(run) and stem.isalpha() else (run,)
+        wanted = {p for x in parts.values() for p in x}.difference(self.kept)
+        self.kept.update((p, self.old[p]) for p in wanted.intersection(self.old))
+        if new := list(wanted.difference(self.kept)):
+            self.kept.update(zip(new, self._library(new), strict=True))
+        get = self.kept.__getitem__
+        self.kept.update((run, b"".join(map(get, x))) for run, x in parts.items() if len(x) > 1)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         out = []
@@ -43,10 +62,7 @@ class WordIds:
             try:
                 out.append(b"".join(map(self.kept.__getitem__, runs)))
             except KeyError:
-                if len(self.kept) > KEPT:
-                    self.kept.clear()
-                new = list(set(runs).difference(self.kept))
-                self.kept.update(zip(new, self._library(new), strict=True))
+                self._learn(set(runs))
                 out.append(b"".join(map(self.kept.__getitem__, runs)))
         return out
 
