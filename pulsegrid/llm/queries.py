@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, packing, quality, secrets, topk
+from . import ann, bpe, jaccard, packing, quality, secrets, topk
 
 QUERIES = {
     "op1_additive_quantisation": ann.op1_additive_quantisation,
     "op2_best_two_fit": packing.op2_best_two_fit,
     "op4_subword_quality": quality.op4_subword_quality,
+    "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
     "op7_kd_tree_top_k": topk.op7_kd_tree_top_k,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLE_SQL = {
+    "op6_parity_sketch_join": jaccard.OP6_SQL,
     "op7_kd_tree_top_k": topk.OP7_SQL,
 }
