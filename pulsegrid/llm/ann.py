@@ -93,14 +93,20 @@ def fit(x: np.ndarray, seed: int = 1) -> np.ndarray:
 
 
 def _codebooks(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Codebooks for each dimension in a bounded sample."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("dim", "vec_id", "vector").toArrow()
-    dims = sample.column("dim").to_numpy()
-    found = {}
-    for dim in np.unique(dims):
-        _, x, _ = V.rows_of(sample.filter(pa.array(dims == dim)), "vec_id", "vector")
-        found[int(dim)] = fit(x.astype(np.float32))
-    return found
+    """Codebooks for each dimension in a bounded sample, fitted in one task."""
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("dim", "vec_id", "vector")
+
+    def train(batches):
+        batches = list(batches)
+        if batches:
+            rows = pa.Table.from_batches(batches)
+            dims = rows.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                _, x, _ = V.rows_of(rows.filter(pa.array(dims == dim)), "vec_id", "vector")
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([fit(x.astype(np.float32)).astype("<f4").tobytes()], pa.binary())], names=["dim", "books"])
+
+    found = sample.repartition(1).mapInArrow(train, "dim int, books binary").collect()
+    return {r["dim"]: np.frombuffer(r["books"], "<f4").reshape(BOOKS, -1, r["dim"]) for r in found}
 
 
 def index(vectors: DataFrame, books: dict[int, np.ndarray]) -> DataFrame:
@@ -179,9 +185,9 @@ def approximate_nearest(df: DataFrame, k: int, query_every: int, id_col: str = "
         flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.table([pa.array(query_ids, pa.int64()), pa.array(flat(vec_id, np.int64)), pa.array(flat(score, np.float64))], names=["query_id", "vec_id", "score"])
 
-    indexed = V.every(index(vectors, books), "block", blocks)
-    asked = V.every(queries.drop("home"), "shard", shards)
-    found = indexed.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+    indexed = V.every(index(vectors, books), "v_block", blocks)
+    asked = V.every(queries.drop("home"), "q_shard", shards)
+    found = indexed.groupBy("dim", "shard", "v_block").cogroup(asked.groupBy("q_dim", "q_shard", "block")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
     return V.nearest(found, k)
 
 

@@ -126,13 +126,14 @@ def exact_top_k(df: DataFrame, k: int, query_every: int, scale: int = 256, id_co
     """
     vectors, queries, shards, blocks = V.deal(V.usable(df, id_col, vector_col), query_every, SHARD_ROWS, BLOCK_ROWS)
     run = _searcher(k, scale)
-    at_home = queries.withColumnRenamed("home", "shard").withColumn("floor", F.lit(None).cast("long"))
-    first = vectors.groupBy("dim", "shard").cogroup(at_home.groupBy("dim", "shard")).applyInArrow(run, FOUND)
+    at_home = queries.withColumn("floor", F.lit(None).cast("long"))
+    first = vectors.groupBy("dim", "shard").cogroup(at_home.groupBy("q_dim", "home")).applyInArrow(run, FOUND)
     if shards == 1:
         return V.nearest(first, k)
     floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") == k, F.col("floor")).alias("floor"))
-    away = V.every(queries.join(floors, "query_id", "left"), "shard", shards).where("shard <> home")
-    rest = V.every(vectors, "block", blocks).groupBy("dim", "shard", "block").cogroup(away.groupBy("dim", "shard", "block")).applyInArrow(run, FOUND)
+    away = V.every(queries.join(floors, "query_id", "left"), "q_shard", shards).where("q_shard <> home")
+    spread = V.every(vectors, "v_block", blocks).groupBy("dim", "shard", "v_block")
+    rest = spread.cogroup(away.groupBy("q_dim", "q_shard", "block")).applyInArrow(run, FOUND)
     return V.nearest(first.unionByName(rest), k)
 
 

@@ -42,7 +42,7 @@ def deal(vectors: DataFrame, query_every: int, shard_rows: int, block_rows: int)
     hashed = lambda seed, k: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(k)).cast("int")
     return (
         vectors.withColumn("shard", hashed(0, shards)),
-        vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "dim", hashed(1, blocks).alias("block"), hashed(2, shards).alias("home")),
+        vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("dim").alias("q_dim"), hashed(1, blocks).alias("block"), hashed(2, shards).alias("home")),
         shards,
         blocks,
     )
