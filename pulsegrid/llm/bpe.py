@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 #: Words encoded in one recursive query, words kept by a worker, token rows decoded in one query, bytes of text per step.
-WORDS, KEPT, DECODED, STEP_BYTES = 200_000, 300_000, 200_000, 1 << 23
+WORDS, KEPT, DECODED, STEP_BYTES = 100_000, 250_000, 200_000, 1 << 22
 
 ENCODE = """
 WITH RECURSIVE step(word, ids, done) AS (
@@ -53,29 +53,34 @@ SELECT word, ids FROM step WHERE done ORDER BY word
 DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
 
 
-class Codec:
-    """The merge table and vocabulary of one file in an in-memory DuckDB of bounded size."""
+def _database(name: str, rows: pa.Table) -> duckdb.DuckDBPyConnection:
+    """An in-memory database of bounded size that holds one table."""
+    db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+    db.execute("SET preserve_insertion_order = false")
+    db.register("rows", rows)
+    db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+    db.unregister("rows")
+    return db
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+class Encoder:
+    """The merge table of one file, and the ids of the pre-tokens met lately."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.ranks = ranks = _ranks(path)
         self.pattern = regex.compile(pattern)
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.db.execute("SET preserve_insertion_order = false")
-        ranks = self.ranks
-        splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        a, b, rank = (np.array(x) for x in zip(*splits, strict=True))
-        self._create("merges", pa.table({"a": a.astype(np.int32), "b": b.astype(np.int32), "rank": rank}))
-        self._create("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        splits = ((ranks.get(t[:i]), ranks.get(t[i:]), r) for t, r in ranks.items() for i in range(1, len(t)))
+        a, b, rank = np.array([x for x in splits if x[0] is not None and x[1] is not None], np.int64).T
+        self.db = _database("merges", pa.table({"a": a.astype(np.int32), "b": b.astype(np.int32), "rank": rank}))
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], "<i4")
 
-    def _create(self, name: str, rows: pa.Table) -> None:
-        self.db.register("rows", rows)
-        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
-        self.db.unregister("rows")
-
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -116,6 +121,14 @@ class Codec:
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+
+class Decoder:
+    """The vocabulary of one file."""
+
+    def __init__(self, path: str):
+        ranks = _ranks(path)
+        self.db = _database("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids; long lists are decoded in slices."""
         out: list[list[bytes]] = [[] for _ in ids]
@@ -150,9 +163,8 @@ class Codec:
         return [b"".join(parts) for parts in out]
 
 
-@functools.lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+encoder = functools.lru_cache(2)(Encoder)
+decoder = functools.lru_cache(2)(Decoder)
 
 
 def encode_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +172,7 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
 
     def run(batches):
-        own = codec(path, pattern)
+        own = encoder(path, pattern)
         for batch in batches:
             for part in chunks(batch, 1, STEP_BYTES):
                 ids = own.encode([x or "" for x in part.column(1).to_pylist()])
@@ -171,12 +183,12 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, ids binary, n_tokens bigint")
 
 
-def decode_bpe(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode_bpe(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with a further column ``decoded`` (binary)."""
     at = tokens.columns.index(ids_col)
 
     def run(batches):
-        own = codec(path, pattern)
+        own = decoder(path)
         for batch in batches:
             for part in chunks(batch, at, 4 * DECODED):
                 raw = own.decode([x or b"" for x in part.column(at).to_pylist()])
@@ -190,5 +202,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode_bpe(encode_bpe(table(spark, sf_dir, "documents"), *how), *how)
+    both = decode_bpe(encode_bpe(table(spark, sf_dir, "documents"), *how), how[0])
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
