@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, jaccard, packing, quality, secrets, topk
+from . import ann, bpe, jaccard, packing, quality, secrets, substrings, topk
 
 QUERIES = {
     "op1_additive_quantisation": ann.op1_additive_quantisation,
@@ -11,9 +11,11 @@ QUERIES = {
     "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
     "op7_kd_tree_top_k": topk.op7_kd_tree_top_k,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_fm_index_dedup": substrings.op9_fm_index_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLE_SQL = {
+    "op9_fm_index_dedup": substrings.OP9_SQL,
     "op6_parity_sketch_join": jaccard.OP6_SQL,
     "op7_kd_tree_top_k": topk.OP7_SQL,
 }
