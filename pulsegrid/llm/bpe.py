@@ -113,9 +113,9 @@ class Encoder:
         if len(self.kept) > KEPT:  # words not met since the last change of the memo are forgotten
             self.kept, self.old = {}, self.kept
         new = set().union(*split).difference(self.kept)
-        if again := new.intersection(self.old):
-            self.kept.update((w, self.old[w]) for w in again)
-            new -= again
+        if again := {w: self.old[w] for w in new if w in self.old}:
+            self.kept |= again
+            new -= again.keys()
         if new:
             self.kept.update(self.learn(new))
         get = self.kept.__getitem__

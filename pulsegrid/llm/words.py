@@ -39,13 +39,13 @@ class WordIds:
         if len(self.kept) > KEPT:  # what was not met since the last change of the memo is forgotten
             self.kept, self.old = {}, self.kept
         runs = runs.difference(self.kept)
-        self.kept.update((r, self.old[r]) for r in runs.intersection(self.old))
+        self.kept.update((r, self.old[r]) for r in runs if r in self.old)
         parts: dict[str, tuple[str, ...]] = {}
         for run in runs.difference(self.kept):
             stem = run.rstrip(STOPS)
             parts[run] = (stem, run[len(stem) :]) if len(stem) < len(run) and stem.isalpha() else (run,)
         wanted = {p for x in parts.values() for p in x}.difference(self.kept)
-        self.kept.update((p, self.old[p]) for p in wanted.intersection(self.old))
+        self.kept.update((p, self.old[p]) for p in wanted if p in self.old)
         if new := list(wanted.difference(self.kept)):
             self.kept.update(zip(new, self._library(new), strict=True))
         get = self.kept.__getitem__
