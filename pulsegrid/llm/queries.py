@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_text, jaccard, packing, quality, secrets, substrings, topk
+from . import ann, bpe, html_text, jaccard, order, packing, quality, secrets, substrings, topk
 
 QUERIES = {
     "op1_additive_quantisation": ann.op1_additive_quantisation,
     "op2_best_two_fit": packing.op2_best_two_fit,
+    "op3_training_order": order.op3_training_order,
     "op4_subword_quality": quality.op4_subword_quality,
     "op5_recurrent_block_labeller": html_text.op5_recurrent_block_labeller,
     "op6_parity_sketch_join": jaccard.op6_parity_sketch_join,
