@@ -7,14 +7,16 @@ one cell, so the number of unequal cells, and of unequal bits, is at most the
 symmetric difference, which is at most ``(a + b) / 7`` for two sets of sizes
 ``a`` and ``b`` that are 75 % similar.
 
-Per size band (sizes ``[4^g, 4^(g+1))``; a set whose partners may be in the next
-band joins that one too) all documents have the same cells.  By the pigeonhole
+Per size band (sizes ``[2^g, 2^(g+1))``; a set whose partners may be in the next
+band joins that one too) all documents have the same cells, little more than
+the bound needs, so that most cells hold several shingles.  By the pigeonhole
 principle two linked documents agree in one of the first ``d + 1`` cells of
 either, in any order of cells that all documents share, ``d`` being the bound
 above for the largest possible partner.  The order takes cells that are
 frequent in a sample of documents last (the sample is a hint about order and
-never decides a result), then goes by a hash.  Candidates are pruned by the
-bit sketches (larger ones fold to smaller ones) and verified on whole sets.
+never decides a result), cells of many shingles first (few documents share
+them by a passage), then goes by a hash.  Candidates are pruned by size and by
+the bit sketches (larger ones fold to smaller ones) and verified on whole sets.
 
 Documents that share a cell value form a run.  Pairs of a run are not all
 made: pivots of each run are compared with its members first, linked documents
@@ -107,28 +109,27 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
 
 
 def band(n: int) -> int:
-    return (n.bit_length() - 1) // 2
+    return n.bit_length() - 1
 
 
-def cells(own: np.ndarray, g: int) -> tuple[np.ndarray, int]:
-    """Keys of the non-empty cells of a set in band ``g``, and the number of all cells."""
-    count = max(64, 3 << (2 * g))
+def cells(own: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of the non-empty cells of a set in band ``g``, how many hashes each has, and the number of all cells."""
+    count = max(64, (7 << g) // 10)
     cell = (mixed(own, 2) % U(count)).astype(np.int64)
     order = np.argsort(cell, kind="stable")
     cell = cell[order]
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     value = np.bitwise_xor.reduceat(mixed(own[order], 3), first)
-    return mixed(value ^ mixed(np.array([g], U), 11), 4) ^ mixed(cell[first].astype(U), 5), count
+    keys = mixed(value ^ mixed(np.array([g], U), 11), 4) ^ mixed(cell[first].astype(U), 5)
+    return keys, np.diff(np.r_[first, len(cell)]), count
 
 
 def _prefix(own: np.ndarray, g: int, need: int, frequent: np.ndarray) -> np.ndarray:
-    keys, count = cells(own, g)
+    keys, sizes, count = cells(own, g)
+    late = np.zeros(len(keys), bool)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-        late = frequent[at] == keys
-        keys = np.r_[np.sort(keys[~late]), np.sort(keys[late])]
-    else:
-        keys = np.sort(keys)
+        late = frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
+    keys = keys[np.lexsort((keys, -sizes, late))]
     if need > len(keys):  # empty cells are the last in order
         cell = set((mixed(own, 2) % U(count)).tolist())
         rest = np.array([c for c in range(count) if c not in cell][: need - len(keys)], U)
@@ -151,7 +152,7 @@ def join_keys(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if not n:
         return own
     g = band(n)
-    top = (4 << (2 * g)) - 1
+    top = (2 << g) - 1
     keys = [_prefix(own, g, difference(n, min(partner(n), top)) + 1, frequent)]
     if partner(n) > top:
         keys.append(_prefix(own, g + 1, difference(n, partner(n)) + 1, frequent))
@@ -159,8 +160,8 @@ def join_keys(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def bit_sketch(own: np.ndarray) -> bytes:
-    """The parity of the hashes in each of 8 * 4^g bits (64 at least)."""
-    bits = max(64, 8 << (2 * band(len(own)))) if len(own) else 64
+    """The parity of the hashes in each of 4 * 2^g bits (64 at least)."""
+    bits = max(64, 4 << band(len(own))) if len(own) else 64
     return np.packbits((np.bincount((mixed(own, 8) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -190,7 +191,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
             for part in chunks(batch, 1, STEP_BYTES):
                 sets = shingle_sets([x or "" for x in part.column(1).to_pylist()])
                 if frequent is None:
-                    keys = [np.concatenate([cells(s, band(len(s)))[0], cells(s, band(len(s)) + 1)[0]]) if len(s) else s for s in sets]
+                    keys = [np.concatenate([cells(s, g)[0] for g in (band(len(s)), band(len(s)) + 1)]) if len(s) else s for s in sets]
                 else:
                     keys = [join_keys(s, frequent) for s in sets]
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
@@ -211,26 +212,27 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _runs(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (``key``, ``doc_id``) whose key more than one document has."""
-    kind = keyed.schema
+    """The rows of ``keyed`` (``key`` and more) whose key more than one row has.
+
+    Sorted rows are streamed, so a run of any length takes no memory.
+    """
 
     def run(batches):
-        held = None  # the last row of what came before, and whether its key goes on from an earlier row
+        held = None  # the last row of what came before, and whether its key is that of the row before it
         for batch in batches:
-            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            same = np.r_[False if held is None else key[0] == held[0], key[1:] == key[:-1]]
+            key = batch.column(0).to_numpy()
+            same = np.r_[held is not None and key[0] == held[1], key[1:] == key[:-1]]
             if held is not None and (same[0] or held[2]):
-                yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], schema=batch.schema)
-            keep = same[:-1] | same[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(doc[:-1][keep])], schema=batch.schema)
-            held = (key[-1], doc[-1], bool(same[-1]))
+                yield held[0]
+            yield batch.slice(0, len(key) - 1).filter(pa.array(same[:-1] | same[1:]))
+            held = batch.slice(len(key) - 1), key[-1], bool(same[-1])
         if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "doc_id"])
+            yield held[0]
 
     n = partitions(keyed.sparkSession)
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, kind)
+    return keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, keyed.schema)
 
 
 def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,13 +277,15 @@ def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(_signatures(docs, _frequent(docs)), "signatures")
+    full = written(_signatures(docs, _frequent(docs)), "keys")
+    sig = written(full.drop("keys"), "signatures")
     own = sig.where("doc_id IS NOT NULL AND n > 0")
     # Exact copies: a star around the least id of each set.
     same = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     copies = written(own.select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct(), "copies")
-    runs = _runs(own.select(F.explode("keys").alias("key"), "doc_id"))
-    runs = written(runs.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").select("key", "doc_id").distinct(), "runs")
+    runs = _runs(full.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n")))
+    runs = written(runs.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").select("key", "doc_id", "n").distinct(), "runs")
+    dropped(docs.sparkSession, full)
     links, group, pivots = copies, None, 2
     while True:
         if group is None:
@@ -293,11 +297,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not state.limit(1).count():
             break
         slot = F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots))
-        taken = state.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "component"), "doc_id").alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("of"))
-        pairs = state.join(taken, "key").where("component <> of").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+        taken = state.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "component", "n"), "doc_id").alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("of"), F.col("p.n").alias("m"))
+        pairs = state.join(taken, "key").where(f"component <> of AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
         found = _verified(docs, sig, pairs)
         links = links.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        runs = written(state.select("key", "doc_id").join(taken.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti"), "runs")
+        runs = written(state.select("key", "doc_id", "n").join(taken.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti"), "runs")
         group = written(components(links), "components")
         pivots *= 16
     if group is None:
