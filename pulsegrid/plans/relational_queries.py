@@ -259,10 +259,10 @@ def turnback_events(spark, sf):
     return Q.turnbacks(b, "trip", ["minute", "id"], "station", "minute").select("id", "trip", "station", "before", "dwell")
 
 
-@add("T05 X03", f"WITH {I.BOARD} SELECT id, unnest(range(300 + (minute % 120 - 300 % 120 + 120) % 120, 1440, 120)) AS at FROM board WHERE kind = 'ab'", "", "at")
+@add("T05 X03", f"WITH {I.BOARD} SELECT id, unnest(range(300 + (minute % 120 - 300 % 120 + 120) % 120, 1440, 120)) AS t FROM board WHERE kind = 'ab'", "", "t")
 def periodic_projection(spark, sf):
     b = I.board(spark, sf).where("kind = 'ab'").select("id", (F.col("minute") % 120).alias("m"))
-    return Q.periodic(b, "m", 300, 1440).select("id", "at")
+    return Q.periodic(b, "m", 300, 1440).select("id", F.col("at").alias("t"))
 
 
 @add("J03 D15", f"""WITH {I.DEMAND}, y AS (SELECT origin, year, sum(weight) AS v FROM demand WHERE origin < 'K' OR year = 1996 GROUP BY ALL), y2 AS (SELECT * FROM y WHERE origin <> 'BRAZIL')
