@@ -18,6 +18,11 @@ def weighted_mean(value: str | Column, weight: str | Column) -> Column:
     return F.sum(w * F.when(~F.isnan(x), x)) / F.nullif(F.sum(w), F.lit(0.0))
 
 
+def correlation(x, y) -> Column:
+    """Pearson's r of columns without nulls on either side alone; null where one does not vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def component_means(df: DataFrame, keys: Keys, parts: Sequence[str], weight: str) -> DataFrame:
     """Weighted means of the parts, their sum as ``total``, and each part's share (ratio of sums)."""
     out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"), *[weighted_mean(p, weight).alias(p) for p in parts])
@@ -150,7 +155,7 @@ def fit_statistics(df: DataFrame, keys: Keys, observed: str, modelled: str) -> D
     x, y = F.col(modelled).cast("double"), F.col(observed).cast("double")
     ape = F.when(y != 0, F.abs(x - y) / F.abs(y))
     out = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr(x, y).alias("r"), F.avg(F.abs(x - y)).alias("mae"), F.sqrt(F.avg((x - y) * (x - y))).alias("rmse"),
+        F.count("*").alias("n"), correlation(x, y).alias("r"), F.avg(F.abs(x - y)).alias("mae"), F.sqrt(F.avg((x - y) * (x - y))).alias("rmse"),
         (100 * F.avg(ape)).alias("mape"), (100 * F.percentile(ape, 0.5)).alias("median_ape"), F.avg(y).alias("mean"), (F.sum(x * y) / F.nullif(F.sum(x * x), F.lit(0.0))).alias("scale"),
     )
     return out.withColumns({"r2": F.col("r") * F.col("r"), "nrmse": F.col("rmse") / F.nullif(F.abs("mean"), F.lit(0.0))}).drop("mean")
@@ -169,4 +174,4 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
         return values.select(c, (before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     both = df.join(ranked(a), a).join(ranked(b), b)
-    return both.agg(F.count("*").alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
+    return both.agg(F.count("*").alias("n"), correlation(f"rank_{a}", f"rank_{b}").alias("rho"))

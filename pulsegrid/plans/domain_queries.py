@@ -1 +1,313 @@
-"""Queries of the domain operators."""
+"""Queries of the network operators: expansion, routing, demand, selection, surfaces, incremental state."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import scalars as S
+from ..operators import demand as D
+from ..operators import joins as J
+from ..operators import routing as R
+from ..operators import selection as Z
+from ..operators import spatial as G
+from ..operators import timetable as T
+from . import inputs as I
+from .registry import add
+
+#: A fixed test timetable: segment, seq, station, kind, token.
+ROWS = [
+    ("s1", 1, "A", "ab", "17"), ("s1", 2, "B", "an", "26Q"), ("s1", 3, "B", "ab", "28"), ("s1", 4, "C", "an", "40"),
+    ("s2", 1, "C", "ab", "50i"), ("s2", 2, "D", "an", "10P"), ("s2", 3, "D", "ab", "12"), ("s2", 4, "A", "an", "55n"),
+]
+
+
+def _rows(spark):
+    return spark.createDataFrame(ROWS, "segment string, seq int, station string, kind string, raw string").withColumn("token", S.token("raw"))
+
+
+@add("T01 T10", f"""SELECT segment, seq, h * 60 + m AS minute FROM (SELECT *, CAST(regexp_extract(raw, '\\d+') AS INT) AS m, regexp_extract(raw, '[in]') AS half, unnest(range(5, 27)) AS h FROM (VALUES {", ".join(map(str, ROWS))}) AS t(segment, seq, station, kind, raw))
+  WHERE (half = '' OR (half = 'i') = (h % 2 = 0)) AND h * 60 + m >= 300 AND CASE WHEN kind = 'ab' THEN h * 60 + m < 1440 ELSE h * 60 + m <= 1560 END""", "", "seq minute")
+def token_occurrences(spark, sf):
+    return _rows(spark).select("segment", "seq", F.explode(T.occurrences(F.col("token"), F.col("kind"))).alias("minute"))
+
+
+@add("T02 T03 T04", f"""WITH RECURSIVE r AS (SELECT *, CAST(regexp_extract(raw, '\\d+') AS INT) AS m, regexp_extract(raw, '[in]') AS half, contains(raw, 'P') AS p, contains(raw, 'Q') AS q FROM (VALUES {", ".join(map(str, ROWS))}) AS t(segment, seq, station, kind, raw)),
+  trip(segment, start_seq, start, seq, station, kind, minute, n) AS (
+    SELECT segment, seq, h * 60 + m, seq, station, kind, h * 60 + m, 1 FROM (SELECT *, unnest(range(5, 27)) AS h FROM r WHERE kind = 'ab') WHERE (half = '' OR (half = 'i') = (h % 2 = 0)) AND h * 60 + m >= 300 AND h * 60 + m < 1440
+    UNION ALL
+    SELECT segment, start_seq, start, seq, station, kind, t, n + 1 FROM (
+      SELECT x.segment, start_seq, start, r.seq, r.station, r.kind, n, r.station = x.station AND x.kind = 'an' AND r.kind = 'ab' AS dwell, x.minute AS last,
+        (h + CASE WHEN half <> '' AND (half = 'i') <> (h % 2 = 0) THEN 1 ELSE 0 END) * 60 + r.m AS t
+      FROM (SELECT x.*, greatest(5, CAST(ceil((CASE WHEN r.p THEN (x.minute // 60 + 1) * 60 WHEN r.q THEN x.minute + 60 WHEN r.station = x.station AND x.kind = 'an' AND r.kind = 'ab' THEN x.minute ELSE x.minute + 1 END - r.m) / 60.0) AS INT)) AS h FROM trip x JOIN r ON r.segment = x.segment AND r.seq = x.seq + 1) x
+      JOIN r ON r.segment = x.segment AND r.seq = x.seq + 1)
+    WHERE CASE WHEN kind = 'ab' THEN t < 1440 ELSE t <= 1560 END AND NOT (dwell AND t - last > 15))
+  SELECT segment, start_seq, start, max(n) AS events, max(minute) AS ends FROM trip GROUP BY ALL HAVING max(n) > 1""", "", "start_seq start events ends")
+def chained_trips(spark, sf):
+    return T.trips(_rows(spark)).select("segment", "start_seq", "start", F.size("events").alias("events"), F.element_at("events", -1)["minute"].alias("ends"))
+
+
+@add("T06", f"""WITH {I.BOARD}, s AS (SELECT trip, id, minute AS arr, minute + id % 6 AS dep FROM board)
+  SELECT trip, id, CASE WHEN lag(1) OVER w IS NOT NULL THEN dep - arr END AS earlier, CASE WHEN lead(1, 2) OVER w IS NOT NULL THEN lead(dep) OVER w - lead(arr) OVER w END AS later FROM s WINDOW w AS (PARTITION BY trip ORDER BY id) QUALIFY lead(1) OVER w IS NOT NULL""", "", "earlier later")
+def section_slack(spark, sf):
+    s = I.board(spark, sf).select("trip", "id", F.col("minute").alias("arr"), (F.col("minute") + F.col("id") % 6).alias("dep"))
+    return T.slack(s, "trip", ["id"]).select("trip", "id", "earlier", "later")
+
+
+@add("T07 T08 Z11")
+def edited_timetable(spark, sf):
+    """Sections moved in the test timetable, and which edits were stale."""
+    edits = spark.createDataFrame([("s1", 1, "17", "26Q", 3), ("s2", 1, "50", "10P", -2)], "segment string, from_seq int, from_raw string, to_raw string, delta int")
+    return T.edited(_rows(spark), edits).select("segment", "seq", S.token_text("token").alias("text"), "edit_status")
+
+
+def _connections(spark, sf):
+    by = Window.partitionBy("trip").orderBy("minute", "id")
+    b = I.board(spark, sf)
+    nxt = b.withColumns({"to_station": F.lead("station").over(by), "arr": F.lead("minute").over(by)})
+    return nxt.where("to_station <> station AND arr > minute AND arr - minute <= 90").select("trip", F.col("station").alias("from_station"), "to_station", F.col("minute").alias("dep"), "arr")
+
+
+def _routes(spark, sf):
+    s = spark.range(11).select(F.col("id").cast("string").alias("station"))
+    asked = s.select(F.col("station").alias("origin"), F.explode(F.array(*[F.lit(m) for m in (360, 420, 480)])).alias("ready"))
+    return R.one_to_all(_connections(spark, sf), asked, s.withColumn("minutes", F.lit(4))), s
+
+
+@add("R01 R04 R05 R06 R07 R11")
+def earliest_routes(spark, sf):
+    routes, _ = _routes(spark, sf)
+    return routes.select("origin", "ready", "destination", "arrival", "departure", "transfers", "movements", F.size("legs").alias("legs"))
+
+
+@add("R02 R13")
+def ready_time_skim(spark, sf):
+    routes, s = _routes(spark, sf)
+    pairs = s.select(F.col("station").alias("origin")).crossJoin(s.select(F.col("station").alias("destination")))
+    return R.skim(routes, pairs, 3)
+
+
+LEGS = f"{I.BOARD}, l AS (SELECT trip AS path, id, service AS trip, minute AS dep, minute + id % 4 AS arr FROM board), g AS (SELECT *, lead(dep) OVER w - arr AS gap, lead(trip) OVER w = trip AS same FROM l WINDOW w AS (PARTITION BY path ORDER BY dep, id))"
+
+
+def _legs(spark, sf):
+    b = I.board(spark, sf).select(F.col("trip").alias("path"), "minute", "id", F.struct(F.col("station").cast("string").alias("from_station"), F.lit("").alias("to_station"), F.col("minute").alias("dep"), (F.col("minute") + F.col("id") % 4).cast("int").alias("arr"), F.col("service").alias("trip")).alias("leg"))
+    legs = b.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("minute", "id", "leg"))), lambda x: x["leg"]).alias("legs"))
+    return legs
+
+
+@add("R08 F16", f"""WITH {LEGS}, s AS (SELECT path, sum(arr - dep)::DOUBLE AS r, coalesce(sum(gap) FILTER (same), 0)::DOUBLE AS d, coalesce(sum(gap) FILTER (NOT same), 0)::DOUBLE AS t, count(*) FILTER (arr = dep) AS z, count(*) FILTER (same AND gap = 0) AS k FROM g GROUP BY path)
+  SELECT path, r * (r + d - (k + z) / 3.0) / (r + d) + z / 3.0 AS rolling, d * (r + d - (k + z) / 3.0) / (r + d) + k / 3.0 AS dwell, t AS transfer, r - k / 3.0 AS plain_rolling, d + k / 3.0 AS plain_dwell FROM s""", "rolling dwell transfer plain_rolling plain_dwell")
+def leg_time_components(spark, sf):
+    legs = _legs(spark, sf).withColumns({"a": R.leg_times(F.col("legs")), "b": R.leg_times(F.col("legs"), rebalance=False)})
+    return legs.select("path", "a.rolling", "a.dwell", "a.transfer", F.col("b.rolling").alias("plain_rolling"), F.col("b.dwell").alias("plain_dwell"))
+
+
+@add("R14", f"WITH {I.BOARD}, p AS (SELECT trip, list('S' || station ORDER BY minute, id) AS s FROM board GROUP BY trip) SELECT trip, array_to_string(list_transform(s, lambda x, i: CASE WHEN (i = 1 OR i = len(s)) AND starts_with(x, 'S1') THEN 'S1*' ELSE x END), '>') AS nodes FROM p")
+def terminal_aliases(spark, sf):
+    p = I.board(spark, sf).groupBy("trip").agg(F.transform(F.array_sort(F.collect_list(F.struct("minute", "id", "station"))), lambda x: F.concat(F.lit("S"), x["station"].cast("string"))).alias("s"))
+    return p.select("trip", F.array_join(R.terminal_aliases(F.col("s"), "S1", "S1*"), ">").alias("nodes"))
+
+
+@add("R10 J18", f"""WITH RECURSIVE {I.DEMAND}, e AS (SELECT origin AS a, destination AS b FROM (SELECT origin, destination, sum(weight) AS w FROM demand GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY origin ORDER BY w DESC, destination) = 1),
+  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, r) AS (SELECT n_name, n_name FROM nation UNION SELECT u.b, reach.r FROM reach JOIN u ON u.a = reach.node) SELECT node, min(r) AS component FROM reach GROUP BY node""")
+def station_components(spark, sf):
+    d = I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("w"))
+    e = J.first_of(d, ["origin"], [F.desc("w"), "destination"]).select(F.col("origin").alias("a"), F.col("destination").alias("b"))
+    return R.components(e, I.read(spark, sf, "nation").select(F.col("n_name").alias("node")))
+
+
+FIT = f"{I.DEMAND}, m AS (SELECT origin, destination, sum(weight) AS w, 1.0 + abs(hash_o - hash_d) AS seed FROM (SELECT *, length(origin) AS hash_o, length(destination) AS hash_d FROM demand) GROUP BY ALL), t AS (SELECT *, sum(w) OVER (PARTITION BY origin) AS tr, sum(w) OVER (PARTITION BY destination) AS tc FROM m)"
+
+
+def _fit(spark, sf):
+    m = I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("w")).withColumns({"seed": 1.0 + F.abs(F.length("origin") - F.length("destination")), "all": F.lit(1)})
+    return D.marginals(m, [], "w")
+
+
+@add("D02", f"""WITH {FIT}, a1 AS (SELECT *, seed * tr / sum(seed) OVER (PARTITION BY origin) AS v FROM t), b1 AS (SELECT *, v * tc / sum(v) OVER (PARTITION BY destination) AS x FROM a1),
+  a2 AS (SELECT *, x * tr / sum(x) OVER (PARTITION BY origin) AS y FROM b1), b2 AS (SELECT *, y * tc / sum(y) OVER (PARTITION BY destination) AS z FROM a2) SELECT origin, destination, z AS value FROM b2""", "value", "", 4)
+def fitting_sweeps(spark, sf):
+    return D.sweeps(_fit(spark, sf), [], "seed", "row_sum", "column_sum", 2).select("origin", "destination", "value")
+
+
+@add("D02 D07 D12", f"WITH {FIT} SELECT origin, any_value(tr) AS total FROM t GROUP BY origin", "total", "", 3)
+def balanced_margins(spark, sf):
+    """Fitting to convergence: its row sums are the targets again."""
+    out = D.balanced(_fit(spark, sf), "all", "seed", "row_sum", "column_sum", 1e-10)
+    return out.groupBy("origin").agg(F.sum("value").alias("total"))
+
+
+PAIRS = f"""{I.STATIONS}, {I.DEMAND}, x AS (SELECT o.station AS origin, d.station AS destination, sum(m.weight) AS w, any_value(abs(o.lat - d.lat) * 111 + abs(o.lon - d.lon) * 76 + 1) AS km FROM demand m JOIN stations o ON m.origin = o.station JOIN stations d ON m.destination = d.station GROUP BY ALL)"""
+
+
+def _pairs(spark, sf):
+    s = I.stations(spark, sf)
+    o, d = (s.select(F.col("station").alias(n), F.col("lat").alias(f"{n}_lat"), F.col("lon").alias(f"{n}_lon")) for n in ("origin", "destination"))
+    m = I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("w"))
+    km = F.abs(F.col("origin_lat") - F.col("destination_lat")) * 111 + F.abs(F.col("origin_lon") - F.col("destination_lon")) * 76 + 1
+    return m.join(o, "origin").join(d, "destination").select("origin", "destination", "w", km.alias("km"))
+
+
+@add("D03", f"WITH {PAIRS} SELECT origin, destination, exp(greatest(-60, least(60, ln(so) + ln(sd) - 1.5 * ln(km)))) AS flow FROM (SELECT *, sum(w) OVER (PARTITION BY origin) AS so, sum(w) OVER (PARTITION BY destination) AS sd FROM x)", "flow", "", 3)
+def gravity_flows(spark, sf):
+    m = D.marginals(_pairs(spark, sf), [], "w")
+    return m.select("origin", "destination", D.gravity(F.col("row_sum"), F.col("column_sum"), F.col("km"), 1.5).alias("flow"))
+
+
+@add("D05 D06", f"""WITH {PAIRS}, s AS (SELECT sum(sqrt(w)) AS a, sum(sqrt(w) * ln(km)) AS x, sum(sqrt(w) * ln(w)) AS y, sum(sqrt(w) * ln(km) * ln(km)) AS xx, sum(sqrt(w) * ln(km) * ln(w)) AS xy, sum(sqrt(w) * ln(w) * ln(w)) AS yy, count(*) AS n FROM x)
+  SELECT n, greatest(0.01, -(xy - x * y / a) / (xx - x * x / a)) AS beta, (y - (xy - x * y / a) / (xx - x * x / a) * x) / a AS intercept, greatest(0, pow(xy - x * y / a, 2) / ((xx - x * x / a) * (yy - y * y / a))) AS r2 FROM s""", "beta intercept r2", "n")
+def log_linear_slope(spark, sf):
+    return D.log_slope(_pairs(spark, sf).withColumn("root", F.sqrt("w")), [], "km", "w", "root")
+
+
+@add("D09", f"""WITH {PAIRS}, g AS (SELECT unnest([5.0, 20.0, 80.0, 320.0]) AS scale), m AS (SELECT scale, w, km, least(1, km / scale) * 2000 AS v FROM x CROSS JOIN g),
+  f AS (SELECT scale, quantile_cont(abs(v - w) / w, 0.5) AS median_ape, avg(CASE WHEN abs(v - w) / w <= 0.3 THEN 1.0 ELSE 0 END) AS within30, avg(abs(v - w) / w) AS mape FROM m GROUP BY scale)
+  SELECT CAST(scale AS DOUBLE) AS scale, median_ape, within30, mape FROM f ORDER BY median_ape, -within30, mape, scale LIMIT 1""", "median_ape within30 mape")
+def attenuation_grid(spark, sf):
+    grid = spark.createDataFrame([(5.0,), (20.0,), (80.0,), (320.0,)], "scale double")
+    return D.grid_search(_pairs(spark, sf), grid, F.least(F.lit(1.0), F.col("km") / F.col("scale")) * 2000, "w", ["scale"]).select("scale", "median_ape", "within30", "mape")
+
+
+@add("D04")
+def random_calibration(spark, sf):
+    """The best of two hundred random draws of gravity parameters."""
+    draws = D.random_candidates(spark, 200, {"beta": (0.2, 2.5), "scale": (10.0, 5000.0)})
+    return D.grid_search(_pairs(spark, sf), draws, F.col("scale") * F.pow("km", -F.col("beta")), "w", ["candidate"])
+
+
+@add("D07 D10", f"WITH {PAIRS} SELECT origin, destination, greatest(1e-12, w * sqrt((1 + km / 1000) * 1.1) * pow(km / (km + 5), 1.7)) AS projected FROM x", "projected", "", 5)
+def projected_demand(spark, sf):
+    p = _pairs(spark, sf).withColumns({"go": 1 + F.col("km") / 1000, "gd": F.lit(1.1), "later": F.col("km") + 5})
+    return D.projected_seed(p, "w", "go", "gd", "km", "later", 1.7).select("origin", "destination", "projected")
+
+
+@add("D11", f"WITH {PAIRS} SELECT origin, destination, greatest(0.7, least(1.8, exp(0.4 * (ln(w) - ln(km))))) AS factor FROM x", "factor")
+def induced_demand(spark, sf):
+    p = _pairs(spark, sf)
+    return p.select("origin", "destination", D.induced(p, "km", "w", 0.4).alias("factor"))
+
+
+@add("D14", "SELECT c_nationkey, c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END AS tier FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END, c_acctbal DESC, c_custkey) = 1", "", "tier")
+def preferred_rows(spark, sf):
+    tier = F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "MACHINERY", 2).otherwise(3)
+    return D.tiered_choice(I.read(spark, sf, "customer"), ["c_nationkey"], tier, [F.desc("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "tier")
+
+
+EFFECTS = f"{I.BOARD}, f AS (SELECT trip AS candidate, station AS section, minute % 30 AS wait, 3 + station % 4 AS least, CAST(id % 13 AS INT) - 6 AS change, pax FROM board)"
+
+
+def _effects(spark, sf):
+    return I.board(spark, sf).select(F.col("trip").alias("candidate"), F.col("station").alias("section"), (F.col("minute") % 30).alias("wait"), (3 + F.col("station") % 4).alias("least"), ((F.col("id") % 13).cast("int") - 6).alias("change"), "pax")
+
+
+KIND = "CASE WHEN wait >= least AND wait + change < least THEN 'broken' WHEN wait < least AND wait + change >= least THEN 'unlocked' WHEN wait < least THEN 'missed' WHEN change < 0 THEN 'improved' WHEN change > 0 THEN 'worsened' ELSE 'unchanged' END"
+
+
+@add("Z02 A07", f"""WITH {EFFECTS}, k AS (SELECT *, {KIND} AS kind FROM f), g AS (SELECT *, CASE WHEN kind = 'broken' THEN -pax * greatest(0, -change) WHEN kind IN ('improved', 'worsened') THEN -pax * change WHEN kind = 'unlocked' THEN pax * (least + 60 - wait - change) ELSE 0 END AS gain FROM k)
+  SELECT candidate, count(*) FILTER (kind = 'improved') AS improved, count(*) FILTER (kind = 'worsened') AS worsened, count(*) FILTER (kind = 'broken') AS broken, count(*) FILTER (kind = 'unlocked') AS unlocked, sum(gain) AS net, sum(greatest(gain, 0)) AS won, sum(least(gain, 0)) AS lost FROM g GROUP BY candidate""", "net won lost", "improved worsened broken unlocked", 4)
+def edit_net_impact(spark, sf):
+    return Z.net_impact(_effects(spark, sf), ["candidate"])
+
+
+OBJECTIVE = "CASE WHEN {0} >= least THEN -pax * ({0} - least) ELSE -pax * (least - {0} + 60) END"
+
+
+@add("Z03", f"""WITH {EFFECTS}, n AS (SELECT *, wait + CASE section WHEN 2 THEN 3 WHEN 5 THEN -2 ELSE 0 END AS now FROM f)
+  SELECT candidate, sum({OBJECTIVE.format('(now + change)')} - ({OBJECTIVE.format('now')})) AS marginal FROM n GROUP BY candidate""", "marginal", "", 4)
+def marginal_scores(spark, sf):
+    shifts = spark.createDataFrame([(2, 3), (5, -2)], "section long, shift int")
+    return Z.marginal(_effects(spark, sf), shifts, "candidate", "section")
+
+
+@add("Z01 T06", f"""WITH {EFFECTS}, t AS (SELECT candidate, section, wait, least, CASE WHEN section % 3 = 0 THEN NULL ELSE section % 5 END AS earlier, section % 7 AS later FROM f),
+  a AS (SELECT *, unnest(['depart earlier', 'arrive earlier']) AS action FROM t) SELECT candidate, section, action, -least(10, wait - least, coalesce(CASE WHEN action = 'depart earlier' THEN earlier ELSE later END, 10)) AS delta FROM a
+  WHERE least(10, wait - least, coalesce(CASE WHEN action = 'depart earlier' THEN earlier ELSE later END, 10)) > 0""", "", "delta")
+def improvement_candidates(spark, sf):
+    t = _effects(spark, sf).withColumns({"earlier": F.when(F.col("section") % 3 != 0, F.col("section") % 5), "later": F.col("section") % 7})
+    return Z.improvements(t, 10).select("candidate", "section", "action", "delta")
+
+
+@add("Z01 J06", f"""WITH {EFFECTS}, t AS (SELECT candidate, section, wait % 5 AS gap, least, section % 5 AS earlier, CASE WHEN section % 3 = 0 THEN NULL ELSE section % 7 END AS later FROM f), a AS (SELECT *, unnest(['depart later', 'arrive earlier']) AS action, least - gap AS need FROM t)
+  SELECT candidate, section, action, CASE WHEN action = 'depart later' THEN need ELSE -need END AS delta FROM a WHERE need > 0 AND need <= 10 AND need <= coalesce(CASE WHEN action = 'depart later' THEN later ELSE earlier END, 10)""", "", "delta")
+def unlock_candidates(spark, sf):
+    t = _effects(spark, sf).select("candidate", "section", (F.col("wait") % 5).alias("gap"), "least", (F.col("section") % 5).alias("earlier"), F.when(F.col("section") % 3 != 0, F.col("section") % 7).alias("later"))
+    return Z.unlocks(t, 10).select("candidate", "section", "action", "delta")
+
+
+@add("Z04 Z07 Z08")
+def best_first_edits(spark, sf):
+    """Three edits chosen one by one, each scored under those before it."""
+    chosen = Z.best_first(_effects(spark, sf), "candidate", "section", 3)
+    return spark.createDataFrame([(i + 1, c, float(m)) for i, (c, m) in enumerate(chosen)], "selection_order int, candidate long, marginal double")
+
+
+@add("Z05 Z06")
+def paths_under_shifts(spark, sf):
+    shifts = spark.createDataFrame([("view", -1), ("purchase", 2)], "trip string, shift int")
+    return Z.shifted_paths(_legs(spark, sf), shifts).select("path", "feasible", "change", "times.rolling", "times.dwell", "times.transfer")
+
+
+@add("J05 Z09 Z10", f"""WITH {LEGS}, c AS (SELECT candidate, trip, dep % 120 AS m FROM (VALUES (1, 'view', 60), (2, 'purchase', 60), (3, 'view', 61)) AS t(candidate, trip, dep)) SELECT candidate, count(DISTINCT path) AS paths, count(*) AS hits FROM l JOIN c ON l.trip = c.trip AND l.dep % 120 = c.m GROUP BY 1""", "", "candidate paths hits")
+def sections_of_candidates(spark, sf):
+    c = spark.createDataFrame([(1, "view", 60), (2, "purchase", 60), (3, "view", 61)], "candidate int, trip string, m int")
+    legs = _legs(spark, sf).select("path", F.explode("legs").alias("leg")).select("path", "leg.trip", (F.col("leg.dep") % 120).alias("m"))
+    return legs.join(F.broadcast(c), ["trip", "m"]).groupBy("candidate").agg(F.countDistinct("path").alias("paths"), F.count("*").alias("hits"))
+
+
+def _surface(spark, sf, shift=0.0):
+    s = I.stations(spark, sf).select(((F.col("lon") - 6) * 76).alias("px"), ((F.col("lat") - 45.8) * 111).alias("py"), (F.col("id") + shift).alias("v"), (1 + F.col("id") % 3).alias("w"))
+    return G.kernel_surface(G.raster(spark, 0.0, 0.0, 20.0, 16, 12), s, "v", "w", 12.0, 25.0)
+
+
+GRID = f"""{I.STATIONS}, g AS (SELECT CAST(k % 16 AS INT) AS i, CAST(k // 16 AS INT) AS j, k % 16 * 20.0 AS x, k // 16 * 20.0 AS y FROM range(192) t(k)),
+  n AS (SELECT i, j, id, 1 + id % 3 AS w, sqrt(pow(x - (lon - 6) * 76, 2) + pow(y - (lat - 45.8) * 111, 2)) AS d FROM g CROSS JOIN stations)"""
+
+
+@add("G01 G02 S08", f"WITH {GRID}, v AS (SELECT i, j, sum(w * exp(-d * d / 288) * id) / sum(w * exp(-d * d / 288)) AS value, min(d) AS nearest FROM n WHERE d <= 25 GROUP BY ALL) SELECT g.i, g.j, x, y, value, nearest, nearest IS NOT NULL AS covered FROM g LEFT JOIN v USING (i, j)", "x y value nearest")
+def kernel_surface(spark, sf):
+    return _surface(spark, sf)
+
+
+@add("G04", f"WITH {GRID}, v AS (SELECT i, j, sum(w * exp(-d * d / 288) * id) / sum(w * exp(-d * d / 288)) AS a FROM n WHERE d <= 25 GROUP BY ALL) SELECT g.i, g.j, a, a + 2.5 AS b, CASE WHEN a IS NULL THEN NULL ELSE 2.0 END AS change FROM g LEFT JOIN v USING (i, j)", "a b change")
+def surface_change(spark, sf):
+    out = G.raster_change(_surface(spark, sf), _surface(spark, sf, 2.5), 2.0)
+    return out.withColumn("change", F.when(F.col("a").isNotNull(), F.col("change")))
+
+
+@add("G03")
+def surface_contours(spark, sf):
+    return G.contour_segments(_surface(spark, sf), 12.0)
+
+
+@add("G05", f"WITH {I.STATIONS} SELECT region, min(lon) - 0.2 AS low_x, max(lon) + 0.2 AS high_x, min(lat) - 0.2 AS low_y, max(lat) + 0.2 AS high_y, count(*) AS n FROM stations GROUP BY region", "low_x high_x low_y high_y", "n")
+def region_boxes(spark, sf):
+    return G.boxes(I.stations(spark, sf), ["region"], 0.2)
+
+
+@add("J10")
+def links_at_screenlines(spark, sf):
+    s = I.stations(spark, sf).select("id", ((F.col("lon") - 6) * 76).alias("x"), ((F.col("lat") - 45.8) * 111).alias("y"))
+    a, b = s.toDF("a", "a_x", "a_y"), s.toDF("b", "b_x", "b_y")
+    links = a.join(b, F.col("b") == (F.col("a") + 1) % 25).withColumn("link", F.concat_ws("-", "a", "b"))
+    corridors = spark.createDataFrame([("west", 10.0, 10.0, 90.0, 60.0), ("east", 200.0, 30.0, 260.0, 150.0)], "corridor string, x1 double, y1 double, x2 double, y2 double")
+    return G.screenline_links(corridors, links, 0.15).select("corridor", "link")
+
+
+@add("I01 I02 K06 K08", "SELECT event_type, sum(value) AS load, count(*) AS n FROM events GROUP BY 1", "load", "n", 3)
+def streamed_running_loads(spark, sf):
+    """A file stream run to its end: its state is the batch aggregate."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    at = f"{root.rstrip('/')}/loads-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    partial = stream.select("event_type", "value")
+
+    def merge(batch, number):
+        batch.groupBy("event_type").agg(F.sum("value").alias("load"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/part={number}")
+
+    partial.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(at).groupBy("event_type").agg(F.sum("load").alias("load"), F.sum("n").alias("n"))
