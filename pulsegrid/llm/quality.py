@@ -152,10 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
             )
 
     def trained(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda r: (r["ids"], r["quality"]))  # the order of arrival doesn't matter
-        documents = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
-        model, bias = train(documents, np.array([r["quality"] for r in rows], np.int64))
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(i).to_pylist() for i in (1, 2, 0)), strict=True)
+        rows.sort()
+        documents = [(np.frombuffer(ids, np.int32), np.frombuffer(shares, np.float32)) for ids, shares, _ in rows]  # in an order that arrival doesn't change
+        model, bias = train(documents, np.array([label for _, _, label in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([model.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], names=["model", "bias"])
 
     got = texts.mapInArrow(featured, "quality int, ids binary, shares binary").repartition(1).mapInArrow(trained, "model binary, bias double").collect()
