@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
     others = [c for c in docs.columns if c != "doc_id"]
-    first = named.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("__row"))
+    row = F.struct(*others)
+    first = named.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("__row"))
     one = first.select("doc_id", *[F.col(f"__row.`{c}`").alias(c) for c in others]).select(*docs.columns)
     return one.unionByName(docs.where("doc_id IS NULL"))
 
@@ -37,10 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that an earlier document has go; a text that loses none is unchanged, and one that loses all goes."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = substrings.remove_repeated(docs.withColumn("__whole", F.col("text")), keep=(*others, "__whole"))
-    out = cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("__whole")))
+    cut = substrings.remove_repeated(docs.withColumn("__whole", F.col("text")), keep=(*others, "__whole"), out=("__words", "__gone", "__kept"))
+    out = cut.where("__gone = 0 OR __gone < __words").withColumn("text", F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("__whole")))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.col("__gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
     return out.select(*docs.columns)
 

@@ -163,8 +163,14 @@ class Decoder:
         return [b"".join(parts) for parts in out]
 
 
-encoder = functools.lru_cache(2)(Encoder)
-decoder = functools.lru_cache(2)(Decoder)
+@functools.lru_cache(2)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
+
+
+@functools.lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     return np.frombuffer(got[0]["model"], "<f4"), got[0]["bias"]
 
 
-def score(docs: DataFrame, model: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, columns named in ``keep`` and ``score`` for every row."""
+def score(docs: DataFrame, model: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """The id, columns named in ``keep`` and the score, named ``out``, for every row."""
     named = [id_col, *keep]
     source = docs.select(*named, F.col(text_col).alias("__text"))
 
@@ -175,10 +175,10 @@ def score(docs: DataFrame, model: np.ndarray, bias: float, id_col: str = "doc_id
         for batch in batches:
             for part in chunks(batch, len(named), STEP_BYTES):
                 got = scores([x or "" for x in part.column(len(named)).to_pylist()], model, bias)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got)], names=[*named, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got)], names=[*named, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, score double")
+    return source.mapInArrow(run, f"{kinds}, {out} double")
 
 
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,5 +193,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
     others = [c for c in docs.columns if c != "text"]
     shadow = docs.withColumn("__scored", F.col("text"))
-    kept = score(shadow, *fit(docs, labels), id_col="text", text_col="__scored", keep=tuple(others))
-    return kept.where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    kept = score(shadow, *fit(docs, labels), id_col="text", text_col="__scored", keep=tuple(others), out="__score")
+    return kept.where(F.col("__score") >= THRESHOLD).select(*docs.columns)

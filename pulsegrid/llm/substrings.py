@@ -182,14 +182,14 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     return written(cold.distinct(), "intervals")
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per input row: the id, columns named in ``keep``, ``n_words``, ``n_removed`` and ``kept`` (kept words joined by one space)."""
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
+    """Per input row: the id, columns named in ``keep``, and under the names in ``out`` how many words it has and loses and the kept ones joined by one space."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = repeated_intervals(narrow)
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "start", "end")).alias("cut")).withColumnRenamed("doc_id", "__id")
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "start", "end")).alias("__cut")).withColumnRenamed("doc_id", "__id")
     named = [id_col, *keep]
     source = docs.select(*named, F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__own"))
-    source = source.join(lists, source["__own"] == lists["__id"], "left").select(*named, "__text", "cut")
+    source = source.join(lists, source["__own"] == lists["__id"], "left").select(*named, "__text", "__cut")
     n = len(named)
 
     def run(batches):
@@ -214,10 +214,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         total.append(len(words))
                     removed.append(gone)
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*named, "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*named, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n])
-    return source.mapInArrow(run, f"{kinds}, n_words bigint, n_removed bigint, kept string")
+    return source.mapInArrow(run, f"{kinds}, {out[0]} bigint, {out[1]} bigint, {out[2]} string")
 
 
 def op9_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
