@@ -18,11 +18,12 @@ never decides a result), cells of many shingles first (few documents share
 them by a passage), then goes by a hash.  Candidates are pruned by size and by
 the bit sketches (larger ones fold to smaller ones) and verified on whole sets.
 
-Documents that share a cell value form a run.  Pairs of a run are not all
-made: pivots of each run are compared with its members first, linked documents
-become components, and further pivots are taken only in runs that still hold
-more than one component, until every pair of every run is compared or joined
-by links.  So no link is lost, and a group of copies costs its size.
+Documents that share a cell value form a run.  Pairs of a run are not made:
+its members are compared with one of them first, and linked documents become
+components.  Runs that still hold more than one component are compared block
+by block inside tasks; pairs within a component need no comparison, and only
+pairs that size and sketches let link leave the task.  So no link is lost, and
+a group of copies costs its size.
 
 Defined results: null and empty texts, and texts without words, have an empty
 set and are linked with nothing; exact copies are linked whatever their number;
@@ -50,6 +51,8 @@ STEP_BYTES = 1 << 20
 SAMPLE_DOCS, FREQUENT = 8192, 8
 #: Ids that may be broadcast (8 MB of longs); more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Rows of a run that are compared in one block.
+BLOCK_ROWS = 1024
 
 U = np.uint64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -235,6 +238,61 @@ def _runs(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, keyed.schema)
 
 
+def close_pairs(n: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+    """Places of the pairs of different components (and blocks, if there are two) that size and sketches let link."""
+    size = min(map(len, sketches))
+    bits = np.stack([_folded(np.frombuffer(s, np.uint8), size) for s in sketches]).view(U)
+    two, out = block[0] != block[-1] or (block != block[0]).any(), []
+    for r in range(len(n) - 1):
+        m = n[r + 1 :]
+        ok = (component[r + 1 :] != component[r]) & (100 * np.minimum(m, n[r]) >= PERCENT * np.maximum(m, n[r]))
+        if two:
+            ok &= block[r + 1 :] != block[r]
+        at = np.flatnonzero(ok) + r + 1
+        if len(at):
+            differ = np.bitwise_count(bits[at] ^ bits[r]).sum(1, dtype=np.int64)
+            out += [(r, k) for k in at[differ <= (n[r] + n[at]) * (100 - PERCENT) // (100 + PERCENT)].tolist()]
+    return out
+
+
+def _compared(state: DataFrame, sig: DataFrame) -> DataFrame:
+    """Pairs (``a`` < ``b``) of the rows of each run that may link, by comparing sketches within blocks.
+
+    A run of more than ``BLOCK_ROWS`` rows is dealt out as pairs of blocks, so a
+    task holds two blocks at a time; only pairs that the bound lets through
+    leave it.
+    """
+    size = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = state.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.join(sig.where("doc_id IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), "sketch").distinct(), ["doc_id", "n"])
+    part = rows.select("key", "i", "j", "block", "doc_id", "n", "component", "sketch")
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        if len(group) < 2:
+            return []
+        block, doc, n, component, sketches = zip(*group, strict=True)
+        near = close_pairs(np.array(n, np.int64), np.array(component), np.array(block), list(sketches))
+        return [(min(doc[x], doc[y]), max(doc[x], doc[y])) for x, y in near if doc[x] != doc[y]]
+
+    def run(batches):
+        held, group = None, []
+        for batch in batches:
+            out = []
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != held:
+                    out += compare(group)
+                    held, group = (key, i, j), []
+                group.append(tuple(row))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        if out := compare(group):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    n = partitions(state.sparkSession)
+    return part.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (``a`` < ``b``) that are linked."""
     narrow = sig.select("doc_id", "n", "sketch")
@@ -286,26 +344,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = _runs(full.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n")))
     runs = written(runs.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").select("key", "doc_id", "n").distinct(), "runs")
     dropped(docs.sparkSession, full)
-    links, group, pivots = copies, None, 2
-    while True:
-        if group is None:
-            state = runs.withColumn("component", F.col("doc_id"))
-        else:
-            state = runs.join(group.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_keys = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        state = written(state.join(open_keys, "key", "left_semi"), "state")
-        if not state.limit(1).count():
-            break
-        slot = F.pmod(F.xxhash64("doc_id", F.lit(pivots)), F.lit(pivots))
-        taken = state.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("doc_id", "component", "n"), "doc_id").alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("of"), F.col("p.n").alias("m"))
-        pairs = state.join(taken, "key").where(f"component <> of AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        found = _verified(docs, sig, pairs)
-        links = links.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        runs = written(state.select("key", "doc_id", "n").join(taken.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti"), "runs")
-        group = written(components(links), "components")
-        pivots *= 16
-    if group is None:
-        group = written(components(links), "components")
+    # First a star in each run, around the document of the largest runs: the middle of a group of near copies is in nearly all of them.
+    weight = runs.join(runs.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    state = written(runs.join(weight, "doc_id"), "state")
+    pivot = F.max_by(F.struct("doc_id", "n"), F.struct("weight", -F.col("doc_id"))).alias("p")
+    pivots = state.groupBy("key").agg(pivot).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.n").alias("m"))
+    stars = state.join(pivots, "key").where(f"doc_id <> pivot AND 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    found = _verified(docs, sig, stars.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct())
+    links = copies.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    group = written(components(links), "components")
+    # Then all pairs of runs that still hold more than one component, but for those within a component and with the pivot.
+    left = state.join(pivots.withColumnRenamed("pivot", "doc_id"), ["key", "doc_id"], "left_anti").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    left = left.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    open_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    left = written(left.join(open_keys, "key", "left_semi"), "open")
+    if left.limit(1).count():
+        found = _verified(docs, sig, _compared(left, sig))
+        if found.limit(1).count():
+            group = written(components(links.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v")))), "components")
     rows = sig.select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
