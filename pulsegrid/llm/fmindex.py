@@ -69,7 +69,7 @@ class FMIndex:
             if step == half:
                 kept = rank
             key = rank * (n + count + 1) + np.concatenate([rank[step:] + 1, np.zeros(min(step, n), np.int64)])[:n]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
