@@ -92,7 +92,7 @@ def latex_rows(spark: SparkSession, path: str, label: str, columns: int) -> Data
     """Cells of the rows of a labelled table."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", rf"(?s)\\label\{{{label}\}}(.*?)\\end\{{table", 1).alias("t"))
     rows = text.select(F.posexplode(F.split("t", r"\\\\")).alias("n", "row")).where(F.contains("row", F.lit("&")))
-    clean = F.transform(F.split(F.regexp_replace("row", r"\\(hline|toprule|midrule|bottomrule)", ""), "&"), F.trim)
+    clean = F.transform(F.split(F.regexp_replace("row", r"\\(hline|toprule|midrule|bottomrule)", ""), "&"), lambda x: F.trim(x))
     return rows.select("n", *[F.get(clean, F.lit(i)).alias(f"c{i}") for i in range(columns)])
 
 

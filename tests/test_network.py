@@ -116,7 +116,7 @@ def test_fitting_converges():
 
 def test_greedy_caps_and_events():
     c = [{"id": i, "score": 10 - i, "events": [i // 2], "year": i % 2} for i in range(8)]
-    assert [x["id"] for x in Z.capped(c, {"year": 2}, 0)] == [0, 2]
+    assert [x["id"] for x in Z.capped(c, {"year": 2}, 0)] == [0, 2, 5, 7]
     assert [x["id"] for x in Z.capped(c, {"total": 3}, 0)] == [0, 2, 4]
 
 
