@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,16 +12,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared folder.
 
     ``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests,
-    a notebook in local mode) a temporary one is made and set.
+    a notebook in local mode) a temporary one takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return f"{root.rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
 
 
