@@ -265,12 +265,12 @@ def periodic_projection(spark, sf):
     return Q.periodic(b, "m", 300, 1440).select("id", F.col("at").alias("t"))
 
 
-@add("J03 D15", f"""WITH {I.DEMAND}, y AS (SELECT origin, year, sum(weight) AS v FROM demand WHERE origin < 'K' OR year = 1996 GROUP BY ALL), y2 AS (SELECT * FROM y WHERE origin <> 'BRAZIL')
+@add("J03 D15", f"""WITH {I.DEMAND}, y AS (SELECT origin, year, sum(weight) AS v FROM demand WHERE origin < 'NATION_2' OR year = 1996 GROUP BY ALL), y2 AS (SELECT * FROM y WHERE origin <> 'NATION_3')
   SELECT d.origin, d.year, coalesce(o.v, r.v, d.n * 1.5) AS v, CASE WHEN o.v IS NOT NULL THEN 'own' WHEN r.v IS NOT NULL THEN 'reference' ELSE 'fallback' END AS source
   FROM (SELECT origin, year, count(*) AS n FROM demand GROUP BY ALL) d LEFT JOIN y2 o USING (origin, year) LEFT JOIN (SELECT origin, v FROM y2 WHERE year = 1996) r USING (origin)""", "v")
 def tiered_population_lookup(spark, sf):
     d = I.demand(spark, sf)
-    y = d.where("origin < 'K' OR year = 1996").where("origin <> 'BRAZIL'").groupBy("origin", "year").agg(F.sum("weight").alias("v"))
+    y = d.where("origin < 'NATION_2' OR year = 1996").where("origin <> 'NATION_3'").groupBy("origin", "year").agg(F.sum("weight").alias("v"))
     n = d.groupBy("origin", "year").agg(F.count("*").alias("n"))
     return J.tiered_lookup(n, y, "origin", "year", 1996, "v", F.col("n") * 1.5).drop("n")
 
@@ -371,10 +371,10 @@ def stations_in_order(spark, sf):
     return one.groupBy("trip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "station"))), lambda s: s["station"].cast("string")), ">").alias("stations"))
 
 
-@add("O07", "SELECT n_name, CASE n_name WHEN 'JAPAN' THEN 0 WHEN 'BRAZIL' THEN 1 END AS anchor, row_number() OVER (ORDER BY CASE n_name WHEN 'JAPAN' THEN 0 WHEN 'BRAZIL' THEN 1 ELSE 2 END, coalesce(c, 0) DESC, n_name) AS place FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey", "", "anchor place")
+@add("O07", "SELECT n_name, CASE n_name WHEN 'NATION_7' THEN 0 WHEN 'NATION_3' THEN 1 END AS anchor, row_number() OVER (ORDER BY CASE n_name WHEN 'NATION_7' THEN 0 WHEN 'NATION_3' THEN 1 ELSE 2 END, coalesce(c, 0) DESC, n_name) AS place FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey", "", "anchor place")
 def anchors_then_size(spark, sf):
     n = I.read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
-    s = I.read(spark, sf, "nation").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").withColumn("anchor", F.when(F.col("n_name") == "JAPAN", 0).when(F.col("n_name") == "BRAZIL", 1))
+    s = I.read(spark, sf, "nation").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").withColumn("anchor", F.when(F.col("n_name") == "NATION_7", 0).when(F.col("n_name") == "NATION_3", 1))
     return s.select("n_name", "anchor", F.row_number().over(Window.orderBy(F.coalesce("anchor", F.lit(2)), F.coalesce("c", F.lit(0)).desc(), "n_name")).alias("place"))
 
 

@@ -135,8 +135,8 @@ def table_of_a_document(spark, sf):
     return readers.latex_rows(spark, at, "tab:x", 2).select(F.col("c0").alias("station"), F.col("c1").alias("n"))
 
 
-@add("J18 S04 P11", f"WITH {I.DEMAND}, m AS (SELECT DISTINCT origin, destination FROM demand WHERE origin < 'M') SELECT destination AS label, 'column' AS only FROM m WHERE destination NOT IN (SELECT origin FROM m) GROUP BY ALL UNION ALL SELECT origin, 'row' FROM m WHERE origin NOT IN (SELECT destination FROM m) GROUP BY ALL")
+@add("J18 S04 P11", f"WITH {I.DEMAND}, m AS (SELECT DISTINCT origin, destination FROM demand WHERE origin < 'NATION_2') SELECT destination AS label, 'column' AS only FROM m WHERE destination NOT IN (SELECT origin FROM m) GROUP BY ALL UNION ALL SELECT origin, 'row' FROM m WHERE origin NOT IN (SELECT destination FROM m) GROUP BY ALL")
 def matrix_label_faults(spark, sf):
-    return J.label_faults(I.demand(spark, sf).where("origin < 'M'"))
+    return J.label_faults(I.demand(spark, sf).where("origin < 'NATION_2'"))
 
 
