@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .aggregates import correlation
+from .joins import bounded
 
 MOST_CELLS = 4_000_000
 
@@ -93,7 +94,7 @@ def grid_search(pairs: DataFrame, grid: DataFrame, model: Column, observed: str,
     pairs, each row meeting each candidate.
     """
     ape = F.when(F.col(observed) != 0, F.abs(F.col("__m") - F.col(observed)) / F.abs(F.col(observed)))
-    fits = pairs.crossJoin(F.broadcast(grid)).withColumn("__m", model).groupBy(*grid.columns).agg(
+    fits = pairs.crossJoin(F.broadcast(bounded(grid))).withColumn("__m", model).groupBy(*grid.columns).agg(
         F.percentile(ape, 0.5).alias("median_ape"), F.avg(F.when(ape <= 0.3, 1.0).otherwise(0.0)).alias("within30"), F.avg(ape).alias("mape"), correlation("__m", observed).alias("r")
     )
     order = F.struct("median_ape", (-F.col("within30")).alias("a"), "mape", (-F.coalesce(F.col("r") * F.col("r"), F.lit(0.0))).alias("b"), *keys)

@@ -11,6 +11,17 @@ from pyspark.sql.window import Window
 Keys = Sequence[str]
 
 
+#: Rows of a table that may meet every row of another (stations, corridors, grids of parameters).
+MOST_REPEATED = 20_000
+
+
+def bounded(df: DataFrame, most: int = MOST_REPEATED) -> DataFrame:
+    """``df``, after a check that it is small enough to be repeated; a larger one fails and has to be cut first."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; this operator repeats the table, so cut it by region or cell first")
+    return df
+
+
 def repeated_keys(df: DataFrame, keys: Keys) -> DataFrame:
     """Keys with more than one row: empty where a one-to-one join is sound."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -70,7 +81,7 @@ def as_of(arrivals: DataFrame, departures: DataFrame, keys: Keys, arrival: str,
 
 def ordered_pairs(df: DataFrame, key: str) -> DataFrame:
     """All ordered pairs of a small table (stations), without the diagonal; both sides get ``o_`` and ``d_`` names."""
-    o = df.select([F.col(c).alias(f"o_{c}") for c in df.columns])
+    o = bounded(df).select([F.col(c).alias(f"o_{c}") for c in df.columns])
     d = df.select([F.col(c).alias(f"d_{c}") for c in df.columns])
     return o.join(d, F.col(f"o_{key}") != F.col(f"d_{key}"))
 
@@ -112,7 +123,7 @@ def nearest(points: DataFrame, places: DataFrame, distance: Column, point: str,
 
     ``places`` is a bounded table (stations); it is repeated to all points.
     """
-    out = points.crossJoin(places).withColumn("km", distance)
+    out = points.crossJoin(F.broadcast(bounded(places))).withColumn("km", distance)
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy(point).orderBy("km", place)))
     return out.where((F.col("rank") <= k) | (same if same is not None else F.lit(False)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import bounded
 from .routing import leg_times
 
 #: Fixed: minutes lost with a broken transfer, on top of the wait (an hour to the next connection).
@@ -119,7 +120,7 @@ def shifted_paths(paths: DataFrame, shifts: DataFrame, least: int = 0) -> DataFr
 
     The shifts become one map (a bounded set of edits), so a path stays one row.
     """
-    moves = shifts.agg(F.map_from_entries(F.collect_list(F.struct("trip", "shift"))).alias("moves"))
+    moves = bounded(shifts).agg(F.map_from_entries(F.collect_list(F.struct("trip", "shift"))).alias("moves"))
     out = paths.crossJoin(F.broadcast(moves))
     by = lambda x: F.coalesce(F.element_at("moves", x["trip"]), F.lit(0))
     new = F.transform("legs", lambda x: F.struct(x["from_station"].alias("from_station"), x["to_station"].alias("to_station"), (x["dep"] + by(x)).cast("int").alias("dep"), (x["arr"] + by(x)).cast("int").alias("arr"), x["trip"].alias("trip")))

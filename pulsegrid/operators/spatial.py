@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import bounded
+
 
 def raster(spark: SparkSession, low_x: float, low_y: float, step: float, columns: int, rows: int) -> DataFrame:
     return spark.range(columns * rows).select((F.col("id") % columns).cast("int").alias("i"), F.floor(F.col("id") / columns).cast("int").alias("j")).select(
@@ -94,4 +96,4 @@ def screenline_links(corridors: DataFrame, links: DataFrame, buffer: float) -> D
     s = tuple(F.col(c) for c in ("s_x1", "s_y1", "s_x2", "s_y2"))
     link = tuple(F.col(c) for c in ("a_x", "a_y", "b_x", "b_y"))
     close = F.least(segment_distance(link[0], link[1], *s), segment_distance(link[2], link[3], *s), segment_distance(s[0], s[1], *link), segment_distance(s[2], s[3], *link)) <= buffer
-    return links.crossJoin(F.broadcast(named)).where(crosses(s, link) | close)
+    return links.crossJoin(F.broadcast(bounded(named))).where(crosses(s, link) | close)
