@@ -11,6 +11,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    import __spark_entry__  # noqa: F401  sets the workers' path
     from pyspark.sql import SparkSession
 
     session = (
