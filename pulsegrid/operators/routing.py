@@ -63,7 +63,7 @@ class Network:
                 if row is None:
                     node = before[1]
                     continue
-                if legs and legs[-1][4] == row[0] and legs[-1][0] == row[2] and before[1] is not None or legs and legs[-1][4] == row[0] and legs[-1][0] == row[2]:
+                if legs and legs[-1][4] == row[0] and legs[-1][0] == row[2]:  # the same train goes on
                     legs[-1] = (row[1], legs[-1][1], row[3], legs[-1][3], row[0])
                 else:
                     legs.append((row[1], row[2], row[3], row[4], row[0]))
