@@ -160,6 +160,20 @@ def materialise(seqs: DataFrame, folder: str, key: int = KEY, length: int = LENG
     return index
 
 
+def read_from(folder: str, slot: int = 0, length: int = LENGTH):
+    """Yields (slot, padded ids) in training order from ``slot`` on: one seek, then sequential reads."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    stride = WIDTH * length
+    while fs.get_file_info(f"{root}/{shard_name(slot // SHARD_ROWS)}").type == pyarrow.fs.FileType.File:
+        with fs.open_input_file(f"{root}/{shard_name(slot // SHARD_ROWS)}") as f:
+            f.seek(slot % SHARD_ROWS * stride)
+            while raw := f.read(stride):
+                yield slot, np.frombuffer(raw, f"<u{WIDTH}")
+                slot += 1
+        if slot % SHARD_ROWS:  # the last shard is shorter
+            return
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -214,6 +214,11 @@ def test_training_order_files(docs, none, tmp_path, monkeypatch):
         got.append(tuple(np.frombuffer(raw, "<u2")[: r["n_tokens"]].tolist()))
         assert zlib.crc32(raw[: r["n_tokens"] * order.WIDTH]) == r["ids_crc32"]
     assert sorted(got) == want
+    by_slot = {r["slot"]: g for r, g in zip(index, got)}
+    for start in (0, 5, 16, len(index) - 1, len(index)):
+        read = list(order.read_from(f"file://{tmp_path}/a", start))
+        assert [s for s, _ in read] == list(range(start, len(index)))
+        assert all(tuple(ids[: len(by_slot[s])].tolist()) == by_slot[s] for s, ids in read)
     assert make(none, "b") == []
 
 
