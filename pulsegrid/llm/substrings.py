@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, table, written
 from .fmindex import FMIndex
-from .jaccard import BASE, BROADCAST_IDS, SIGNED, U, mixed, word_hashes
+from .jaccard import BASE, BROADCAST_IDS, SIGNED, U, _powers, mixed, word_hashes
 
 WINDOW, GRAM = 50, 8
 REACH = WINDOW - GRAM  # words of a piece on either side of its anchor
@@ -73,14 +73,18 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 if len(words) < WINDOW:
                     continue
                 grams = _rolled(words, GRAM, 22)
+                # The hash of any run of words is a difference of one running polynomial.
+                up, down = _powers(1 << max(20, len(words).bit_length()))
+                total = np.zeros(len(words) + 1, U)
+                np.cumsum(words * up[: len(words)], out=total[1:])
                 ids, rows, at = part.column(0).to_pylist(), [], 0
                 for i, n in enumerate(counts.tolist()):
                     if n >= WINDOW:
                         own = words[at : at + n]
                         place = anchors(own, at, grams)
                         low, high = np.maximum(place - REACH, 0), np.minimum(place + GRAM + REACH, n)
-                        piece = [int(np.add.reduce(mixed(own[a:b] + U(BASE) * np.arange(b - a, dtype=U), 23))) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                        rows.append((i, place, grams[at + place], np.array(piece, U) ^ mixed((place - low).astype(U), 24), _text_hash(own)))
+                        piece = mixed((total[at + high] - total[at + low]) * down[at + low], 23) ^ mixed((high - low).astype(U), 24) ^ mixed((place - low).astype(U), 28)
+                        rows.append((i, place, grams[at + place], piece, _text_hash(own)))
                     at += n
                 if rows:
                     sizes = [len(r[1]) for r in rows]
