@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, partitions, table, written
+from .common import chunks, dropped, map_arrow, partitions, table, written
 from .graph import components
 
 SHINGLE = 5
@@ -204,7 +204,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray | None) -> DataFrame:
                     names=["doc_id", "n", "h1", "h2", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary")
+    return map_arrow(docs, run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, sketch binary")
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
@@ -305,7 +305,7 @@ def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = pa.array(list(map(may_link, a, n, b, m)), pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    near = written(sized.mapInArrow(close, "a bigint, b bigint").distinct(), "near")
+    near = written(map_arrow(sized, close, "a bigint, b bigint").distinct(), "near")
     ids = written(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -315,7 +315,7 @@ def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame) -> DataFrame:
             for part in chunks(batch, 1, STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets([x or "" for x in part.column(1).to_pylist()])], pa.binary())], names=["doc_id", "hashes"])
 
-    whole = written(texts.mapInArrow(sets, "doc_id bigint, hashes binary"), "sets")
+    whole = written(map_arrow(texts, sets, "doc_id bigint, hashes binary"), "sets")
     side = lambda x: whole.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
     both = near.join(side("b"), "b").join(side("a"), "a")
 
@@ -326,7 +326,7 @@ def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(linked(np.frombuffer(a.as_py(), U), np.frombuffer(b.as_py(), U)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = written(both.mapInArrow(exact, "a bigint, b bigint").distinct(), "links")
+    found = written(map_arrow(both, exact, "a bigint, b bigint").distinct(), "links")
     for done in (near, ids, whole):
         dropped(docs.sparkSession, done)
     return found

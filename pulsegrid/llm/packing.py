@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, map_arrow, table
 from .words import word_ids
 
 CAPACITY = 2048
@@ -116,7 +116,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
                     names=[id_col, "piece", "start", "length", "ids"],
                 )
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
+    return map_arrow(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
 
 
 def pack_pieces(pieces: DataFrame, documents: int, capacity: int = CAPACITY) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, map_arrow, table
 
 SAMPLE_ROWS = 6144
 BITS, DIM, EPOCHS, RATE = 18, 8, 8, 0.5
@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
         model, bias = train(documents, np.array([label for _, _, label in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([model.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], names=["model", "bias"])
 
-    got = texts.mapInArrow(featured, "quality int, ids binary, shares binary").repartition(1).mapInArrow(trained, "model binary, bias double").collect()
+    rows = map_arrow(texts, featured, "quality int, ids binary, shares binary").repartition(1)
+    got = map_arrow(rows, trained, "model binary, bias double").collect()
     if not got:
         return train([], np.zeros(0, np.int64))
     return np.frombuffer(got[0]["model"], "<f4"), got[0]["bias"]
@@ -178,7 +179,7 @@ def score(docs: DataFrame, model: np.ndarray, bias: float, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got)], names=[*named, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, {out} double")
+    return map_arrow(source, run, f"{kinds}, {out} double")
 
 
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 KINDS = ("assign", "access", "hex")
 #: Name, pattern, group whose length counts, least length.
@@ -221,7 +221,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(scan, f"{kinds}, base {SPANS}, spans {SPANS}, n_layers int")
+    return map_arrow(source, scan, f"{kinds}, base {SPANS}, spans {SPANS}, n_layers int")
 
 
 def _joined(column: str):
@@ -258,7 +258,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     texts[i] = "".join([*parts, text[at:]]) if parts else text
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*others, "text"])
 
-    out = source.mapInArrow(clean, source.schema)
+    out = map_arrow(source, clean, source.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

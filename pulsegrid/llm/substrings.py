@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, written
+from .common import chunks, map_arrow, table, written
 from .fmindex import FMIndex
 from .jaccard import BASE, BROADCAST_IDS, SIGNED, U, _powers, mixed, word_hashes
 
@@ -93,7 +93,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                         names=["anchor", "piece", "doc_id", "text_hash", "place"],
                     )
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "anchor bigint, piece bigint, doc_id bigint, text_hash bigint, place int")
+    return map_arrow(docs.where("doc_id IS NOT NULL"), run, "anchor bigint, piece bigint, doc_id bigint, text_hash bigint, place int")
 
 
 def _at_places(docs: DataFrame, where: DataFrame, f, schema: str) -> DataFrame:
@@ -115,7 +115,7 @@ def _at_places(docs: DataFrame, where: DataFrame, f, schema: str) -> DataFrame:
                         out += f(ids[i], own, places.field("key").to_numpy()[hit], places.field("place").to_numpy()[hit])
                 yield from out
 
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def _pieces(doc: int, words: np.ndarray, keys: np.ndarray, places: np.ndarray) -> list[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*named, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n])
-    return source.mapInArrow(run, f"{kinds}, {out[0]} bigint, {out[1]} bigint, {out[2]} string")
+    return map_arrow(source, run, f"{kinds}, {out[0]} bigint, {out[1]} bigint, {out[2]} string")
 
 
 def op9_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Anything but characters that NFC keeps and that lower-case one by one.
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u203b]")
-STOPS = ",.;:!?"
+#: Punctuation but the apostrophe, which may begin a pre-token of letters.
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 KEPT = 250_000
 
 
