@@ -74,9 +74,10 @@ def chunks(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
     yield batch.slice(begin)
 
 
-def _trim() -> None:
+def trim(collect: bool = False) -> None:
     """Give freed memory back to the system; a worker lives on for other tasks."""
-    gc.collect()
+    if collect:
+        gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -88,6 +89,6 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         try:
             yield from f(batches)
         finally:
-            _trim()
+            trim(collect=True)
 
     return df.mapInArrow(run, schema)

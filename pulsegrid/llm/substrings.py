@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, table, written
+from .common import chunks, map_arrow, table, written, trim
 from .fmindex import FMIndex
 from .jaccard import BASE, BROADCAST_IDS, SIGNED, U, _powers, mixed, word_hashes
 
 WINDOW, GRAM = 50, 8
 REACH = WINDOW - GRAM  # words of a piece on either side of its anchor
-SHARD_PIECES, HOT_PIECES = 6000, 6000
+SHARD_PIECES, HOT_PIECES = 2500, 6000
 STEP_BYTES = 1 << 20
 
 
@@ -143,6 +143,7 @@ def _search(rows: pa.Table) -> pa.Table:
     texts = [np.frombuffer(x, U) for x in raw]
     owners = rows.column("doc_id").to_numpy()
     found = FMIndex(texts, owners, WINDOW).statistics(texts)
+    trim()
     at, first, last, least = [], [], [], []
     for i, least_owner in enumerate(found):
         edge = np.flatnonzero(np.r_[True, least_owner[1:] != least_owner[:-1]]) if len(least_owner) else np.zeros(0, int)
