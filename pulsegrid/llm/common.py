@@ -74,6 +74,10 @@ def chunks(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
     yield batch.slice(begin)
 
 
+#: What empties tables that a module keeps only for the length of a task.
+TABLES: list[Callable[[], None]] = []
+
+
 def trim(collect: bool = False) -> None:
     """Give freed memory back to the system; a worker lives on for other tasks."""
     if collect:
@@ -89,6 +93,8 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         try:
             yield from f(batches)
         finally:
+            for clear in TABLES:
+                clear()
             trim(collect=True)
 
     return df.mapInArrow(run, schema)

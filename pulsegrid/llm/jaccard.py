@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, map_arrow, partitions, table, written
+from .common import TABLES, chunks, dropped, map_arrow, partitions, table, written
 from .graph import components
 
 SHINGLE = 5
@@ -75,6 +75,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, np.cumprod(np.r_[U(1), np.full(n - 1, INVERSE, U)])
 
 
+TABLES.append(_powers.cache_clear)
+
+
 def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of each text, the number of words of each text, and each word's start in the joined bytes."""
     sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, table
+from .common import TABLES, chunks, map_arrow, table
 
 SAMPLE_ROWS = 6144
 BITS, DIM, EPOCHS, RATE = 18, 8, 8, 0.5
@@ -50,6 +50,13 @@ class _Powers:
             cls.down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, INVERSE, np.uint64)])
         return cls.up[:n], cls.down[:n]
 
+    @classmethod
+    def clear(cls) -> None:
+        cls.up = cls.down = np.ones(1, np.uint64)
+
+
+TABLES.append(_Powers.clear)
+
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h * SAME) >> np.uint64(64 - BITS)).astype(np.int32)
