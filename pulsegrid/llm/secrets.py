@@ -4,7 +4,8 @@ Every text is a layer.  A layer is scanned with the base patterns; then each
 encoding found in it (percent escapes, Unicode escapes, base64 runs, and
 compressed data inside base64) is unwrapped to a further layer, which joins
 the worklist.  The worklist ends at the fixpoint: a layer whose content was
-seen before in this document is not entered again, so cycles end as well.
+seen before from the same places of this document is not entered again, so
+cycles end as well, and a payload that stands twice is entered twice.
 Each layer carries, for every character, the range of the *document* that it
 came from; what is found in any layer is reported as a range of the document.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -66,6 +68,12 @@ class Layer:
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
         self.text, self.starts, self.ends = text, starts, ends
 
+    def key(self) -> tuple[str, bytes]:
+        """The content and the places of the document that it came from."""
+        places = hashlib.blake2b(np.asarray(self.starts, np.int64).tobytes(), digest_size=16)
+        places.update(np.asarray(self.ends, np.int64).tobytes())
+        return self.text, places.digest()
+
 
 def _decoded_utf8(raw: bytes) -> tuple[str, list[int]]:
     """The text of ``raw`` and the byte offset of each character (one more for the end)."""
@@ -178,9 +186,9 @@ def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
     base = base_spans(text)
     if not ("%" in text and PERCENT.search(text) or "\\" in text and ESCAPE.search(text) or BASE64.search(text)):
         return base, base, 1
-    found, seen = set(base), {text}
     n = np.arange(len(text) + 1)
     work, layers = [Layer(text, n[:-1], n[1:])], 0
+    found, seen = set(base), {work[0].key()}
     while work:
         layer = work.pop()
         layers += 1
@@ -188,8 +196,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
             found.update((kind, int(layer.starts[a:b].min()), int(layer.ends[a:b].max())) for kind, a, b in base_spans(layer.text))
         inner = [x for x in (_replaced(layer, PERCENT, _percent), _replaced(layer, ESCAPE, _escape)) if x]
         for x in (*inner, *_base64(layer)):
-            if x.text not in seen:
-                seen.add(x.text)
+            if (key := x.key()) not in seen:
+                seen.add(key)
                 work.append(x)
     return base, sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2])), layers
 
