@@ -30,3 +30,17 @@ def test_near_misses_of_all_trips(spark, events):
     assert len(got) == len(want) and set(got) == want
     trip = {i: t for i, t, *_ in rows}
     assert any(trip[i] % 20 != trip[j] % 20 for i, j, _ in got)
+
+
+def test_best_departure_of_all_lines(spark, events):
+    path, rows = events
+    copies = [(i % 11, m % 120 + 300 + cycle, m % 120 + 310 + i % 40 + cycle, i) for i, _, kind, m in rows if kind == "purchase" for cycle in (0, 120)]
+    want = {}
+    for station in {s for s, *_ in copies}:
+        for minute in range(300, 420):
+            arr, dep, idx = min((arr, dep, i) for s, dep, arr, i in copies if s == station and dep >= minute)
+            want[station, minute] = (arr, dep, idx, dep - minute)
+    got = {(r["station"], r["minute"]): (r["arr"], r["dep"], r["idx"], r["wait"]) for r in registry.QUERIES["best_departure_all_lines"](spark, path).collect()}
+    assert got == want
+    line = {i: t % 7 for i, t, *_ in rows}
+    assert any(line[idx] >= 3 for _, _, idx, _ in got.values())
