@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pulsegrid.operators import routing as R
 from pulsegrid.plans import registry
 
 
@@ -44,3 +47,29 @@ def test_best_departure_of_all_lines(spark, events):
     assert got == want
     line = {i: t % 7 for i, t, *_ in rows}
     assert any(line[idx] >= 3 for _, _, idx, _ in got.values())
+
+
+@pytest.mark.parametrize("unreached", [False, True])
+def test_routes_of_a_large_timetable(spark, monkeypatch, unreached):
+    """Beyond the timetable that a task may hold, the routes are the same, legs included."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for trip in range(150):
+        t, at = int(rng.integers(300, 700)), int(rng.integers(9))
+        for _ in range(5):
+            to, dep = int(rng.integers(9)), t + int(rng.integers(0, 4))
+            t = dep + int(rng.integers(1, 30))
+            if to != at:
+                rows.append((str(trip), str(at), str(to), dep, t))
+            at = to
+    rows += [("last", "x", "y", 900, 910)] * unreached
+    con = spark.createDataFrame(rows, "trip string, from_station string, to_station string, dep int, arr int").repartition(7)
+    stations = spark.createDataFrame([(str(i), 3) for i in range(9)], "station string, minutes int")
+    asked = stations.select(F.col("station").alias("origin"), F.explode(F.array(F.lit(320), F.lit(500))).alias("ready"))
+    found = lambda: sorted(map(str, R.one_to_all(con, asked, stations).collect()))
+    want = found()
+    assert len(want) > 100
+    monkeypatch.setattr(R, "MOST_CONNECTIONS", 100)
+    assert found() == want
+    monkeypatch.setattr(R, "QUERIES_A_TASK", 2)
+    assert found() == want
