@@ -18,7 +18,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -43,8 +45,10 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ONE_ESCAPE = re.compile(r"\\[uxU]([0-9A-Fa-f]+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A compressed layer may unfold to so many bytes; more is taken for a decompression bomb.
-INFLATED_BYTES = 1 << 26
+#: Compressed data unfolds in steps of so many bytes, and is scanned in layers of about so many characters.
+STEP_BYTES, LAYER_CHARS = 1 << 20, 1 << 22
+#: No pattern of this module matches across such a character, and no decoding removes it.
+BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\x20\r\n-]""")
 
 Span = tuple[str, int, int]
 
@@ -68,11 +72,12 @@ class Layer:
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray):
         self.text, self.starts, self.ends = text, starts, ends
 
-    def key(self) -> tuple[str, bytes]:
-        """The content and the places of the document that it came from."""
-        places = hashlib.blake2b(np.asarray(self.starts, np.int64).tobytes(), digest_size=16)
-        places.update(np.asarray(self.ends, np.int64).tobytes())
-        return self.text, places.digest()
+    def key(self) -> bytes:
+        """A hash of the content and of the places of the document that it came from."""
+        both = hashlib.blake2b(np.asarray(self.starts, np.int64).tobytes(), digest_size=16)
+        both.update(np.asarray(self.ends, np.int64).tobytes())
+        both.update(self.text.encode("utf-8", "surrogatepass"))
+        return both.digest()
 
 
 def _decoded_utf8(raw: bytes) -> tuple[str, list[int]]:
@@ -132,22 +137,85 @@ def _escape(run: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2 or xz data unfolds to; None for anything else."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            return zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(raw, INFLATED_BYTES) or None
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, INFLATED_BYTES) or None
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, INFLATED_BYTES) or None
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        return zlib.decompressobj(zlib.MAX_WBITS | 32)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def _unfolded(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What all members of gzip, zlib, bzip2 or xz data unfold to, up to damage; nothing for anything else."""
+    pieces, data = iter(pieces), b""
+    while True:
+        while len(data) < 6 and (more := next(pieces, None)) is not None:
+            data = (data + more).lstrip(b"\x00")  # padding between members
+        member = _decompressor(data)
+        if member is None:
+            return
+        try:
+            while not member.eof:
+                if out := member.decompress(data, STEP_BYTES):
+                    yield out
+                data = getattr(member, "unconsumed_tail", b"")
+                if not member.eof and not out and not data and getattr(member, "needs_input", True):
+                    data = next(pieces, None)
+                    if data is None:
+                        return
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            return
+        data = member.unused_data.lstrip(b"\x00")
+
+
+def _inflated(raw: bytes) -> Iterator[bytes] | None:
+    """What compressed data, also compressed more than once, unfolds to; None for anything else."""
+    pieces, seen = iter([raw]), set()
+    while True:
+        pieces, trial = itertools.tee(pieces)
+        flat = _unfolded(trial)
+        first = next(flat, None)
+        if first is None or first in seen:  # data that unfolds to itself ends here
+            return pieces if seen else None
+        seen.add(first)
+        pieces = itertools.chain([first], flat)
+        del trial
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    for piece in pieces:
+        yield decoder.decode(piece)
+    yield decoder.decode(b"", True)
+
+
+def _inflated_texts(raw: bytes) -> Iterator[str]:
+    """The unfolded text, cut where no match can lie; nothing if it isn't readable as a whole."""
+    n = good = 0
+    for text in _texts(_inflated(raw)):
+        n, good = n + len(text), good + _printable(text)
+    if not n or good < 0.9 * n:
+        return
+    held, size = [], 0
+    for text in _texts(_inflated(raw)):
+        if size + len(text) >= LAYER_CHARS and (last := BETWEEN.search(text[::-1])):
+            cut = len(text) - last.start()
+            yield "".join([*held, text[:cut]])
+            held, text, size = [], text[cut:], 0
+        held.append(text)
+        size += len(text)
+    if size:
+        yield "".join(held)
+
+
+def _printable(text: str) -> int:
+    return sum(ch.isprintable() or ch in "\t\n\r" for ch in text)
+
+
 def _readable(text: str) -> bool:
-    return bool(text) and sum(ch.isprintable() or ch in "\t\n\r" for ch in text) >= 0.9 * len(text)
+    return bool(text) and _printable(text) >= 0.9 * len(text)
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -160,15 +228,9 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         whole = (layer.starts[m.start()], layer.ends[m.end() - 1])
-        flat = _inflated(raw)
-        while flat is not None:  # data compressed more than once
-            raw, again = flat, _inflated(flat)
-            if again is None or again == flat:
-                text = raw.decode("utf-8", "replace")
-                if _readable(text):
-                    yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
-                break
-            flat = again
+        if _inflated(raw) is not None:
+            for text in _inflated_texts(raw):
+                yield Layer(text, np.broadcast_to(whole[0], len(text)), np.broadcast_to(whole[1], len(text)))
         else:
             try:
                 text = raw.decode("utf-8")
@@ -181,24 +243,34 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 yield Layer(text, layer.starts[first], layer.ends[last])
 
 
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """The layers directly inside ``layer``, one at a time."""
+    for pattern, decode in ((PERCENT, _percent), (ESCAPE, _escape)):
+        if x := _replaced(layer, pattern, decode):
+            yield x
+    yield from _base64(layer)
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans (both ordered), and the number of layers entered."""
     base = base_spans(text)
     if not ("%" in text and PERCENT.search(text) or "\\" in text and ESCAPE.search(text) or BASE64.search(text)):
         return base, base, 1
     n = np.arange(len(text) + 1)
-    work, layers = [Layer(text, n[:-1], n[1:])], 0
-    found, seen = set(base), {work[0].key()}
+    found, seen, layers = set(base), set(), 0
+    work = [iter([Layer(text, n[:-1], n[1:])])]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if (key := layer.key()) in seen:
+            continue
+        seen.add(key)
         layers += 1
         if layers > 1:
             found.update((kind, int(layer.starts[a:b].min()), int(layer.ends[a:b].max())) for kind, a, b in base_spans(layer.text))
-        inner = [x for x in (_replaced(layer, PERCENT, _percent), _replaced(layer, ESCAPE, _escape)) if x]
-        for x in (*inner, *_base64(layer)):
-            if (key := x.key()) not in seen:
-                seen.add(key)
-                work.append(x)
+        work.append(_inner(layer))
     return base, sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2])), layers
 
 
