@@ -16,7 +16,6 @@ scanned; rows with a null id are kept; other columns are not looked at.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -45,10 +44,20 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ONE_ESCAPE = re.compile(r"\\[uxU]([0-9A-Fa-f]+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that go on over line ends.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: No match, and nothing encoded that holds one, is shorter than this ("token=abcdef").
+LEAST_CHARS = 12
+#: Headers of compressed data, and readable stretches, at any place in decoded bytes.
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00", re.DOTALL)
+STRETCH = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}+" % LEAST_CHARS
+)
 #: Compressed data unfolds in steps of so many bytes, and is scanned in layers of about so many characters.
 STEP_BYTES, LAYER_CHARS = 1 << 20, 1 << 22
 #: No pattern of this module matches across such a character, and no decoding removes it.
-BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\x20\r\n-]""")
+BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\x20\t\r\n-]""")
 
 Span = tuple[str, int, int]
 
@@ -191,12 +200,12 @@ def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
     yield decoder.decode(b"", True)
 
 
-def _inflated_texts(raw: bytes) -> Iterator[str]:
-    """The unfolded text, cut where no match can lie; nothing if it isn't readable as a whole."""
+def _inflated_texts(raw: bytes, least: int) -> Iterator[str]:
+    """The unfolded text, cut where no match can lie; nothing if it isn't readable as a whole or shorter than ``least``."""
     n = good = 0
     for text in _texts(_inflated(raw)):
         n, good = n + len(text), good + _printable(text)
-    if not n or good < 0.9 * n:
+    if n < least or good < 0.9 * n:
         return
     held, size = [], 0
     for text in _texts(_inflated(raw)):
@@ -218,29 +227,53 @@ def _readable(text: str) -> bool:
     return bool(text) and _printable(text) >= 0.9 * len(text)
 
 
-def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Base64 runs of one line and of several: the characters, their places, and the place of the last with padding."""
+    for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
+        yield run, np.arange(m.start(), m.start() + len(run)), m.end() - 1
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            at = [i for i, ch in enumerate(m[0]) if ch not in "\r\n\x20\t="]
+            if len(at) >= 16:
+                yield "".join(m[0][i] for i in at), m.start() + np.array(at), m.end() - 1
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
+    """What base64 runs hold, at each of the four alignments: a prefix such as a path may have joined the run."""
+    for run, at, last in _runs(layer.text):
+        run = run.replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            part = run[shift:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            if len(part) >= 16:
+                yield from _decoded(layer, base64.b64decode(part + "=" * (-len(part) % 4)), at[shift : shift + len(part)], last, not shift)
+
+
+def _decoded(layer: Layer, raw: bytes, at: np.ndarray, last: int, aligned: bool) -> Iterator[Layer]:
+    """Compressed data in the bytes of a run, and the run as a text or else its readable stretches."""
+    packed = False
+    for m in PACKED.finditer(raw):
+        inside = raw[m.start() :]
+        if _inflated(inside) is not None:
+            first = aligned and not m.start()
+            packed |= first
+            start, end = layer.starts[at[m.start() * 4 // 3]], layer.ends[last]
+            for text in _inflated_texts(inside, 1 if first else LEAST_CHARS):
+                yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)))
+    found = None
+    if aligned and not packed:
         try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        whole = (layer.starts[m.start()], layer.ends[m.end() - 1])
-        if _inflated(raw) is not None:
-            for text in _inflated_texts(raw):
-                yield Layer(text, np.broadcast_to(whole[0], len(text)), np.broadcast_to(whole[1], len(text)))
-        else:
-            try:
-                text = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if _readable(text):
-                offsets = np.asarray(_decoded_utf8(raw)[1])
-                first = m.start() + offsets[:-1] * 4 // 3
-                last = m.start() + np.minimum(-(-offsets[1:] * 4 // 3), len(run)) - 1
-                yield Layer(text, layer.starts[first], layer.ends[last])
+            if _readable(text := raw.decode("utf-8")):
+                found = [(text, 0, raw)]
+        except UnicodeDecodeError:
+            pass
+    for text, skip, part in found or ((m[0].decode("utf-8"), m.start(), m[0]) for m in STRETCH.finditer(raw)):
+        offsets = skip + np.asarray(_decoded_utf8(part)[1])
+        first = at[offsets[:-1] * 4 // 3]
+        end = at[np.minimum(-(-offsets[1:] * 4 // 3), len(at)) - 1]
+        yield Layer(text, layer.starts[first], layer.ends[end])
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:
@@ -254,7 +287,7 @@ def _inner(layer: Layer) -> Iterator[Layer]:
 def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans (both ordered), and the number of layers entered."""
     base = base_spans(text)
-    if not ("%" in text and PERCENT.search(text) or "\\" in text and ESCAPE.search(text) or BASE64.search(text)):
+    if not ("%" in text and PERCENT.search(text) or "\\" in text and ESCAPE.search(text) or any(True for _ in _runs(text))):
         return base, base, 1
     n = np.arange(len(text) + 1)
     found, seen, layers = set(base), set(), 0
