@@ -345,7 +345,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     copies = written(own.select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct(), "copies")
     runs = _runs(full.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n")))
-    runs = written(runs.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti").select("key", "doc_id", "n").distinct(), "runs")
+    # Copies need no other links; but an id that repeats with another set does, for that set.
+    several = own.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low < high").select("doc_id")
+    gone = copies.select(F.col("u").alias("doc_id")).join(several, "doc_id", "left_anti")
+    runs = written(runs.join(gone, "doc_id", "left_anti").select("key", "doc_id", "n").distinct(), "runs")
     dropped(docs.sparkSession, full)
     # First a star in each run, around the document of the largest runs: the middle of a group of near copies is in nearly all of them.
     weight = runs.join(runs.groupBy("key").agg(F.count("*").alias("size")), "key").groupBy("doc_id").agg(F.sum("size").alias("weight"))
@@ -357,7 +360,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = copies.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v")))
     group = written(components(links), "components")
     # Then all pairs of runs that still hold more than one component, but for those within a component and with the pivot.
-    left = state.join(pivots.withColumnRenamed("pivot", "doc_id"), ["key", "doc_id"], "left_anti").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    left = state.join(pivots.toDF("key", "doc_id", "n"), ["key", "doc_id", "n"], "left_anti").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     left = left.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     open_keys = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left = written(left.join(open_keys, "key", "left_semi"), "open")

@@ -80,6 +80,14 @@ def test_jaccard_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_id_with_a_copy_and_another_text(spark):
+    """An id of which one text is an exact copy keeps the links of its other text."""
+    a, b = (" ".join(f"{x}{i}" for i in range(90)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b.replace("b40", "other")), (4, " ".join(f"c{i}" for i in range(90))), (5, a)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(rows) and got[3] == 1
+
+
 def test_sketch_bounds():
     rng = np.random.default_rng(1)
     for _ in range(200):
