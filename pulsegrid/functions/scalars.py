@@ -112,22 +112,23 @@ def leading_number(text) -> Column:
     return F.regexp_extract(col(text), r"(-?\d+)", 1).try_cast("int")
 
 
-#: Fixed format of a timetable token: minute, i (even hours) or n (odd hours), P, Q.
-TOKEN = r"^\s*(\d{1,2})\s*([in])?\s*(P)?\s*(Q)?\s*$"
+#: Fixed format of a timetable token: minute, n (even hours) or i (odd hours), P, Q, in either case.
+TOKEN = r"^\s*(\d{1,2})\s*([inIN]?)\s*([Pp]?)\s*([Qq]?)\s*$"
 
 
 def token(text) -> Column:
     """A struct ``minute``, ``parity`` (all, even, odd), ``p``, ``q``; null where the text is no token."""
-    part = lambda k: F.regexp_extract(col(text), TOKEN, k)
+    part = lambda k: F.lower(F.regexp_extract(col(text), TOKEN, k))
     minute = part(1).try_cast("int")
-    parity = F.when(part(2) == "i", F.lit("even")).when(part(2) == "n", F.lit("odd")).otherwise(F.lit("all"))
-    return F.when(minute.between(0, 59), F.struct(minute.alias("minute"), parity.alias("parity"), (part(3) == "P").alias("p"), (part(4) == "Q").alias("q")))
+    parity = F.when(part(2) == "n", F.lit("even")).when(part(2) == "i", F.lit("odd")).otherwise(F.lit("all"))
+    return F.when(minute.between(0, 59), F.struct(minute.alias("minute"), parity.alias("parity"), (part(3) == "p").alias("p"), (part(4) == "q").alias("q")))
 
 
 def token_text(t) -> Column:
+    """The token as it is written: no leading zero, then the hours, P and Q."""
     t = col(t)
-    mark = F.when(t["parity"] == "even", "i").when(t["parity"] == "odd", "n").otherwise("")
-    return F.concat(F.lpad(t["minute"].cast("string"), 2, "0"), mark, F.when(t["p"], "P").otherwise(""), F.when(t["q"], "Q").otherwise(""))
+    mark = F.when(t["parity"] == "even", "n").when(t["parity"] == "odd", "i").otherwise("")
+    return F.concat(t["minute"].cast("string"), mark, F.when(t["p"], "P").otherwise(""), F.when(t["q"], "Q").otherwise(""))
 
 
 def token_shifted(t, delta) -> Column:
@@ -139,6 +140,12 @@ def token_shifted(t, delta) -> Column:
     return F.struct(F.pmod(total, F.lit(60)).cast("int").alias("minute"), parity.alias("parity"), t["p"].alias("p"), t["q"].alias("q"))
 
 
+def token_faces(t) -> Column:
+    """The clockface minutes (of 120, from 05:00) at which the token stands."""
+    t = col(t)
+    return F.when(t["parity"] == "odd", F.array(t["minute"])).when(t["parity"] == "even", F.array(t["minute"] + 60)).otherwise(F.array(t["minute"], t["minute"] + 60))
+
+
 # distance and decay ---------------------------------------------------------
 
 
@@ -196,10 +203,18 @@ def geometric_blend(a, b, alpha: float) -> Column:
     return F.when((a > 0) & (b > 0), F.exp(alpha * F.ln(a) + (1 - alpha) * F.ln(b))).otherwise(F.lit(0.0))
 
 
-def transfer_discount(old, transfer_minutes, total_minutes, strength: float = 0.4, cap: float = 0.7, floor: float = 0.3) -> Column:
-    """Demand after a discount that grows with the share of time spent changing."""
-    share = F.least(F.lit(cap), strength * 2 * col(transfer_minutes) / col(total_minutes))
-    return F.greatest(col(old) * floor, col(old) * (1 - share))
+def near_damping(distance, least: float, most_km: float, power: float) -> Column:
+    """A factor for short distances, from ``least`` at none to 1 at ``most_km``; 1 where there is no distance."""
+    d = col(distance)
+    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), d / most_km))
+    return F.when(d.isNull() | F.isnan(d) | (d <= 0) | (d >= most_km), 1.0).otherwise(least + (1 - least) * F.pow(ratio, F.lit(power)))
+
+
+def transfer_discount(target, transfers, strength: float = 0.4, cap: float = 0.7, floor: float = 0.3) -> Column:
+    """A station's target after a discount by its transfer passengers, twice of whom are in the target; nothing stays nothing."""
+    old = F.greatest(col(target), F.lit(0.0))
+    share = F.least(F.lit(cap), F.greatest(F.lit(0.0), strength * 2 * col(transfers) / old))
+    return F.when(old > 0, F.greatest(old * floor, old * (1 - share))).otherwise(0.0)
 
 
 def short_id(*parts) -> Column:

@@ -1,4 +1,4 @@
-"""Timetable expansion: tokens to occurrences, chained trips, signatures, boards, slack, edits.
+"""Timetable expansion: active rows, tokens to occurrences, chained trips, signatures, boards, line timings, slack, edits.
 
 A segment is an ordered array of rows (``seq``, ``station``, ``kind``, ``token``);
 a trip is a fold over it, in one expression per start, so trips are made in
@@ -12,10 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from .sequences import trimmed
 
 #: Fixed bounds of the service day, in minutes.
 DAY_START, DEPARTURE_END, ARRIVAL_END, HOURS = 300, 1440, 1560, (5, 26)
 DWELL_MOST = 15
+#: Fixed: line timings show runs that leave from 05:00 to before 07:00.
+SHOWN = (300, 420)
+EVENT = "struct<station:string,kind:string,minute:int>"
+
+
+def active_rows(wide: DataFrame, years: list[str], ids: list[str]) -> DataFrame:
+    """One row for each year column whose cell is a token, from the first departure to the last arrival of the segment.
+
+    ``wide``: ``segment``, ``seq``, ``station``, ``kind`` and the year columns.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(f"`{y}`").alias("raw")) for y in years])).alias("cell")
+    long = wide.select(*ids, cells).select(*ids, "cell.*").withColumns({"token": S.token("raw"), "kind": F.lower(F.trim("kind"))})
+    return trimmed(long.where("token IS NOT NULL AND kind IN ('an', 'ab')"), ["segment", "year"], "seq", "kind")
 
 
 def occurrences(token: Column, kind: Column) -> Column:
@@ -35,61 +49,96 @@ def next_occurrence(token: Column, kind: Column, least: Column) -> Column:
 
 
 def threshold(token: Column, last: Column, dwell: Column) -> Column:
-    """The earliest minute of the next event: P from the next clock hour, Q an hour later, else a minute later, a dwell at once."""
-    return F.when(token["p"], (F.floor(last / 60) + 1) * 60).when(token["q"], last + 60).when(dwell, last).otherwise(last + 1).cast("int")
+    """The earliest minute of the next event: a minute later, in a dwell at once; P not before the next clock hour, Q not before an hour later."""
+    base = F.when(dwell, last).otherwise(last + 1)
+    p = F.when(token["p"], (F.floor(last / 60) + 1) * 60).otherwise(base)
+    q = F.when(token["q"], last + 60).otherwise(base)
+    return F.greatest(base, p, q).cast("int")
 
 
-EVENT = "struct<station:string,kind:string,minute:int>"
+def _turned(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``turn``: this departure leaves for where its train has come from, so another trip begins here."""
+    by = Window.partitionBy(*keys).orderBy("seq")
+    near = lambda c, k: F.lag(c, k).over(by) if k > 0 else F.lead(c, -k).over(by)
+    turn = (near("kind", 2) == "ab") & (near("kind", 1) == "an") & (F.col("kind") == "ab") & (near("kind", -1) == "an") & (near("station", 1) == F.col("station")) & (near("station", 2) == near("station", -1))
+    return rows.withColumn("turn", F.coalesce(turn, F.lit(False)))
 
 
 def trips(rows: DataFrame, segment: str = "segment") -> DataFrame:
     """Trips of each segment: every departure row starts one at each of its minutes.
 
-    ``rows``: segment, ``seq``, ``station``, ``kind`` (``an``/``ab``), ``token``.
-    A trip ends where no minute follows, where it would stand longer than the
-    longest dwell, or where it turns back.  Returns segment, ``start_seq``,
-    ``start``, ``events``; trips of one event are left out.
+    ``rows`` (active ones): segment, ``seq``, ``station``, ``kind`` (``an`` or
+    ``ab``), ``token``.  A trip ends before a departure at which it would turn
+    back or stand longer than the longest dwell, and where no minute follows;
+    one that does not end in an arrival is none.  Returns segment,
+    ``start_seq``, ``start``, ``events``.
     """
-    table = rows.where("token IS NOT NULL").groupBy(segment).agg(F.array_sort(F.collect_list(F.struct("seq", "station", "kind", "token"))).alias("rows"))
+    # Little data, much work: as many tasks as the session has shuffle partitions, and no further exchange below.
+    spread = rows.where("token IS NOT NULL").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), segment)
+    named = _turned(spread, [segment])
+    table = named.groupBy(segment).agg(F.array_sort(F.collect_list(F.struct("seq", "station", "kind", "token", "turn"))).alias("rows"))
     starts = table.select(segment, "rows", F.posexplode("rows").alias("at", "first")).where("first.kind = 'ab'")
     starts = starts.withColumn("start", F.explode(occurrences(F.col("first.token"), F.lit("ab"))))
     rest = F.slice("rows", F.col("at") + 2, F.size("rows"))
-    begin = F.struct(
-        F.array(F.struct(F.col("first.station").alias("station"), F.lit("ab").alias("kind"), F.col("start").alias("minute"))).alias("events"),
-        F.lit(False).alias("done"), F.lit(None).cast("string").alias("before"),
-    )
+    event = lambda row, minute: F.struct(row["station"].alias("station"), row["kind"].alias("kind"), minute.cast("int").alias("minute"))
+    begin = F.struct(F.array(event(F.col("first"), F.col("start"))).alias("events"), F.lit(False).alias("done"))
+
+    let = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  evaluates ``value`` once
 
     def step(state: Column, row: Column) -> Column:
-        last = F.element_at(state["events"], -1)
-        dwell = (last["station"] == row["station"]) & (last["kind"] == "an") & (row["kind"] == "ab")
-        at = next_occurrence(row["token"], row["kind"], threshold(row["token"], last["minute"], dwell))
-        moved = last["station"] != row["station"]
-        stood = (F.size(state["events"]) > 1) & (last["kind"] == "ab")
-        turned = moved & stood & F.coalesce(state["before"] == row["station"], F.lit(False))
-        stop = state["done"] | at.isNull() | turned | (dwell & (at - last["minute"] > DWELL_MOST))
-        event = F.struct(row["station"].alias("station"), row["kind"].alias("kind"), at.alias("minute"))
-        return F.struct(
-            F.when(stop, state["events"]).otherwise(F.concat(state["events"], F.array(event))).alias("events"),
-            stop.alias("done"), F.when(~stop & moved, last["station"]).otherwise(state["before"]).alias("before"),
-        )
+        stopped = F.struct(state["events"].alias("events"), F.lit(True).alias("done"))
+
+        def after(last: Column) -> Column:
+            dwell = (last["station"] == row["station"]) & (last["kind"] == "an") & (row["kind"] == "ab")
+            grown = lambda at: F.struct(F.concat(state["events"], F.array(event(row, at))).alias("events"), F.lit(False).alias("done"))
+            return let(
+                next_occurrence(row["token"], row["kind"], threshold(row["token"], last["minute"], dwell)),
+                lambda at: F.when(at.isNull() | (dwell & (row["turn"] | (at - last["minute"] > DWELL_MOST))), stopped).otherwise(grown(at)),
+            )
+
+        return F.when(state["done"], state).otherwise(let(F.element_at(state["events"], -1), after))
 
     made = F.aggregate(rest, begin, step, lambda s: s["events"].cast(f"array<{EVENT}>"))
-    return starts.select(segment, F.col("first.seq").alias("start_seq"), "start", made.alias("events")).where(F.size("events") > 1)
+    return starts.select(segment, F.col("first.seq").alias("start_seq"), "start", made.alias("events")).where((F.size("events") > 1) & (F.element_at("events", -1)["kind"] == "an"))
 
 
-def distinct_trips(df: DataFrame, order: list[str]) -> DataFrame:
-    """One trip of each signature (its stations, kinds and minutes), the first in order, with a short id."""
-    text = F.array_join(F.transform("events", lambda e: F.concat_ws("::", e["station"], e["kind"], e["minute"].cast("string"))), "|")
-    out = df.withColumn("trip", F.substring(F.sha1(text), 1, 16))
-    return out.withColumn("__n", F.row_number().over(Window.partitionBy("trip").orderBy(*order))).where("__n = 1").drop("__n")
+def signature(events: Column) -> Column:
+    return F.array_join(F.transform(events, lambda e: F.concat_ws("::", e["station"], e["kind"], e["minute"].cast("string"))), "|")
 
 
-def board_rows(df: DataFrame, hubs: list[str], low: int, high: int) -> DataFrame:
-    """Events of trips at hub stations within a window, with the stations before and after."""
-    e = df.select("trip", F.posexplode("events").alias("seq", "e")).select("trip", "seq", "e.*")
-    by = Window.partitionBy("trip").orderBy("seq")
-    named = e.withColumns({"previous": F.lag("station").over(by), "following": F.lead("station").over(by)})
-    return named.where(F.col("station").isin(hubs) & F.col("minute").between(low, high))
+def distinct_trips(df: DataFrame, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One trip of each signature (its stations, kinds and minutes), within ``keys`` if any, the first in order, with a short id."""
+    out = df.withColumn("trip", F.substring(F.sha1(signature(F.col("events"))), 1, 16))
+    return out.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "trip").orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def board_rows(df: DataFrame, hubs: list[str], low: int, high: int, line: str = "segment") -> DataFrame:
+    """The arrival and departure boards of hub stations from ``low`` to before ``high``.
+
+    Each event with the nearest different station before and after it on its
+    trip, once for each station, kind, minute, line and both neighbours; a row
+    without a neighbour goes where the same line, minute and direction has one.
+    """
+    e = df.select(line, "events", F.posexplode("events").alias("pos", "e")).where(F.col("e.station").isin(hubs) & (F.col("e.minute") >= low) & (F.col("e.minute") < high))
+    other = lambda part: F.filter(F.transform(part, lambda x: x["station"]), lambda s: s != F.col("e.station"))
+    named = e.select(
+        F.col(line).alias("line"), F.col("e.station").alias("station"), F.when(F.col("e.kind") == "an", "arrival").otherwise("departure").alias("board"), F.col("e.minute").alias("minute"),
+        F.coalesce(F.get(F.reverse(other(F.slice("events", F.lit(1), F.col("pos")))), 0), F.lit("")).alias("previous"),
+        F.coalesce(F.get(other(F.slice("events", F.col("pos") + 2, F.size("events"))), 0), F.lit("")).alias("following"),
+    ).distinct()
+    parts = []
+    for board, by, side in (("departure", "following", "previous"), ("arrival", "previous", "following")):
+        some = F.bool_or(F.col(side) != "").over(Window.partitionBy("station", "minute", "line", by))
+        parts.append(named.where(F.col("board") == board).withColumn("__some", some).where((F.col(side) != "") | ~F.col("__some")).drop("__some"))
+    return parts[0].unionByName(parts[1])
+
+
+def line_timings(df: DataFrame, line: str = "segment") -> DataFrame:
+    """For each line and section the runs that leave within the shown hours: ``departures`` and ``arrivals`` as lists of clock times."""
+    e = df.select(line, F.posexplode("events").alias("pos", "a"), "events").withColumn("b", F.get("events", F.col("pos") + 1))
+    runs = e.where((F.col("a.kind") == "ab") & (F.col("b.kind") == "an") & (F.col("a.minute") >= SHOWN[0]) & (F.col("a.minute") < SHOWN[1]))
+    clocks = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda m: S.clock_text(m)), ", ")
+    return runs.groupBy(F.col(line).alias("line"), F.col("a.station").alias("from_station"), F.col("b.station").alias("to_station")).agg(clocks("a.minute").alias("departures"), clocks("b.minute").alias("arrivals"))
 
 
 def slack(df: DataFrame, trip: str, order: list[str]) -> DataFrame:
@@ -105,35 +154,68 @@ def slack(df: DataFrame, trip: str, order: list[str]) -> DataFrame:
     }).where("to_stop IS NOT NULL").drop("to_stop")
 
 
-def active_rows(df: DataFrame, years: list[str], ids: list[str]) -> DataFrame:
-    """Wide year columns to one row per year whose token parses."""
-    return df.unpivot(ids, years, "year", "raw").withColumn("token", S.token("raw")).where("token IS NOT NULL AND kind IN ('an', 'ab')")
-
-
-def edited(rows: DataFrame, edits: DataFrame) -> DataFrame:
-    """Sections moved by edits: both tokens of an adjacent pair shift by ``delta``.
+def matched(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """Each edit with every section it names, and its ``status``.
 
-    ``edits``: segment, ``from_seq``, ``from_raw``, ``to_raw``, ``delta``; an edit
-    whose tokens are not the rows' own any more is stale and leaves them alone.
-    ``edit_status`` tells.
+    ``edits``: ``edit``, ``rank``, ``segment``, ``from_station``, ``to_station``,
+    ``dep`` and ``arr`` (clockface minutes of 120, from 05:00), ``delta``.  A
+    section is a departure row and the arrival row next to it whose tokens
+    stand at those minutes.  Edits apply in order of rank: one that shares a row
+    with an earlier match is ``stale``, one without a section ``unmatched``.
     """
     by = Window.partitionBy("segment").orderBy("seq")
-    now = rows.withColumns({"__text": S.token_text("token"), "__next": F.lead(S.token_text("token")).over(by), "__next_seq": F.lead("seq").over(by)})
-    checked = edits.join(now.select("segment", F.col("seq").alias("from_seq"), "__text", "__next", "__next_seq"), ["segment", "from_seq"], "left")
-    status = F.when(F.col("__text").isNull(), "missing").when((F.col("__text") != F.col("from_raw")) | (F.col("__next") != F.col("to_raw")), "stale").otherwise("applied")
-    checked = checked.withColumn("status", status)
-    moves = checked.where("status = 'applied'").select("segment", F.explode(F.array("from_seq", "__next_seq")).alias("seq"), "delta").groupBy("segment", "seq").agg(F.sum("delta").alias("delta"))
+    pair = rows.withColumns({"to_seq": F.lead("seq").over(by), "__to": F.lead("station").over(by), "__kind": F.lead("kind").over(by), "__faces": F.lead(S.token_faces("token")).over(by)})
+    pair = pair.where("kind = 'ab' AND __kind = 'an'").select("segment", F.col("station").alias("from_station"), F.col("__to").alias("to_station"), F.col("seq").alias("from_seq"), "to_seq", S.token_faces("token").alias("__dep"), F.col("__faces").alias("__arr"))
+    found = edits.join(pair, ["segment", "from_station", "to_station"], "left")
+    hit = F.coalesce(F.array_contains("__dep", F.col("dep")) & F.array_contains("__arr", F.col("arr")), F.lit(False))
+    found = found.select("edit", "rank", "segment", "delta", F.when(hit, F.col("from_seq")).alias("from_seq"), F.when(hit, F.col("to_seq")).alias("to_seq")).distinct()
+    first = F.min("rank").over(Window.partitionBy("segment", "from_seq"))  # a departure row and its arrival row always go together
+    named = found.withColumn("status", F.when(F.col("from_seq").isNull(), "unmatched").when(F.col("rank") > first, "stale").otherwise("applied"))
+    some = F.max(F.col("from_seq").isNotNull()).over(Window.partitionBy("edit"))
+    return named.withColumn("__some", some).where("from_seq IS NOT NULL OR NOT __some").drop("__some")
+
+
+def edited(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """The timetable after the edits that apply: both tokens of a section shift by its ``delta``; ``edit`` names it, or is null."""
+    moves = matched(rows, edits).where("status = 'applied'").select("segment", F.explode(F.array("from_seq", "to_seq")).alias("seq"), "edit", "delta")
     out = rows.join(moves, ["segment", "seq"], "left")
-    return out.withColumn("token", F.when(F.col("delta").isNotNull(), S.token_shifted("token", F.coalesce("delta", F.lit(0)))).otherwise(F.col("token"))).withColumn("edit_status", F.when(F.col("delta").isNotNull(), "applied").otherwise("kept")).drop("delta")
+    return out.withColumn("token", F.when(F.col("delta").isNotNull(), S.token_shifted("token", F.coalesce("delta", F.lit(0)))).otherwise(F.col("token"))).drop("delta")
+
+
+def _structure(rows: DataFrame) -> DataFrame:
+    """By segment: number of trips, their shapes (events and running times, as a sorted list), the extreme dwells, and whether rows alternate."""
+    order = Window.partitionBy("segment").orderBy("seq")
+    alternates = (F.col("kind") == "ab") == (F.row_number().over(order) % 2 == 1)
+    base = rows.withColumn("__ok", alternates).groupBy("segment").agg(F.bool_and("__ok").alias("alternates"), (F.max_by("kind", "seq") == "an").alias("ends"))
+    at = lambda i: F.get("events", i)
+    steps = F.sequence(F.lit(0), F.size("events") - 2)
+    shape = F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["station"], e["kind"])), "|")
+    running = F.array_join(F.transform(F.filter(steps, lambda i: (at(i)["kind"] == "ab") & (at(i + 1)["kind"] == "an")), lambda i: (at(i + 1)["minute"] - at(i)["minute"]).cast("string")), ",")
+    dwells = F.transform(F.filter(steps, lambda i: (at(i)["kind"] == "an") & (at(i + 1)["kind"] == "ab") & (at(i)["station"] == at(i + 1)["station"])), lambda i: at(i + 1)["minute"] - at(i)["minute"])
+    made = trips(rows).select("segment", F.concat_ws("#", shape, running).alias("shape"), F.array_min(dwells).alias("low"), F.array_max(dwells).alias("high"))
+    made = made.groupBy("segment").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("shape")).alias("shapes"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return base.join(made, "segment", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def structure(df: DataFrame) -> DataFrame:
-    """Each trip's sequence of stations and running times, counted: two timetables are alike where these agree."""
-    shape = F.array_join(F.transform(F.sequence(F.lit(0), F.size("events") - 2), lambda i: F.concat_ws(":", F.get("events", i)["station"], (F.get("events", i + 1)["minute"] - F.get("events", i)["minute"]).cast("string"))), ">")
-    return df.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"))
+def compatibility(before: DataFrame, after: DataFrame) -> DataFrame:
+    """By segment, what an edited timetable changes beyond times: ``reason``, empty where it keeps its runs.
+
+    Both hold active rows.  The number of trips, the multiset of their events
+    and running times, and dwells of 0 to ``DWELL_MOST`` minutes must stay.
+    """
+    b, a = (_structure(x).select("segment", F.struct("alternates", "ends", "n", "shapes", "low", "high").alias(n)) for x, n in ((before, "b"), (after, "a")))
+    both = b.join(a, "segment", "full")
+    reason = (
+        F.when(F.col("a").isNull() | F.col("b").isNull(), "presence").when(~(F.col("a.alternates") & F.col("a.ends")), "sequence").when(F.col("a.n") != F.col("b.n"), "count")
+        .when(~F.col("a.shapes").eqNullSafe(F.col("b.shapes")), "structure").when((F.col("a.low") < 0) | (F.col("a.high") > DWELL_MOST), "dwell").otherwise("")
+    )
+    return both.select("segment", reason.alias("reason"))
 
 
-def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What one has and the other has not: empty where the two are alike."""
-    x, y = structure(a), structure(b)
-    return x.exceptAll(y).withColumn("only", F.lit("first")).unionByName(y.exceptAll(x).withColumn("only", F.lit("second")))
+def composed(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """The final timetable: the edits that apply, but for segments that they would leave incompatible, which stay as they were."""
+    after = edited(rows, edits)
+    bad = compatibility(rows, after.drop("edit")).where("reason <> ''").select("segment", "reason")
+    old = rows.select("segment", "seq", F.col("token").alias("__old"))
+    out = after.join(old, ["segment", "seq"]).join(bad, "segment", "left")
+    return out.withColumns({"token": F.when(F.col("reason").isNull(), F.col("token")).otherwise(F.col("__old")), "edit": F.when(F.col("reason").isNull(), F.col("edit")), "reason": F.coalesce("reason", F.lit(""))}).drop("__old")

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scalars as S
 from ..operators import demand as D
 from ..operators import joins as J
 from ..operators import routing as R
@@ -18,38 +17,6 @@ from ..operators import timetable as T
 from . import inputs as I
 from .registry import add
 
-#: A fixed test timetable: segment, seq, station, kind, token.
-ROWS = [
-    ("s1", 1, "A", "ab", "17"), ("s1", 2, "B", "an", "26Q"), ("s1", 3, "B", "ab", "28"), ("s1", 4, "C", "an", "40"),
-    ("s2", 1, "C", "ab", "50i"), ("s2", 2, "D", "an", "10P"), ("s2", 3, "D", "ab", "12"), ("s2", 4, "A", "an", "55n"),
-]
-
-
-def _rows(spark):
-    return spark.createDataFrame(ROWS, "segment string, seq int, station string, kind string, raw string").withColumn("token", S.token("raw"))
-
-
-@add("T01 T10", f"""SELECT segment, seq, h * 60 + m AS minute FROM (SELECT *, CAST(regexp_extract(raw, '\\d+') AS INT) AS m, regexp_extract(raw, '[in]') AS half, unnest(range(5, 27)) AS h FROM (VALUES {", ".join(map(str, ROWS))}) AS t(segment, seq, station, kind, raw))
-  WHERE (half = '' OR (half = 'i') = (h % 2 = 0)) AND h * 60 + m >= 300 AND CASE WHEN kind = 'ab' THEN h * 60 + m < 1440 ELSE h * 60 + m <= 1560 END""", "", "seq minute")
-def token_occurrences(spark, sf):
-    return _rows(spark).select("segment", "seq", F.explode(T.occurrences(F.col("token"), F.col("kind"))).alias("minute"))
-
-
-@add("T02 T03 T04", f"""WITH RECURSIVE r AS (SELECT *, CAST(regexp_extract(raw, '\\d+') AS INT) AS m, regexp_extract(raw, '[in]') AS half, contains(raw, 'P') AS p, contains(raw, 'Q') AS q FROM (VALUES {", ".join(map(str, ROWS))}) AS t(segment, seq, station, kind, raw)),
-  trip(segment, start_seq, start, seq, station, kind, minute, n) AS (
-    SELECT segment, seq, h * 60 + m, seq, station, kind, h * 60 + m, 1 FROM (SELECT *, unnest(range(5, 27)) AS h FROM r WHERE kind = 'ab') WHERE (half = '' OR (half = 'i') = (h % 2 = 0)) AND h * 60 + m >= 300 AND h * 60 + m < 1440
-    UNION ALL
-    SELECT segment, start_seq, start, seq, station, kind, t, n + 1 FROM (
-      SELECT x.segment, start_seq, start, r.seq, r.station, r.kind, n, r.station = x.station AND x.kind = 'an' AND r.kind = 'ab' AS dwell, x.minute AS last,
-        (h + CASE WHEN half <> '' AND (half = 'i') <> (h % 2 = 0) THEN 1 ELSE 0 END) * 60 + r.m AS t
-      FROM (SELECT x.*, greatest(5, CAST(ceil((CASE WHEN r.p THEN (x.minute // 60 + 1) * 60 WHEN r.q THEN x.minute + 60 WHEN r.station = x.station AND x.kind = 'an' AND r.kind = 'ab' THEN x.minute ELSE x.minute + 1 END - r.m) / 60.0) AS INT)) AS h FROM trip x JOIN r ON r.segment = x.segment AND r.seq = x.seq + 1) x
-      JOIN r ON r.segment = x.segment AND r.seq = x.seq + 1)
-    WHERE CASE WHEN kind = 'ab' THEN t < 1440 ELSE t <= 1560 END AND NOT (dwell AND t - last > 15))
-  SELECT segment, start_seq, start, max(n) AS events, max(minute) AS ends FROM trip GROUP BY ALL HAVING max(n) > 1""", "", "start_seq start events ends")
-def chained_trips(spark, sf):
-    return T.trips(_rows(spark)).select("segment", "start_seq", "start", F.size("events").alias("events"), F.element_at("events", -1)["minute"].alias("ends"))
-
-
 @add("T06", f"""WITH {I.BOARD}, s AS (SELECT trip, id, minute AS arr, minute + id % 6 AS dep FROM board)
   SELECT trip, id, CASE WHEN lag(1) OVER w IS NOT NULL THEN dep - arr END AS earlier, CASE WHEN lead(1, 2) OVER w IS NOT NULL THEN lead(dep) OVER w - lead(arr) OVER w END AS later FROM s WINDOW w AS (PARTITION BY trip ORDER BY id) QUALIFY lead(1) OVER w IS NOT NULL""", "", "earlier later")
 def section_slack(spark, sf):
@@ -57,13 +24,6 @@ def section_slack(spark, sf):
     return T.slack(s, "trip", ["id"]).select("trip", "id", "earlier", "later")
 
 
-@add("T07 T08 Z11")
-def edited_timetable(spark, sf):
-    """Sections moved in the test timetable, and which edits were stale."""
-    edits = spark.createDataFrame([("s1", 1, "17", "26Q", 3), ("s2", 1, "50", "10P", -2)], "segment string, from_seq int, from_raw string, to_raw string, delta int")
-    return T.edited(_rows(spark), edits).select("segment", "seq", S.token_text("token").alias("text"), "edit_status")
-
-
 def _connections(spark, sf):
     by = Window.partitionBy("trip").orderBy("minute", "id")
     b = I.board(spark, sf)

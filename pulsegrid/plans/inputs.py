@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,25 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What the stand-in timetable writes behind its minutes.
+SUFFIXES = ["", "i", "n", "P", "q", "I", "PQ", " n "]
+
+
+def timetable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a wide timetable: four events of a user in a row are a segment; each arrives at a station and departs from it, with a token for each of two years."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.minute("ts").alias("m"), (F.row_number().over(by) - 1).alias("k"))
+    stop = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.lit(kind).alias("kind")) for i, kind in enumerate(("an", "ab"))]))
+    r = e.withColumn("s", stop).select("*", "s.*")
+    number = (F.col("id") + F.col("side") * F.floor(F.col("id") / 8)) % 8
+    mark = F.coalesce(*[F.when(number == i, F.lit(x)) for i, x in enumerate(SUFFIXES)])
+    cell = lambda shift: F.concat(((F.col("m") + F.col("side") * (F.col("id") % 19) + shift) % 60).cast("string"), mark)
+    return r.select(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.floor(F.col("k") / 4).cast("string")).alias("segment"), (F.col("k") % 4 * 2 + F.col("side")).cast("int").alias("seq"), F.concat(F.lit("S"), (F.col("id") % 11).cast("string")).alias("station"),
+        "kind", F.when(F.col("id") % 29 == 0, "–").otherwise(cell(F.lit(0))).alias("2026"), F.when(F.col("id") % 31 == 0, "").otherwise(cell(F.col("id") % 3)).alias("2035"),
+    )
+
+
 STATIONS = """stations AS (
   SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS station, r_name AS region, 45.8 + (n_nationkey * 7 % 25) * 0.08::DOUBLE AS lat, 6.0 + (n_nationkey * 11 % 25) * 0.17::DOUBLE AS lon
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
@@ -56,3 +76,8 @@ DEMAND = PATHS + """, demand AS (
 BOARD = """board AS (
   SELECT event_id AS id, user_id AS trip, event_id % 11 AS station, user_id % 7 AS line, CASE event_type WHEN 'view' THEN 'an' WHEN 'purchase' THEN 'ab' ELSE 'pass' END AS kind,
     hour(ts) * 60 + minute(ts) AS minute, ts, event_type AS service, value AS pax FROM events)"""
+CELL = "CAST((m + side * (id % 19) + {0}) % 60 AS VARCHAR) || (['', 'i', 'n', 'P', 'q', 'I', 'PQ', ' n '])[(id + side * (id // 8)) % 8 + 1]"
+TIMETABLE = f"""timetable AS (
+  SELECT user_id || '/' || (k // 4) AS segment, CAST(k % 4 * 2 + side AS INT) AS seq, 'S' || (id % 11) AS station, CASE side WHEN 0 THEN 'an' ELSE 'ab' END AS kind,
+    CASE WHEN id % 29 = 0 THEN '–' ELSE {CELL.format(0)} END AS y2026, CASE WHEN id % 31 = 0 THEN '' ELSE {CELL.format('id % 3')} END AS y2035
+  FROM (SELECT user_id, event_id AS id, minute(ts) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) CROSS JOIN (VALUES (0), (1)) AS s(side))"""

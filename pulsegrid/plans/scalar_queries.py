@@ -8,26 +8,32 @@ from ..functions import scalars as S
 from . import inputs as I
 from .registry import add
 
-#: Fixed test texts.
+#: Fixed texts that some events write in place of a number.
 RAW = ["1", " 2.5 ", "x", "", "nan", "-3.5", "4.0", "1e3", "TRUE", "yes", "0", "261.0", "12345", "Zürich HB (31-34)"]
-TOKENS = ["17", "26Q", "05i", "59nP", "10 i Q", "-", "61", "7P"]
-CLOCKS = ["05:17", "23:59", "7:05, 8:05", "12 min", "", "24:10"]
+TEXTS = f"texts AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN ({RAW!r})[event_id % {len(RAW)} + 1] ELSE event_id || '.' || event_id % 10 END AS raw FROM events)"
+#: Clock texts of five forms; a sixth is empty.
+CLOCKS = """clocks AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN printf('%02d:%02d', hour(ts), minute(ts)) WHEN 1 THEN printf('%d:%02d, %d:%02d', hour(ts), minute(ts), hour(ts) + 1, minute(ts))
+  WHEN 2 THEN event_id || ' min' WHEN 3 THEN '' WHEN 4 THEN printf('%d:%02d', hour(ts) + 20, minute(ts)) ELSE printf(' %d:%d ', hour(ts), minute(ts)) END AS raw FROM events)"""
 
 
-def _values(texts: list[str], name: str) -> str:
-    return f"(VALUES {', '.join(f'({i}, {chr(39)}{t}{chr(39)})' for i, t in enumerate(texts))}) AS {name}(id, raw)"
+def _texts(spark, sf):
+    n = F.col("event_id")
+    some = F.coalesce(*[F.when(n % len(RAW) == i, F.lit(x)) for i, x in enumerate(RAW)])
+    return I.read(spark, sf, "events").select(n.alias("id"), F.when(n % 3 == 0, some).otherwise(F.concat_ws(".", n.cast("string"), (n % 10).cast("string"))).alias("raw"))
 
 
-def _texts(spark, texts: list[str]):
-    return spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+def _clocks(spark, sf):
+    n, h, m = F.col("event_id") % 6, F.hour("ts"), F.minute("ts")
+    forms = [F.format_string("%02d:%02d", h, m), F.format_string("%d:%02d, %d:%02d", h, m, h + 1, m), F.concat(F.col("event_id").cast("string"), F.lit(" min")), F.lit(""), F.format_string("%d:%02d", h + 20, m), F.format_string(" %d:%d ", h, m)]
+    return I.read(spark, sf, "events").select(F.col("event_id").alias("id"), F.coalesce(*[F.when(n == i, x) for i, x in enumerate(forms)]).alias("raw"))
 
 
-@add("P01 P02 P03 P04 S01", f"""SELECT id, CASE WHEN isfinite(d) THEN d ELSE -1 END AS number, CASE WHEN isfinite(d) AND d > 0 THEN d END AS positive,
+@add("P01 P02 P03 P04 S01", f"""WITH {TEXTS} SELECT id, CASE WHEN isfinite(d) THEN d ELSE -1 END AS number, CASE WHEN isfinite(d) AND d > 0 THEN d END AS positive,
   CASE WHEN isfinite(d) THEN round_even(d, 0) ELSE 0 END AS even, CASE WHEN isfinite(d) THEN trunc(d) ELSE 0 END AS cut, lower(trim(raw)) IN ('1', 'true', 'yes') AS flag,
   CASE WHEN g = '' THEN NULL WHEN length(g) >= 4 THEN g ELSE lpad(g, 4, '0') END AS code, CASE WHEN starts_with(trim(raw), 'Zürich HB') THEN 'Zürich HB' ELSE trim(raw) END AS name
-  FROM (SELECT *, try_cast(trim(raw) AS DOUBLE) AS d, regexp_replace(regexp_replace(trim(raw), '\\.0$', ''), '\\D', '', 'g') AS g FROM {_values(RAW, 't')})""", "number positive", "even cut")
+  FROM (SELECT *, try_cast(trim(raw) AS DOUBLE) AS d, regexp_replace(regexp_replace(trim(raw), '\\.0$', ''), '\\D', '', 'g') AS g FROM texts)""", "number positive", "even cut")
 def lenient_casts(spark, sf):
-    t = _texts(spark, RAW)
+    t = _texts(spark, sf)
     return t.select("id", S.number_or("raw", -1.0).alias("number"), S.number_or("raw", None, True).alias("positive"), S.integer_or("raw", 0).alias("even"), S.integer_or("raw", 0, False).alias("cut"),
                     S.truthy("raw").alias("flag"), S.community_code("raw").alias("code"), S.alias_name("raw", {"Zürich HB": "Zürich HB"}).alias("name"))
 
@@ -53,11 +59,11 @@ def text_filter_before_json(spark, sf):
     return e.where("k % 2 = 1")
 
 
-@add("F01 F03", f"""SELECT id, CASE WHEN m IS NULL THEN 'NA' ELSE printf('%02d:%02d', (m % 1440) // 60, m % 60) END AS text, m AS minute, n AS number, len(l) AS times
+@add("F01 F03", f"""WITH {CLOCKS} SELECT id, CASE WHEN m IS NULL THEN 'NA' ELSE printf('%02d:%02d', (m % 1440) // 60, m % 60) END AS text, m AS minute, n AS number, len(l) AS times
   FROM (SELECT id, raw, try_cast(split_part(trim(raw), ':', 1) AS INT) * 60 + try_cast(nullif(split_part(trim(raw), ':', 2), '') AS INT) AS m, try_cast(nullif(regexp_extract(raw, '(-?\\d+)', 1), '') AS INT) AS n,
-  list_filter(list_transform(string_split(raw, ','), lambda x: try_cast(nullif(split_part(trim(x), ':', 1), '') AS INT) * 60 + try_cast(nullif(split_part(trim(x), ':', 2), '') AS INT)), lambda x: x IS NOT NULL) AS l FROM {_values(CLOCKS, 't')})""", "", "minute number times")
+  list_filter(list_transform(string_split(raw, ','), lambda x: try_cast(nullif(split_part(trim(x), ':', 1), '') AS INT) * 60 + try_cast(nullif(split_part(trim(x), ':', 2), '') AS INT)), lambda x: x IS NOT NULL) AS l FROM clocks)""", "", "minute number times")
 def clock_texts(spark, sf):
-    t = _texts(spark, CLOCKS)
+    t = _clocks(spark, sf)
     return t.select("id", S.clock_text(S.clock_minute("raw")).alias("text"), S.clock_minute("raw").alias("minute"), S.leading_number("raw").alias("number"), F.size(S.clock_list("raw")).alias("times"))
 
 
@@ -66,21 +72,29 @@ def clockface_minutes(spark, sf):
     return I.board(spark, sf).select("id", S.clockface(F.col("minute") - 777).alias("face"))
 
 
-TOKEN_SQL = f"""SELECT id, raw, CASE WHEN m BETWEEN 0 AND 59 THEN m END AS minute, CASE WHEN m BETWEEN 0 AND 59 THEN h END AS parity, CASE WHEN m BETWEEN 0 AND 59 THEN p END AS p, CASE WHEN m BETWEEN 0 AND 59 THEN q END AS q FROM (
-  SELECT id, raw, try_cast(nullif(regexp_extract(raw, r, 1), '') AS INT) AS m, CASE regexp_extract(raw, r, 2) WHEN 'i' THEN 'even' WHEN 'n' THEN 'odd' ELSE 'all' END AS h, regexp_extract(raw, r, 3) = 'P' AS p, regexp_extract(raw, r, 4) = 'Q' AS q
-  FROM {_values(TOKENS, 't')}, (SELECT '^\\s*(\\d{{1,2}})\\s*([in])?\\s*(P)?\\s*(Q)?\\s*$' AS r))"""
+#: Every cell of the timetable's two years, and texts that are no token.
+CELLS = f"{I.TIMETABLE}, cells AS (SELECT segment, seq, y2026 AS raw, 2026 AS year FROM timetable UNION ALL SELECT segment, seq, y2035, 2035 FROM timetable UNION ALL SELECT segment, seq, (['61', '7 x', '5ni', ' 05I p Q '])[seq % 4 + 1], 0 FROM timetable)"
+TOKEN_SQL = """SELECT * FROM (SELECT segment, seq, year, raw, try_cast(nullif(regexp_extract(raw, r, 1), '') AS INT) AS minute, CASE lower(regexp_extract(raw, r, 2)) WHEN 'n' THEN 'even' WHEN 'i' THEN 'odd' ELSE 'all' END AS parity, lower(regexp_extract(raw, r, 3)) = 'p' AS p, lower(regexp_extract(raw, r, 4)) = 'q' AS q
+  FROM cells, (SELECT '^\\s*(\\d{1,2})\\s*([inIN]?)\\s*([Pp]?)\\s*([Qq]?)\\s*$' AS r)) WHERE minute BETWEEN 0 AND 59"""
 
 
-@add("F04", TOKEN_SQL, "", "minute")
+def _cells(spark, sf):
+    t = I.timetable(spark, sf)
+    odd = F.coalesce(*[F.when(F.col("seq") % 4 == i, F.lit(x)) for i, x in enumerate(["61", "7 x", "5ni", " 05I p Q "])])
+    parts = [t.select("segment", "seq", c.alias("raw"), F.lit(y).alias("year")) for c, y in ((F.col("`2026`"), 2026), (F.col("`2035`"), 2035), (odd, 0))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("t", S.token("raw")).where("t IS NOT NULL")
+
+
+@add("F04", f"WITH {CELLS} {TOKEN_SQL}", "", "seq year minute")
 def parsed_tokens(spark, sf):
-    return _texts(spark, TOKENS).withColumn("t", S.token("raw")).select("id", "raw", "t.minute", "t.parity", "t.p", "t.q")
+    return _cells(spark, sf).select("segment", "seq", "year", "raw", "t.minute", "t.parity", "t.p", "t.q")
 
 
-@add("F05", f"""SELECT id, delta, lpad(CAST((minute + delta + 120) % 60 AS VARCHAR), 2, '0') || CASE WHEN parity = 'all' THEN '' WHEN (parity = 'even') = ((minute + delta + 120) // 60 % 2 = 0) THEN 'i' ELSE 'n' END || CASE WHEN p THEN 'P' ELSE '' END || CASE WHEN q THEN 'Q' ELSE '' END AS text
-  FROM ({TOKEN_SQL}) CROSS JOIN (VALUES (-7), (0), (5), (45)) AS d(delta) WHERE minute IS NOT NULL""")
+@add("F05", f"""WITH {CELLS} SELECT segment, seq, year, delta, CAST((minute + delta + 120) % 60 AS VARCHAR) || CASE WHEN parity = 'all' THEN '' WHEN (parity = 'even') = ((minute + delta + 120) // 60 % 2 = 0) THEN 'n' ELSE 'i' END || CASE WHEN p THEN 'P' ELSE '' END || CASE WHEN q THEN 'Q' ELSE '' END AS text
+  FROM ({TOKEN_SQL}) CROSS JOIN (VALUES (-7), (0), (5), (45)) AS d(delta)""", "", "seq year")
 def shifted_tokens(spark, sf):
-    t = _texts(spark, TOKENS).withColumn("t", S.token("raw")).where("t IS NOT NULL").withColumn("delta", F.explode(F.array(*[F.lit(d) for d in (-7, 0, 5, 45)])))
-    return t.select("id", "delta", S.token_text(S.token_shifted("t", "delta")).alias("text"))
+    t = _cells(spark, sf).withColumn("delta", F.explode(F.array(*[F.lit(d) for d in (-7, 0, 5, 45)])))
+    return t.select("segment", "seq", "year", "delta", S.token_text(S.token_shifted("t", "delta")).alias("text"))
 
 
 @add("F07 F08 F21", f"""WITH {I.STATIONS}, p AS (SELECT id, lat, lon, (lat * 3600 - 169028.66) / 10000 AS p, (lon * 3600 - 26782.5) / 10000 AS q FROM stations)
@@ -100,12 +114,13 @@ def buckets_and_durations(spark, sf):
     return I.read(spark, sf, "events").select("event_id", S.bucket("value", [10, 40, 90]).alias("b"), S.duration_text(F.col("value") * 60).alias("d"))
 
 
-@add("F11 F12 F13 F14 D11 D12", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ln(q) AS a, ln(1 + d) AS b, exp(greatest(-60, least(60, -q))) AS c, 1.0 / pow(q + 3, 2) AS e, least(1, q / 12) AS f, CASE WHEN q > 0 AND d > 0 THEN exp(0.5 * ln(q) + 0.5 * ln(d)) ELSE 0 END AS g,
-  greatest(q * 0.3, q * (1 - least(0.7, 0.4 * 2 * d / (d + 1)))) AS h FROM (SELECT *, l_quantity AS q, l_discount AS d FROM lineitem)""", "a b c e f g h")
+@add("F11 F12 F13 F14 P14", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ln(q) AS a, ln(1 + d) AS b, exp(greatest(-60, least(60, -q))) AS c, 1.0 / pow(q + 3, 2) AS e, least(1, q / 12) AS f, CASE WHEN q > 0 AND d > 0 THEN exp(0.5 * ln(q) + 0.5 * ln(d)) ELSE 0 END AS g,
+  greatest(q * 0.3, q * (1 - least(0.7, 0.4 * 2 * (d * 300) / q))) AS h, CASE WHEN q < 12 THEN 0.6 + 0.4 * pow(q / 12, 1.5) ELSE 1 END AS i, coalesce(nullif(l_tax * l_suppkey, 0), q * d) AS w FROM (SELECT *, l_quantity AS q, l_discount AS d FROM lineitem)""", "a b c e f g h i w")
 def decay_and_blends(spark, sf):
     q, d = F.col("l_quantity"), F.col("l_discount")
     return I.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.ln(q).alias("a"), F.log1p(d).alias("b"), S.clipped_exp(-q).alias("c"), S.power_decay(q, 3, 2).alias("e"), S.attenuation(q, 12).alias("f"),
-                                                S.geometric_blend(q, d, 0.5).alias("g"), S.transfer_discount(q, d, d + 1).alias("h"))
+                                                S.geometric_blend(q, d, 0.5).alias("g"), S.transfer_discount(q, d * 300).alias("h"),
+                                                S.near_damping(q, 0.6, 12.0, 1.5).alias("i"), S.path_weight(F.col("l_tax") * F.col("l_suppkey"), q, d).alias("w"))
 
 
 @add("F15", f"WITH {I.BOARD} SELECT id, substr(sha1(concat_ws('|', CAST(station AS VARCHAR), kind, CAST(minute AS VARCHAR))), 1, 16) AS key, sha256(CAST(id AS VARCHAR)) AS content FROM board")

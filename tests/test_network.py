@@ -36,18 +36,48 @@ def test_next_hour_and_an_hour_later(spark, mark, want):
 
 
 def test_trips_end_at_long_dwells_and_turnbacks(spark):
-    rows = [("A", "ab", "00"), ("B", "an", "10"), ("B", "ab", "30"), ("C", "an", "40")]
-    assert [len(r["events"]) for r in T.trips(segment(spark, rows)).where("start_seq = 0 AND start = 300").collect()] == [2]
-    rows = [("A", "ab", "00"), ("B", "an", "10"), ("B", "ab", "12"), ("A", "an", "20")]
-    assert [len(r["events"]) for r in T.trips(segment(spark, rows)).where("start_seq = 0 AND start = 300").collect()] == [3]
+    first = lambda rows: [len(r["events"]) for r in T.trips(segment(spark, rows)).where("start_seq = 0 AND start = 300").collect()]
+    assert first([("A", "ab", "00"), ("B", "an", "10"), ("B", "ab", "30"), ("C", "an", "40")]) == [2]
+    assert first([("A", "ab", "00"), ("B", "an", "10"), ("B", "ab", "12"), ("A", "an", "20")]) == [2]  # back to A: another trip
+    assert first([("A", "ab", "00"), ("B", "an", "10"), ("B", "ab", "12"), ("C", "an", "20")]) == [4]
+    assert first([("A", "ab", "00"), ("B", "ab", "30")]) == []  # no arrival ends it
+
+
+def test_tokens(spark):
+    raw = ["17", "5i", "5n", "17I", "10p", "10PQ", " 07 n q ", "61", "—", "5ni"]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, raw string").withColumn("t", S.token("raw")).orderBy("i").select("t", S.token_text("t"), S.token_text(S.token_shifted("t", F.lit(3)))).collect()
+    assert [r[0] and tuple(r[0]) for r in rows] == [
+        (17, "all", False, False), (5, "odd", False, False), (5, "even", False, False), (17, "odd", False, False), (10, "all", True, False), (10, "all", True, True), (7, "even", False, True), None, None, None,
+    ]
+    assert [r[1] for r in rows[:7]] == ["17", "5i", "5n", "17i", "10P", "10PQ", "7nQ"]
+    assert spark.createDataFrame([("58n",)], "raw string").select(S.token_text(S.token_shifted(S.token("raw"), F.lit(3)))).first()[0] == "1i"
+
+
+def test_both_continuation_marks_take_the_later_bound(spark):
+    got = T.trips(segment(spark, [("A", "ab", "50"), ("B", "an", "10PQ")])).where("start = 350").collect()
+    assert got[0]["events"][1]["minute"] == 430
 
 
 def test_edits_and_structure(spark):
-    rows = segment(spark, [("A", "ab", "58i"), ("B", "an", "08n")])
-    moved = T.edited(rows, spark.createDataFrame([("s", 0, "58i", "08n", 3)], "segment string, from_seq int, from_raw string, to_raw string, delta int"))
-    assert [r[0] for r in moved.orderBy("seq").select(S.token_text("token")).collect()] == ["01n", "11n"]
+    rows = segment(spark, [("A", "ab", "58n"), ("B", "an", "08i"), ("B", "ab", "10i"), ("C", "an", "9n")])
+    kind = "edit string, rank int, segment string, from_station string, to_station string, dep int, arr int, delta int"
+    edits = spark.createDataFrame([("one", 1, "s", "A", "B", 118, 8, 3), ("again", 2, "s", "A", "B", 118, 8, 1), ("none", 3, "s", "A", "B", 58, 8, 1)], kind)
+    assert {r["edit"]: r["status"] for r in T.matched(rows, edits).collect()} == {"one": "applied", "again": "stale", "none": "unmatched"}
+    assert [r[0] for r in T.edited(rows, edits).orderBy("seq").select(S.token_text("token")).collect()] == ["1i", "11i", "10i", "9n"]
+    # The arrival now follows the departure of its dwell, which breaks the trip: the segment stays as it was.
+    assert T.compatibility(rows, T.edited(rows, edits).drop("edit")).first()["reason"] in ("count", "structure")
+    assert [r[0] for r in T.composed(rows, edits).orderBy("seq").select(S.token_text("token")).collect()] == ["58n", "8i", "10i", "9n"]
+    early = spark.createDataFrame([("one", 1, "s", "A", "B", 118, 8, -2)], kind)
+    assert T.compatibility(rows, T.edited(rows, early).drop("edit")).first()["reason"] == ""
     same = T.distinct_trips(T.trips(rows), ["segment", "start"])
-    assert T.compatible(same, same).count() == 0
+    assert same.count() == T.trips(rows).count()
+
+
+def test_boards_drop_false_ends(spark):
+    rows = segment(spark, [("A", "ab", "00"), ("B", "an", "10"), ("B", "ab", "12"), ("C", "an", "20")])
+    got = {(r["board"], r["minute"], r["previous"], r["following"]) for r in T.board_rows(T.distinct_trips(T.trips(rows), ["start"]), ["B"], 300, 360).collect()}
+    assert got == {("arrival", 310, "A", "C"), ("departure", 312, "A", "C")}
+    assert [tuple(r) for r in T.line_timings(T.trips(rows).where("start < 420")).where("from_station = 'A'").collect()] == [("s", "A", "B", "05:00, 06:00", "05:10, 06:10")]
 
 
 def test_dominance_example(spark):
