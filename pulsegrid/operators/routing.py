@@ -190,24 +190,34 @@ def skim(routes: DataFrame, pairs: DataFrame, periods: int, floor: float = 960.0
 def leg_times(legs: Column, zero: float = 1 / 3, rebalance: bool = True) -> Column:
     """Rolling, dwell and transfer minutes of a path's legs.
 
-    Between legs of one trip lies dwell, between trips transfer.  A dwell (or a
-    leg) of no length counts ``zero``; what that adds is taken off all rolling
-    and dwell in proportion (``rebalance``) or off rolling alone.
+    Between legs of one trip lies dwell, between trips transfer; negative times
+    count as none.  A dwell (or a leg) of no length counts ``zero``.  With
+    ``rebalance`` what that adds is taken off rolling and dwell in proportion,
+    or off the transfers where there is neither, so that the total stays; a path
+    of no length has no times.  Without, it is taken off rolling alone.
     """
+    nought = lambda c: F.greatest(c, F.lit(0))
     count = F.size(legs)
-    rolling = F.aggregate(legs, F.lit(0.0), lambda t, x: t + (x["arr"] - x["dep"]))
-    still = F.aggregate(legs, F.lit(0), lambda t, x: t + F.when(x["arr"] == x["dep"], 1).otherwise(0))
+    rolling = F.aggregate(legs, F.lit(0.0), lambda t, x: t + nought(x["arr"] - x["dep"]))
+    still = F.aggregate(legs, F.lit(0), lambda t, x: t + F.when(x["arr"] <= x["dep"], 1).otherwise(0))
     gaps = F.when(count > 1, F.sequence(F.lit(0), count - 2)).otherwise(F.array().cast("array<int>"))
-    gap = lambda i: F.get(legs, i + 1)["dep"] - F.get(legs, i)["arr"]
+    gap = lambda i: nought(F.get(legs, i + 1)["dep"] - F.get(legs, i)["arr"])
     same = lambda i: F.get(legs, i + 1)["trip"] == F.get(legs, i)["trip"]
     dwell = F.aggregate(gaps, F.lit(0.0), lambda t, i: t + F.when(same(i), gap(i)).otherwise(0))
     none = F.aggregate(gaps, F.lit(0), lambda t, i: t + F.when(same(i) & (gap(i) == 0), 1).otherwise(0))
     transfer = F.aggregate(gaps, F.lit(0.0), lambda t, i: t + F.when(same(i), 0).otherwise(gap(i)))
-    added = (none + still) * zero
-    if rebalance:
-        factor = (rolling + dwell - added) / F.nullif(rolling + dwell, F.lit(0.0))
-        return F.struct((rolling * factor + still * zero).alias("rolling"), (dwell * factor + none * zero).alias("dwell"), transfer.alias("transfer"))
-    return F.struct((rolling - none * zero).alias("rolling"), (dwell + none * zero).alias("dwell"), transfer.alias("transfer"))
+    if not rebalance:
+        return F.struct((rolling - none * zero).alias("rolling"), (dwell + none * zero).alias("dwell"), transfer.alias("transfer"))
+    sums = F.struct(rolling.alias("r"), dwell.alias("d"), transfer.alias("t"), (still * zero).alias("z"), (none * zero).alias("k"))
+
+    def balanced(s: Column) -> Column:
+        pool, added = s["r"] + s["d"], s["z"] + s["k"]
+        part = lambda own, extra: F.when(pool > 0, nought(own + extra - added * own / pool)).otherwise(extra)
+        out = F.struct(part(s["r"], s["z"]).alias("rolling"), part(s["d"], s["k"]).alias("dwell"), F.when(pool > 0, s["t"]).otherwise(nought(s["t"] - added)).alias("transfer"))
+        nothing = F.struct(F.lit(0.0).alias("rolling"), F.lit(0.0).alias("dwell"), F.lit(0.0).alias("transfer"))
+        return F.when(pool + s["t"] > 0, out).otherwise(nothing)
+
+    return F.get(F.transform(F.array(sums), balanced), 0)
 
 
 def terminal_aliases(nodes: Column, prefix: str, name: str) -> Column:

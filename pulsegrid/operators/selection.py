@@ -34,84 +34,158 @@ def unlocks(misses: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("delta", F.when(F.col("action") == "depart later", need).otherwise(-need)).where((need > 0) & (need <= most) & (need <= F.coalesce(room, F.lit(most))))
 
 
-def outcome(wait: Column, least: Column, change: Column) -> Column:
-    after = wait + change
-    return (
-        F.when((wait >= least) & (after < least), "broken").when((wait < least) & (after >= least), "unlocked").when(wait < least, "missed")
-        .when(change < 0, "improved").when(change > 0, "worsened").otherwise("unchanged")
+def net_impact(effects: DataFrame, keys: list[str]) -> DataFrame:
+    """Per candidate: passenger minutes won and lost, counts by outcome, and passengers of broken transfers.
+
+    ``effects``: ``source`` (``existing`` or ``near``), ``side`` that moves
+    (``departure`` or ``arrival``), ``wait``, ``least``, ``delta``, ``pax``.  An
+    existing transfer wins what its wait loses, and when broken loses what was
+    cut; a near miss wins by each minute that its shortfall closes.
+    """
+    new = F.col("wait") + F.when(F.col("side") == "departure", F.col("delta")).otherwise(-F.col("delta"))
+    short = lambda wait: F.greatest(F.lit(0), F.col("least") - wait)
+    closed = F.greatest(F.lit(0), short(F.col("wait")) - short(F.col("new")))
+    kind = (
+        F.when(F.col("source") == "near", F.when(closed == 0, "unhelped").when(short(F.col("new")) == 0, "unlocked").otherwise("partly"))
+        .when(F.col("new") < F.col("least"), "broken").when(F.col("new") < F.col("wait"), "improved").when(F.col("new") > F.col("wait"), "worsened").otherwise("unchanged")
+    )
+    gain = F.col("pax") * F.when(F.col("source") == "near", closed).when(F.col("new") < F.col("least"), -F.greatest(F.lit(0), F.col("wait") - F.col("new"))).otherwise(F.col("wait") - F.col("new"))
+    out = effects.withColumn("new", new).withColumns({"kind": kind, "gain": gain})
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("improved", "worsened", "broken", "unlocked", "partly")]
+    return out.groupBy(*keys).agg(
+        *counts, F.sum("gain").alias("net"), F.sum(F.greatest("gain", F.lit(0.0))).alias("won"), F.sum(F.least("gain", F.lit(0.0))).alias("lost"),
+        F.sum(F.when(F.col("kind") == "broken", F.col("pax")).otherwise(0.0)).alias("broken_pax"),
     )
 
 
-def net_impact(effects: DataFrame, keys: list[str]) -> DataFrame:
-    """Per candidate: passenger minutes won and lost, and counts by outcome.
+def contribution(now: Column) -> Column:
+    """What an effect contributes at a wait of ``now`` minutes; a broken transfer costs its shortfall and an hour."""
+    short = lambda wait: F.greatest(F.lit(0), F.col("least") - wait)
+    existing = F.when(now < F.col("least"), -(F.col("least") - now + BROKEN)).otherwise(F.col("wait") - now)
+    return F.col("pax") * F.when(F.col("source") == "near", short(F.col("wait")) - short(now)).otherwise(existing)
+
+
+def touched(effects: DataFrame, probes: DataFrame) -> DataFrame:
+    """Each candidate with the effects whose arrival or departure event it moves: ``by``, the change of the wait.
 
-    ``effects``: ``wait``, ``least``, ``change`` of the wait, ``pax``.
+    ``effects``: ``effect``, ``source``, ``arr_key``, ``dep_key``, ``wait``,
+    ``least``, ``pax``; ``probes``: ``candidate``, ``key``, ``delta`` for the
+    events that it moves.
     """
-    kind = outcome(F.col("wait"), F.col("least"), F.col("change"))
-    gain = F.when(F.col("kind") == "broken", -F.col("pax") * F.greatest(F.lit(0), F.col("wait") - (F.col("wait") + F.col("change")))).when(F.col("kind").isin("improved", "worsened"), -F.col("pax") * F.col("change")).when(
-        F.col("kind") == "unlocked", F.col("pax") * (F.col("least") + BROKEN - (F.col("wait") + F.col("change")))
-    ).otherwise(0.0)
-    out = effects.withColumn("kind", kind).withColumn("gain", gain)
-    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("improved", "worsened", "broken", "unlocked")]
-    return out.groupBy(*keys).agg(*counts, F.sum("gain").alias("net"), F.sum(F.greatest("gain", F.lit(0.0))).alias("won"), F.sum(F.least("gain", F.lit(0.0))).alias("lost"))
+    moved = probes.groupBy("candidate", "key").agg(F.sum("delta").alias("delta"))
+    own = ["effect", "source", "arr_key", "dep_key", "wait", "least", "pax"]
+    ends = [moved.join(effects.select(own), F.col("key") == F.col(side)).withColumn("by", F.col("delta") * sign) for side, sign in (("dep_key", 1), ("arr_key", -1))]
+    return ends[0].unionByName(ends[1]).groupBy("candidate", *own).agg(F.sum("by").alias("by"))
 
 
-def objective(wait: Column, least: Column, pax: Column) -> Column:
-    """What a transfer is worth: minus its passenger minutes, and an hour more where it is missed."""
-    return F.when(wait >= least, -pax * (wait - least)).otherwise(-pax * (least - wait + BROKEN))
+def marginal(touch: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Each candidate's change of the objective under the shifts made so far (``key``, ``shift``), and passengers of transfers broken after it."""
+    side = lambda k: shifts.select(F.col("key").alias(k), F.col("shift").alias(f"__{k}"))
+    state = touch.join(side("arr_key"), "arr_key", "left").join(side("dep_key"), "dep_key", "left")
+    now = F.col("wait") + F.coalesce("__dep_key", F.lit(0)) - F.coalesce("__arr_key", F.lit(0))
+    after = now + F.col("by")
+    broken = (F.col("source") == "existing") & (after < F.col("least"))
+    return state.groupBy("candidate").agg(F.sum(contribution(after) - contribution(now)).alias("marginal"), F.sum(F.when(broken, F.col("pax")).otherwise(0.0)).alias("broken_pax"))
 
 
-def marginal(effects: DataFrame, shifts: DataFrame, candidate: str, section: str) -> DataFrame:
-    """Each candidate's change of the objective under the shifts made so far (``section``, ``shift``)."""
-    now = effects.join(shifts, section, "left").withColumn("now", F.col("wait") + F.coalesce("shift", F.lit(0)))
-    gain = objective(F.col("now") + F.col("change"), F.col("least"), F.col("pax")) - objective(F.col("now"), F.col("least"), F.col("pax"))
-    return now.groupBy(candidate).agg(F.sum(gain).alias("marginal"))
+def _kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by the session's checkpoint folder, where one is set."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
-def capped(scored: list[dict], caps: dict[str, int], least: float, passes: int = 8) -> list[dict]:
-    """Greedy choice from a bounded, ordered list of scored candidates.
+DECISION = "candidate long, status string, pass int, marginal double"
 
-    Each is taken when its score is above ``least``, no cap (``year``, ``line``,
-    ``total``) is full and none of its ``events`` is used; one that lacks score is
-    refused for good, the rest are tried again in the next pass.
+
+def greedy(effects: DataFrame, probes: DataFrame, ranks: DataFrame, least: float = 0.0, allow_broken: float = 0.0, passes: int = 8, most: int = 0) -> DataFrame:
+    """First-fit selection in order of rank, each candidate scored under all that were accepted before it.
+
+    ``ranks``: ``candidate`` (long), ``rank`` (each once).  A candidate that
+    breaks more than ``allow_broken`` passengers' transfers, or one of whose
+    events an accepted one has moved, is refused for good; one that gains no more
+    than ``least`` is deferred to the next pass; passes end when one accepts
+    nothing.  Returns ``candidate``, ``status``, ``pass``, ``marginal`` and, for
+    accepted ones, ``place``.
+
+    The order is that of one candidate after the other, the work is not: a
+    candidate may be decided as soon as none of lower rank that shares an
+    effect or event with it is undecided, so each round decides all local
+    minima at once.  Acceptances never change earlier decisions, hence ``most``
+    keeps the first ones in order of pass and rank.
     """
-    taken, used, counts, open_ = [], set(), {}, list(scored)
-    for _ in range(passes):
-        deferred = []
-        for c in open_:
-            if c["score"] <= least:
-                continue
-            full = any(counts.get((k, c.get(k, "")), 0) >= n for k, n in caps.items())
-            if full or used & set(c["events"]):
-                deferred.append(c)
-                continue
-            taken.append(c)
-            used |= set(c["events"])
-            for k in caps:
-                counts[k, c.get(k, "")] = counts.get((k, c.get(k, "")), 0) + 1
-        if len(deferred) == len(open_):
+    touch = _kept(touched(effects, probes))
+    links = touch.select("candidate", F.concat(F.lit("e"), F.col("effect").cast("string")).alias("link")).unionByName(probes.select("candidate", F.concat(F.lit("k"), F.col("key").cast("string")).alias("link"))).distinct()
+    links = _kept(links.join(ranks, "candidate"))
+    spark = effects.sparkSession
+    decided = spark.createDataFrame([], DECISION)
+    for turn in range(1, passes + 1):
+        gone = decided.where("status <> 'deferred'").select("candidate")
+        open_ = _kept(ranks.join(gone, "candidate", "left_anti"))
+        before = _kept(decided.where("status <> 'deferred'"))
+        now = before
+        while True:
+            waiting = links.join(open_.select("candidate"), "candidate", "left_semi")
+            first = waiting.withColumn("__first", F.min("rank").over(Window.partitionBy("link")))
+            ready = _kept(first.groupBy("candidate").agg(F.bool_and(F.col("rank") == F.col("__first")).alias("ok")).where("ok").select("candidate"))
+            if not ready.limit(1).count():
+                break
+            shifts = probes.join(now.where("status = 'accepted'").select("candidate"), "candidate", "left_semi").groupBy("key").agg(F.sum("delta").alias("shift"))
+            stale = probes.join(ready, "candidate", "left_semi").join(shifts, "key", "left_semi").select("candidate").distinct().withColumn("stale", F.lit(True))
+            scored = ready.join(marginal(touch.join(ready, "candidate", "left_semi"), shifts), "candidate", "left").join(stale, "candidate", "left").na.fill(0.0, ["marginal", "broken_pax"])
+            status = F.when(F.col("broken_pax") > allow_broken, "breaks").when(F.col("marginal") <= least, "deferred").when(F.col("stale"), "stale").otherwise("accepted")
+            new = scored.select("candidate", status.alias("status"), F.lit(turn).alias("pass"), "marginal")
+            now = _kept(now.unionByName(new))
+            open_ = _kept(open_.join(ready, "candidate", "left_anti"))
+        decided = now
+        if not decided.where(F.col("status") == "accepted").where(F.col("pass") == turn).limit(1).count():
             break
-        open_ = deferred
-    return taken
+    out = decided.join(ranks, "candidate")
+    if most:
+        early = out.where("status = 'accepted'").orderBy("pass", "rank").limit(most).select("candidate", F.lit(True).alias("__early"))
+        out = out.join(early, "candidate", "left").withColumn("status", F.when((F.col("status") == "accepted") & F.col("__early").isNull(), "over the cap").otherwise(F.col("status"))).drop("__early")
+    return out.select("candidate", "rank", "status", "pass", "marginal")
 
 
-def best_first(effects: DataFrame, candidate: str, section: str, most: int, least: float = 0.0) -> list[tuple]:
+def capped(scored: DataFrame, events: DataFrame, caps: dict[str, int], total: int) -> DataFrame:
+    """The candidates taken in order of rank, at most ``total``: each unless one of its events is used or one of its caps is full.
+
+    ``scored``: ``candidate`` (long), ``rank`` and the columns that ``caps``
+    name (each of whose values may be taken so many times); ``events``:
+    ``candidate``, ``event``.  Candidates stream to the driver in order, and it
+    keeps what it has taken and nothing else, so ``total`` bounds it.
+    """
+    names = sorted(caps)
+    rows = scored.select("candidate", "rank", *names).join(events.groupBy("candidate").agg(F.collect_set("event").alias("events")), "candidate", "left").orderBy("rank")
+    counts, used, taken = {}, set(), []
+    for r in rows.toLocalIterator():
+        if used.intersection(r["events"] or ()) or any(counts.get((n, r[n]), 0) >= caps[n] for n in names):
+            continue
+        used.update(r["events"] or ())
+        for n in names:
+            counts[n, r[n]] = counts.get((n, r[n]), 0) + 1
+        taken.append((r["candidate"],))
+        if len(taken) == total:
+            break
+    return scored.join(F.broadcast(scored.sparkSession.createDataFrame(taken, "candidate long")), "candidate", "left_semi")
+
+
+def best_first(effects: DataFrame, probes: DataFrame, most: int, least: float = 0.0) -> list[tuple]:
     """Selects candidates one by one, scoring all anew under the shifts made; ends after ``most`` or below ``least``.
 
-    Each round is one distributed scoring; only its best row comes to the driver.
+    Each round is one distributed scoring; only its best row and that one's events come to the driver.
     """
     spark, chosen, shifts = effects.sparkSession, [], {}
-    schema = f"`{section}` {effects.schema[section].dataType.simpleString()}, shift long"
+    touch = _kept(touched(effects, probes))
+    schema = f"key {probes.schema['key'].dataType.simpleString()}, shift long"
     for _ in range(most):
         table = spark.createDataFrame(list(shifts.items()), schema)
-        rest = effects.where(~F.col(candidate).isin([c for c, _ in chosen])) if chosen else effects
-        best = marginal(rest, table, candidate, section).orderBy(F.desc("marginal"), candidate).limit(1).collect()
+        rest = touch.where(~F.col("candidate").isin([c for c, _ in chosen])) if chosen else touch
+        best = marginal(rest, table).where("broken_pax = 0").orderBy(F.desc("marginal"), "candidate").limit(1).collect()
         if not best or best[0]["marginal"] <= least:
             break
-        name = best[0][candidate]
+        name = best[0]["candidate"]
         chosen.append((name, best[0]["marginal"]))
-        for r in effects.where(F.col(candidate) == name).groupBy(section).agg(F.max("change").alias("d")).collect():
-            shifts[r[section]] = shifts.get(r[section], 0) + r["d"]
+        for r in probes.where(F.col("candidate") == name).groupBy("key").agg(F.sum("delta").alias("d")).collect():
+            shifts[r["key"]] = shifts.get(r["key"], 0) + r["d"]
     return chosen
 
 
@@ -133,3 +207,30 @@ def shifted_paths(paths: DataFrame, shifts: DataFrame, least: int = 0) -> DataFr
 def deduplicated(edits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Edits in order, each physical one once."""
     return edits.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def inverse(edits: DataFrame) -> DataFrame:
+    """The edits that undo ``edits`` (``edit``, ``dep``, ``arr`` clockface minutes, ``delta``), from where these left their sections."""
+    moved = lambda c: F.pmod(F.col(c) + F.col("delta"), F.lit(120))
+    return edits.withColumns({"edit": F.concat(F.lit("undo "), F.col("edit")), "dep": moved("dep"), "arr": moved("arr")}).withColumn("delta", -F.col("delta"))
+
+
+def impacted(legs: DataFrame, edits: DataFrame) -> DataFrame:
+    """The legs of paths that ride an edited section at its old or its new minutes: ``edit`` and the columns of ``legs``.
+
+    ``legs`` and ``edits`` have ``line``, ``from_station``, ``to_station``, ``dep``, ``arr``; minutes count modulo 120.
+    """
+    both = edits.select("edit", "line", "from_station", "to_station", F.explode(F.array(F.lit(0), F.col("delta"))).alias("__by"), F.col("dep").alias("__d"), F.col("arr").alias("__a"))
+    at = both.select("edit", "line", "from_station", "to_station", F.pmod(F.col("__d") + F.col("__by"), F.lit(120)).alias("__dep"), F.pmod(F.col("__a") + F.col("__by"), F.lit(120)).alias("__arr")).distinct()
+    face = legs.withColumns({"__dep": F.pmod("dep", F.lit(120)), "__arr": F.pmod("arr", F.lit(120))})
+    return face.join(at, ["line", "from_station", "to_station", "__dep", "__arr"]).drop("__dep", "__arr")
+
+
+def attribution(hits: DataFrame, cells: DataFrame, cell: str, values: list[str], weight: str) -> DataFrame:
+    """By edit: the cells it touches, their passengers and weighted mean changes; a cell counts for each of its edits, once.
+
+    ``hits``: ``edit`` and the cell; ``cells``: the cell, ``weight`` and changes.
+    """
+    rows = hits.select("edit", cell).distinct().join(cells, cell)
+    total = F.sum(weight)
+    return rows.groupBy("edit").agg(F.count("*").alias("cells"), total.alias("pax"), *[(F.sum(F.col(v) * F.col(weight)) / F.nullif(total, F.lit(0.0))).alias(f"mean_{v}") for v in values])

@@ -59,8 +59,8 @@ def _legs(spark, sf):
     return legs
 
 
-@add("R08 F16", f"""WITH {LEGS}, s AS (SELECT path, sum(arr - dep)::DOUBLE AS r, coalesce(sum(gap) FILTER (same), 0)::DOUBLE AS d, coalesce(sum(gap) FILTER (NOT same), 0)::DOUBLE AS t, count(*) FILTER (arr = dep) AS z, count(*) FILTER (same AND gap = 0) AS k FROM g GROUP BY path)
-  SELECT path, r * (r + d - (k + z) / 3.0) / (r + d) + z / 3.0 AS rolling, d * (r + d - (k + z) / 3.0) / (r + d) + k / 3.0 AS dwell, t AS transfer, r - k / 3.0 AS plain_rolling, d + k / 3.0 AS plain_dwell FROM s""", "rolling dwell transfer plain_rolling plain_dwell")
+@add("R08 F16", f"""WITH {LEGS}, s AS (SELECT path, sum(arr - dep)::DOUBLE AS r, coalesce(sum(gap) FILTER (same), 0)::DOUBLE AS d, coalesce(sum(gap) FILTER (NOT same), 0)::DOUBLE AS t, count(*) FILTER (arr = dep) AS z, count(*) FILTER (same AND gap = 0) AS k FROM (SELECT * REPLACE (greatest(gap, 0) AS gap) FROM g) GROUP BY path)
+  SELECT path, CASE WHEN r + d = 0 THEN z / 3.0 ELSE r + z / 3.0 - (k + z) / 3.0 * r / (r + d) END AS rolling, CASE WHEN r + d = 0 THEN k / 3.0 ELSE d + k / 3.0 - (k + z) / 3.0 * d / (r + d) END AS dwell, CASE WHEN r + d = 0 THEN greatest(0, t - (k + z) / 3.0) ELSE t END AS transfer, r - k / 3.0 AS plain_rolling, d + k / 3.0 AS plain_dwell FROM s""", "rolling dwell transfer plain_rolling plain_dwell")
 def leg_time_components(spark, sf):
     legs = _legs(spark, sf).withColumns({"a": R.leg_times(F.col("legs")), "b": R.leg_times(F.col("legs"), rebalance=False)})
     return legs.select("path", "a.rolling", "a.dwell", "a.transfer", F.col("b.rolling").alias("plain_rolling"), F.col("b.dwell").alias("plain_dwell"))
@@ -157,65 +157,159 @@ def preferred_rows(spark, sf):
     return D.tiered_choice(I.read(spark, sf, "customer"), ["c_nationkey"], tier, [F.desc("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "tier")
 
 
-EFFECTS = f"{I.BOARD}, f AS (SELECT trip AS candidate, station AS section, minute % 30 AS wait, 3 + station % 4 AS least, CAST(id % 13 AS INT) - 6 AS change, pax FROM board)"
+#: Effects of moved events: every event of the board is a transfer or, every third, a near miss, between an arrival and a departure event that it shares with a few others.
+EFFECTS = f"""{I.BOARD}, f AS (SELECT id AS effect, trip, CASE WHEN id % 3 = 0 THEN 'near' ELSE 'existing' END AS source, CASE WHEN id % 2 = 0 THEN 'departure' ELSE 'arrival' END AS side, 'a' || (id // 3) AS arr_key, 'd' || (id // 5) AS dep_key,
+    CASE WHEN id % 3 = 0 THEN minute % 9 - 6 ELSE 3 + station % 4 + minute % 25 END AS wait, 3 + station % 4 AS least, CAST(id % 13 AS INT) - 6 AS delta, pax FROM board)"""
+#: A candidate for every departure event: it moves that event and one arrival event by some minutes.
+PROBES = """probes AS (SELECT c AS candidate, unnest(['d' || c, 'a' || (c * 2 + 1)]) AS key, c % 9 - 4 AS delta FROM (SELECT DISTINCT id // 5 AS c FROM board))"""
 
 
 def _effects(spark, sf):
-    return I.board(spark, sf).select(F.col("trip").alias("candidate"), F.col("station").alias("section"), (F.col("minute") % 30).alias("wait"), (3 + F.col("station") % 4).alias("least"), ((F.col("id") % 13).cast("int") - 6).alias("change"), "pax")
+    n, text = F.col("id"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return I.board(spark, sf).select(
+        n.alias("effect"), "trip", F.when(n % 3 == 0, "near").otherwise("existing").alias("source"), F.when(n % 2 == 0, "departure").otherwise("arrival").alias("side"), text("a", F.floor(n / 3)).alias("arr_key"), text("d", F.floor(n / 5)).alias("dep_key"),
+        F.when(n % 3 == 0, F.col("minute") % 9 - 6).otherwise(3 + F.col("station") % 4 + F.col("minute") % 25).alias("wait"), (3 + F.col("station") % 4).alias("least"), ((n % 13).cast("int") - 6).alias("delta"), "pax",
+    )
 
 
-KIND = "CASE WHEN wait >= least AND wait + change < least THEN 'broken' WHEN wait < least AND wait + change >= least THEN 'unlocked' WHEN wait < least THEN 'missed' WHEN change < 0 THEN 'improved' WHEN change > 0 THEN 'worsened' ELSE 'unchanged' END"
+def _probes(spark, sf):
+    c = I.board(spark, sf).select(F.floor(F.col("id") / 5).cast("long").alias("candidate")).distinct()
+    keys = F.array(F.concat(F.lit("d"), F.col("candidate").cast("string")), F.concat(F.lit("a"), (F.col("candidate") * 2 + 1).cast("string")))
+    return c.select("candidate", F.explode(keys).alias("key"), (F.col("candidate") % 9 - 4).cast("int").alias("delta"))
 
 
-@add("Z02 A07", f"""WITH {EFFECTS}, k AS (SELECT *, {KIND} AS kind FROM f), g AS (SELECT *, CASE WHEN kind = 'broken' THEN -pax * greatest(0, -change) WHEN kind IN ('improved', 'worsened') THEN -pax * change WHEN kind = 'unlocked' THEN pax * (least + 60 - wait - change) ELSE 0 END AS gain FROM k)
-  SELECT candidate, count(*) FILTER (kind = 'improved') AS improved, count(*) FILTER (kind = 'worsened') AS worsened, count(*) FILTER (kind = 'broken') AS broken, count(*) FILTER (kind = 'unlocked') AS unlocked, sum(gain) AS net, sum(greatest(gain, 0)) AS won, sum(least(gain, 0)) AS lost FROM g GROUP BY candidate""", "net won lost", "improved worsened broken unlocked", 4)
+@add("Z02 A07", f"""WITH {EFFECTS}, n AS (SELECT *, wait + CASE side WHEN 'departure' THEN delta ELSE -delta END AS neu FROM f), s AS (SELECT *, greatest(0, least - wait) - greatest(0, least - neu) AS closed FROM n),
+  g AS (SELECT *, CASE WHEN source = 'near' THEN CASE WHEN closed <= 0 THEN 'unhelped' WHEN neu >= least THEN 'unlocked' ELSE 'partly' END WHEN neu < least THEN 'broken' WHEN neu < wait THEN 'improved' WHEN neu > wait THEN 'worsened' END AS kind,
+    pax * CASE WHEN source = 'near' THEN greatest(0, closed) WHEN neu < least THEN -greatest(0, wait - neu) ELSE wait - neu END AS gain FROM s)
+  SELECT trip AS candidate, count(*) FILTER (kind = 'improved') AS improved, count(*) FILTER (kind = 'worsened') AS worsened, count(*) FILTER (kind = 'broken') AS broken, count(*) FILTER (kind = 'unlocked') AS unlocked, count(*) FILTER (kind = 'partly') AS partly,
+    sum(gain) AS net, sum(greatest(gain, 0)) AS won, sum(least(gain, 0)) AS lost, sum(CASE WHEN kind = 'broken' THEN pax ELSE 0 END) AS broken_pax FROM g GROUP BY trip""", "net won lost broken_pax", "improved worsened broken unlocked partly", 4)
 def edit_net_impact(spark, sf):
-    return Z.net_impact(_effects(spark, sf), ["candidate"])
+    return Z.net_impact(_effects(spark, sf).withColumnRenamed("trip", "candidate"), ["candidate"])
 
 
-OBJECTIVE = "CASE WHEN {0} >= least THEN -pax * ({0} - least) ELSE -pax * (least - {0} + 60) END"
+CONTRIBUTION = "pax * CASE WHEN source = 'near' THEN greatest(0, least - wait) - greatest(0, least - ({0})) WHEN ({0}) < least THEN -(least - ({0}) + 60) ELSE wait - ({0}) END"
 
 
-@add("Z03", f"""WITH {EFFECTS}, n AS (SELECT *, wait + CASE section WHEN 2 THEN 3 WHEN 5 THEN -2 ELSE 0 END AS now FROM f)
-  SELECT candidate, sum({OBJECTIVE.format('(now + change)')} - ({OBJECTIVE.format('now')})) AS marginal FROM n GROUP BY candidate""", "marginal", "", 4)
+@add("Z03 J04", f"""WITH {EFFECTS}, {PROBES}, shifts AS (SELECT 'd' || c AS key, c % 5 - 2 AS shift FROM (SELECT DISTINCT id // 5 AS c FROM board) WHERE c % 4 = 0),
+  state AS (SELECT f.*, coalesce(d.shift, 0) - coalesce(a.shift, 0) AS moved FROM f LEFT JOIN shifts d ON d.key = f.dep_key LEFT JOIN shifts a ON a.key = f.arr_key),
+  t AS (SELECT candidate, effect, sum(signed) AS change FROM (SELECT candidate, effect, p.delta AS signed FROM probes p JOIN f ON p.key = f.dep_key UNION ALL SELECT candidate, effect, -p.delta FROM probes p JOIN f ON p.key = f.arr_key) GROUP BY ALL)
+  SELECT candidate, sum({CONTRIBUTION.format('wait + moved + change')} - {CONTRIBUTION.format('wait + moved')}) AS marginal, sum(CASE WHEN source = 'existing' AND wait + moved + change < least THEN pax ELSE 0 END) AS broken_pax FROM t JOIN state USING (effect) GROUP BY candidate""", "marginal broken_pax", "", 4)
 def marginal_scores(spark, sf):
-    shifts = spark.createDataFrame([(2, 3), (5, -2)], "section long, shift int")
-    return Z.marginal(_effects(spark, sf), shifts, "candidate", "section")
+    """Every candidate's score after every fourth departure event has been moved."""
+    probes = _probes(spark, sf)
+    made = probes.where("candidate % 4 = 0 AND key LIKE 'd%'").select("key", (F.col("candidate") % 5 - 2).cast("int").alias("shift"))
+    return Z.marginal(Z.touched(_effects(spark, sf), probes), made)
 
 
-@add("Z01 T06", f"""WITH {EFFECTS}, t AS (SELECT candidate, section, wait, least, CASE WHEN section % 3 = 0 THEN NULL ELSE section % 5 END AS earlier, section % 7 AS later FROM f),
+def _ranks(spark, sf):
+    """Candidates in order of their score on the untouched timetable."""
+    effects, probes = _effects(spark, sf), _probes(spark, sf)
+    none = spark.createDataFrame([], "key string, shift int")
+    scored = Z.marginal(Z.touched(effects, probes), none).where("marginal > 0")
+    return effects, probes, scored
+
+
+@add("Z04")
+def multi_pass_selection(spark, sf):
+    """First-fit selection among all candidates of positive score, rescored as it goes."""
+    effects, probes, scored = _ranks(spark, sf)
+    # Ranks need no total order in one task: score and id tell any two apart.
+    ranks = scored.select("candidate", F.struct((-F.round("marginal", 6)).alias("score"), "candidate").alias("rank"))
+    own = probes.join(ranks.select("candidate"), "candidate", "left_semi")
+    return Z.greedy(effects, own, ranks).select("candidate", "status", "pass", F.round("marginal", 6).alias("marginal"))
+
+
+TRANSFERS = f"{I.BOARD}, f AS (SELECT trip AS candidate, station AS section, minute % 30 AS wait, 3 + station % 4 AS least FROM board)"
+
+
+def _transfers(spark, sf):
+    return I.board(spark, sf).select(F.col("trip").alias("candidate"), F.col("station").alias("section"), (F.col("minute") % 30).alias("wait"), (3 + F.col("station") % 4).alias("least"))
+
+
+@add("Z01 T06", f"""WITH {TRANSFERS}, t AS (SELECT candidate, section, wait, least, CASE WHEN section % 3 = 0 THEN NULL ELSE section % 5 END AS earlier, section % 7 AS later FROM f),
   a AS (SELECT *, unnest(['depart earlier', 'arrive earlier']) AS action FROM t) SELECT candidate, section, action, -least(10, wait - least, coalesce(CASE WHEN action = 'depart earlier' THEN earlier ELSE later END, 10)) AS delta FROM a
   WHERE least(10, wait - least, coalesce(CASE WHEN action = 'depart earlier' THEN earlier ELSE later END, 10)) > 0""", "", "delta")
 def improvement_candidates(spark, sf):
-    t = _effects(spark, sf).withColumns({"earlier": F.when(F.col("section") % 3 != 0, F.col("section") % 5), "later": F.col("section") % 7})
+    t = _transfers(spark, sf).withColumns({"earlier": F.when(F.col("section") % 3 != 0, F.col("section") % 5), "later": F.col("section") % 7})
     return Z.improvements(t, 10).select("candidate", "section", "action", "delta")
 
 
-@add("Z01 J06", f"""WITH {EFFECTS}, t AS (SELECT candidate, section, wait % 5 AS gap, least, section % 5 AS earlier, CASE WHEN section % 3 = 0 THEN NULL ELSE section % 7 END AS later FROM f), a AS (SELECT *, unnest(['depart later', 'arrive earlier']) AS action, least - gap AS need FROM t)
+@add("Z01 J06", f"""WITH {TRANSFERS}, t AS (SELECT candidate, section, wait % 5 AS gap, least, section % 5 AS earlier, CASE WHEN section % 3 = 0 THEN NULL ELSE section % 7 END AS later FROM f), a AS (SELECT *, unnest(['depart later', 'arrive earlier']) AS action, least - gap AS need FROM t)
   SELECT candidate, section, action, CASE WHEN action = 'depart later' THEN need ELSE -need END AS delta FROM a WHERE need > 0 AND need <= 10 AND need <= coalesce(CASE WHEN action = 'depart later' THEN later ELSE earlier END, 10)""", "", "delta")
 def unlock_candidates(spark, sf):
-    t = _effects(spark, sf).select("candidate", "section", (F.col("wait") % 5).alias("gap"), "least", (F.col("section") % 5).alias("earlier"), F.when(F.col("section") % 3 != 0, F.col("section") % 7).alias("later"))
+    t = _transfers(spark, sf).select("candidate", "section", (F.col("wait") % 5).alias("gap"), "least", (F.col("section") % 5).alias("earlier"), F.when(F.col("section") % 3 != 0, F.col("section") % 7).alias("later"))
     return Z.unlocks(t, 10).select("candidate", "section", "action", "delta")
 
 
-@add("Z04 Z07 Z08")
+#: Three rounds of scoring, unrolled: the best candidate of each round moves its events for the next.
+def _round(n: int) -> str:
+    made = " UNION ALL ".join(f"SELECT key, delta FROM probes JOIN b{k} USING (candidate)" for k in range(1, n)) or "SELECT '' AS key, 0 AS delta"
+    gone = " UNION ALL ".join(f"SELECT candidate FROM b{k}" for k in range(1, n)) or "SELECT -1 AS candidate"
+    return f"""m{n} AS (SELECT key, sum(delta) AS shift FROM ({made}) GROUP BY key), v{n} AS (SELECT f.*, coalesce(d.shift, 0) - coalesce(a.shift, 0) AS moved FROM f LEFT JOIN m{n} d ON d.key = f.dep_key LEFT JOIN m{n} a ON a.key = f.arr_key),
+  b{n} AS (SELECT * FROM (SELECT candidate, sum({CONTRIBUTION.format('wait + moved + change')} - {CONTRIBUTION.format('wait + moved')}) AS marginal, sum(CASE WHEN source = 'existing' AND wait + moved + change < least THEN pax ELSE 0 END) AS broken FROM t JOIN v{n} USING (effect) WHERE candidate NOT IN ({gone}) GROUP BY candidate)
+    WHERE broken = 0 AND marginal > 0 ORDER BY marginal DESC, candidate LIMIT 1)"""
+
+
+@add("Z07", f"""WITH {EFFECTS}, {PROBES}, t AS (SELECT candidate, effect, sum(signed) AS change FROM (SELECT candidate, effect, p.delta AS signed FROM probes p JOIN f ON p.key = f.dep_key UNION ALL SELECT candidate, effect, -p.delta FROM probes p JOIN f ON p.key = f.arr_key) GROUP BY ALL),
+  {_round(1)}, {_round(2)}, {_round(3)} SELECT 1 AS selection_order, candidate, marginal FROM b1 UNION ALL SELECT 2, candidate, marginal FROM b2 UNION ALL SELECT 3, candidate, marginal FROM b3""", "marginal", "selection_order")
 def best_first_edits(spark, sf):
     """Three edits chosen one by one, each scored under those before it."""
-    chosen = Z.best_first(_effects(spark, sf), "candidate", "section", 3)
+    chosen = Z.best_first(_effects(spark, sf), _probes(spark, sf), 3)
     return spark.createDataFrame([(i + 1, c, float(m)) for i, (c, m) in enumerate(chosen)], "selection_order int, candidate long, marginal double")
 
 
-@add("Z05 Z06")
+@add("Z08")
+def capped_selection(spark, sf):
+    """Forty candidates of the best score whose events are free: at most fifteen of a year and six of a line in it."""
+    effects, probes, scored = _ranks(spark, sf)
+    named = scored.select("candidate", F.struct((-F.round("marginal", 6)).alias("score"), "candidate").alias("rank"), (F.col("candidate") % 2).alias("year"), (F.col("candidate") % 14).alias("line_of_year"), F.round("marginal", 6).alias("marginal"))
+    events = probes.select("candidate", F.col("key").alias("event"))
+    return Z.capped(named, events, {"year": 15, "line_of_year": 6}, 40).select("candidate", "year", "line_of_year", "marginal")
+
+
+@add("Z05 Z06 R08", f"""WITH {I.BOARD}, l AS (SELECT trip AS path, id, service AS trip, minute AS dep0, minute + id % 4 AS arr0, CASE service WHEN 'view' THEN -1 WHEN 'purchase' THEN 2 ELSE 0 END AS moved FROM board),
+  o AS (SELECT *, dep0 + moved AS dep, arr0 + moved AS arr FROM l), g AS (SELECT *, lead(dep) OVER w - arr AS gap, lead(trip) OVER w = trip AS same, row_number() OVER w AS i, count(*) OVER (PARTITION BY path) AS n FROM o WINDOW w AS (PARTITION BY path ORDER BY dep0, id)),
+  s AS (SELECT path, bool_and(coalesce(gap, 0) >= 0) AS feasible, max(arr) FILTER (i = n) - max(dep) FILTER (i = 1) - max(arr0) FILTER (i = n) + max(dep0) FILTER (i = 1) AS change, sum(arr - dep)::DOUBLE AS r,
+    coalesce(sum(greatest(gap, 0)) FILTER (same), 0)::DOUBLE AS d, coalesce(sum(greatest(gap, 0)) FILTER (NOT same), 0)::DOUBLE AS t, (count(*) FILTER (arr = dep)) / 3.0 AS z, (count(*) FILTER (same AND gap <= 0)) / 3.0 AS k FROM g GROUP BY path)
+  SELECT path, feasible, change, CASE WHEN r + d = 0 THEN z ELSE r + z - (z + k) * r / (r + d) END AS rolling, CASE WHEN r + d = 0 THEN k ELSE d + k - (z + k) * d / (r + d) END AS dwell, CASE WHEN r + d = 0 THEN greatest(0, t - z - k) ELSE t END AS transfer FROM s""", "rolling dwell transfer", "change")
 def paths_under_shifts(spark, sf):
+    """All paths under shifts of two services: whether they still hold, what they take, and its parts."""
     shifts = spark.createDataFrame([("view", -1), ("purchase", 2)], "trip string, shift int")
     return Z.shifted_paths(_legs(spark, sf), shifts).select("path", "feasible", "change", "times.rolling", "times.dwell", "times.transfer")
 
 
-@add("J05 Z09 Z10", f"""WITH {LEGS}, c AS (SELECT candidate, trip, dep % 120 AS m FROM (VALUES (1, 'view', 60), (2, 'purchase', 60), (3, 'view', 61)) AS t(candidate, trip, dep)) SELECT candidate, count(DISTINCT path) AS paths, count(*) AS hits FROM l JOIN c ON l.trip = c.trip AND l.dep % 120 = c.m GROUP BY 1""", "", "candidate paths hits")
-def sections_of_candidates(spark, sf):
-    c = spark.createDataFrame([(1, "view", 60), (2, "purchase", 60), (3, "view", 61)], "candidate int, trip string, m int")
-    legs = _legs(spark, sf).select("path", F.explode("legs").alias("leg")).select("path", "leg.trip", (F.col("leg.dep") % 120).alias("m"))
-    return legs.join(F.broadcast(c), ["trip", "m"]).groupBy("candidate").agg(F.countDistinct("path").alias("paths"), F.count("*").alias("hits"))
+#: An edit for each line, station and minute at which events of one type stand, derived from every board row of a purchase.
+MOVED = f"""{I.BOARD}, legs AS (SELECT id, trip AS path, 'L' || line AS line, 'S' || station AS from_station, 'S' || (station + 1) % 11 AS to_station, minute AS dep, minute + CAST(id % 4 AS INT) AS arr, pax FROM board),
+  edits AS (SELECT DISTINCT line || from_station || '@' || dep % 120 || '-' || arr % 120 AS edit, line, from_station, to_station, dep % 120 AS dep, arr % 120 AS arr, CAST(hash_of AS INT) AS delta FROM (SELECT *, dep % 7 - 3 AS hash_of FROM legs WHERE line = 'L2')),
+  faces AS (SELECT DISTINCT edit, line, from_station, to_station, (dep + moved + 120) % 120 AS dep, (arr + moved + 120) % 120 AS arr FROM (SELECT *, unnest([0, delta]) AS moved FROM edits)),
+  hits AS (SELECT edit, l.* FROM legs l JOIN faces e ON l.line = e.line AND l.from_station = e.from_station AND l.to_station = e.to_station AND l.dep % 120 = e.dep AND l.arr % 120 = e.arr)"""
+
+
+def _moved(spark, sf):
+    station = lambda k: F.concat(F.lit("S"), ((F.col("station") + k) % 11).cast("string"))
+    legs = I.board(spark, sf).select(F.col("id"), F.col("trip").alias("path"), F.concat(F.lit("L"), F.col("line").cast("string")).alias("line"), station(0).alias("from_station"), station(1).alias("to_station"), F.col("minute").alias("dep"), (F.col("minute") + (F.col("id") % 4).cast("int")).alias("arr"), "pax")
+    face = lambda c: (F.col(c) % 120).cast("string")
+    edits = legs.where("line = 'L2'").select(F.concat("line", "from_station", F.lit("@"), face("dep"), F.lit("-"), face("arr")).alias("edit"), "line", "from_station", "to_station", (F.col("dep") % 120).alias("dep"), (F.col("arr") % 120).alias("arr"), (F.col("dep") % 7 - 3).alias("delta")).distinct()
+    return legs, edits
+
+
+@add("Z09 F02", f"WITH {MOVED} SELECT 'undo ' || edit AS edit, line, from_station, to_station, (dep + delta + 120) % 120 AS dep, (arr + delta + 120) % 120 AS arr, -delta AS delta FROM edits", "", "dep arr delta")
+def inverse_edits(spark, sf):
+    return Z.inverse(_moved(spark, sf)[1])
+
+
+@add("Z09 J05", f"WITH {MOVED} SELECT path, count(DISTINCT edit) AS edits, count(*) AS legs, min(dep) AS first FROM hits GROUP BY path", "", "edits legs first")
+def impacted_paths(spark, sf):
+    """Paths that ride a section of an edit, at its old or new minutes."""
+    return Z.impacted(*_moved(spark, sf)).groupBy("path").agg(F.countDistinct("edit").alias("edits"), F.count("*").alias("legs"), F.min("dep").alias("first"))
+
+
+@add("Z10 A02", f"""WITH {MOVED}, cells AS (SELECT path, sum(pax) AS weight, avg(arr - dep) AS total, avg(dep % 10) AS wait FROM legs GROUP BY path)
+  SELECT edit, count(*) AS cells, sum(weight) AS pax, sum(total * weight) / sum(weight) AS mean_total, sum(wait * weight) / sum(weight) AS mean_wait FROM (SELECT DISTINCT edit, path FROM hits) JOIN cells USING (path) GROUP BY edit""", "pax mean_total mean_wait", "cells")
+def edit_attribution(spark, sf):
+    legs, edits = _moved(spark, sf)
+    cells = legs.groupBy("path").agg(F.sum("pax").alias("weight"), F.avg(F.col("arr") - F.col("dep")).alias("total"), F.avg(F.col("dep") % 10).alias("wait"))
+    return Z.attribution(Z.impacted(legs, edits), cells, "path", ["total", "wait"], "weight")
 
 
 def _surface(spark, sf, shift=0.0):
