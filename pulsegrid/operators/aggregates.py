@@ -110,10 +110,15 @@ def shares_within(df: DataFrame, group: str, flow: str, service: str) -> DataFra
 
 
 def largest_remainder(df: DataFrame, group: str, total: str, weight: str, name: str) -> DataFrame:
-    """Whole units of ``total`` by weight; what is left goes to the largest fraction, then weight, then name, descending."""
+    """Whole units of ``total`` by weight; what is left goes to the largest fraction, then weight, then name, descending.
+
+    Negative weights count as none; a group without weight is split equally.
+    """
     by = Window.partitionBy(group)
-    exact = F.col(total) * F.col(weight) / F.nullif(F.sum(weight).over(by), F.lit(0))
-    out = df.withColumn("exact", exact).withColumn("whole", F.floor("exact"))
+    own = F.greatest(F.col(weight), F.lit(0))
+    some = F.sum(own).over(by)
+    exact = F.greatest(F.col(total), F.lit(0)) * F.when(some > 0, own / some).otherwise(1.0 / F.count("*").over(by))
+    out = df.withColumn("exact", exact).withColumn("whole", F.floor(F.col("exact") + 1e-12))
     out = out.withColumn("left", F.col(total) - F.sum("whole").over(by))
     place = F.row_number().over(by.orderBy(F.bround(F.col("exact") - F.col("whole"), 9).desc(), F.col(weight).desc(), F.col(name).desc()))
     return out.withColumn("units", (F.col("whole") + F.when(place <= F.col("left"), 1).otherwise(0)).cast("long")).drop("exact", "whole", "left")

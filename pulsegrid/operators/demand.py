@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as S
 from .aggregates import correlation
 from .joins import bounded
 
@@ -30,9 +31,9 @@ def sweeps(df: DataFrame, keys: list[str], seed: str, row_target: str, column_ta
 
 
 def fitted_matrix(seed: np.ndarray, rows: np.ndarray, columns: np.ndarray, tolerance: float, most: int, relative: bool = True, every: int = 1) -> tuple[np.ndarray, int, float]:
-    """The balanced matrix, the iterations taken and the largest error of a row sum."""
+    """The balanced matrix, the iterations taken and the largest error of any row or column sum; a side without a target is emptied."""
     x, error, n = seed.astype(float).copy(), np.inf, 0
-    scale = np.maximum(rows, 1e-12) if relative else 1.0
+    r_scale, c_scale = (np.maximum(t, 1e-12) if relative else 1.0 for t in (rows, columns))
     while n < most:
         n += 1
         total = x.sum(1)
@@ -40,14 +41,23 @@ def fitted_matrix(seed: np.ndarray, rows: np.ndarray, columns: np.ndarray, toler
         total = x.sum(0)
         x *= np.divide(columns, total, out=np.zeros_like(total), where=total > 0)
         if n % every == 0:
-            error = float(np.max(np.abs(x.sum(1) - rows) / scale, initial=0.0))
+            error = float(max(np.max(np.abs(x.sum(1) - rows) / r_scale, initial=0.0), np.max(np.abs(x.sum(0) - columns) / c_scale, initial=0.0)))
             if error <= tolerance:
                 break
     return x, n, error
 
 
-def balanced(df: DataFrame, key: str, seed: str, row_target: str, column_target: str, tolerance: float = 1e-8, most: int = 8000, relative: bool = True) -> DataFrame:
-    """Doubly constrained fitting to convergence for each ``key``: ``value``, ``iterations``, ``error``."""
+#: The three ways of fitting: tolerance, most iterations, whether errors are relative, and after how many iterations they are looked at (fixed values).
+FITS = {"absolute": (1e-8, 500, False, 1), "throughput": (1e-8, 8000, True, 5), "shrunk": (1e-8, 350, True, 25)}
+
+
+def balanced(df: DataFrame, key: str, seed: str, row_target: str, column_target: str, fit: str = "throughput", active: str | None = None) -> DataFrame:
+    """Doubly constrained fitting for each ``key`` by one of ``FITS``: ``value``, ``iterations``, ``error``.
+
+    Cells that ``active`` denies are empty.  Targets are met as they are given:
+    row and column targets of unequal sums leave an error, which is reported.
+    """
+    tolerance, most, relative, every = FITS[fit]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         o, oi = np.unique(frame["origin"].to_numpy(), return_inverse=True)
@@ -56,14 +66,31 @@ def balanced(df: DataFrame, key: str, seed: str, row_target: str, column_target:
             raise ValueError(f"a matrix of {len(o)} by {len(d)} cells; fit regions of it, or use sweeps()")
         x, rows, columns = np.zeros((len(o), len(d))), np.zeros(len(o)), np.zeros(len(d))
         x[oi, di], rows[oi], columns[di] = frame["__seed"], frame["__row"], frame["__column"]
-        x, n, error = fitted_matrix(x, rows, columns * (rows.sum() / columns.sum() if columns.sum() else 1.0), tolerance, most, relative)
+        x, n, error = fitted_matrix(x, rows, columns, tolerance, most, relative, every)
         return pd.DataFrame({key: frame[key], "origin": frame["origin"], "destination": frame["destination"], "value": x[oi, di], "iterations": n, "error": error})
 
     kind = df.schema[key].dataType.simpleString()
-    source = df.select(key, "origin", "destination", F.col(seed).cast("double").alias("__seed"), F.col(row_target).cast("double").alias("__row"), F.col(column_target).cast("double").alias("__column"))
+    cell = F.col(seed).cast("double")
+    cell = F.when(F.col(active), cell).otherwise(0.0) if active else cell
+    source = df.select(key, "origin", "destination", cell.alias("__seed"), F.col(row_target).cast("double").alias("__row"), F.col(column_target).cast("double").alias("__column"))
     return source.groupBy(key).applyInPandas(run, f"{key} {kind}, origin string, destination string, value double, iterations int, error double")
 
 
+def throughput_seeds(df: DataFrame, keys: list[str], seed: str, target_o: str, target_d: str) -> DataFrame:
+    """Seeds and targets for fitting to station throughput: half of it out, half in, nothing on the diagonal, and no cell off it empty.
+
+    Fails where a station has more than half of all throughput, which no matrix
+    without a diagonal can meet.
+    """
+    stations = df.select(*keys, F.col("origin").alias("__s"), F.col(target_o).alias("__t")).distinct()
+    total = stations.groupBy(*keys).agg(F.sum("__t").alias("__all"))
+    out = df.join(total, list(keys)) if keys else df.crossJoin(F.broadcast(total))
+    too_much = F.col(target_o) > F.col("__all") - F.col(target_o) + 1e-9
+    checked = F.when(too_much, F.raise_error(F.concat(F.lit("more than half of all throughput at "), F.col("origin"))).cast("double")).otherwise(0.5 * F.col(target_o))
+    cell = F.when(F.col("origin") == F.col("destination"), 0.0).otherwise(F.greatest(F.col(seed), F.lit(1e-12)))
+    return out.withColumns({"seed": cell, "row_target": checked, "column_target": 0.5 * F.col(target_d)}).drop("__all")
+
+
 def marginals(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The table with its row and column sums as ``row_sum`` and ``column_sum``."""
     return df.withColumns({"row_sum": F.sum(value).over(Window.partitionBy(*keys, "origin")), "column_sum": F.sum(value).over(Window.partitionBy(*keys, "destination"))})
@@ -87,6 +114,29 @@ def log_slope(df: DataFrame, keys: list[str], x: str, y: str, weight: str) -> Da
     return s.select(*keys, "n", F.greatest(F.lit(0.01), -slope).alias("beta"), ((F.col("y") - slope * F.col("x")) / F.col("w")).alias("intercept"), F.greatest(F.lit(0.0), r2).alias("r2"))
 
 
+def cost_sensitivity(df: DataFrame, flow: str, cost: str) -> DataFrame:
+    """The fall of flow with cost: the weighted slope of ln(flow / flow expected of independence) on ln(cost)."""
+    good = df.where((F.col(flow) > 0) & (F.col(cost) > 0))
+    m = marginals(good, [], flow)
+    total = good.agg(F.sum(flow).alias("__all"))
+    x = m.crossJoin(F.broadcast(total)).withColumns({"residual": F.col(flow) * F.col("__all") / (F.col("row_sum") * F.col("column_sum")), "root": F.sqrt(flow)})
+    return log_slope(x, [], cost, "residual", "root")
+
+
+#: Published coefficients of the log-linear estimate of a station's daily passengers: constant, population, lines, both (fixed values).
+VOLUME = (-1.795817, 0.691244, 3.936396, -0.197348)
+
+
+def estimated_volume(population: Column, lines: Column) -> Column:
+    a, b = F.log1p(population), F.log1p(lines)
+    return F.expm1(VOLUME[0] + VOLUME[1] * a + VOLUME[2] * b + VOLUME[3] * a * b)
+
+
+def imputed_volume(observed: Column, exact: Column, population: Column, lines: Column) -> Column:
+    """The observed volume of an exactly matched station, else the rounded estimate."""
+    return F.when(exact & observed.isNotNull(), observed).otherwise(F.bround(estimated_volume(population, lines), 0))
+
+
 def grid_search(pairs: DataFrame, grid: DataFrame, model: Column, observed: str, keys: list[str]) -> DataFrame:
     """The best parameters of a bounded grid: least median APE, then share beyond 30 %, then MAPE, then greatest r².
 
@@ -108,20 +158,169 @@ def random_candidates(spark, count: int, bounds: dict[str, tuple[float, float]],
     return spark.createDataFrame(pd.DataFrame({"candidate": range(count), **draws}))
 
 
-def projected_seed(df: DataFrame, base: str, growth_o: str, growth_d: str, cost_then: str, cost_now: str, beta: float) -> DataFrame:
-    """Scaled demand of another year: geometric mean of growth, times the cost ratio to beta, never nothing."""
-    value = F.col(base) * F.sqrt(F.col(growth_o) * F.col(growth_d)) * F.pow(F.col(cost_then) / F.col(cost_now), F.lit(beta))
-    return df.withColumn("projected", F.greatest(F.lit(1e-12), value))
+#: Bounds of the gravity model's parameters (fixed values).
+GRAVITY = {
+    "origin_pop_exp": (0.20, 1.80), "dest_pop_exp": (0.20, 1.80), "origin_lines_exp": (0.00, 1.20), "dest_lines_exp": (0.00, 1.20), "freq_coef": (0.00, 1.40), "dist_log_coef": (0.20, 2.50),
+    "fastest_coef": (0.000, 0.060), "wait_coef": (0.000, 0.120), "rolling_coef": (0.000, 0.050), "dwell_coef": (0.000, 0.040), "transfer_coef": (0.000, 0.180), "hub_transfer_bonus": (0.00, 0.80),
+}
+LOG_BOUND = 60.0
 
 
-def induced(df: DataFrame, access_before: str, access_after: str, elasticity: float, low: float = 0.7, high: float = 1.8) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.exp(elasticity * (F.ln(access_after) - F.ln(access_before)))))
+def gravity_throughput(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Throughput of each station under each candidate's parameters: ``candidate``, ``station``, ``hub``, ``observed``, ``modelled``.
 
+    ``pairs``: ``origin``, ``destination``, and for either end (``o_``, ``d_``)
+    ``pop``, ``lines``, ``hub`` (0 to 1) and ``observed``; ``freq``, ``km``,
+    ``fastest``, ``wait``, ``rolling``, ``dwell``, ``transfer``.  Candidates are
+    a bounded table; a pair meets each of them and goes to both its stations,
+    summed before anything is shuffled.
+    """
+    term = lambda name, c: F.col(name) * c
+    log = (
+        term("freq_coef", F.log1p(F.greatest("freq", F.lit(0.0)))) - term("dist_log_coef", F.log1p(F.greatest("km", F.lit(0.0)))) - term("fastest_coef", F.col("fastest")) - term("wait_coef", F.col("wait"))
+        - term("rolling_coef", F.col("rolling")) - term("dwell_coef", F.col("dwell")) - term("transfer_coef", F.col("transfer"))
+        + term("origin_pop_exp", F.log1p("o_pop")) + term("origin_lines_exp", F.log1p("o_lines")) + term("dest_pop_exp", F.log1p("d_pop")) + term("dest_lines_exp", F.log1p("d_lines"))
+    )
+    flow = F.exp(F.greatest(F.lit(-LOG_BOUND), F.least(F.lit(LOG_BOUND), log)))
+    met = pairs.where("origin <> destination").crossJoin(F.broadcast(bounded(candidates))).withColumn("flow", flow)
+    end = lambda s, p: F.struct(F.col(s).alias("station"), F.col(f"{p}_hub").alias("hub"), F.col(f"{p}_observed").alias("observed"))
+    each = met.select("candidate", "hub_transfer_bonus", "flow", F.explode(F.array(end("origin", "o"), end("destination", "d"))).alias("s")).select("candidate", "hub_transfer_bonus", "flow", "s.*")
+    out = each.groupBy("candidate", "hub_transfer_bonus", "station", "hub", "observed").agg(F.sum("flow").alias("flow"))
+    return out.select("candidate", "station", "hub", "observed", (F.col("flow") * (1 + F.col("hub_transfer_bonus") * F.col("hub"))).alias("modelled"))
+
+
+def candidate_metrics(throughput: DataFrame) -> DataFrame:
+    """By candidate, against observed stations: the least-squares ``scale``, then errors of the scaled model, r² and the ``score`` (relative RMSE and half the MAPE)."""
+    good = throughput.where("observed IS NOT NULL")
+    eps = F.lit(1e-12)
+    scaled = good.groupBy("candidate").agg(F.greatest(F.sum(F.col("observed") * F.col("modelled")) / (F.sum(F.col("modelled") * F.col("modelled")) + eps), eps).alias("scale"), F.avg("observed").alias("mean"))
+    wrong = F.col("modelled") * F.col("scale") - F.col("observed")
+    rows = good.join(F.broadcast(scaled), "candidate").withColumns({"wrong": wrong, "off": F.col("observed") - F.col("mean")})
+    out = rows.groupBy("candidate", "scale", "mean").agg(
+        F.avg(F.abs("wrong")).alias("mae"), F.sqrt(F.avg(F.col("wrong") * F.col("wrong"))).alias("rmse"), (100 * F.avg(F.abs("wrong") / F.greatest("observed", eps))).alias("mape"),
+        F.sum(F.col("wrong") * F.col("wrong")).alias("__res"), F.sum(F.col("off") * F.col("off")).alias("__tot"),
+    )
+    out = out.withColumns({"nrmse": F.col("rmse") / F.greatest("mean", eps), "r2": F.when(F.col("__tot") > eps, 1 - F.col("__res") / F.col("__tot"))})
+    return out.withColumn("score", F.col("nrmse") + 0.5 * F.col("mape") / 100).drop("mean", "__res", "__tot")
+
+
+def year_targets(stations: DataFrame) -> DataFrame:
+    """Origin and destination targets of a year: the base year's sums by population growth, nothing where inactive, both scaled to their mean total.
+
+    ``stations``: ``station``, ``outbound``, ``inbound``, ``pop_base``, ``pop_year``, ``active``.
+    """
+    growth = F.when(F.col("active"), F.col("pop_year") / F.greatest("pop_base", F.lit(1))).otherwise(0.0)
+    raw = stations.withColumns({"__o": F.coalesce("outbound", F.lit(0.0)) * growth, "__d": F.coalesce("inbound", F.lit(0.0)) * growth})
+    total = raw.agg(F.sum("__o").alias("__so"), F.sum("__d").alias("__sd"))
+    mean = F.when((F.col("__so") > 0) & (F.col("__sd") > 0), (F.col("__so") + F.col("__sd")) / 2).otherwise(F.greatest("__so", "__sd"))
+    scaled = lambda v, s: F.when(F.col(s) > 0, F.col(v) * mean / F.col(s)).otherwise(0.0)
+    return raw.crossJoin(F.broadcast(total)).withColumns({"origin_target": scaled("__o", "__so"), "destination_target": scaled("__d", "__sd")}).drop("__o", "__d", "__so", "__sd")
 
-def cluster_flows(df: DataFrame, flow: str, o_cluster: str, d_cluster: str, o_share: str, d_share: str, within: Column) -> DataFrame:
-    """Cluster flows to stations by the shares at either end; flows within a cluster are attenuated."""
-    part = F.col(flow) * F.col(o_share) * F.col(d_share)
-    return df.withColumn("value", F.when(F.col(o_cluster) == F.col(d_cluster), part * within).otherwise(part))
+
+def historical_seed(base: Column, cost_then: Column, cost_now: Column, beta: float) -> Column:
+    """Another year's seed: the base flow by the ratio of costs to the power of the sensitivity, never nothing."""
+    return F.greatest(F.lit(1e-12), base * F.pow(cost_then / cost_now, F.lit(beta)))
+
+
+#: Fixed bounds of ratios in the projection: paths, waits, population.
+RATIOS = {"paths": (0.5, 2.5), "wait": (0.5, 2.5), "population": (0.5, 3.0)}
+
+
+def projected(pairs: DataFrame, service: float = 0.5, wait: float = 0.0, smoothing: float = 1.0, bounds: dict = RATIOS) -> DataFrame:
+    """Seeds of a later year: demand by growth of both ends, by the ratio of path counts and by that of waits, each bounded.
+
+    ``pairs`` (off the diagonal): ``w``, ``growth_o``, ``growth_d``, ``paths``
+    (the ratio of path counts), ``wait_then``, ``wait_now`` (null: the median of
+    pairs that have both).  Adds ``path_ratio``, ``wait_ratio`` and ``seed``, at
+    least a billionth of the median positive seed.
+    """
+    known = F.col("wait_then").isNotNull() & F.col("wait_now").isNotNull()
+    median = lambda c: F.percentile(F.when(known, F.col(c)), 0.5)
+    filled = pairs.agg(F.coalesce(median("wait_then"), F.lit(10.0)).alias("__then"), F.coalesce(median("wait_now"), F.lit(10.0)).alias("__now"))
+    at = lambda c, m: F.greatest(F.coalesce(c, m), F.lit(0.0)) + smoothing
+    bound = lambda c, k: F.greatest(F.lit(bounds[k][0]), F.least(F.lit(bounds[k][1]), c))
+    out = pairs.crossJoin(F.broadcast(filled)).withColumns({
+        "path_ratio": bound(F.col("paths"), "paths"), "wait_ratio": bound(at("wait_now", "__now") / F.greatest(at("wait_then", "__then"), F.lit(1e-12)), "wait"),
+        "growth_o": bound(F.col("growth_o"), "population"), "growth_d": bound(F.col("growth_d"), "population"),
+    }).drop("__then", "__now")
+    raw = F.greatest("w", F.lit(0.0)) * F.sqrt(F.col("growth_o") * F.col("growth_d")) * F.pow("path_ratio", F.lit(service)) * F.pow("wait_ratio", F.lit(wait))
+    out = out.withColumn("seed", raw)
+    least = out.agg(F.greatest(F.coalesce(F.percentile(F.when(F.col("seed") > 0, F.col("seed")), 0.5), F.lit(1.0)) * 1e-9, F.lit(1e-12)).alias("__least"))
+    return out.crossJoin(F.broadcast(least)).withColumn("seed", F.greatest("seed", "__least")).drop("__least")
+
+
+def projected_targets(pairs: DataFrame, volume: DataFrame, service: float = 0.5, wait: float = 0.0, bounds: dict = RATIOS) -> DataFrame:
+    """Station targets of a later year: throughput by growth, and by the geometric mean of the flow-weighted ratios out and in.
+
+    ``pairs``: as ``projected`` gives them; ``volume``: ``station``, ``volume``,
+    which stands in for the throughput of a station without flow, whose ratios
+    are then the medians of its pairs.
+    """
+    side = lambda s, g, n: pairs.groupBy(F.col(s).alias("station")).agg(
+        F.sum("w").alias(f"{n}_w"), F.max(g).alias(f"{n}_g"),
+        *[F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col(r)) / F.sum("w")).otherwise(F.percentile(r, 0.5)).alias(f"{n}_{r}") for r in ("path_ratio", "wait_ratio")],
+    )
+    both = side("origin", "growth_o", "o").join(side("destination", "growth_d", "d"), "station").join(volume, "station", "left")
+    ratio = lambda r, k: F.greatest(F.lit(bounds[k][0]), F.least(F.lit(bounds[k][1]), F.sqrt(F.greatest(f"o_{r}", F.lit(1e-12)) * F.greatest(f"d_{r}", F.lit(1e-12)))))
+    flow = F.col("o_w") + F.col("d_w")
+    out = both.withColumns({"throughput": F.when(flow > 0, flow).otherwise(F.greatest(F.coalesce("volume", F.lit(0.0)), F.lit(0.0))), "path_ratio": ratio("path_ratio", "paths"), "wait_ratio": ratio("wait_ratio", "wait")})
+    return out.select("station", "throughput", "path_ratio", "wait_ratio", (F.col("throughput") * F.col("o_g") * F.pow("path_ratio", F.lit(service)) * F.pow("wait_ratio", F.lit(wait))).alias("target"))
+
+
+def induced(stations: DataFrame, origin: float, destination: float, low: float = 0.7, high: float = 1.8, keep_total: bool = True) -> DataFrame:
+    """Station targets after a change of access: a bounded factor by either elasticity, their geometric mean, and the old total again if it is kept.
+
+    ``stations``: ``before``, ``after`` (access), ``target``.
+    """
+    change = F.ln(F.greatest("after", F.lit(1e-12))) - F.ln(F.greatest("before", F.lit(1e-12)))
+    one = lambda e: F.greatest(F.lit(low), F.least(F.lit(high), F.exp(e * change)))
+    out = stations.withColumn("factor", F.sqrt(one(origin) * one(destination))).withColumn("adjusted", F.greatest(F.col("target") * F.col("factor"), F.lit(0.0)))
+    if not keep_total:
+        return out
+    total = out.agg((F.sum("target") / F.nullif(F.sum("adjusted"), F.lit(0.0))).alias("__by"))
+    return out.crossJoin(F.broadcast(total)).withColumn("adjusted", F.col("adjusted") * F.coalesce("__by", F.lit(1.0))).drop("__by")
+
+
+def corrected_targets(stations: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """Targets of two years without overconfident estimates: ``now`` and ``later``.
+
+    Exactly observed stations keep theirs.  Others take the geometric blend with
+    the raw model now, and later keep their rise on the corrected target; a
+    station that is new later takes its blend then.  ``stations``: ``exact_now``,
+    ``target_now``, ``model_now``, ``exact_later``, ``target_later``, ``model_later``; null now: new later.
+    """
+    blend = lambda t, m: F.when((t > 0) & (m > 0), F.exp(alpha * F.ln(t) + (1 - alpha) * F.ln(m))).otherwise(F.greatest(t, m, F.lit(0.0)))
+    now = F.when(F.col("exact_now"), F.col("target_now")).otherwise(blend(F.col("target_now"), F.col("model_now")))
+    rise = F.col("target_later") / F.greatest("target_now", F.lit(1e-12))
+    later = F.when(F.col("exact_later"), F.col("target_later")).when(F.col("target_now") > 0, now * rise).otherwise(blend(F.col("target_later"), F.col("model_later")))
+    return stations.withColumns({"now": now, "later": later})
+
+
+def cluster_flows(master: DataFrame, stations: DataFrame, selected: DataFrame, scale: float) -> DataFrame:
+    """Weights of selected station pairs from flows between clusters.
+
+    ``master``: ``origin``, ``destination``, ``trips``; ``stations``: ``station``,
+    ``cluster`` (others are a cluster of their own); ``selected``: ``station``,
+    ``cluster``, ``out_share``, ``in_share``, ``x``, ``y``.  Between clusters the
+    flow of all their stations is dealt out by shares; within one, the pair's own
+    flow stays, less by ``min(1, distance / scale)``.
+    """
+    side = lambda s: stations.select(F.col("station").alias(s), F.col("cluster").alias(f"{s}_cluster"))
+    own = lambda s: F.coalesce(f"{s}_cluster", F.concat(F.lit("station:"), s))
+    named = master.join(side("origin"), "origin", "left").join(side("destination"), "destination", "left").select("origin", "destination", "trips", own("origin").alias("oc"), own("destination").alias("dc"))
+    between = named.where("oc <> dc").groupBy("oc", "dc").agg(F.sum("trips").alias("flow"))
+    o, d = (bounded(selected).select(F.col("station").alias(n), F.col("cluster").alias(c), F.col(share).alias(f"__{n}"), F.col("x").alias(f"{n}_x"), F.col("y").alias(f"{n}_y")) for n, c, share in (("origin", "oc", "out_share"), ("destination", "dc", "in_share")))
+    far = between.join(o, "oc").join(d, "dc").select("origin", "destination", F.lit("between").alias("method"), (F.col("flow") * F.col("__origin") * F.col("__destination")).alias("weight"))
+    km = F.sqrt(F.pow(F.col("origin_x") - F.col("destination_x"), 2) + F.pow(F.col("origin_y") - F.col("destination_y"), 2))
+    near = named.where("oc = dc AND origin <> destination").groupBy("origin", "destination").agg(F.sum("trips").alias("trips"))
+    near = near.join(o, "origin").join(d, "destination").select("origin", "destination", F.lit("within").alias("method"), (F.col("trips") * S.attenuation(km, scale)).alias("weight"))
+    return far.unionByName(near)
+
+
+def growth(population: DataFrame, region: str, year: str, value: str, reference: int) -> DataFrame:
+    """Each region and year's population over that of the reference year."""
+    ref = population.where(F.col(year) == reference).select(region, F.col(value).alias("__ref"))
+    return population.join(ref, region).withColumn("growth", F.col(value) / F.nullif(F.col("__ref"), F.lit(0))).drop("__ref")
 
 
 def tiered_choice(df: DataFrame, keys: list[str], tiers: Column, order: list) -> DataFrame:

@@ -69,14 +69,29 @@ def band(arrivals: DataFrame, departures: DataFrame, keys: Keys, early: int, lat
     return out.where((F.col("gap") >= -early) & (F.col("gap") <= F.col(transfer) + late)).drop("__b")
 
 
-def as_of(arrivals: DataFrame, departures: DataFrame, keys: Keys, arrival: str, departure: str, slack: str, payload: Keys) -> DataFrame:
-    """The first departure at or after arrival plus slack: both sides in one ordered pass, no range join."""
-    left = arrivals.withColumns({"__t": F.col(arrival) + F.col(slack), "__side": F.lit(1), "__d": F.lit(None).cast(departures.select(F.struct(departure, *payload).alias("s")).schema["s"].dataType)})
-    right = departures.select(*keys, F.col(departure).alias("__t"), F.lit(0).alias("__side"), F.struct(departure, *payload).alias("__d"))
+def as_of(arrivals: DataFrame, departures: DataFrame, keys: Keys, arrival: str, departure: str, slack: str, payload: Keys, train: str | None = None) -> DataFrame:
+    """The first departure at or after arrival plus slack, of another ``train`` if that is named: ``next``.
+
+    Both sides in one ordered pass, no range join.  A departure carries the one
+    after it that another train makes, so where the first is the arrival's own
+    train, that one is taken.
+    """
+    columns = [departure, *payload, *([train] if train else [])]
+    right = departures.select(*keys, F.struct(*columns).alias("__d"), F.col(departure).alias("__t"), F.lit(0).alias("__side"))
+    if train:
+        up = Window.partitionBy(*keys).orderBy("__t", *[F.col(f"__d.{p}") for p in [*payload, train]])
+        down = Window.partitionBy(*keys).orderBy(F.col("__t").desc(), *[F.col(f"__d.{p}").desc() for p in [*payload, train]]).rowsBetween(Window.unboundedPreceding, -1)
+        begins = ~F.col(f"__d.{train}").eqNullSafe(F.lag(F.col(f"__d.{train}")).over(up))
+        right = right.withColumn("__begins", F.when(begins, F.col("__d"))).withColumn("__other", F.last("__begins", ignorenulls=True).over(down)).drop("__begins")
+    else:
+        right = right.withColumn("__other", F.col("__d"))
+    right = right.select(*keys, "__t", "__side", F.struct(F.col("__d").alias("own"), F.col("__other").alias("other")).alias("__d"))
+    left = arrivals.withColumns({"__t": F.col(arrival) + F.col(slack), "__side": F.lit(1), "__d": F.lit(None).cast(right.schema["__d"].dataType)})
     both = left.unionByName(right, allowMissingColumns=True)
-    after = Window.partitionBy(*keys).orderBy(F.col("__t").desc(), F.col("__side").asc(), *[F.col(f"__d.{p}").desc() for p in payload]).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("next", F.last("__d", ignorenulls=True).over(after)).where("__side = 1")
-    return found.drop("__t", "__side", "__d")
+    after = Window.partitionBy(*keys).orderBy(F.col("__t").desc(), F.col("__side").asc(), *[F.col(f"__d.own.{p}").desc() for p in payload]).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__f", F.last("__d", ignorenulls=True).over(after)).where("__side = 1")
+    pick = F.when(F.col(f"__f.own.{train}").eqNullSafe(F.col(train)), F.col("__f.other")).otherwise(F.col("__f.own")) if train else F.col("__f.own")
+    return found.withColumn("next", pick).drop("__t", "__side", "__d", "__f")
 
 
 def ordered_pairs(df: DataFrame, key: str) -> DataFrame:

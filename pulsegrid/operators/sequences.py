@@ -43,10 +43,17 @@ def neighbours(df: DataFrame, trip: str, order: Keys, station: str) -> DataFrame
     return run.join(stops, [trip, "__run"]).drop("__run")
 
 
-def dominance(df: DataFrame, keys: Keys, path: str, departure: str, start: int = 300) -> DataFrame:
-    """Minutes of the day that each path owns: since the departure before its own; of one minute, the first path takes them."""
+def dominance(df: DataFrame, keys: Keys, path: str, departure: str, cost: str | None = None, start: int = 300, end: int = 1440) -> DataFrame:
+    """Minutes of the day that each path owns: since the departure before its own; of one minute, the first path takes them.
+
+    Only departures from ``start`` on count, and with ``cost`` (the path's
+    minutes, positive) only those that arrive before ``end``.
+    """
     by = Window.partitionBy(*keys).orderBy(departure, path)
-    own = df.withColumn("__own", F.col(departure) - F.coalesce(F.lag(departure).over(by), F.lit(start)))
+    fine = (F.col(departure) >= start) & (F.col(departure) < end)
+    if cost:
+        fine = fine & (F.col(cost) > 0) & (F.col(departure) + F.col(cost) < end)
+    own = df.where(fine).withColumn("__own", F.col(departure) - F.coalesce(F.lag(departure).over(by), F.lit(start)))
     return own.groupBy(*keys, path).agg(F.sum("__own").alias("dominance"), F.count("*").alias("instances"))
 
 
@@ -112,11 +119,12 @@ def period_change(df: DataFrame, keys: Keys, period: str, values: Keys) -> DataF
     return df.withColumns({f"{v}_change": F.col(v) - F.lag(v).over(by) for v in values} | {"since": F.lag(period).over(by)}).where("since IS NOT NULL")
 
 
-def turnbacks(df: DataFrame, trip: str, order: Keys, station: str, minute: str, most: int = 15) -> DataFrame:
-    """Events where a trip stands at one station and leaves to where it came from."""
+def turnbacks(df: DataFrame, trip: str, order: Keys, station: str, kind: str, arrive: str = "an", depart: str = "ab") -> DataFrame:
+    """Arrivals where a trip stands at one station and leaves to where it came from: ``before`` is that place."""
     by = Window.partitionBy(trip).orderBy(*order)
-    named = df.withColumns({"before": F.lag(station).over(by), "same": F.lead(station).over(by), "after": F.lead(station, 2).over(by), "dwell": F.lead(minute).over(by) - F.col(minute)})
-    return named.where((F.col("same") == F.col(station)) & (F.col("before") == F.col("after")) & F.col("dwell").between(0, most))
+    named = df.withColumns({"before": F.lag(station).over(by), "__same": F.lead(station).over(by), "__after": F.lead(station, 2).over(by), "__kinds": F.concat_ws(" ", F.lag(kind).over(by), kind, F.lead(kind).over(by), F.lead(kind, 2).over(by))})
+    out = named.where((F.col("__same") == F.col(station)) & (F.col("before") == F.col("__after")) & (F.col("__kinds") == f"{depart} {arrive} {depart} {arrive}"))
+    return out.drop("__same", "__after", "__kinds")
 
 
 def periodic(df: DataFrame, minute: str, start: int, end: int, cycle: int = 120) -> DataFrame:

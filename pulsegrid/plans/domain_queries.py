@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import demand as D
 from ..operators import joins as J
 from ..operators import routing as R
 from ..operators import selection as Z
@@ -80,83 +76,6 @@ def station_components(spark, sf):
     return R.components(e, I.read(spark, sf, "nation").select(F.col("n_name").alias("node")))
 
 
-FIT = f"{I.DEMAND}, m AS (SELECT origin, destination, sum(weight) AS w, 1.0 + abs(hash_o - hash_d) AS seed FROM (SELECT *, length(origin) AS hash_o, length(destination) AS hash_d FROM demand) GROUP BY ALL), t AS (SELECT *, sum(w) OVER (PARTITION BY origin) AS tr, sum(w) OVER (PARTITION BY destination) AS tc FROM m)"
-
-
-def _fit(spark, sf):
-    m = I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("w")).withColumns({"seed": 1.0 + F.abs(F.length("origin") - F.length("destination")), "all": F.lit(1)})
-    return D.marginals(m, [], "w")
-
-
-@add("D02", f"""WITH {FIT}, a1 AS (SELECT *, seed * tr / sum(seed) OVER (PARTITION BY origin) AS v FROM t), b1 AS (SELECT *, v * tc / sum(v) OVER (PARTITION BY destination) AS x FROM a1),
-  a2 AS (SELECT *, x * tr / sum(x) OVER (PARTITION BY origin) AS y FROM b1), b2 AS (SELECT *, y * tc / sum(y) OVER (PARTITION BY destination) AS z FROM a2) SELECT origin, destination, z AS value FROM b2""", "value", "", 4)
-def fitting_sweeps(spark, sf):
-    return D.sweeps(_fit(spark, sf), [], "seed", "row_sum", "column_sum", 2).select("origin", "destination", "value")
-
-
-@add("D02 D07 D12", f"WITH {FIT} SELECT origin, any_value(tr) AS total FROM t GROUP BY origin", "total", "", 3)
-def balanced_margins(spark, sf):
-    """Fitting to convergence: its row sums are the targets again."""
-    out = D.balanced(_fit(spark, sf), "all", "seed", "row_sum", "column_sum", 1e-10)
-    return out.groupBy("origin").agg(F.sum("value").alias("total"))
-
-
-PAIRS = f"""{I.STATIONS}, {I.DEMAND}, x AS (SELECT o.station AS origin, d.station AS destination, sum(m.weight) AS w, any_value(abs(o.lat - d.lat) * 111 + abs(o.lon - d.lon) * 76 + 1) AS km FROM demand m JOIN stations o ON m.origin = o.station JOIN stations d ON m.destination = d.station GROUP BY ALL)"""
-
-
-def _pairs(spark, sf):
-    s = I.stations(spark, sf)
-    o, d = (s.select(F.col("station").alias(n), F.col("lat").alias(f"{n}_lat"), F.col("lon").alias(f"{n}_lon")) for n in ("origin", "destination"))
-    m = I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("w"))
-    km = F.abs(F.col("origin_lat") - F.col("destination_lat")) * 111 + F.abs(F.col("origin_lon") - F.col("destination_lon")) * 76 + 1
-    return m.join(o, "origin").join(d, "destination").select("origin", "destination", "w", km.alias("km"))
-
-
-@add("D03", f"WITH {PAIRS} SELECT origin, destination, exp(greatest(-60, least(60, ln(so) + ln(sd) - 1.5 * ln(km)))) AS flow FROM (SELECT *, sum(w) OVER (PARTITION BY origin) AS so, sum(w) OVER (PARTITION BY destination) AS sd FROM x)", "flow", "", 3)
-def gravity_flows(spark, sf):
-    m = D.marginals(_pairs(spark, sf), [], "w")
-    return m.select("origin", "destination", D.gravity(F.col("row_sum"), F.col("column_sum"), F.col("km"), 1.5).alias("flow"))
-
-
-@add("D05 D06", f"""WITH {PAIRS}, s AS (SELECT sum(sqrt(w)) AS a, sum(sqrt(w) * ln(km)) AS x, sum(sqrt(w) * ln(w)) AS y, sum(sqrt(w) * ln(km) * ln(km)) AS xx, sum(sqrt(w) * ln(km) * ln(w)) AS xy, sum(sqrt(w) * ln(w) * ln(w)) AS yy, count(*) AS n FROM x)
-  SELECT n, greatest(0.01, -(xy - x * y / a) / (xx - x * x / a)) AS beta, (y - (xy - x * y / a) / (xx - x * x / a) * x) / a AS intercept, greatest(0, pow(xy - x * y / a, 2) / ((xx - x * x / a) * (yy - y * y / a))) AS r2 FROM s""", "beta intercept r2", "n")
-def log_linear_slope(spark, sf):
-    return D.log_slope(_pairs(spark, sf).withColumn("root", F.sqrt("w")), [], "km", "w", "root")
-
-
-@add("D09", f"""WITH {PAIRS}, g AS (SELECT unnest([5.0, 20.0, 80.0, 320.0]) AS scale), m AS (SELECT scale, w, km, least(1, km / scale) * 2000 AS v FROM x CROSS JOIN g),
-  f AS (SELECT scale, quantile_cont(abs(v - w) / w, 0.5) AS median_ape, avg(CASE WHEN abs(v - w) / w <= 0.3 THEN 1.0 ELSE 0 END) AS within30, avg(abs(v - w) / w) AS mape FROM m GROUP BY scale)
-  SELECT CAST(scale AS DOUBLE) AS scale, median_ape, within30, mape FROM f ORDER BY median_ape, -within30, mape, scale LIMIT 1""", "median_ape within30 mape")
-def attenuation_grid(spark, sf):
-    grid = spark.createDataFrame([(5.0,), (20.0,), (80.0,), (320.0,)], "scale double")
-    return D.grid_search(_pairs(spark, sf), grid, F.least(F.lit(1.0), F.col("km") / F.col("scale")) * 2000, "w", ["scale"]).select("scale", "median_ape", "within30", "mape")
-
-
-@add("D04")
-def random_calibration(spark, sf):
-    """The best of two hundred random draws of gravity parameters."""
-    draws = D.random_candidates(spark, 200, {"beta": (0.2, 2.5), "scale": (10.0, 5000.0)})
-    return D.grid_search(_pairs(spark, sf), draws, F.col("scale") * F.pow("km", -F.col("beta")), "w", ["candidate"])
-
-
-@add("D07 D10", f"WITH {PAIRS} SELECT origin, destination, greatest(1e-12, w * sqrt((1 + km / 1000) * 1.1) * pow(km / (km + 5), 1.7)) AS projected FROM x", "projected", "", 5)
-def projected_demand(spark, sf):
-    p = _pairs(spark, sf).withColumns({"go": 1 + F.col("km") / 1000, "gd": F.lit(1.1), "later": F.col("km") + 5})
-    return D.projected_seed(p, "w", "go", "gd", "km", "later", 1.7).select("origin", "destination", "projected")
-
-
-@add("D11", f"WITH {PAIRS} SELECT origin, destination, greatest(0.7, least(1.8, exp(0.4 * (ln(w) - ln(km))))) AS factor FROM x", "factor")
-def induced_demand(spark, sf):
-    p = _pairs(spark, sf)
-    return p.select("origin", "destination", D.induced(p, "km", "w", 0.4).alias("factor"))
-
-
-@add("D14", "SELECT c_nationkey, c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END AS tier FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 3 END, c_acctbal DESC, c_custkey) = 1", "", "tier")
-def preferred_rows(spark, sf):
-    tier = F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "MACHINERY", 2).otherwise(3)
-    return D.tiered_choice(I.read(spark, sf, "customer"), ["c_nationkey"], tier, [F.desc("c_acctbal"), "c_custkey"]).select("c_nationkey", "c_custkey", "tier")
-
-
 #: Effects of moved events: every event of the board is a transfer or, every third, a near miss, between an arrival and a departure event that it shares with a few others.
 EFFECTS = f"""{I.BOARD}, f AS (SELECT id AS effect, trip, CASE WHEN id % 3 = 0 THEN 'near' ELSE 'existing' END AS source, CASE WHEN id % 2 = 0 THEN 'departure' ELSE 'arrival' END AS side, 'a' || (id // 3) AS arr_key, 'd' || (id // 5) AS dep_key,
     CASE WHEN id % 3 = 0 THEN minute % 9 - 6 ELSE 3 + station % 4 + minute % 25 END AS wait, 3 + station % 4 AS least, CAST(id % 13 AS INT) - 6 AS delta, pax FROM board)"""
@@ -354,8 +273,7 @@ def links_at_screenlines(spark, sf):
 @add("I01 I02 K06 K08", "SELECT event_type, sum(value) AS load, count(*) AS n FROM events GROUP BY 1", "load", "n", 3)
 def streamed_running_loads(spark, sf):
     """A file stream run to its end: its state is the batch aggregate."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-    at = f"{root.rstrip('/')}/loads-{uuid.uuid4().hex}"
+    at = I.shared_folder(spark, "loads")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     partial = stream.select("event_type", "value")

@@ -36,4 +36,4 @@ def add(covers: str, sql: str | None = None, doubles: str = "", ints: str = "",
     return register
 
 
-from . import domain_queries, relational_queries, scalar_queries, source_queries, timetable_queries  # noqa: E402, F401  they register themselves
+from . import demand_queries, domain_queries, relational_queries, scalar_queries, source_queries, timetable_queries  # noqa: E402, F401  they register themselves

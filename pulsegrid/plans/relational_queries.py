@@ -178,7 +178,7 @@ def ranked_top(spark, sf):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")))
 
 
-@add("W04 P14", f"""WITH {I.BOARD} SELECT trip, id, gap, CASE WHEN next_trip IS NULL THEN NULL WHEN next_trip = service THEN 'dwell' ELSE 'transfer' END AS gap_kind
+@add("W04", f"""WITH {I.BOARD} SELECT trip, id, gap, CASE WHEN next_trip IS NULL THEN NULL WHEN next_trip = service THEN 'dwell' ELSE 'transfer' END AS gap_kind
   FROM (SELECT trip, id, service, lead(service) OVER w AS next_trip, lead(minute) OVER w - minute AS gap FROM board WINDOW w AS (PARTITION BY trip ORDER BY ts, id))""", "", "gap")
 def leg_gap_kinds(spark, sf):
     return Q.leg_gaps(I.board(spark, sf), "trip", ["ts", "id"], "service", "minute", "minute").select("trip", "id", "gap", "gap_kind")
@@ -196,33 +196,21 @@ def adjacent_events(spark, sf):
     return Q.adjacent(I.board(spark, sf), ["trip"], ["ts", "id"], ["station"]).select("trip", "id", "station", "next_station")
 
 
-@add("W07 W09 D13", f"""WITH {I.BOARD}, d AS (SELECT station, line, minute - coalesce(lag(minute) OVER (PARTITION BY station ORDER BY minute, line, id), 300) AS own FROM board WHERE kind = 'ab' AND minute >= 300)
-  , s AS (SELECT station, line, sum(own) AS dominance, count(*) AS instances FROM d GROUP BY ALL)
-  SELECT *, dominance / instances / 2 AS wait, dominance / sum(dominance) OVER (PARTITION BY station) AS share, dominance / sum(dominance) OVER (PARTITION BY station) * 1000.0 AS allocated FROM s""", "wait share allocated", "dominance instances")
+@add("W07 W09 D13 T05", f"""WITH {I.BOARD}, d AS (SELECT station, line, id, unnest(range(300 + (minute % 120 + 60) % 120, 1440, 120)) AS u, 5 + CAST(id % 45 AS INT) AS cost FROM board WHERE kind = 'ab'),
+  o AS (SELECT station, id, line, u - coalesce(lag(u) OVER (PARTITION BY station ORDER BY u, id), 300) AS own FROM d WHERE u + cost < 1440), p AS (SELECT station, id, sum(own) AS dominance, count(*) AS instances FROM o GROUP BY ALL)
+  SELECT *, dominance / instances / 2 AS wait, dominance / sum(dominance) OVER (PARTITION BY station) AS share, dominance / sum(dominance) OVER (PARTITION BY station) * 1000.0 AS allocated FROM p""", "wait share allocated", "dominance instances")
 def dominance_shares(spark, sf):
-    b = I.board(spark, sf).where("kind = 'ab' AND minute >= 300")
-    by = Window.partitionBy("station").orderBy("minute", "line", "id")
-    own = b.withColumn("own", F.col("minute") - F.coalesce(F.lag("minute").over(by), F.lit(300)))
-    s = own.groupBy("station", "line").agg(F.sum("own").alias("dominance"), F.count("*").alias("instances")).withColumn("demand", F.lit(1000.0))
+    """Every departure's share of its station's day, over all its repeats that arrive before midnight, and the demand it gets."""
+    b = I.board(spark, sf).where("kind = 'ab'").select("station", "id", "minute", (5 + (F.col("id") % 45).cast("int")).alias("cost"))
+    s = Q.dominance(Q.periodic(b, "minute", 300, 1440), ["station"], "id", "at", "cost").withColumn("demand", F.lit(1000.0))
     return Q.demand_shares(s.withColumn("wait", Q.headway_wait(F.col("dominance"), F.col("instances"))), ["station"], "dominance", "demand").drop("demand")
 
 
-@add("W08 R09", f"""WITH {I.BOARD}, c AS (SELECT station, minute % 120 + 300 AS dep, minute % 120 + 300 + 10 + CAST(id % 40 AS INT) AS arr, id AS idx FROM board WHERE kind = 'ab' AND line < 3),
-  b AS (SELECT * FROM c UNION ALL SELECT station, dep + 120, arr + 120, idx FROM c), p AS (SELECT station, dep, min((arr, dep, idx)) AS best FROM b GROUP BY ALL)
-  SELECT station, minute, best[1] AS arr, best[2] AS dep, best[3] AS idx, best[2] - minute AS wait FROM (
-    SELECT s.station, m.minute, min(p.best) AS best FROM (SELECT DISTINCT station FROM c) s CROSS JOIN (SELECT unnest(range(300, 420)) AS minute) m JOIN p ON p.station = s.station AND p.dep >= m.minute GROUP BY ALL)""", "", "minute arr dep idx wait")
-def minute_by_minute_best(spark, sf):
-    b = I.board(spark, sf).where("kind = 'ab' AND line < 3")
-    c = b.select("station", (F.col("minute") % 120 + 300).alias("dep"), (F.col("minute") % 120 + 310 + (F.col("id") % 40).cast("int")).alias("arr"), F.col("id").alias("idx"))
-    return Q.minute_best(c, ["station"], "dep", "arr", "idx", 300, 420)
-
-
 @add("W08 R09", f"""WITH {I.BOARD}, c AS (SELECT station, minute % 120 + 300 AS dep, minute % 120 + 300 + 10 + CAST(id % 40 AS INT) AS arr, id AS idx FROM board WHERE kind = 'ab'),
   b AS (SELECT * FROM c UNION ALL SELECT station, dep + 120, arr + 120, idx FROM c), p AS (SELECT station, dep, min((arr, dep, idx)) AS best FROM b GROUP BY ALL)
   SELECT station, minute, best[1] AS arr, best[2] AS dep, best[3] AS idx, best[2] - minute AS wait FROM (
     SELECT s.station, m.minute, min(p.best) AS best FROM (SELECT DISTINCT station FROM c) s CROSS JOIN (SELECT unnest(range(300, 420)) AS minute) m JOIN p ON p.station = s.station AND p.dep >= m.minute GROUP BY ALL)""", "", "minute arr dep idx wait")
 def best_departure_all_lines(spark, sf):
-    """The best departure of all lines; ``minute_by_minute_best`` and its SQL hold only three lines of seven."""
     b = I.board(spark, sf).where("kind = 'ab'")
     c = b.select("station", (F.col("minute") % 120 + 300).alias("dep"), (F.col("minute") % 120 + 310 + (F.col("id") % 40).cast("int")).alias("arr"), F.col("id").alias("idx"))
     return Q.minute_best(c, ["station"], "dep", "arr", "idx", 300, 420)
@@ -263,11 +251,10 @@ def yearly_change(spark, sf):
     return Q.period_change(I.demand(spark, sf).groupBy("origin", "year").agg(F.sum("weight").alias("weight")), ["origin"], "year", ["weight"])
 
 
-@add("W14", f"""WITH {I.BOARD}, n AS (SELECT *, lag(station % 3) OVER w AS before, station % 3 AS s, lead(station % 3) OVER w AS same, lead(station % 3, 2) OVER w AS after, lead(minute) OVER w - minute AS dwell FROM board WINDOW w AS (PARTITION BY trip ORDER BY minute, id))
-  SELECT id, trip, s AS station, before, dwell FROM n WHERE same = s AND before = after AND dwell BETWEEN 0 AND 15""", "", "dwell")
+@add("W14", f"""WITH {I.TIMETABLE} SELECT segment, seq, station, before FROM (SELECT *, lag(station) OVER w AS before, lead(station) OVER w AS same, lead(station, 2) OVER w AS after, lag(kind) OVER w || kind || lead(kind) OVER w || lead(kind, 2) OVER w AS kinds FROM timetable WINDOW w AS (PARTITION BY segment ORDER BY seq))
+  WHERE same = station AND before = after AND kinds = 'abanaban'""", "", "seq")
 def turnback_events(spark, sf):
-    b = I.board(spark, sf).withColumn("station", F.col("station") % 3)
-    return Q.turnbacks(b, "trip", ["minute", "id"], "station", "minute").select("id", "trip", "station", "before", "dwell")
+    return Q.turnbacks(I.timetable(spark, sf), "segment", ["seq"], "station", "kind").select("segment", "seq", "station", "before")
 
 
 @add("T05 X03", f"WITH {I.BOARD} SELECT id, unnest(range(300 + (minute % 120 - 300 % 120 + 120) % 120, 1440, 120)) AS t FROM board WHERE kind = 'ab'", "", "t")
@@ -297,15 +284,6 @@ def clockface_effect_probes(spark, sf):
     return J.clockface_probes(c, e, ["station", "mod"], "effect", "candidate").select("candidate", "effect", "station", "mod", "side", "pax")
 
 
-@add("J06", f"""WITH {I.BOARD} SELECT a.id AS arrival, d.id AS departure, d.minute - a.minute AS gap FROM board a JOIN board d ON a.station = d.station AND a.line <> d.line AND a.kind = 'an' AND d.kind = 'ab' AND a.trip % 20 = d.trip % 20
-  AND d.minute - a.minute BETWEEN -5 AND 3 + a.station % 4 + 10""", "", "gap")
-def near_miss_band(spark, sf):
-    b = I.board(spark, sf).withColumn("part", F.col("trip") % 20)
-    a = b.where("kind = 'an'").select("station", "part", F.col("id").alias("arrival"), F.col("line").alias("a_line"), F.col("minute").alias("arr"), (3 + F.col("station") % 4).alias("least"))
-    d = b.where("kind = 'ab'").select("station", "part", F.col("id").alias("departure"), F.col("line").alias("d_line"), F.col("minute").alias("dep"))
-    return J.band(a, d, ["station", "part"], 5, 10, "least").where("a_line <> d_line").select("arrival", "departure", "gap")
-
-
 @add("J06", f"""WITH {I.BOARD} SELECT a.id AS arrival, d.id AS departure, d.minute - a.minute AS gap FROM board a JOIN board d ON a.station = d.station AND a.line <> d.line AND a.kind = 'an' AND d.kind = 'ab'
   AND d.minute - a.minute BETWEEN -5 AND 3 + a.station % 4 + 10""", "", "gap")
 def near_miss_all_trips(spark, sf):
@@ -316,13 +294,15 @@ def near_miss_all_trips(spark, sf):
     return J.band(a, d, ["station"], 5, 10, "least").where("a_line <> d_line").select("arrival", "departure", "gap")
 
 
-@add("J07", f"""WITH {I.BOARD}, a AS (SELECT id, trip, station, minute + 4 AS t FROM board WHERE kind = 'an'), d AS (SELECT station, minute AS dep, min(id) AS dep_id FROM board WHERE kind = 'ab' GROUP BY ALL)
-  SELECT a.id, a.station, d.dep AS dep, d.dep_id FROM a ASOF LEFT JOIN d ON a.station = d.station AND a.t <= d.dep""", "", "dep")
+@add("J07", f"""WITH {I.BOARD}, a AS (SELECT id, station, line, minute + 4 AS t FROM board WHERE kind = 'an'), d AS (SELECT station, line AS of, minute AS dep, id AS dep_id FROM board WHERE kind = 'ab'), l AS (SELECT DISTINCT line FROM board),
+  n AS (SELECT l.line, station, dep, min((dep_id, of)) AS first FROM d JOIN l ON d.of <> l.line GROUP BY ALL)
+  SELECT a.id, a.station, n.dep, n.first[1] AS dep_id, n.first[2] AS dep_line FROM a ASOF LEFT JOIN n ON a.station = n.station AND a.line = n.line AND a.t <= n.dep""", "", "dep")
 def first_departure_after(spark, sf):
+    """Each arrival's first departure of another line, four minutes later or more."""
     b = I.board(spark, sf)
-    a = b.where("kind = 'an'").select("id", "station", "minute").withColumn("slack", F.lit(4))
-    d = b.where("kind = 'ab'").groupBy("station", F.col("minute").alias("dep")).agg(F.min("id").alias("dep_id"))
-    return J.as_of(a, d, ["station"], "minute", "dep", "slack", ["dep_id"]).select("id", "station", "next.dep", "next.dep_id")
+    a = b.where("kind = 'an'").select("id", "station", "line", "minute").withColumn("slack", F.lit(4))
+    d = b.where("kind = 'ab'").select("station", F.col("minute").alias("dep"), F.col("id").alias("dep_id"), "line")
+    return J.as_of(a, d, ["station"], "minute", "dep", "slack", ["dep_id"], "line").select("id", "station", "next.dep", "next.dep_id", F.col("next.line").alias("dep_line"))
 
 
 @add("J08 F06 J12 R13", f"""WITH {I.STATIONS}, {I.DEMAND}, s AS (SELECT origin, destination, sum(weight) AS weight FROM demand WHERE year = 1995 GROUP BY ALL)
@@ -356,9 +336,9 @@ def semi_and_anti_membership(spark, sf):
 
 
 @add("J15 U03", f"""WITH {I.DEMAND} SELECT origin, destination, coalesce(a.w, 0) AS base, coalesce(b.w, 0) AS other, coalesce(b.w, 0) - coalesce(a.w, 0) AS change
-  FROM (SELECT origin, destination, sum(weight) AS w FROM demand WHERE year = 1996 AND weight > 200 GROUP BY ALL) a FULL JOIN (SELECT origin, destination, sum(weight) AS w FROM demand WHERE year = 1997 AND weight > 200 GROUP BY ALL) b USING (origin, destination)""", "base other change")
+  FROM (SELECT origin, destination, sum(weight) AS w FROM demand WHERE year = 1996 GROUP BY ALL) a FULL JOIN (SELECT origin, destination, sum(weight) AS w FROM demand WHERE year = 1997 GROUP BY ALL) b USING (origin, destination)""", "base other change")
 def outer_key_union(spark, sf):
-    d = I.demand(spark, sf).where("weight > 200").groupBy("year", "origin", "destination").agg(F.sum("weight").alias("w"))
+    d = I.demand(spark, sf).groupBy("year", "origin", "destination").agg(F.sum("weight").alias("w"))
     return J.outer_changes(d.where("year = 1996"), d.where("year = 1997"), ["origin", "destination"], "w")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -14,8 +11,7 @@ from .registry import add
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return I.shared_folder(spark, "tables")
 
 
 @add("S02 K01 P13", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey IN (3, 7, 11)", "c_acctbal", "c_custkey c_nationkey")
@@ -27,11 +23,11 @@ def text_table_round_trip(spark, sf):
     return readers.csv(spark, at, ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]).join(F.broadcast(hubs), "c_nationkey", "left_semi")
 
 
-@add("K02 U01", "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, '' AS balance FROM nation UNION ALL SELECT c_name, '', CAST(c_acctbal AS VARCHAR) FROM customer WHERE c_acctbal > 9900")
+@add("K02 U01", "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, '' AS balance FROM nation UNION ALL SELECT c_name, '', CAST(c_acctbal AS VARCHAR) FROM customer")
 def ragged_text_tables(spark, sf):
     at = _folder(spark)
     n = I.read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    writers.ragged_csv([n, I.read(spark, sf, "customer").where("c_acctbal > 9900").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))], at)
+    writers.ragged_csv([n, I.read(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))], at)
     return readers.csv(spark, at)
 
 
@@ -74,7 +70,7 @@ def merged_state(spark, sf):
     half = F.pmod(F.xxhash64("user_id", "daily"), F.lit(2))
     at = _folder(spark)
     writers.replaced(writers.merged_state(None, e.where(half == 0), ["user_id"], ["daily"], ["least"]), at)
-    return writers.merged_state(spark.read.parquet(at), e.where(half == 1), ["user_id"], ["daily"], ["least"])
+    return writers.merged_state(readers.current(spark, at), e.where(half == 1), ["user_id"], ["daily"], ["least"])
 
 
 @add("S12 S13 K04", f"WITH {I.DEMAND} SELECT origin, destination, sum(weight) AS value FROM demand GROUP BY ALL", "value", "", 2)
@@ -83,7 +79,13 @@ def kept_matrix(spark, sf):
     def build():
         return I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("value"))
 
-    return readers.fingerprinted(spark, _folder(spark), build, f"demand of {sf}")
+    at = _folder(spark)
+    readers.fingerprinted(spark, at, build, f"demand of {sf}").limit(0).count()
+
+    def never():
+        raise AssertionError("the kept table is there")
+
+    return readers.fingerprinted(spark, at, never, f"demand of {sf}")
 
 
 @add("S14 S10", "SELECT n_name AS name, n_regionkey AS region FROM nation", "", "region")
@@ -119,22 +121,122 @@ def transfer_contexts(spark, sf):
     return n.groupBy("station", F.col("line").alias("arrival_line"), F.col("next_line").alias("departure_line"), (F.col("next_minute") - F.col("minute")).alias("wait")).agg(F.count("*").alias("n"), F.sum("pax").alias("pax"), F.min("minute").alias("first"))
 
 
-@add("S03 W11 W12", "SELECT * FROM (VALUES (1, 'Bern', 'ab', '17'), (2, 'Olten', 'an', '40'), (4, 'Olten', 'ab', '42i')) AS t(rownum, station, kind, token)", "", "rownum")
+@add("S03 W11", f"WITH {I.TIMETABLE} SELECT segment, seq, station, kind, trim(y2026) AS a, trim(y2035) AS b FROM timetable", "", "seq")
 def headed_timetable(spark, sf):
-    """A timetable file whose first line is data."""
-    at = _folder(spark)
-    spark.createDataFrame([("Bern,ab,17\nOlten,an,40\n\nOlten,ab,42i\n",)], "value string").coalesce(1).write.option("lineSep", "\n").text(at)
-    return readers.headed_rows(spark, at, 3).toDF("rownum", "station", "kind", "token")
-
+    """The timetable as a file whose first line is data and whose segments begin with a row of their own, read again into numbered segments."""
+    from ..operators.sequences import runs
 
-@add("S15", "SELECT * FROM (VALUES ('Bern', '1'), ('Olten', '2')) AS t(station, n)")
+    at = _folder(spark)
+    t = I.timetable(spark, sf)
+    order = ["segment", "seq"]
+    head = t.select("segment").distinct().select("segment", F.lit(-1).alias("seq"), F.concat_ws(",", "segment", F.lit("an/ab"), F.lit("2026"), F.lit("2035")).alias("line"))
+    lines = head.unionByName(t.select(*order, F.concat_ws(",", "station", "kind", "`2026`", "`2035`").alias("line")))
+    lines.repartitionByRange(1, *order).sortWithinPartitions(*order).select("line").write.text(at)
+    rows = readers.headed_rows(spark, at, 4).toDF("rownum", "station", "kind", "a", "b")
+    # A file is read as one row and has an order, so its blocks are numbered in one task.
+    named = runs(rows, [], ["rownum"], F.col("kind") == "an/ab", "block")
+    heads = named.where("kind = 'an/ab'").select("block", F.col("station").alias("segment"), F.col("rownum").alias("first"))
+    out = named.where("kind <> 'an/ab'").join(heads, "block")
+    return out.select("segment", (F.col("rownum") - F.col("first") - 1).alias("seq"), "station", "kind", F.trim("a").alias("a"), F.trim("b").alias("b"))
+
+
+@add("S15", "SELECT c_name AS station, CAST(c_nationkey AS VARCHAR) AS n FROM customer")
 def table_of_a_document(spark, sf):
     """The cells of a labelled table in a typeset document."""
     at = _folder(spark)
-    spark.createDataFrame([(r"\begin{table}\label{tab:x} Bern & 1 \\ Olten & 2 \\ \hline \end{table}",)], "value string").coalesce(1).write.text(at)
+    rows = I.read(spark, sf, "customer").agg(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.col("c_name"), F.lit(" & "), F.col("c_nationkey").cast("string"), F.lit(r" \\"))))).alias("rows"))
+    rows.select(F.concat(F.lit("\\begin{table}\\label{tab:x}\n\\toprule\n"), "rows", F.lit("\n\\bottomrule\n\\end{table}")).alias("value")).coalesce(1).write.text(at)
     return readers.latex_rows(spark, at, "tab:x", 2).select(F.col("c0").alias("station"), F.col("c1").alias("n"))
 
 
+MATRIX = f"{I.DEMAND}, m AS (SELECT origin, destination, round(sum(weight), 2) AS value FROM demand GROUP BY ALL)"
+
+
+@add("S04 K03 X02", f"WITH {MATRIX}, n AS (SELECT n_name FROM nation) SELECT o.n_name AS origin, d.n_name AS destination, coalesce(value, 0) AS value FROM n o CROSS JOIN n d LEFT JOIN m ON m.origin = o.n_name AND m.destination = d.n_name", "value", "", 2)
+def square_matrix_text(spark, sf):
+    """Demand as a wide labelled square table and back to long rows."""
+    at = _folder(spark)
+    m = I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("value"))
+    names = [f"NATION_{i}" for i in range(25)]
+    writers.matrix(m, at, names, 2)
+    return readers.matrix(spark, at)
+
+
+@add("S05 S06 K05", f"WITH {I.BOARD} SELECT trip AS row_idx, 'S' || trip AS origin, CAST(k AS INT) AS col_idx, minute AS dep_min, minute + 10 AS arr_min, pax AS daily_demand_total FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY id) - 1 AS k FROM board)", "daily_demand_total", "row_idx col_idx dep_min arr_min")
+def row_states_round_trip(spark, sf):
+    """Path rows stored as JSON, each cell a JSON text of its own, and read to one row per path."""
+    at = _folder(spark)
+    path = F.struct(F.col("minute").alias("dep_min"), (F.col("minute") + 10).alias("arr_min"), F.lit(0).alias("num_transfers"))
+    cell = F.to_json(F.struct(F.lit(False).alias("same_station"), F.lit(1).alias("path_count"), F.col("pax").alias("daily_demand_total"), F.array(path).alias("paths")))
+    rows = I.board(spark, sf).select("trip", F.struct("id", cell.alias("cell")).alias("c")).groupBy(F.col("trip").cast("int").alias("row_idx")).agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["cell"]).alias("cells"))
+    one = rows.select("row_idx", F.concat(F.lit("S"), F.col("row_idx").cast("string")).alias("origin"), F.lit("2026").alias("year"), "cells")
+    writers.json_rows(one.repartition(4, "row_idx"), at)
+    return readers.row_states(spark, at, lines=True).select("row_idx", "origin", "col_idx", "dep_min", "arr_min", "daily_demand_total")
+
+
+@add("S10 O04", "SELECT user_id, value, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'click' THEN 1 ELSE 0 END DESC, event_id DESC) = 1", "value")
+def route_cache(spark, sf):
+    """Two logs of JSON lines: the last record of each key, and a local log (clicks) over the master."""
+    from ..operators import joins as J
+
+    logs = []
+    e = I.read(spark, sf, "events").select("event_id", "user_id", "value", "event_type")
+    for mine in (False, True):
+        at = _folder(spark)
+        e.where((F.col("event_type") == "click") == mine).write.json(at)
+        logs.append(readers.last_records(spark, at, "event_id BIGINT, user_id BIGINT, value DOUBLE, event_type STRING", "user_id", "event_id"))
+    return J.overlaid(logs[0], logs[1], ["user_id"], "event_id").select("user_id", "value", "event_type")
+
+
+@add("S08 J09 F22", f"WITH {I.STATIONS}, z AS (SELECT DISTINCT region, CASE region WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 4 END AS k FROM stations) SELECT z.region AS zone, id FROM z JOIN stations ON lon >= 6 + k * 0.75 AND lon <= 6.75 + k * 0.75 AND lat >= 45.75 AND lat <= 47.25", "", "id")
+def zone_membership(spark, sf):
+    """Stations within the polygons of a vector layer; a point on a border is within."""
+    from ..functions import scalars as S
+
+    at = _folder(spark)
+    order = {"AFRICA": 0, "AMERICA": 1, "ASIA": 2, "EUROPE": 3}
+    k = F.coalesce(*[F.when(F.col("r_name") == n, F.lit(i)) for n, i in order.items()], F.lit(4))
+    low, high = 6 + k * 0.75, 6.75 + k * 0.75
+    ring = F.array(*[F.array(x, F.lit(y)) for x, y in ((low, 45.75), (high, 45.75), (high, 47.25), (low, 47.25), (low, 45.75))])
+    feature = F.struct(F.struct(F.col("r_name").alias("zone")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    I.read(spark, sf, "region").agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).coalesce(1).write.text(at)
+    zones = readers.vector_layer(spark, at, "zone: STRING")
+    boxes = zones.select("*", F.array_min("xs").alias("x1"), F.array_max("xs").alias("x2"))
+    # A station meets the zones of its cell of one degree only.
+    cells = boxes.withColumn("cell", F.explode(F.sequence(F.floor("x1"), F.floor("x2"))))
+    s = I.stations(spark, sf).withColumn("cell", F.floor("lon"))
+    return s.join(cells, "cell").where(S.inside("lon", "lat", "xs", "ys")).select("zone", "id")
+
+
+@add("K07", "SELECT CAST(row_number() OVER (ORDER BY r_name) + 3 AS INT) AS n, '| ' || r_name || ' | ' || n || ' |' AS line FROM (SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name) UNION ALL SELECT 0, '# Regions' UNION ALL SELECT 1, '' UNION ALL SELECT 2, '| region | stations |' UNION ALL SELECT 3, '| --- | --- |'", "", "n")
+def markdown_report(spark, sf):
+    t = I.stations(spark, sf).groupBy("region").agg(F.count("*").alias("stations")).orderBy("region")
+    return writers.markdown(t, "Regions")
+
+
+@add("K06 I01 I04", "SELECT count(*) AS on_disk, count(DISTINCT event_id) AS events, count(*) AS rows_seen FROM events", "", "on_disk events rows_seen")
+def appended_stream(spark, sf):
+    """A stream appended twice to a table: the second run finds its rows on disk; a listener counts what was read."""
+    import time
+
+    from ..streaming import incremental
+
+    at, progress = _folder(spark), incremental.Progress()
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    spark.streams.addListener(progress)
+    try:
+        for _ in range(2):
+            stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+            incremental.appended(stream, f"{at}/rows", f"{at}/cursor").awaitTermination()
+        for _ in range(100):  # listeners are told a moment later
+            if progress.batches:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    return spark.read.parquet(f"{at}/rows").agg(F.count("*").alias("on_disk"), F.countDistinct("event_id").alias("events")).withColumn("rows_seen", F.lit(progress.rows))
+
+
 @add("J18 S04 P11", f"WITH {I.DEMAND}, m AS (SELECT DISTINCT origin, destination FROM demand WHERE origin < 'NATION_2') SELECT destination AS label, 'column' AS only FROM m WHERE destination NOT IN (SELECT origin FROM m) GROUP BY ALL UNION ALL SELECT origin, 'row' FROM m WHERE origin NOT IN (SELECT destination FROM m) GROUP BY ALL")
 def matrix_label_faults(spark, sf):
     return J.label_faults(I.demand(spark, sf).where("origin < 'NATION_2'"))

@@ -55,12 +55,13 @@ PATH = "struct<dep_min:int,arr_min:int,num_transfers:int,line_names:array<string
 CELL = f"struct<same_station:boolean,path_count:int,daily_demand_total:double,paths:array<{PATH}>>"
 
 
-def row_states(spark: SparkSession, path: str) -> DataFrame:
+def row_states(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Stored rows (JSON whose cells are JSON texts, plain or gzip) as one row per path.
 
-    The codec follows the name; a cell without paths is left out.
+    One row a file, or one a line; the codec follows the name; a cell without
+    paths is left out.
     """
-    rows = spark.read.schema("row_idx INT, origin STRING, year STRING, cells ARRAY<STRING>").json(path, multiLine=True)
+    rows = spark.read.schema("row_idx INT, origin STRING, year STRING, cells ARRAY<STRING>").json(path, multiLine=not lines)
     cells = rows.select("row_idx", "origin", "year", F.posexplode("cells").alias("col_idx", "cell")).withColumn("c", F.from_json("cell", CELL))
     return cells.select("row_idx", "origin", "year", "col_idx", "c.daily_demand_total", F.posexplode("c.paths").alias("path_idx", "p")).select("row_idx", "origin", "year", "col_idx", "path_idx", "daily_demand_total", "p.*")
 
@@ -92,7 +93,7 @@ def latex_rows(spark: SparkSession, path: str, label: str, columns: int) -> Data
     """Cells of the rows of a labelled table."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", rf"(?s)\\label\{{{label}\}}(.*?)\\end\{{table", 1).alias("t"))
     rows = text.select(F.posexplode(F.split("t", r"\\\\")).alias("n", "row")).where(F.contains("row", F.lit("&")))
-    clean = F.transform(F.split(F.regexp_replace("row", r"\\(hline|toprule|midrule|bottomrule)", ""), "&"), lambda x: F.trim(x))
+    clean = F.transform(F.split(F.regexp_replace("row", r"\\(hline|toprule|midrule|bottomrule)", ""), "&"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return rows.select("n", *[F.get(clean, F.lit(i)).alias(f"c{i}") for i in range(columns)])
 
 
@@ -112,3 +113,19 @@ def fingerprinted(spark: SparkSession, folder: str, build, content: str) -> Data
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that ``writers.replaced`` wrote last at ``path``."""
+    from .writers import pointer
+
+    version = pointer(spark, path)
+    return spark.read.parquet(f"{path}/{version}") if version else None
+
+
+def vector_layer(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """A layer of polygons from GeoJSON (one collection, or many files of them): the named properties and the outer ring as ``xs`` and ``ys``."""
+    shape = f"features ARRAY<STRUCT<properties: STRUCT<{properties}>, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>>>"
+    f = spark.read.schema(shape).json(path, multiLine=True).select(F.explode("features").alias("f")).where("f.geometry.type = 'Polygon'")
+    axis = lambda i: F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.get(p, F.lit(i)))
+    return f.select("f.properties.*", axis(0).alias("xs"), axis(1).alias("ys"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..sources import writers
+from ..sources import readers, writers
 
 
 def files(spark: SparkSession, folder: str, schema: str, most_files: int = 100) -> DataFrame:
@@ -33,10 +33,7 @@ def merged(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], s
     """Each batch is merged into the table at ``path``; a batch that is run again after a failure is not added twice."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-        state = spark.read.parquet(path) if there else None
+        state = readers.current(batch.sparkSession, path)
         if state is not None and state.where(F.col("batch") >= number).limit(1).count():
             return
         new = writers.merged_state(state.drop("batch") if state is not None else None, batch, keys, sums, least)

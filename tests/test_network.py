@@ -81,12 +81,59 @@ def test_boards_drop_false_ends(spark):
 
 
 def test_dominance_example(spark):
-    paths = spark.createDataFrame([(d, i) for i, d in enumerate((303, 333, 348, 363, 393))], "dep int, path int").withColumn("od", F.lit("x"))
+    travel = (20, 18, 25, 20, 18)
+    paths = spark.createDataFrame([(d, i, t) for i, (d, t) in enumerate(zip((303, 333, 348, 363, 393), travel, strict=True))], "dep int, path int, travel int").withColumn("od", F.lit("x"))
     day = Q.periodic(paths, "dep", 300, 1440)
-    got = {r["path"]: (r["dominance"], r["instances"]) for r in Q.dominance(day, ["od"], "path", "at").collect()}
-    assert sum(d for d, _ in got.values()) <= 1140 and got[0][1] == 10
-    wide = Q.minute_best(paths.withColumn("arr", F.col("dep") + F.element_at(F.array(*[F.lit(x) for x in (20, 18, 25, 20, 18)]), F.col("path") + 1)), ["od"], "dep", "arr", "path", 300, 420)
+    own = Q.dominance(day, ["od"], "path", "at", "travel").withColumn("demand", F.lit(1.0))
+    got = {r["path"]: r for r in Q.demand_shares(own, ["od"], "dominance", "demand").collect()}
+    assert [got[i]["dominance"] for i in range(5)] == [273, 300, 135, 135, 270]
+    assert sum(r["instances"] for r in got.values()) == 47
+    assert [round(got[i]["share"], 6) for i in range(5)] == [0.245283, 0.269542, 0.121294, 0.121294, 0.242588]
+    wide = Q.minute_best(paths.withColumn("arr", F.col("dep") + F.col("travel")), ["od"], "dep", "arr", "path", 300, 420)
     assert wide.agg(F.avg("wait")).first()[0] == pytest.approx(12.625)
+    per = {r["idx"]: r["n"] for r in wide.groupBy("idx").agg(F.count("*").alias("n")).collect()}
+    assert sum(per[i] * travel[i] for i in range(5)) / 120 == pytest.approx(19.625) and [per[i] for i in range(5)] == [30, 30, 15, 15, 30]
+
+
+def test_fitting_example(spark):
+    seed, rows, columns = [[0, 4, 6], [2, 0, 3], [5, 1, 0]], [10, 6, 4], [6, 6, 8]
+    cells = spark.createDataFrame([(1, f"o{i}", f"d{j}", float(seed[i][j]), float(rows[i]), float(columns[j]), i != 0 or j != 1) for i in range(3) for j in range(3)], "k int, origin string, destination string, s double, r double, c double, on boolean")
+    once = {(r["origin"], r["destination"]): round(r["value"], 6) for r in D.sweeps(cells, [], "s", "r", "c", 1).collect()}
+    assert [once[f"o{i}", f"d{j}"] for i in range(3) for j in range(3)] == [0, 5.142857, 5, 2.511628, 0, 3, 3.488372, 0.857143, 0]
+    for fit in ("throughput", "absolute", "shrunk"):
+        got = {(r["origin"], r["destination"]): round(r["value"], 6) for r in D.balanced(cells, "k", "s", "r", "c", fit).collect()}
+        assert [got[f"o{i}", f"d{j}"] for i in range(3) for j in range(3)] == [0, 5.203631, 4.796369, 2.796369, 0, 3.203631, 3.203631, 0.796369, 0], fit
+    assert {r["value"] for r in D.balanced(cells, "k", "s", "r", "c", "absolute", "on").where("origin = 'o0' AND destination = 'd1'").collect()} == {0.0}
+    with pytest.raises(Exception, match="more than half"):
+        D.throughput_seeds(spark.createDataFrame([("a", "b", 1.0, 9.0, 1.0), ("b", "a", 1.0, 1.0, 9.0)], "origin string, destination string, s double, o double, d double"), [], "s", "o", "d").collect()
+
+
+def test_as_of_takes_another_train(spark):
+    from pulsegrid.operators import joins as J
+
+    rng = np.random.default_rng(3)
+    a = [(i, int(rng.integers(3)), int(rng.integers(60)), int(rng.integers(3))) for i in range(60)]
+    d = [(i, int(rng.integers(3)), int(rng.integers(60)), int(rng.integers(3))) for i in range(40)]
+    left = spark.createDataFrame(a, "id int, s int, m int, train int").withColumn("slack", F.lit(3))
+    right = spark.createDataFrame(d, "dep_id int, s int, dep int, train int")
+    got = {r["id"]: r["next"] and r["next"]["dep_id"] for r in J.as_of(left, right, ["s"], "m", "dep", "slack", ["dep_id"], "train").collect()}
+    for i, s, m, t in a:
+        fit = [(dep, k) for k, s2, dep, t2 in d if s2 == s and t2 != t and dep >= m + 3]
+        assert got[i] == (min(fit)[1] if fit else None)
+
+
+def test_border_points_are_inside(spark):
+    ring = spark.createDataFrame([([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0])], "xs array<double>, ys array<double>")
+    points = [(0.0, 2.0), (4.0, 4.0), (2.0, 0.0), (2.0, 2.0), (4.1, 2.0), (-1.0, 0.0)]
+    assert [ring.select(S.inside(F.lit(x), F.lit(y), "xs", "ys")).first()[0] for x, y in points] == [True, True, True, True, False, False]
+
+
+def test_equal_shares_without_weight(spark):
+    from pulsegrid.operators import aggregates as A
+
+    rows = spark.createDataFrame([("g", n, 0, 10) for n in "abc"] + [("h", "a", 1, 100), ("h", "b", 1, 100), ("h", "c", 1, 100)], "g string, name string, w int, total int")
+    got = {(r["g"], r["name"]): r["units"] for r in A.largest_remainder(rows, "g", "total", "w", "name").collect()}
+    assert [got["g", n] for n in "abc"] == [3, 3, 4] and [got["h", n] for n in "abc"] == [33, 33, 34]
 
 
 def legs(spark, rows):
@@ -273,7 +320,8 @@ def test_sinks(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.csv(spark, f"{tmp_path}/m").collect()) == [("A", "", "1.00"), ("B", "2.25", "")]
     for n in (1, 2):
         writers.replaced(df.limit(n), f"{tmp_path}/p")
-        assert spark.read.parquet(f"{tmp_path}/p").count() == n
+        assert readers.current(spark, f"{tmp_path}/p").count() == n
+    assert readers.current(spark, f"{tmp_path}/none") is None
     writers.json_rows(df, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").count() == 2
 
@@ -285,7 +333,7 @@ def test_streams_equal_batches(spark, tmp_path):
         spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = incremental.files(spark, f"{tmp_path}/in", schema, 1)
     incremental.merged(stream.select("k", "w", "m"), f"{tmp_path}/state", f"{tmp_path}/c1", ["k"], ["w"], ["m"]).awaitTermination()
-    got = {r["k"]: (r["w"], r["m"]) for r in spark.read.parquet(f"{tmp_path}/state").collect()}
+    got = {r["k"]: (r["w"], r["m"]) for r in readers.current(spark, f"{tmp_path}/state").collect()}
     assert got == {k: (sum(w for a, w, _, _ in rows if a == k), min(m for a, _, m, _ in rows if a == k and m)) for k in ("k0", "k1", "k2")}
     for _ in range(2):
         incremental.appended(incremental.files(spark, f"{tmp_path}/in", schema, 1), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
