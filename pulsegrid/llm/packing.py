@@ -6,11 +6,12 @@ pieces fit the expanded gap more tightly.  Only lengths matter, so the unpacked
 pieces of a group are a bit mask of lengths and a stack for each length, and a
 bin takes a few operations on the mask whatever the size of the group.
 
-Groups are of bounded size (``GROUP_DOCS`` documents), chosen by a hash over
-the id, the piece and its checksum, so that no source or id makes a large one;
-each group leaves at most one ill-filled sequence, so the loss against one
-global packing vanishes as groups are many times a sequence.  The same rows
-always give the same groups, and retried tasks the same sequences.
+Groups are of bounded size (``GROUP_DOCS`` documents on average), chosen by a
+hash over the row and its number in the scan, so that no source, id or row
+that repeats makes a large one; each group leaves at most one ill-filled
+sequence, so the loss against one global packing vanishes as groups are many
+times a sequence.  The number is that of a row in its part of the table's
+files, so a retried task gives its rows the same groups.
 
 Defined results: null text is empty; every document ends with the separator id
 and so has a piece; repeated rows are packed each; rows with null ids too;
@@ -20,6 +21,7 @@ an empty table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -91,11 +93,12 @@ def best_two_fit(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Each document's ids and separator, cut into pieces of ``capacity`` where longer.
 
     Columns: the id, ``piece`` (from 0), ``start`` (ids before it), ``length``,
-    ``ids`` (binary, little-endian unsigned 32-bit).
+    ``ids`` (binary, little-endian unsigned 32-bit); with ``digest`` the CRC-32
+    of these bytes, ``ids_crc32``, in their place.
     """
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     end, step = SEPARATOR.to_bytes(4, "little"), 4 * capacity
@@ -111,12 +114,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
                     piece += range(len(cut))
                     ids += cut
                 number = np.array(piece, np.int32)
+                last = pa.array(list(map(zlib.crc32, ids)), pa.int64()) if digest else pa.array(ids, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=[id_col, "piece", "start", "length", "ids"],
+                    [part.column(0).take(pa.array(row)), pa.array(number), pa.array(number.astype(np.int64) * capacity), pa.array([len(x) // 4 for x in ids], pa.int64()), last],
+                    names=[id_col, "piece", "start", "length", name],
                 )
 
-    return map_arrow(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, ids binary")
+    name = "ids_crc32" if digest else "ids"
+    return map_arrow(source, run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, piece int, start bigint, length bigint, {name} {'bigint' if digest else 'binary'}")
 
 
 def pack_pieces(pieces: DataFrame, documents: int, capacity: int = CAPACITY) -> DataFrame:
@@ -127,7 +132,7 @@ def pack_pieces(pieces: DataFrame, documents: int, capacity: int = CAPACITY) ->
     groups = max(1, math.ceil(documents / GROUP_DOCS))
     names = pieces.columns
     at = names.index("length")
-    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64(*names), F.lit(groups)))
+    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(groups)))
 
     def pack(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(n, "ascending") for n in names])
@@ -143,9 +148,8 @@ def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's rows for ``docs``: the ids become a checksum before anything is shuffled."""
     import public_tokenizers
 
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack_pieces(narrow, docs.count())
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    return pack_pieces(pieces, docs.count())
 
 
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
