@@ -23,10 +23,14 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` names that folder.  Only where it is unset (tests,
-    a notebook in local mode) a temporary one takes its place.
+    ``spark.checkpoint.dir`` names that folder.  Where it is unset, only a local
+    session (tests, a notebook) has a temporary one that all its tasks see.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _own_dir()
     return f"{root.rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
 
 
@@ -74,6 +78,17 @@ def chunks(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.R
     yield batch.slice(begin)
 
 
+def free(columns: list[str], *names: str) -> tuple[str, ...]:
+    """``names`` that no column has: underscores are put before those that are taken."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 #: What empties tables that a module keeps only for the length of a task.
 TABLES: list[Callable[[], None]] = []
 

@@ -35,6 +35,7 @@ are not looked at.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ STEP_BYTES = 1 << 20
 SAMPLE_DOCS, FREQUENT = 8192, 8
 #: Ids that may be broadcast (8 MB of longs); more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Bytes of a word from which on its hash is a digest.
+LONG = 32
 #: Rows of a run that are compared in one block.
 BLOCK_ROWS = 1024
 
@@ -88,6 +91,9 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
     words = mixed((total[end] - total[start]) * down[start])
+    # Long runs of letters can be made to meet in a polynomial of any base; a digest is asked instead.
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        words[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     counts = np.diff(np.searchsorted(start, np.r_[0, np.cumsum(sizes)]))
     return words, counts, start
 

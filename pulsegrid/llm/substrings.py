@@ -7,13 +7,19 @@ windows that may have it: the piece from 42 words before it to 42 behind it.
 Anchors that occur once are dropped.  Equal pieces are aggregated to one with
 their least owner before any text moves, so a group of copies costs one piece.
 
-Pieces go to shards by their anchor.  Each shard builds a compressed FM-index
-(wavelet matrix) over its pieces and streams the pieces through it by backward
-search; the matching statistics, capped at the window, give for every window
-the least owner of an equal one, and the intervals where it is smaller than
-the document's own id are reported.  An anchor with more than ``HOT_PIECES``
-different pieces (one passage in very many contexts) would make a large shard;
-its windows are aggregated one by one by their 128-bit hash instead.
+Pieces go to shards by their key, at first the anchor.  Each shard builds a
+compressed FM-index (wavelet matrix) over its pieces and streams the pieces
+through it by backward search; the matching statistics, capped at the window,
+give for every window the least owner of an equal one, and the intervals where
+it is smaller than the document's own id are reported.
+
+An anchor with more than ``KEY_PIECES`` different pieces (one passage in very
+many contexts) would make a large shard, so its pieces are cut.  The windows
+that hold the anchor are dealt to ranges of its place in them; all windows of a
+range share some words around the anchor, which become the longer key, and the
+pieces shrink to the windows of the range, so they lose their different
+contexts.  Ranges become smaller (``RANGES``) until a key has few pieces; at
+the last, key and piece are one window.  Every level goes through the index.
 
 Defined results: null and empty texts have no words; rows that share an id
 never match each other, and each is cut by itself; rows with a null id are
@@ -28,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, table, written, trim
+from .common import chunks, dropped, free, map_arrow, partitions, table, written, trim
 from .fmindex import FMIndex
 from .jaccard import BASE, BROADCAST_IDS, SIGNED, U, _powers, mixed, word_hashes
 
 WINDOW, GRAM = 50, 8
 REACH = WINDOW - GRAM  # words of a piece on either side of its anchor
-SHARD_PIECES, HOT_PIECES = 2500, 6000
+SHARD_PIECES, KEY_PIECES = 2500, 6000
+#: Widths of the ranges of an anchor's place in its windows, level by level.
+RANGES = (REACH + 1, 11, 1)
 STEP_BYTES = 1 << 20
 
 
@@ -46,10 +54,6 @@ def _rolled(words: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mixed(out, seed)
 
 
-def _text_hash(words: np.ndarray) -> int:
-    return int(np.add.reduce(mixed(words ^ mixed(np.arange(len(words), dtype=U)), 21))) if len(words) else 0
-
-
 def anchors(words: np.ndarray, begin: int, grams: np.ndarray) -> np.ndarray:
     """Places (from ``begin``) of the anchors of all windows of a document's ``words``."""
     own = grams[begin : begin + len(words) - GRAM + 1]
@@ -58,83 +62,111 @@ def anchors(words: np.ndarray, begin: int, grams: np.ndarray) -> np.ndarray:
 
 
 def _hashed(batch: pa.RecordBatch):
-    """The id, the word hashes and the text hash of each row of a batch, in steps."""
-    for part in chunks(batch, 1, STEP_BYTES):
-        words, counts, _ = word_hashes([(x or "").encode("utf-8", "surrogatepass") for x in part.column(1).to_pylist()])
+    """Steps of a batch (``doc_id``, ``text_hash``, ``text`` and more) with the word hashes of its texts."""
+    for part in chunks(batch, 2, STEP_BYTES):
+        words, counts, _ = word_hashes([(x or "").encode("utf-8", "surrogatepass") for x in part.column(2).to_pylist()])
         yield part, words, counts
 
 
+class Runs:
+    """Hashes of runs of words as differences of one running polynomial."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = _powers(1 << max(20, len(words).bit_length()))
+        self.total = np.zeros(len(words) + 1, U)
+        np.cumsum(words * up[: len(words)], out=self.total[1:])
+
+    def hash(self, low: np.ndarray, high: np.ndarray, seed: int) -> np.ndarray:
+        return mixed((self.total[high] - self.total[low]) * self.down[low], seed) ^ mixed((high - low).astype(U), 24)
+
+
+PIECES = "key bigint, piece bigint, doc_id bigint, text_hash bigint, place int, a int, low int, high int"
+#: What tells a piece's place: the anchor, the least place of the anchor in its windows, and its bounds.
+WHERE = ("place", "a", "low", "high")
+
+
+def _batch(key, piece, docs, texts, *where) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([SIGNED(key), SIGNED(piece), docs, texts, *(pa.array(x.astype(np.int32)) for x in where)], names=["key", "piece", "doc_id", "text_hash", *WHERE])
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """A row for each anchor of each document: its hash, the hash of its piece, and where it is."""
+    """A row for each anchor of each document: its hash, the hash of its piece, and where that is (``PIECES``)."""
 
     def run(batches):
         for batch in batches:
             for part, words, counts in _hashed(batch):
                 if len(words) < WINDOW:
                     continue
-                grams = _rolled(words, GRAM, 22)
-                # The hash of any run of words is a difference of one running polynomial.
-                up, down = _powers(1 << max(20, len(words).bit_length()))
-                total = np.zeros(len(words) + 1, U)
-                np.cumsum(words * up[: len(words)], out=total[1:])
-                ids, rows, at = part.column(0).to_pylist(), [], 0
+                grams, runs, found, at = _rolled(words, GRAM, 22), Runs(words), [], 0
                 for i, n in enumerate(counts.tolist()):
                     if n >= WINDOW:
-                        own = words[at : at + n]
-                        place = anchors(own, at, grams)
-                        low, high = np.maximum(place - REACH, 0), np.minimum(place + GRAM + REACH, n)
-                        piece = mixed((total[at + high] - total[at + low]) * down[at + low], 23) ^ mixed((high - low).astype(U), 24) ^ mixed((place - low).astype(U), 28)
-                        rows.append((i, place, grams[at + place], piece, _text_hash(own)))
+                        place = anchors(words[at : at + n], at, grams)
+                        found.append((i, at, place, np.maximum(place - REACH, 0), np.minimum(place + GRAM + REACH, n)))
                     at += n
-                if rows:
-                    sizes = [len(r[1]) for r in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [SIGNED(np.concatenate([r[2] for r in rows])), SIGNED(np.concatenate([r[3] for r in rows])), pa.array(np.repeat([ids[r[0]] for r in rows], sizes)), SIGNED(np.repeat(np.array([r[4] for r in rows], U), sizes)), pa.array(np.concatenate([r[1] for r in rows]).astype(np.int32))],
-                        names=["anchor", "piece", "doc_id", "text_hash", "place"],
-                    )
+                if not found:
+                    continue
+                sizes = [len(f[2]) for f in found]
+                base = np.repeat([f[1] for f in found], sizes)
+                place, low, high = (np.concatenate([f[k] for f in found]) for k in (2, 3, 4))
+                take = pa.array(np.repeat([f[0] for f in found], sizes))
+                piece = runs.hash(base + low, base + high, 23) ^ mixed((place - low).astype(U), 28)
+                yield _batch(grams[base + place], piece, part.column(0).take(take), part.column(1).take(take), place, np.zeros(len(place)), low, high)
 
-    return map_arrow(docs.where("doc_id IS NOT NULL"), run, "anchor bigint, piece bigint, doc_id bigint, text_hash bigint, place int")
+    return map_arrow(docs.where("doc_id IS NOT NULL"), run, PIECES)
 
 
-def _at_places(docs: DataFrame, where: DataFrame, f, schema: str) -> DataFrame:
-    """``f(words, row)`` for documents with rows in ``where`` (``doc_id``, ``text_hash``, ``key``, ``place``), rereading their texts."""
-    lists = written(where.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "key", "place")).alias("places")), "places")
-    ids = lists.select("doc_id")
+def _at_places(docs: DataFrame, where: DataFrame, f, schema: str, made: list[DataFrame]) -> DataFrame:
+    """``f(doc, text, words, places)`` for documents with rows in ``where`` (``doc_id``, ``text_hash``, ``WHERE``), rereading their texts.
+
+    Rows of one id and text are one; an id's other texts are apart.
+    """
+    lists = written(where.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(*WHERE)).alias("places")), "places")
+    made.append(lists)
+    ids = lists.select("doc_id", "text_hash")
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", "text", "places")
+    one = docs.join(F.broadcast(ids) if few else ids, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = one.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places")
 
     def run(batches):
         for batch in batches:
             for part, words, counts in _hashed(batch):
-                ids, lists, at, out = part.column(0).to_pylist(), part.column(2), 0, []
+                ids, hashes, lists, at = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3), 0
                 for i, n in enumerate(counts.tolist()):
-                    own, places = words[at : at + n], lists[i].values
+                    places = lists[i].values
+                    yield f(ids[i], hashes[i], words[at : at + n], {c: places.field(c).to_numpy().astype(np.int64) for c in WHERE})
                     at += n
-                    hit = places.field("text_hash").to_numpy() == np.array([_text_hash(own)], U).view(np.int64)[0] if n else np.zeros(len(places), bool)
-                    if hit.any():
-                        out += f(ids[i], own, places.field("key").to_numpy()[hit], places.field("place").to_numpy()[hit])
-                yield from out
 
     return map_arrow(texts, run, schema)
 
 
-def _pieces(doc: int, words: np.ndarray, keys: np.ndarray, places: np.ndarray) -> list[pa.RecordBatch]:
-    raw = [words[max(0, p - REACH) : p + GRAM + REACH].tobytes() for p in places.tolist()]
-    return [pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), doc)), pa.array(raw, pa.binary())], names=["key", "doc_id", "words"])]
+def _content(doc: int, text: int, words: np.ndarray, at: dict[str, np.ndarray]) -> pa.RecordBatch:
+    raw = [words[low:high].tobytes() for low, high in zip(at["low"].tolist(), at["high"].tolist(), strict=True)]
+    n = len(raw)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, text)), pa.array(at["place"].astype(np.int32)), pa.array(at["a"].astype(np.int32)), pa.array(raw, pa.binary())], names=["doc_id", "text_hash", "place", "a", "words"])
+
 
+def _narrower(before: int, width: int):
+    """From pieces of ranges of ``before`` places, those of ranges of ``width``."""
 
-def _windows(doc: int, words: np.ndarray, keys: np.ndarray, places: np.ndarray) -> list[pa.RecordBatch]:
-    """Windows around hot anchors, each with a 128-bit hash."""
-    start = np.unique(np.concatenate([np.arange(max(0, p - REACH), min(p, len(words) - WINDOW) + 1) for p in places.tolist()]))
-    hashes = [_rolled(words, WINDOW, seed)[start] for seed in (25, 26)]
-    other = np.zeros(len(words) - WINDOW + 1, U)
-    for k in range(WINDOW):
-        other = other * U(0xD6E8FEB86659FD93) + mixed(words[k : len(words) - WINDOW + 1 + k], 27)
-    text = np.full(len(start), _text_hash(words), U)
-    return [pa.RecordBatch.from_arrays([SIGNED(hashes[0]), SIGNED(other[start]), pa.array(np.full(len(start), doc)), SIGNED(text), pa.array(start.astype(np.int32))], names=["h1", "h2", "doc_id", "text_hash", "start"])]
+    def cut(doc: int, text: int, words: np.ndarray, at: dict[str, np.ndarray]) -> pa.RecordBatch:
+        n, runs = len(words), Runs(words)
+        step = np.arange(0, before, width)
+        p, a = np.repeat(at["place"], len(step)), (at["a"][:, None] + step).ravel()
+        end = np.minimum(np.repeat(at["a"], len(step)) + before - 1, REACH)
+        b = np.minimum(a + width - 1, end)
+        # A window that has the anchor at place x begins at p - x; of these the text holds:
+        least, most = np.maximum(a, p + WINDOW - n), np.minimum(b, p)
+        ok = least <= most
+        p, a, b, least, most = p[ok], a[ok], b[ok], least[ok], most[ok]
+        key = runs.hash(p - a, p + WINDOW - b, 25) ^ mixed(a.astype(U), 26) ^ mixed(np.full(len(p), width, U), 29)
+        low, high = p - most, p + WINDOW - least
+        piece = runs.hash(low, high, 23) ^ mixed((p - low).astype(U), 28)
+        return _batch(key, piece, pa.array(np.full(len(p), doc)), pa.array(np.full(len(p), text)), p, a, low, high)
 
+    return cut
 
-RUNS = "anchor bigint, piece bigint, first int, last int, least bigint"
+
+RUNS = "key bigint, piece bigint, first int, last int, least bigint"
 
 
 def _search(rows: pa.Table) -> pa.Table:
@@ -152,49 +184,70 @@ def _search(rows: pa.Table) -> pa.Table:
         last += (np.r_[edge[1:], len(least_owner)] - 1).tolist()[: len(edge)]
         least += least_owner[edge].tolist()
     take = pa.array(at, pa.int64())
-    return pa.table([rows.column("anchor").take(take), rows.column("piece").take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(least, pa.int64())], names=["anchor", "piece", "first", "last", "least"])
+    return pa.table([rows.column("key").take(take), rows.column("piece").take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(least, pa.int64())], names=["key", "piece", "first", "last", "least"])
+
+
+def _joined(rows: DataFrame, found: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """Rows with what was found for their piece.
+
+    A piece of very many rows (a group of copies) is dealt to several tasks.  It
+    is one with more than its share of all rows, so there are at most a few for
+    each partition, and their table may be broadcast at any size of the input.
+    """
+    share = max(1000, total // (4 * partitions(rows.sparkSession)))
+    hot = F.broadcast(counts.where(F.col("rows") > share).select("key", "piece", F.ceil(F.col("rows") / share).cast("int").alias("salts")))
+    salted = rows.join(hot, ["key", "piece"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "low"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    each = found.join(hot, ["key", "piece"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(each, ["key", "piece", "salt"]).where("least < doc_id")
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """Intervals of words to remove: ``doc_id``, ``text_hash``, ``start``, ``end`` (word numbers, end exclusive).
 
-    ``docs``: ``doc_id`` (long), ``text``.
+    ``docs``: ``doc_id`` (long), ``text_hash``, ``text``.
     """
-    rows = written(_anchor_rows(docs), "anchors")
-    distinct = rows.groupBy("anchor", "piece").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("least"), F.max("doc_id").alias("most"))
-    distinct = written(distinct.select("anchor", "piece", "most", "least.*"), "pieces")
-    per = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("most").alias("high")).where("low < high").select("anchor", "n")
-    per = written(per, "shared")
-    shared = distinct.join(per.where(F.col("n") <= HOT_PIECES).select("anchor"), "anchor", "left_semi")
-    wanted = shared.select("doc_id", "text_hash", F.xxhash64("anchor", "piece").alias("key"), "place")
-    content = _at_places(docs, wanted, _pieces, "key bigint, doc_id bigint, words binary")
-    total = shared.count()
-    shards = max(1, -(-total // SHARD_PIECES))
-    keyed = shared.select("anchor", "piece", F.xxhash64("anchor", "piece").alias("key"), "doc_id")
-    sharded = content.join(keyed, ["key", "doc_id"]).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "piece", "doc_id", "words")
-    found = sharded.groupBy("shard").applyInArrow(_search, RUNS)
-    found = written(found, "found")
-    cold = (
-        rows.join(found, ["anchor", "piece"]).where("least < doc_id")
-        .select("doc_id", "text_hash", (F.greatest(F.col("place") - REACH, F.lit(0)) + F.col("first")).alias("start"), (F.greatest(F.col("place") - REACH, F.lit(0)) + F.col("last") + WINDOW).alias("end"))
-    )
-    hot = rows.join(per.where(F.col("n") > HOT_PIECES).select("anchor"), "anchor", "left_semi").select("doc_id", "text_hash", F.lit(0).cast("long").alias("key"), "place")
-    if per.where(F.col("n") > HOT_PIECES).limit(1).count():
-        windows = written(_at_places(docs, hot, _windows, "h1 bigint, h2 bigint, doc_id bigint, text_hash bigint, start int"), "windows")
-        least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-        more = windows.join(least, ["h1", "h2"]).where("least < doc_id").select("doc_id", "text_hash", "start", (F.col("start") + WINDOW).alias("end"))
-        cold = cold.unionByName(more)
-    return written(cold.distinct(), "intervals")
+    spark, parts, old, left = docs.sparkSession, [], [], None
+    for level, width in enumerate(RANGES):
+        rows = _anchor_rows(docs) if level == 0 else _at_places(docs, left, _narrower(RANGES[level - 1], width), PIECES, old)
+        rows = written(rows, f"rows{level}")
+        distinct = rows.groupBy("key", "piece").agg(F.min(F.struct("doc_id", "text_hash", *WHERE)).alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows"))
+        distinct = written(distinct.select("key", "piece", "most", "rows", "least.*"), f"pieces{level}")
+        per = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("small"), F.max("most").alias("great")).where("small < great").select("key", "n")
+        per = written(per, f"shared{level}")
+        old += [rows, distinct, per]
+        last = level == len(RANGES) - 1  # a key is a window there, and has one piece
+        shared = distinct.join(per if last else per.where(F.col("n") <= KEY_PIECES), "key", "left_semi")
+        count, total = shared.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if count:
+            content = _at_places(docs, shared, _content, "doc_id bigint, text_hash bigint, place int, a int, words binary", old)
+            same = ["doc_id", "text_hash", "place", "a"]
+            sharded = content.join(shared.select("key", "piece", *same), same).select(F.pmod(F.xxhash64("key"), F.lit(-(-count // SHARD_PIECES))).alias("shard"), "key", "piece", "doc_id", "words")
+            found = written(sharded.groupBy("shard").applyInArrow(_search, RUNS), f"found{level}")
+            hit = _joined(rows, found, shared, total)
+            parts.append(written(hit.select("doc_id", "text_hash", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("last") + WINDOW).alias("end")).distinct(), f"intervals{level}"))
+            old.append(found)
+        many = per.where(F.col("n") > KEY_PIECES)
+        if last or not many.limit(1).count():
+            break
+        left = rows.join(many.select("key"), "key", "left_semi")
+    out = parts[0] if parts else spark.createDataFrame([], "doc_id bigint, text_hash bigint, start int, end int")
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    for done in old:
+        dropped(spark, done)
+    return out
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
     """Per input row: the id, columns named in ``keep``, and under the names in ``out`` how many words it has and loses and the kept ones joined by one space."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_intervals(narrow)
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "start", "end")).alias("__cut")).withColumnRenamed("doc_id", "__id")
     named = [id_col, *keep]
-    source = docs.select(*named, F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__own"))
-    source = source.join(lists, source["__own"] == lists["__id"], "left").select(*named, "__text", "__cut")
+    text, own, hashed, cut, id_, hash_ = free([*named, *out], "text", "own", "hashed", "cut", "id", "hash")
+    column = lambda c: F.col(f"`{c}`")
+    narrow = docs.select(column(id_col).cast("long").alias("doc_id"), F.xxhash64(column(text_col)).alias("text_hash"), column(text_col).alias("text"))
+    found = repeated_intervals(narrow)
+    lists = found.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_set(F.struct("start", "end")).alias(cut))
+    source = docs.select(*map(column, named), column(text_col).alias(text), column(id_col).cast("long").alias(own), F.xxhash64(column(text_col)).alias(hashed))
+    source = source.join(lists, (F.col(own) == F.col(id_)) & (F.col(hashed) == F.col(hash_)), "left").select(*map(column, named), text, cut)
     n = len(named)
 
     def run(batches):
@@ -202,27 +255,22 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for part in chunks(batch, n, STEP_BYTES):
                 cut, kept, total, removed = part.column(n + 1), [], [], []
                 for i, text in enumerate(part.column(n)):
-                    raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                    words, gone = raw.split(), 0
+                    words, gone = (text.as_py() or "").encode("utf-8", "surrogatepass").split(), 0
+                    total.append(len(words))
                     if cut[i].is_valid and words:
-                        own = _text_hash(word_hashes([raw])[0])
                         rows = cut[i].values
-                        mine = rows.field("text_hash").to_numpy() == np.array([own], U).view(np.int64)[0]
                         step = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(step, rows.field("start").to_numpy()[mine], 1)
-                        np.add.at(step, rows.field("end").to_numpy()[mine], -1)
+                        np.add.at(step, rows.field("start").to_numpy(), 1)
+                        np.add.at(step, rows.field("end").to_numpy(), -1)
                         stay = np.cumsum(step)[:-1] == 0
                         gone = int(len(words) - stay.sum())
-                        total.append(len(words))
                         words = [w for w, s in zip(words, stay.tolist(), strict=True) if s] if gone else words
-                    else:
-                        total.append(len(words))
                     removed.append(gone)
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*named, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n])
-    return map_arrow(source, run, f"{kinds}, {out[0]} bigint, {out[1]} bigint, {out[2]} string")
+    return map_arrow(source, run, f"{kinds}, `{out[0]}` bigint, `{out[1]}` bigint, `{out[2]}` string")
 
 
 def op9_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,11 +118,43 @@ def brute_repeats(rows, n=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2, 6000])
-def test_substrings_against_all_windows(docs, monkeypatch, hot):
-    monkeypatch.setattr(substrings, "HOT_PIECES", hot)
-    got = substrings.remove_repeated(docs).collect()
-    assert sorted((r[0] if r[0] is not None else -1, r[1], r[2], hashlib.sha256(r[3].encode()).hexdigest()) for r in got) == brute_repeats(ODD)
+def repeats(out):
+    return sorted((r[0] if r[0] is not None else -1, r[1], r[2], hashlib.sha256(r[3].encode()).hexdigest()) for r in out.collect())
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 6000])
+def test_substrings_against_all_windows(docs, monkeypatch, most):
+    monkeypatch.setattr(substrings, "KEY_PIECES", most)  # with none, every piece is cut to single windows
+    assert repeats(substrings.remove_repeated(docs)) == brute_repeats(ODD)
+
+
+@pytest.mark.parametrize("most", [0, 3, 20])
+def test_passages_in_many_contexts(spark, monkeypatch, most):
+    """Passages of 49 to 120 words, at any place of short and long texts, some twice, and an id with several texts."""
+    monkeypatch.setattr(substrings, "KEY_PIECES", most)
+    monkeypatch.setattr(substrings, "SHARD_PIECES", 7)
+    rng = np.random.default_rng(most)
+    passages = [[f"p{j}x{i}" for i in range(n)] for j, n in enumerate((49, 50, 58, 75, 120))]
+    rows = []
+    for i in range(60):
+        parts = []
+        for j in rng.permutation(5)[: rng.integers(1, 4)]:
+            parts += [f"c{i}x{k}" for k in range(rng.integers(0, 12))] + passages[j][rng.integers(0, 5) :]
+        rows.append((int(i // 1.2), " ".join(parts + [f"e{i}"] * int(rng.integers(0, 3)))))
+    assert repeats(substrings.remove_repeated(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute_repeats(rows)
+
+
+def test_words_made_to_meet_in_a_polynomial(spark):
+    """The two words of 2,048 letters agree in any polynomial modulo 2^64, but are different words."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    hashes = jaccard.word_hashes([f"{a} {b} x".encode()])[0]
+    assert len(set(hashes.tolist())) == 3
+    rows = [(1, f"{a} " * 60), (2, f"{b} " * 60), (3, f"{a} " * 55)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert repeats(substrings.remove_repeated(df)) == brute_repeats(rows)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == brute_components(rows)
 
 
 def test_secrets_in_layers():
