@@ -12,9 +12,12 @@ sidebars, notices, adverts, forms, comments and lists of links.  Training takes
 a few seconds, is the same at every run, and its result is a fixed size.
 
 Defined results: a null or empty page, or one without text, has an empty text;
-comments, scripts, styles and other raw elements never become blocks; markup
-that is cut short or badly nested is read as far as it goes; repeated rows are
-each extracted; other columns are not looked at.
+comments and the raw text of scripts, styles and frames never become blocks, and
+what other elements hold (formulas, fallbacks of media and scripts) is text;
+markup that is cut short or badly nested is read as far as it goes, in time
+that is linear in the page; repeated rows are each extracted; other columns are
+not looked at.  A page is read whole whatever its length: its blocks meet the
+network in steps, and only the network's states are kept for all of them.
 """
 
 from __future__ import annotations
@@ -32,20 +35,26 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 PATHS, WORDS, HIDDEN = 512, 32, 24
+#: Open elements that a path names; what is nested deeper has the path of this depth.
+DEEP = 200
+#: Blocks that meet the network at once.
+STEPS = 4096
 STEP_BYTES = 1 << 22
-PAGES = 600
+PAGES = 900
 
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
+    "head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea canvas audio video".split())
+#: Elements whose content is not text of the page (fixed by the HTML standard).
+RAW = frozenset("script style iframe noembed noframes".split())
 #: An open element of these is closed by an opening tag of its group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An open paragraph is closed by any block; these scopes stop the search for what to close.
 SCOPE = frozenset("article aside body div table ul ol dl section main nav header footer form blockquote".split())
-MARKUP = re.compile(r"""<(?:!--|(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>(?:[^>"']|"[^"]*"|'[^']*')*))>|[!?/][^>]*>)""")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+VALUE = re.compile(r">|=\s*+")
 LOOSE = re.compile(r"</?[a-zA-Z][^>]*>?")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-zA-Z]+")
@@ -58,12 +67,57 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class Tags:
+    """The tags of a page in order, in one pass: quotes hide ``>`` in values of attributes, unless they are never closed."""
+
+    def __init__(self, page: str):
+        self.page, self.plain = page, False
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` of the tag whose name ends at ``at``, or -1."""
+        page, begin = self.page, at
+        while not self.plain:
+            m = VALUE.search(page, at)
+            if m is None:  # a quote ran over the rest of the page: from here on quotes hide nothing
+                self.plain = True
+                break
+            at = m.end()
+            if m[0] == ">":
+                return at
+            quote = page[at : at + 1]
+            if quote and quote in "\"'":
+                at = page.find(quote, at + 1) + 1 if at < self.last[quote] else at + 1
+        return page.find(">", begin) + 1 or -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The first tag or comment from ``at`` on: its start and end, ``/`` or nothing, its name (empty: a comment), its attributes."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if m := TAG.match(page, start):
+                end = self._end(m.end())
+                return (start, end, m[1], m[2].lower(), page[m.end() : end - 1]) if end > 0 else None
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                end = page.find(">", start)
+                return (start, end + 1, "", "", "") if end > 0 else None
+            at = start + 1
+        return None
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>?", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; a path is a tuple of (tag, name words)."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
-    linked, anchor, at = 0, False, 0
+    linked, anchor, at, tags = 0, False, 0, Tags(page)
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -81,17 +135,13 @@ def blocks(page: str) -> list[Block]:
             held.clear()
         linked = 0
 
-    while (m := MARKUP.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m[0] == "<!--":
-                end = page.find("-->", at)
-                at = len(page) if end < 0 else end + 3
+    while (found := tags.next(at)) is not None:
+        start, end, close, tag, rest = found
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if m["close"]:
+        if close:
             if tag == "a":
                 anchor = False
             elif tag in BLOCK:
@@ -102,10 +152,8 @@ def blocks(page: str) -> list[Block]:
                         break
             continue
         if tag in RAW:
-            if m["rest"].endswith("/"):
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = len(page) if end is None else end.end()
+            shut = _raw_end(tag).search(page, at)
+            at = len(page) if shut is None else shut.end()
             held.append(" ")
         elif tag == "br":
             held.append(" ")
@@ -114,16 +162,18 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK:
             flush()
             shut = CLOSES.get(tag, set()) | {"p"}
-            if "body" == tag:
+            if tag == "body":
                 stack[:] = [s for s in stack if s[0] == "html"]
+            elif tag not in ("head", "title", "noscript"):  # a head that is never closed ends at the first block
+                stack[:] = [s for s in stack if s[0] not in ("head", "title")]
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in shut:
                     del stack[i:]
                     break
                 if stack[i][0] in SCOPE:
                     break
-            if tag not in VOID:
-                names = " ".join(a or b or c for a, b, c in NAMES.findall(m["rest"])) if m["rest"] else ""
+            if tag not in VOID and len(stack) < DEEP:
+                names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if rest else ""
                 stack.append((tag, tuple(x.lower() for x in PARTS.findall(names))))
     rest = page[at:]
     if (cut := rest.rfind("<")) >= 0 and LOOSE.fullmatch(rest[cut:]):
@@ -147,12 +197,12 @@ def _path(path: tuple) -> np.ndarray:
     return x
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), PATHS + WORDS + 4), np.float32)
+def _rest(page: list[Block]) -> np.ndarray:
+    """Hashed words, length, share of linked text, punctuation, and a one."""
+    out = np.zeros((len(page), WORDS + 4), np.float32)
     for row, b in zip(out, page, strict=True):
-        row[:PATHS] = _path(b.path)
         words = b.text.split()
-        row[PATHS : PATHS + WORDS] = np.bincount([_bucket(w, WORDS) for w in words], minlength=WORDS) / len(words)
+        row[:WORDS] = np.bincount([_bucket(w, WORDS) for w in words], minlength=WORDS) / len(words)
         row[-4] = np.log1p(len(b.text)) / 5
         row[-3] = b.linked / max(1, len(b.text))
         row[-2] = sum(map(b.text.count, ".,;:!?")) / len(words)
@@ -160,6 +210,10 @@ def vectors(page: list[Block]) -> np.ndarray:
     return out
 
 
+def vectors(page: list[Block]) -> np.ndarray:
+    return np.concatenate([np.stack([_path(b.path) for b in page]) if page else np.zeros((0, PATHS), np.float32), _rest(page)], 1)
+
+
 NOISE = {
     "nav": ["nav", "ul menu", "div navbar", "div breadcrumb", "div id:menu", "div topmenu", "ol breadcrumbs"],
     "header": ["header", "div header", "div masthead", "div site title", "div id:top"],
@@ -171,13 +225,18 @@ NOISE = {
     "comments": ["section comments", "div comments", "div id:comments", "ol comment list", "div comment thread", "article comment", "div disqus replies"],
     "share": ["div share", "ul social links", "div byline meta", "div pagination", "div author bio"],
 }
-MAIN = ["article", "main", "main > article", "div content", "div post body", "section story", "div article body", "div entry content", "div id:content", "article post", "div text", "section", "div", "div", ""]
+MAIN = ["div id:main", "main id:main", "div story", "td", "div page", "section content", "article", "main", "main > article", "div content", "div post body", "section story", "div article body", "div entry content", "div id:content", "article post", "div text", "section", "div", "div", ""]
 
 
 def synthetic_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     """A page and, for each of its blocks in order, whether it is main text."""
     syllables = "an er on the in ou st re ti ble shed nor kal mi tor ö ä ver lich ción que eau tre no da".split()
     labels: list[bool] = []
+    #: Names that tell nothing, on some pages of all noise, on some of the article too.
+    opaque, opaque_main = rng.random() < 0.08, rng.random() < 0.15
+
+    def name() -> str:
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 7)))
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(rng.integers(low, high + 1)))
@@ -193,14 +252,16 @@ def synthetic_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         labels.append(main)
         return f"<{tag}>{text}" if tag in ("p", "li") and rng.random() < 0.15 else f"<{tag}>{text}</{tag}>"
 
-    def opened(what: str) -> tuple[str, str]:
+    def opened(what: str, blind: bool = False) -> tuple[str, str]:
         tag, *names = what.split()
+        if blind and names:
+            names = [name()]
         ids = [n[3:] for n in names if n.startswith("id:")]
         classes = "-".join(n for n in names if not n.startswith("id:"))
         return f"<{tag}" + (f' class="{classes}"' if classes else "") + (f' id="{ids[0]}"' if ids else "") + ">", f"</{tag}>"
 
     def noise(kind: str) -> str:
-        start, end = opened(str(rng.choice(NOISE[kind])))
+        start, end = opened(str(rng.choice(NOISE[kind])), opaque and kind != "comments")
         body = ""
         if kind in ("nav", "share") or kind in ("aside", "footer", "header") and rng.random() < 0.5:
             items = [leaf("li", f'<a href="/{rng.integers(99)}">{words(1, 3)}</a>', False) for _ in range(rng.integers(2, 9))]
@@ -224,13 +285,17 @@ def synthetic_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         return start + body + end
 
     def article() -> str:
-        tags = [opened(w) for w in str(rng.choice(MAIN)).split(" > ") if w]
+        tags = [opened(w, opaque_main) for w in str(rng.choice(MAIN)).split(" > ") if w]
         odd = rng.random() < 0.25  # an article of scraps: repeated lines, lone words, capitals
         again = prose(1, 1)
         parts = []
-        if rng.random() < 0.8:
+        short = rng.random() < 0.15
+        if rng.random() < (0.4 if short else 0.8):
             parts.append(leaf("h1", words(2, 9), True))
-        for _ in range(rng.integers(15, 50) if rng.random() < 0.1 else rng.integers(1, 14)):
+        if rng.random() < 0.1:
+            labels.append(True)
+            parts.append(f'<p class="byline">{words(1, 4)}</p>')
+        for _ in range(rng.integers(1, 3) if short else rng.integers(15, 50) if rng.random() < 0.1 else rng.integers(1, 14)):
             kind = rng.random()
             if odd and rng.random() < 0.6:
                 parts.append(leaf("p", str(rng.choice([again, words(1, 1), words(1, 3), prose(1, 2).upper(), f"{words(1, 1)} " * 9])), True))
@@ -242,8 +307,10 @@ def synthetic_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
                 parts.append("<ul>" + "".join(leaf("li", prose(1, 2), True) for _ in range(rng.integers(2, 5))) + "</ul>")
             elif kind < 0.85:
                 parts.append("<blockquote>" + leaf("p", prose(1, 3), True) + "</blockquote>")
-            elif kind < 0.88:
+            elif kind < 0.87:
                 parts.append(leaf("pre", words(3, 12), True))
+            elif kind < 0.89:
+                parts.append("<figure><img src=x>" + leaf("figcaption", words(2, 8), True) + "</figure>")
             elif kind < 0.92:
                 parts.append("<table>" + "".join("<tr>" + leaf("td", words(1, 3), True) + leaf("td", words(1, 3), True) + "</tr>" for _ in range(rng.integers(1, 4))) + "</table>")
             elif kind < 0.95:
@@ -261,10 +328,13 @@ def synthetic_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
     before = list(rng.permutation(["header", "nav", "notice", "ad", "aside", "form"]))
     after = list(rng.permutation(["aside", "comments", "form", "share", "ad", "notice", "nav"]))
-    body = some(before, 0.5) + article() + some(after, 0.4) + some(["footer"], 0.8)
+    bare = 0 if rng.random() < 0.08 else 1  # a page of nothing but its article
+    body = some(before, 0.5 * bare) + article() + some(after, 0.4 * bare) + some(["footer"], 0.8 * bare)
     for _ in range(rng.integers(0, 3)):
         name = rng.choice(["page", "wrapper", "root", "container", "wrap", "outer", "site", "layout", "row", "".join(rng.choice(list("abcdefghiklmnoprstu"), 5))])
         body = f'<div {rng.choice(["id", "class"])}="{name}">{body}</div>'
+    if not bare and rng.random() < 0.5:
+        return body, labels
     return f"<html><head><title>{words(2, 6)}</title><script>var a='</p>';</script></head><body>{body}</body></html>", labels
 
 
@@ -304,6 +374,36 @@ class Lstm:
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.states(x, mask)[2] @ self.w["o"])[:, :, 0]))
 
+    def labels(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Which blocks of each page are main text: the same as ``probabilities`` of their vectors above a half.
+
+        What a path contributes is computed once for each different path, and
+        the states of both directions are all that is kept for every block.
+        """
+        steps, n = max(map(len, pages)), len(pages)
+        known: dict[tuple, int] = {}
+        path, rest, mask = np.zeros((steps, n), np.int32), np.zeros((steps, n, WORDS + 4), np.float32), np.zeros((steps, n), np.float32)
+        for i, page in enumerate(pages):
+            path[: len(page), i] = [known.setdefault(b.path, len(known)) for b in page]
+            rest[: len(page), i], mask[: len(page), i] = _rest(page), 1
+        x = np.stack([_path(p) for p in known])
+        score = np.full((steps, n), self.w["o"][-1, 0], np.float32)
+        for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
+            by_path, w = x @ self.w[d + "x"][:PATHS], self.w[d + "x"][PATHS:]
+            h = c = np.zeros((n, HIDDEN), np.float32)
+            order = np.arange(steps) if d == "f" else np.arange(steps)[::-1]
+            for k in range(0, steps, STEPS):
+                some = order[k : k + STEPS]
+                drive = by_path[path[some]] + rest[some] @ w + self.w[d + "b"]
+                for t, z in zip(some.tolist(), drive, strict=True):
+                    z = z + h @ self.w[d + "h"]
+                    gate = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
+                    m = mask[t][:, None]
+                    c = (gate[:, HIDDEN : 2 * HIDDEN] * c + gate[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])) * m
+                    h = gate[:, 2 * HIDDEN :] * np.tanh(c) * m
+                    score[t] += (h @ self.w["o"][part])[:, 0]
+        return [score[: len(page), i] > 0 for i, page in enumerate(pages)]
+
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
         forward, backward, h = self.states(x, mask)
         wrong = (1 / (1 + np.exp(-(h @ self.w["o"])[:, :, 0])) - y) * mask / mask.sum()
@@ -335,7 +435,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(1)
-def labeller(pages: int = PAGES, epochs: int = 8, seed: int = 5) -> Lstm:
+def labeller(pages: int = PAGES, epochs: int = 10, seed: int = 5) -> Lstm:
     """Train on synthetic pages (Adam, batches of 20 pages)."""
     rng = np.random.default_rng(seed)
     data = []
@@ -355,10 +455,11 @@ def labeller(pages: int = PAGES, epochs: int = 8, seed: int = 5) -> Lstm:
             x[:, :, :PATHS] *= rng.random((1, 1, PATHS)) > 0.08  # names that training knows may be missing elsewhere
             x[:, :, PATHS : PATHS + WORDS] *= rng.random((1, len(part), 1)) > 0.5  # and so may words
             step += 1
+            rate = 0.01 * (1 - 0.9 * step / (epochs * (pages // 20)))
             for k, g in net.gradients(x, y, mask).items():
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.01 * (g * g - square[k])
-                net.w[k] -= (0.01 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                net.w[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return net
 
 
@@ -373,10 +474,8 @@ def main_texts(pages: list[str], net: Lstm) -> list[str]:
         while end < len(order) and end - begin < 256 and (most := len(found[order[end]])) * (end - begin + 1) <= 16_384 or end == begin:
             end += 1
         part = order[begin:end]
-        x, mask = _padded([vectors(found[i]) for i in part])
-        p = net.probabilities(x, mask)
-        for k, i in enumerate(part):
-            out[i] = "\n".join(b.text for b, keep in zip(found[i], p[: len(found[i]), k] > 0.5, strict=True) if keep)
+        for i, main in zip(part, net.labels([found[i] for i in part]), strict=True):
+            out[i] = "\n".join(b.text for b, keep in zip(found[i], main.tolist(), strict=True) if keep)
         begin = end
     return out
 

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 
-from pulsegrid.llm import packing, words
+from pulsegrid.llm import html_text, packing, words
 
 
 def table(sf_dir, name, *columns):
@@ -63,3 +63,51 @@ def test_equal_rows_are_dealt_to_many_groups(spark):
     pieces = spark.range(3000).selectExpr("1L AS doc_id", "0 AS piece", "0L AS start", "700L AS length")
     packed = packing.pack_pieces(pieces, 40 * packing.GROUP_DOCS)
     assert packed.selectExpr("sequence_id >> 32 AS g").distinct().count() > 30 and packed.count() == 3000
+
+
+def test_op5_equals_the_articles(spark, sf_dir):
+    """Every page of the table has its main text in an element; the query, which knows nothing of that, gives the same text."""
+    import html
+    import re
+
+    want = {}
+    for r in table(sf_dir, "pages", "page_id", "url", "html"):
+        body = re.search(r"(?s)<article>(.*)</article>", r["html"] or "")
+        text = re.sub(r"</?(?:p|h\d|li|ul|blockquote)\b[^>]*>", "\0", body[1] if body else "")
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br" in x else "", x.replace("<br>", " "))).split()) for x in text.split("\0")]
+        want[r["page_id"]] = (r["url"], "\n".join(x for x in parts if x))
+    got = html_text.op5_recurrent_block_labeller(spark, sf_dir).collect()
+    assert {r["page_id"]: (r["url"], r["text"]) for r in got} == want and len(got) == len(want)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_blocks_lose_no_text():
+    words = lambda page: " ".join(b.text for b in html_text.blocks(page))
+    assert words("a <math>x=2</math> b <noscript>c</noscript> <textarea>d</textarea><object>e</object> <video>f</video>") == "a x=2 b c d e f"
+    assert words("<p>before</p><svg><path/><p>after</p>") == "before after"
+    assert words("<script>no</script>x<style>no</style>y<iframe>no</iframe>z") == "x y z"
+    assert words('<p title="a > b">one</p><p title="never closed>two</p>') == "one two"
+    assert words("<head><meta x><p>body text") == "body text"
+
+
+def test_blocks_take_linear_time():
+    import time
+
+    for unit in ("<a \"", "<a x=\"", "<a x=\"b>", "<!", "</", "<p <p", "<div>"):
+        times = []
+        for n in (20_000, 80_000):
+            begin = time.process_time()
+            html_text.blocks(unit * n)
+            times.append(time.process_time() - begin)
+        assert times[1] < 12 * max(times[0], 0.05), unit
+
+
+def test_articles_without_their_element():
+    net = html_text.labeller()
+    long = "A paragraph of the article itself, which has several words in it, and ends with a stop."
+    menu = "<ul class=qzx><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>About us</a></ul>"
+    after = "<section class=comments><h3>Comments</h3><div class=comment><p>Nice post!</p></div></section><div class=footer>&copy; 2020 Owner</div>"
+    for start, end in (("<div id=main>", "</div>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div class=story>", "</div>")):
+        for n in (1, 2, 6):
+            page = f"<html><body>{menu}{start}{f'<p>{long}</p>' * n}{end}{after}</body></html>"
+            assert html_text.main_texts([page], net) == ["\n".join([long] * n)], (start, n)
