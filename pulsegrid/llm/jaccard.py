@@ -38,6 +38,7 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,28 +224,36 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(keys.column("key").to_numpy().astype(np.int64).view(U))
 
 
-def _runs(keyed: DataFrame) -> DataFrame:
+def _runs(keyed: DataFrame, frequent: np.ndarray) -> DataFrame:
     """The rows of ``keyed`` (``key`` and more) whose key more than one row has.
 
-    Sorted rows are streamed, so a run of any length takes no memory.
+    Sorted rows are streamed, so a run of any length takes no memory.  Keys
+    that are frequent in the sample would fill single tasks; their rows are
+    dealt out by document and stay without a look, since a run of one row does
+    no harm later.  The sample bounds their table, which is broadcast.
     """
+    spark = keyed.sparkSession
+    n, names = partitions(spark), keyed.columns
+    hot = spark.createDataFrame(pd.DataFrame({"key": frequent.view(np.int64)}), "key bigint").withColumn("hot", F.lit(True))
+    marked = keyed.join(F.broadcast(hot), "key", "left").select(*names, F.coalesce("hot", F.lit(False)).alias("hot"))
 
     def run(batches):
-        held = None  # the last row of what came before, and whether its key is that of the row before it
+        held = None  # the last row of what came before, its key, and whether it is kept
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
+            key, stays = batch.column(0).to_numpy(), batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
+            rows = batch.select(names)
             same = np.r_[held is not None and key[0] == held[1], key[1:] == key[:-1]]
             if held is not None and (same[0] or held[2]):
                 yield held[0]
-            yield batch.slice(0, len(key) - 1).filter(pa.array(same[:-1] | same[1:]))
-            held = batch.slice(len(key) - 1), key[-1], bool(same[-1])
+            yield rows.slice(0, len(key) - 1).filter(pa.array(same[:-1] | same[1:] | stays[:-1]))
+            held = rows.slice(len(key) - 1), key[-1], bool(same[-1] or stays[-1])
         if held is not None and held[2]:
             yield held[0]
 
-    n = partitions(keyed.sparkSession)
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, keyed.schema)
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(0)
+    return marked.withColumn("spread", spread).repartition(n, "key", "spread").drop("spread").sortWithinPartitions("key", "doc_id").mapInArrow(run, keyed.schema)
 
 
 def close_pairs(n: np.ndarray, component: np.ndarray, block: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
@@ -344,13 +353,14 @@ def _verified(docs: DataFrame, sig: DataFrame, pairs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    full = written(_signatures(docs, _frequent(docs)), "keys")
+    frequent = _frequent(docs)
+    full = written(_signatures(docs, frequent), "keys")
     sig = written(full.drop("keys"), "signatures")
     own = sig.where("doc_id IS NOT NULL AND n > 0")
     # Exact copies: a star around the least id of each set.
     same = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
     copies = written(own.select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct(), "copies")
-    runs = _runs(full.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n")))
+    runs = _runs(full.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n")), frequent)
     # Copies need no other links; but an id that repeats with another set does, for that set.
     several = own.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low < high").select("doc_id")
     gone = copies.select(F.col("u").alias("doc_id")).join(several, "doc_id", "left_anti")
@@ -374,6 +384,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = _verified(docs, sig, _compared(left, sig))
         if found.limit(1).count():
             group = written(components(links.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v")))), "components")
+    for done in (copies, runs, state, left):
+        dropped(docs.sparkSession, done)
     rows = sig.select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
