@@ -102,7 +102,12 @@ def trim(collect: bool = False) -> None:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow(f, schema)`` whose workers keep no freed memory between tasks."""
+    """``df.mapInArrow(f, schema)`` whose workers keep no freed memory between tasks.
+
+    Spark looks columns up by name there, so a name with a dot reaches ``f`` with another sign in its place.
+    """
+    if any("." in c for c in df.columns):
+        df = df.toDF(*[c.replace(".", "\u00b7") for c in df.columns])
 
     def run(batches):
         try:

@@ -14,7 +14,7 @@ whole text.  Only the text enters a score.
 Defined results: null text counts as empty; an empty text gets the score of
 the bias; with labels of one kind only the score is the smoothed share of
 label 1, and without any label 1.0 (nothing speaks against a document); a
-labelled id that repeats counts once, with its greatest label; null labels and
+labelled id that repeats counts once, with its greatest label and least text; null labels and
 ids are not learned from; repeated rows are each scored.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLES, chunks, map_arrow, table
+from .common import TABLES, chunks, free, map_arrow, table
 
 SAMPLE_ROWS = 6144
 BITS, DIM, EPOCHS, RATE = 18, 8, 8, 0.5
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     # At most sample_rows rows of two numbers: a bounded broadcast.
-    texts = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(chosen), "doc_id").select("quality", "__text")
+    # An id that repeats has one row here, of its least text, however many there are.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
 
     def featured(batches):
         for batch in batches:
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
 def score(docs: DataFrame, model: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
     """The id, columns named in ``keep`` and the score, named ``out``, for every row."""
     named = [id_col, *keep]
-    source = docs.select(*named, F.col(text_col).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in named], F.col(f"`{text_col}`").alias(free([*named, out], "text")[0]))
 
     def run(batches):
         for batch in batches:
@@ -186,7 +187,7 @@ def score(docs: DataFrame, model: np.ndarray, bias: float, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got)], names=[*named, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return map_arrow(source, run, f"{kinds}, {out} double")
+    return map_arrow(source, run, f"{kinds}, `{out}` double")
 
 
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +199,9 @@ def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with their columns, whatever else they are called."""
     others = [c for c in docs.columns if c != "text"]
-    shadow = docs.withColumn("__scored", F.col("text"))
-    kept = score(shadow, *fit(docs, labels), id_col="text", text_col="__scored", keep=tuple(others), out="__score")
-    return kept.where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    scored, found = free(docs.columns, "scored", "score")
+    shadow = docs.withColumn(scored, F.col("text"))
+    kept = score(shadow, *fit(docs, labels), id_col="text", text_col=scored, keep=tuple(others), out=found)
+    return kept.where(F.col(found) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

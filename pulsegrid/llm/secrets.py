@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import free, map_arrow, table
 
 KINDS = ("assign", "access", "hex")
 #: Name, pattern, group whose length counts, least length.
@@ -201,21 +201,17 @@ def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
 
 
 def _inflated_texts(raw: bytes, least: int) -> Iterator[str]:
-    """The unfolded text, cut where no match can lie; nothing if it isn't readable as a whole or shorter than ``least``."""
-    n = good = 0
-    for text in _texts(_inflated(raw)):
-        n, good = n + len(text), good + _printable(text)
-    if n < least or good < 0.9 * n:
-        return
-    held, size = [], 0
+    """The unfolded text, cut where no match can lie, binary or not; nothing that is shorter than ``least``."""
+    held, size, n = [], 0, 0
     for text in _texts(_inflated(raw)):
+        n += len(text)
         if size + len(text) >= LAYER_CHARS and (last := BETWEEN.search(text[::-1])):
             cut = len(text) - last.start()
             yield "".join([*held, text[:cut]])
             held, text, size = [], text[cut:], 0
         held.append(text)
         size += len(text)
-    if size:
+    if size and n >= least:
         yield "".join(held)
 
 
@@ -317,7 +313,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     named = [id_col, *keep]
-    source = docs.select(*named, F.col(text_col).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in named], F.col(f"`{text_col}`").alias(free(named, "text")[0]))
 
     def scan(batches):
         as_rows = lambda xs: [dict(zip(("kind", "start", "end"), s, strict=True)) for s in xs]
@@ -356,7 +352,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one.  A text without secrets is unchanged.
     """
     others = [c for c in docs.columns if c != "text"]
-    source = docs.select(*others, "text")
+    source = docs.select(*[F.col(f"`{c}`") for c in others], "text")
 
     def clean(batches):
         for batch in batches:
@@ -374,4 +370,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     out = map_arrow(source, clean, source.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,6 +27,17 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_stages_with_clashing_names(spark, sf_dir):
+    """Columns named like those that operators make on the way pass through."""
+    names = ["__score", "__scored", "__words", "__gone", "__kept", "__whole", "__id", "__row", "score", "scored", "words", "gone", "kept", "whole", "id", "row", "several", "own", "hashed", "cut", "hash", "a b", "x.y"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert all(r["x.y"] == f"x.y{r['doc_id']}" for r in out.collect()), name
+
+
 def test_pipeline_runs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = corpus_pipeline.run(spark, sf_dir)

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 
-from pulsegrid.llm import html_text, packing, words
+from pulsegrid.llm import html_text, packing, secrets, words
 
 
 def table(sf_dir, name, *columns):
@@ -111,3 +111,77 @@ def test_articles_without_their_element():
         for n in (1, 2, 6):
             page = f"<html><body>{menu}{start}{f'<p>{long}</p>' * n}{end}{after}</body></html>"
             assert html_text.main_texts([page], net) == ["\n".join([long] * n)], (start, n)
+
+
+def test_op8_base_part_equals_a_plain_version(spark, sf_dir):
+    """Counts, hash and spans of the whole table, from patterns written apart; decoding only adds spans."""
+    import hashlib
+    import re
+
+    kinds = {"assign": r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", "access": r"(AKIA[A-Z0-9]+)", "hex": r"([0-9a-f]+)"}
+    least, rank = {"assign": 6, "access": 20, "hex": 24}, {"assign": 0, "access": 1, "hex": 2}
+    rows = {r["doc_id"]: r for r in secrets.op8_secret_scan(spark, sf_dir).collect()}
+    docs = table(sf_dir, "documents", "doc_id", "text")
+    assert len(rows) == len(docs)
+    for r in docs:
+        text = r["text"] or ""
+        base = sorted((m.start(), rank[k], m.end(), k) for k, p in kinds.items() for m in re.finditer(p, text) if len(m[1]) >= least[k])
+        joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base)
+        got = rows[r["doc_id"]]
+        assert [got["n_assign"], got["n_access"], got["n_hex"]] == [sum(x[3] == k for x in base) for k in kinds]
+        assert got["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(got["spans"].split(","))
+
+
+def test_secret_in_binary_data():
+    import base64
+    import gzip
+
+    noise = np.random.default_rng(1).integers(0, 256, 5000, np.uint8).tobytes()
+    raw = noise + b" password=hunter2abc " + noise
+    for payload in (raw, gzip.compress(raw)):
+        text = f"a {base64.b64encode(payload).decode()} z"
+        assert any(k == "assign" for k, _, _ in secrets.all_spans(text)[1])
+
+
+def test_op4_scores_and_held_out_accuracy(spark, sf_dir):
+    from pulsegrid.llm import quality
+
+    got = {r["doc_id"]: r for r in quality.op4_subword_quality(spark, sf_dir).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in table(sf_dir, "labels", "doc_id", "quality")}
+    assert len(got) == len(table(sf_dir, "documents", "doc_id"))
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+    held = [i for i in labels if i in got and got[i]["held_out"]]
+    assert sum(got[i]["predicted"] == labels[i] for i in held) / len(held) > 0.9
+
+
+def test_one_label_of_many_rows_trains_once(spark):
+    from pulsegrid.llm import quality
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other words"), (3, "good words")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    model, bias = quality.fit(docs, labels)
+    assert len(model) == 1 << quality.BITS and np.isfinite(bias)
+
+
+def test_op10_equals_the_library(spark, sf_dir):
+    import hashlib
+
+    import tiktoken
+
+    from pulsegrid.llm import bpe
+
+    ranks = {}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        import base64
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.op10_byte_bpe(spark, sf_dir).collect()}
+    docs = table(sf_dir, "documents", "doc_id", "text")
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = np.array(library.encode_ordinary(r["text"] or ""), "<u4")
+        g = got[r["doc_id"]]
+        assert (g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
