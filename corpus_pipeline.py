@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: five stages, each over all that the one before has kept.
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns
-of ``docs``.  ``run`` writes each stage's rows as Parquet in the cluster's shared
+of ``docs``, whatever further ones there are and whatever they are called.
+``run`` writes each stage's rows as Parquet in the cluster's shared
 folder and reads them again for the next.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import jaccard, packing, quality, secrets, substrings
-from pulsegrid.llm.common import table, written
+from pulsegrid.llm.common import free, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,24 +27,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     which the row of least text stays; without words it is in no group.
     """
     groups = jaccard.jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
+    id_, row_, several = free(docs.columns, "id", "row", "several")
+    counts = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_)).agg((F.count("*") > 1).alias(several))
+    named = docs.join(counts, docs["doc_id"] == counts[id_]).drop(id_)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
     row = F.struct(*others)
-    first = named.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("__row"))
-    one = first.select("doc_id", *[F.col(f"__row.`{c}`").alias(c) for c in others]).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    # Only ids that repeat are aggregated, the least text first.
+    first = named.where(several).groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias(row_))
+    one = first.select("doc_id", *[F.col(f"{row_}.`{c}`").alias(c) for c in docs.columns if c != "doc_id"])
+    single = named.where(~F.col(several)).drop(several)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.select(columns).unionByName(one.select(columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that an earlier document has go; a text that loses none is unchanged, and one that loses all goes."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = substrings.remove_repeated(docs.withColumn("__whole", F.col("text")), keep=(*others, "__whole"), out=("__words", "__gone", "__kept"))
-    out = cut.where("__gone = 0 OR __gone < __words").withColumn("text", F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("__whole")))
+    whole, words, gone, kept = free(docs.columns, "whole", "words", "gone", "kept")
+    cut = substrings.remove_repeated(docs.withColumn(whole, F.col("text")), keep=(*others, whole), out=(words, gone, kept))
+    some = F.col(gone) > 0
+    out = cut.where(~some | (F.col(gone) < F.col(words))).withColumn("text", F.when(some, F.col(kept)).otherwise(F.col(whole)))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
