@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -101,6 +102,22 @@ def trim(collect: bool = False) -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, total: int, deal: list[str]) -> DataFrame:
+    """``rows`` joined with ``other`` (few rows for each key), the rows of a very frequent key dealt to several tasks by ``deal``.
+
+    ``counts`` has the number of ``rows`` of each key as ``rows``.  A key is
+    frequent with more than its share of the ``total``, so there are at most a
+    few for each partition, and their table may be broadcast at any size of
+    the input.
+    """
+    share = max(1000, total // (4 * partitions(rows.sparkSession)))
+    salts, salt = free([*rows.columns, *other.columns], "salts", "salt")
+    hot = F.broadcast(counts.where(F.col("rows") > share).select(*on, F.ceil(F.col("rows") / share).cast("int").alias(salts)))
+    dealt = rows.join(hot, on, "left").withColumn(salt, F.pmod(F.xxhash64(*deal), F.coalesce(salts, F.lit(1))).cast("int")).drop(salts)
+    each = other.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1))).drop(salts)
+    return dealt.join(each, [*on, salt]).drop(salt)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow(f, schema)`` whose workers keep no freed memory between tasks.
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLES, chunks, dropped, map_arrow, partitions, table, written
+from .common import TABLES, chunks, dropped, map_arrow, partitions, spread_join, table, written
 from .graph import components
 
 SHINGLE = 5
@@ -358,8 +358,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sig = written(full.drop("keys"), "signatures")
     own = sig.where("doc_id IS NOT NULL AND n > 0")
     # Exact copies: a star around the least id of each set.
-    same = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
-    copies = written(own.select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct(), "copies")
+    same = written(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows")).where("least < most").select("h1", "h2", "least", "rows"), "same")
+    total = same.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    copies = written(spread_join(own.select("doc_id", "h1", "h2"), same.drop("rows"), ["h1", "h2"], same, total, ["doc_id"]).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")).distinct(), "copies")
     runs = _runs(full.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n")), frequent)
     # Copies need no other links; but an id that repeats with another set does, for that set.
     several = own.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low < high").select("doc_id")
@@ -384,7 +385,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = _verified(docs, sig, _compared(left, sig))
         if found.limit(1).count():
             group = written(components(links.unionByName(found.select(F.col("b").alias("u"), F.col("a").alias("v")))), "components")
-    for done in (copies, runs, state, left):
+    for done in (same, copies, runs, state, left):
         dropped(docs.sparkSession, done)
     rows = sig.select("doc_id", F.col("n").alias("n_shingles"))
     return rows.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

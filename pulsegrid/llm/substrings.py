@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, free, map_arrow, partitions, table, written, trim
+from .common import chunks, dropped, free, map_arrow, spread_join, table, trim, written
 from .fmindex import FMIndex
 from .jaccard import BASE, BROADCAST_IDS, SIGNED, U, _powers, mixed, word_hashes
 
@@ -187,20 +187,6 @@ def _search(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("key").take(take), rows.column("piece").take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(least, pa.int64())], names=["key", "piece", "first", "last", "least"])
 
 
-def _joined(rows: DataFrame, found: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """Rows with what was found for their piece.
-
-    A piece of very many rows (a group of copies) is dealt to several tasks.  It
-    is one with more than its share of all rows, so there are at most a few for
-    each partition, and their table may be broadcast at any size of the input.
-    """
-    share = max(1000, total // (4 * partitions(rows.sparkSession)))
-    hot = F.broadcast(counts.where(F.col("rows") > share).select("key", "piece", F.ceil(F.col("rows") / share).cast("int").alias("salts")))
-    salted = rows.join(hot, ["key", "piece"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "low"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    each = found.join(hot, ["key", "piece"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return salted.join(each, ["key", "piece", "salt"]).where("least < doc_id")
-
-
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """Intervals of words to remove: ``doc_id``, ``text_hash``, ``start``, ``end`` (word numbers, end exclusive).
 
@@ -223,7 +209,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
             same = ["doc_id", "text_hash", "place", "a"]
             sharded = content.join(shared.select("key", "piece", *same), same).select(F.pmod(F.xxhash64("key"), F.lit(-(-count // SHARD_PIECES))).alias("shard"), "key", "piece", "doc_id", "words")
             found = written(sharded.groupBy("shard").applyInArrow(_search, RUNS), f"found{level}")
-            hit = _joined(rows, found, shared, total)
+            hit = spread_join(rows, found, ["key", "piece"], shared, total, ["doc_id", "low"]).where("least < doc_id")
             parts.append(written(hit.select("doc_id", "text_hash", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("last") + WINDOW).alias("end")).distinct(), f"intervals{level}"))
             old.append(found)
         many = per.where(F.col("n") > KEY_PIECES)
