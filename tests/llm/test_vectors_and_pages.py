@@ -68,10 +68,11 @@ def test_approximate_recall(vectors, monkeypatch, shard):
 
 
 def test_beam_search_beats_greedy():
-    x = np.random.default_rng(0).standard_normal((600, 12)).astype(np.float32)
-    books = ann.fit(x)
-    error = [((x - ann.decode(ann.encode(x, books, beam), books)) ** 2).sum() for beam in (1, 8)]
-    assert error[1] <= error[0]
+    """On vectors that the books were not fitted on: those that they were are met exactly, up to rounding."""
+    x = np.random.default_rng(0).standard_normal((1600, 12)).astype(np.float32)
+    books, fresh = ann.fit(x[:600]), x[600:]
+    error = [((fresh - ann.decode(ann.encode(fresh, books, beam), books)) ** 2).sum() for beam in (1, 8)]
+    assert 1e-4 < error[1] < 0.9 * error[0]
 
 
 def test_wavelet_and_backward_search():
