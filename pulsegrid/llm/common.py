@@ -98,6 +98,7 @@ def trim(collect: bool = False) -> None:
     """Give freed memory back to the system; a worker lives on for other tasks."""
     if collect:
         gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

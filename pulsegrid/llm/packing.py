@@ -30,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, table
+from .common import chunks, map_arrow, table, trim
 from .words import word_ids
 
 CAPACITY = 2048
 SEPARATOR = 0
 GROUP_DOCS = 32_768
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 
 
 def best_two_fit(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +137,7 @@ def pack_pieces(pieces: DataFrame, documents: int, capacity: int = CAPACITY) ->
     def pack(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(n, "ascending") for n in names])
         bins, offsets = best_two_fit(rows.column(at).to_pylist(), capacity)
+        trim()
         group = pc.cast(rows.column("__group"), pa.int64()).to_numpy()
         return pa.table([*(rows.column(n) for n in names), pa.array((group << 32) + bins), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 

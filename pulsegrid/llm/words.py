@@ -1,8 +1,8 @@
 """Token ids of whole texts by a word-level BPE file of the ``tokenizers`` library.
 
 The library's pre-tokens hold no white space, so what stands between white
-space is encoded independently of the rest: a worker encodes each different
-such run once and joins the kept ids.  Letters and the punctuation behind them
+space is encoded independently of the rest: a task encodes each different such
+run once and joins the kept ids.  Letters and the punctuation behind them
 are one pre-token each, already lower-cased and in the form that the normaliser
 leaves; so many of them go to the library's model in one string, without its
 normaliser and its pattern, and the ids that end a word tell them apart.  Texts
@@ -18,18 +18,22 @@ from __future__ import annotations
 import functools
 import os
 import re
+import weakref
 from array import array
 
 import numpy as np
 import pyarrow as pa
 
+from .common import TABLES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Anything but characters that NFC keeps and that lower-case one by one.
 UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u203b]")
 #: Punctuation but the apostrophe, which may begin a pre-token of letters.
 STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-KEPT = 250_000
+#: Runs that are kept for the length of a task, and as many of those met before.
+KEPT = 100_000
 #: Words that the model gets in one string.
 JOINED = 2000
 SPACE = np.zeros(256, bool)
@@ -39,6 +43,9 @@ STOP[list(STOPS.encode())] = True
 ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
+MADE: weakref.WeakSet = weakref.WeakSet()
+
+
 class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -53,6 +60,7 @@ class WordIds:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = all(c + suffix in vocabulary for c in pre_tokenizers.ByteLevel.alphabet())
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        MADE.add(self)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -127,3 +135,11 @@ class WordIds:
 @functools.lru_cache(2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
+
+
+def _forget() -> None:
+    for own in MADE:
+        own.kept, own.old = {}, {}
+
+
+TABLES.append(_forget)
