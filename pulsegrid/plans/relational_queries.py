@@ -287,7 +287,7 @@ def clockface_effect_probes(spark, sf):
 @add("J06", f"""WITH {I.BOARD} SELECT a.id AS arrival, d.id AS departure, d.minute - a.minute AS gap FROM board a JOIN board d ON a.station = d.station AND a.line <> d.line AND a.kind = 'an' AND d.kind = 'ab'
   AND d.minute - a.minute BETWEEN -5 AND 3 + a.station % 4 + 10""", "", "gap")
 def near_miss_all_trips(spark, sf):
-    """Near misses of all trips of a station; ``near_miss_band`` and its SQL hold only pairs whose trips are equal modulo 20."""
+    """Near misses of all trips of a station."""
     b = I.board(spark, sf)
     a = b.where("kind = 'an'").select("station", F.col("id").alias("arrival"), F.col("line").alias("a_line"), F.col("minute").alias("arr"), (3 + F.col("station") % 4).alias("least"))
     d = b.where("kind = 'ab'").select("station", F.col("id").alias("departure"), F.col("line").alias("d_line"), F.col("minute").alias("dep"))

@@ -27,9 +27,11 @@ def ragged_csv(frames: Sequence[DataFrame], path: str) -> None:
 
 
 def matrix(long: DataFrame, path: str, names: Sequence[str], digits: int) -> None:
-    """A wide matrix of a bounded list of names."""
+    """A square matrix of a bounded list of names: each is a column and a row, also without any cell."""
     text = long.withColumn("value", F.format_string(f"%.{digits}f", "value"))
-    text.groupBy("origin").pivot("destination", list(names)).agg(F.first("value")).write.mode("overwrite").csv(path, header=True)
+    wide = text.groupBy("origin").pivot("destination", list(names)).agg(F.first("value"))
+    rows = long.sparkSession.createDataFrame([(n,) for n in names], "origin string")
+    rows.join(wide, "origin", "left").write.mode("overwrite").csv(path, header=True)
 
 
 def json_rows(df: DataFrame, path: str) -> None:
