@@ -64,6 +64,7 @@ class Scan:
                 self.until = max(x[0] for x, _ in at.values())
 
     def routes(self, most_legs: int = 50):
+        """Stations with label and legs.  By the published rule a path of more than 50 legs counts as unreachable."""
         for station, (label, chain) in self.at.items():
             if station == self.origin:
                 continue
