@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,6 +61,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_count(text: Column) -> Column:
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text (null: 0): each such word becomes one letter and all else goes, so no array of words is made."""
+    letters = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "w")
+    return F.coalesce(F.length(F.translate(letters, " \t\n\x0b\x0c\r", "")).cast("long"), F.lit(0))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

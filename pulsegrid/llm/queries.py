@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_text, jaccard, order, packing, quality, secrets, substrings, topk
+from . import ann, bpe, html_text, jaccard, mixing, order, packing, quality, secrets, substrings, topk, trie
 
 QUERIES = {
     "op1_additive_quantisation": ann.op1_additive_quantisation,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_fm_index_dedup": substrings.op9_fm_index_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_systematic_mixing": mixing.op12_systematic_mixing,
 }
 ORACLE_SQL = {
     "op9_fm_index_dedup": substrings.OP9_SQL,
     "op6_parity_sketch_join": jaccard.OP6_SQL,
     "op7_kd_tree_top_k": topk.OP7_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
+    "op12_systematic_mixing": mixing.OP12_SQL,
 }
