@@ -146,6 +146,23 @@ def token_faces(t) -> Column:
     return F.when(t["parity"] == "odd", F.array(t["minute"])).when(t["parity"] == "even", F.array(t["minute"] + 60)).otherwise(F.array(t["minute"], t["minute"] + 60))
 
 
+# texts ----------------------------------------------------------------------
+
+#: White space between words, and a time of the day with what may not stand before it.
+WHITE, CLOCK = r"[\x20\x09-\x0D]+", r"(^|[^0-9:])([01]?[0-9]|2[0-3]):[0-5][0-9]"
+
+
+def word_count(text) -> Column:
+    """Words between white space (null: 0); each becomes one letter and all else goes, so no array of words is made."""
+    letters = F.regexp_replace(col(text), r"[^\x20\x09-\x0D]+", "w")
+    return F.coalesce(F.length(F.translate(letters, " \t\n\x0b\x0c\r", "")).cast("long"), F.lit(0))
+
+
+def clock_count(text) -> Column:
+    """Times of the day, ``H:MM`` or ``HH:MM``, in a text (null: 0)."""
+    return F.coalesce(F.regexp_count(col(text), F.lit(CLOCK)).cast("long"), F.lit(0))
+
+
 # distance and decay ---------------------------------------------------------
 
 

@@ -9,8 +9,11 @@ import os
 import duckdb
 import pytest
 
+from jobs import queries as jobs
 from pulsegrid.plans import registry
 
+QUERIES, ORACLE_SQL = registry.QUERIES | jobs.QUERIES, registry.ORACLE_SQL | jobs.ORACLE_SQL
+
 
 def plain(x):
     if isinstance(x, float):
@@ -28,14 +31,14 @@ def con(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
-    df = registry.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     rows = df.collect()
-    if name not in registry.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         assert rows
         return
-    want = con.execute(registry.ORACLE_SQL[name])
+    want = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
     at = [names.index(c) for c in df.columns]
