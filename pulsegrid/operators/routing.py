@@ -1,182 +1,48 @@
 """Routing on a timetable: one-to-all earliest arrivals, skims, legs and their times, service metrics, components.
 
-The kernel scans connections in order of departure.  A timetable of up to
-``MOST_CONNECTIONS`` goes to every task once, while origins, ready times and
-scenarios are dealt out; a larger one is sorted by Spark and streams past them.
+Routes come from the departure profiles of all pairs (``profiles``).
 """
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_CONNECTIONS = 2_000_000
-#: So many queries share one pass over a larger timetable, unless there are cores for more passes.
-QUERIES_A_TASK = 64
+from . import profiles
+
 LEG = "struct<from_station:string,to_station:string,dep:int,arr:int,trip:string>"
-ROUTE = f"origin string, ready int, destination string, arrival int, departure int, transfers int, movements int, legs array<{LEG}>"
-FAR = 1 << 30
 
+def train_legs(path: Column) -> Column:
+    """The hops of a path joined to one leg for each train."""
 
-class Scan:
-    """Least (arrival, -first departure, transfers, movements) of every station from one origin and ready time.
+    def add(legs: Column, hop: Column) -> Column:
+        last = F.element_at(legs, -1)
+        longer = F.struct(last["from_station"].alias("from_station"), hop["to_station"].alias("to_station"), last["dep"].alias("dep"), hop["arr"].alias("arr"), last["trip"].alias("trip"))
+        goes_on = (F.size(legs) > 0) & (F.get(legs, F.size(legs) - 1)["trip"] == hop["trip"])
+        return F.when(goes_on, F.concat(F.slice(legs, F.lit(1), F.size(legs) - 1), F.array(longer))).otherwise(F.concat(legs, F.array(hop)))
 
-    Connections come in order of departure.  A label stands for a station or for
-    sitting in a trip; a trip may be boarded at the origin at once, elsewhere
-    after the transfer minutes.  Every connection arrives after it departs, so
-    once all ``stations`` are reached and the latest of their arrivals has
-    passed, no label can change: then the scan is ``done``.
-    """
-
-    def __init__(self, origin: str, ready: int, transfer: dict[str, int], default: int, stations: set[str]):
-        self.origin, self.ready, self.transfer, self.default = origin, ready, transfer, default
-        self.at = {origin: ((ready, 0, -1, 0), None)}  # station: label, predecessor
-        self.riding: dict[str, tuple] = {}
-        self.all, self.until, self.done = len(stations | {origin}), FAR, False
-
-    def take(self, row: tuple) -> None:
-        trip, start, end, dep, arr = row
-        if dep >= self.until:
-            self.done = True
-            self.riding.clear()
-            return
-        at, riding, origin = self.at, self.riding, self.origin
-        options = []
-        if trip in riding and riding[trip][1][2] == start:
-            label = riding[trip][0]
-            options.append(((arr, label[1], label[2], label[3] + 1), row, riding[trip]))
-        if start in at:
-            label, _ = at[start]
-            wait = 0 if start == origin else self.transfer.get(start, self.default)
-            if label[0] + wait <= dep:
-                first = -dep if start == origin else label[1]
-                options.append(((arr, first, label[2] + 1, label[3] + 1), row, (label, None, at[start])))
-        if not options:
-            return
-        label, _, before = min(options, key=lambda o: o[0])
-        riding[trip] = (label, row, before)
-        if end != origin and (end not in at or label < at[end][0]):
-            at[end] = (label, riding[trip])
-            if len(at) == self.all:
-                self.until = max(x[0] for x, _ in at.values())
-
-    def routes(self, most_legs: int = 50):
-        """Stations with label and legs.  By the published rule a path of more than 50 legs counts as unreachable."""
-        for station, (label, chain) in self.at.items():
-            if station == self.origin:
-                continue
-            legs, node = [], chain
-            while node is not None:
-                label_, row, before = node
-                if row is None:
-                    node = before[1]
-                    continue
-                if legs and legs[-1][4] == row[0] and legs[-1][0] == row[2]:  # the same train goes on
-                    legs[-1] = (row[1], legs[-1][1], row[3], legs[-1][3], row[0])
-                else:
-                    legs.append((row[1], row[2], row[3], row[4], row[0]))
-                node = before
-            if len(legs) <= most_legs:
-                yield station, label, legs[::-1]
-
-
-class Network:
-    """Connections in order of departure and the transfer minutes of each station."""
-
-    def __init__(self, rows: list[tuple], transfer: dict[str, int], default: int):
-        self.rows = sorted(rows, key=lambda r: r[3:5] + r[:3])
-        self.departures = [r[3] for r in self.rows]
-        self.stations = {r[2] for r in self.rows}
-        self.transfer, self.default = transfer, default
-
-    def routes(self, origin: str, ready: int, most_legs: int = 50):
-        scan = Scan(origin, ready, self.transfer, self.default, self.stations)
-        for k in range(bisect.bisect_left(self.departures, ready), len(self.rows)):
-            scan.take(self.rows[k])
-            if scan.done:
-                break
-        return scan.routes(most_legs)
-
-
-def _found(origin: str, ready: int, routes) -> list[tuple]:
-    return [(origin, ready, d, label[0], -label[1], label[2], label[3], [dict(zip(("from_station", "to_station", "dep", "arr", "trip"), leg, strict=True)) for leg in legs]) for d, label, legs in routes]
-
-
-FOUND = ["origin", "ready", "destination", "arrival", "departure", "transfers", "movements", "legs"]
+    return F.aggregate(path, F.slice(path, 1, 0), add)
 
 
 def one_to_all(connections: DataFrame, queries: DataFrame, transfers: DataFrame, default_transfer: int = 3) -> DataFrame:
-    """Routes from each (``origin``, ``ready``) of ``queries`` to every station reached.
+    """Routes from each (``origin``, ``ready``) of ``queries`` to every station reached: of least arrival, then latest departure, then fewest changes and hops.
 
-    ``connections``: ``trip``, ``from_station``, ``to_station``, ``dep``, ``arr``; ``transfers``: ``station``, ``minutes``.
-    """
-    asked = queries.select(F.col("origin").cast("string"), F.col("ready").cast("int")).distinct()
-    n = connections.count()
-    moves = connections.select(*[F.col(c).cast("string") for c in ("trip", "from_station", "to_station")], F.col("dep").cast("int"), F.col("arr").cast("int")).where("arr > dep")
-    minutes = {r[0]: r[1] for r in transfers.select(F.col("station").cast("string"), F.col("minutes").cast("int")).collect()}
-    if n > MOST_CONNECTIONS:
-        return _streamed(moves, asked, minutes, default_transfer)
-    rows = [tuple(r) for r in moves.collect()]
-    shared = queries.sparkSession.sparkContext.broadcast((rows, minutes, default_transfer))
-
-    def run(frames):
-        net = Network(*shared.value)
-        for frame in frames:
-            out = []
-            for origin, ready in frame.itertuples(index=False):
-                out += _found(origin, ready, net.routes(origin, ready))
-            yield pd.DataFrame(out, columns=FOUND)
-
-    return asked.repartition("origin", "ready").mapInPandas(run, ROUTE)
-
-
-def _streamed(moves: DataFrame, asked: DataFrame, minutes: dict[str, int], default_transfer: int) -> DataFrame:
-    """The same routes where the timetable is too large to be held.
-
-    Queries are dealt to groups, and each group gets all connections, which Spark
-    sorts by departure; a task reads them in batches and keeps only labels.
+    ``connections``: ``trip``, ``from_station``, ``to_station``, ``dep``, ``arr``
+    (not before ``dep``), and ``seq``, their order in a trip, where some take no
+    time; ``transfers``: ``station``, ``minutes``.  The first departure of the
+    pair's profile that is not before the ready time is the route.
     """
-    spark, many = asked.sparkSession, asked.count()
-    groups = max(1, min(many, max(spark.sparkContext.defaultParallelism, -(-many // QUERIES_A_TASK))))
-    stations = {r[0] for r in moves.select("to_station").distinct().collect()}
-    shared = spark.sparkContext.broadcast((minutes, default_transfer, stations))
-    heads = asked.select(F.pmod(F.xxhash64("origin", "ready"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "origin", "ready")
-    rows = moves.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"))
-    order = ("g", "kind", "dep", "arr", "trip", "from_station", "to_station")
-    both = heads.unionByName(rows, allowMissingColumns=True).select(*order, "origin", "ready").repartition(groups, "g").sortWithinPartitions(*order)
-
-    def run(frames):
-        held, scans, done = None, [], []
-        for frame in frames:
-            out = []
-            for g, part in frame.groupby("g", sort=False):
-                if g != held:
-                    out += [x for s in done + scans for x in _found(s.origin, s.ready, s.routes())]
-                    held, scans, done = g, [], []
-                first = part[part["kind"] == 0]
-                scans += [Scan(origin, int(ready), *shared.value) for origin, ready in zip(first["origin"], first["ready"], strict=True)]
-                part = part[part["kind"] == 1]
-                if not scans or part.empty:
-                    continue
-                columns = [part[c].tolist() for c in ("trip", "from_station", "to_station")] + [part[c].astype(int).tolist() for c in ("dep", "arr")]
-                for row in zip(*columns, strict=True):
-                    for scan in scans:
-                        if row[3] >= scan.ready:
-                            scan.take(row)
-                    if any(scan.done for scan in scans):
-                        done += [scan for scan in scans if scan.done]
-                        scans = [scan for scan in scans if not scan.done]
-                        if not scans:
-                            break
-            if out:
-                yield pd.DataFrame(out, columns=FOUND)
-        if out := [x for s in done + scans for x in _found(s.origin, s.ready, s.routes())]:
-            yield pd.DataFrame(out, columns=FOUND)
-
-    return both.mapInPandas(run, ROUTE)
+    moves = connections if "seq" in connections.columns else connections.withColumn("seq", F.lit(0))
+    stations = moves.select(F.explode(F.array(*[F.col(c).cast("string") for c in ("from_station", "to_station")])).alias("station")).distinct()
+    own = transfers.select(F.col("station").cast("string").alias("station"), "minutes")
+    edges = stations.join(own, "station", "left").select(F.col("station").alias("from_station"), F.col("station").alias("to_station"), F.coalesce("minutes", F.lit(default_transfer)).alias("minutes"))
+    asked = queries.select(F.col("origin").cast("string").alias("origin"), F.col("ready").cast("int").alias("ready")).distinct()
+    found = profiles.profiles(moves, stations.withColumn("place", F.col("station")), edges, start=0, end=profiles.FOREVER, paths=True)
+    route = F.struct("arr", "dep", "changes", "hops", "path")
+    first = asked.join(found, "origin").where("dep >= ready").groupBy("origin", "ready", "destination").agg(F.min_by(route, "dep").alias("r"))
+    return first.select(
+        "origin", "ready", "destination", F.col("r.arr").alias("arrival"), F.col("r.dep").alias("departure"), F.col("r.changes").alias("transfers"), F.col("r.hops").alias("movements"), train_legs(F.col("r.path")).alias("legs")
+    )
 
 
 def skim(routes: DataFrame, pairs: DataFrame, periods: int, floor: float = 960.0) -> DataFrame:

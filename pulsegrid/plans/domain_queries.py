@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import joins as J
+from ..operators import profiles as P
 from ..operators import routing as R
 from ..operators import selection as Z
 from ..operators import spatial as G
@@ -21,24 +22,69 @@ def section_slack(spark, sf):
 
 
 def _connections(spark, sf):
+    """Every move of the board from a station to another, ``seq`` numbering those of a trip."""
     by = Window.partitionBy("trip").orderBy("minute", "id")
     b = I.board(spark, sf)
-    nxt = b.withColumns({"to_station": F.lead("station").over(by), "arr": F.lead("minute").over(by)})
-    return nxt.where("to_station <> station AND arr > minute AND arr - minute <= 90").select("trip", F.col("station").alias("from_station"), "to_station", F.col("minute").alias("dep"), "arr")
+    nxt = b.withColumns({"to_station": F.lead("station").over(by), "arr": F.lead("minute").over(by), "seq": F.row_number().over(by)})
+    return nxt.where("to_station <> station").select("trip", "seq", F.col("station").alias("from_station"), "to_station", F.col("minute").alias("dep"), "arr")
+
+
+def _stations(spark, sf):
+    return I.board(spark, sf).select(F.col("station").cast("string").alias("station")).distinct()
 
 
 def _routes(spark, sf):
-    s = spark.range(11).select(F.col("id").cast("string").alias("station"))
+    s = _stations(spark, sf)
     asked = s.select(F.col("station").alias("origin"), F.explode(F.array(*[F.lit(m) for m in (360, 420, 480)])).alias("ready"))
     return R.one_to_all(_connections(spark, sf), asked, s.withColumn("minutes", F.lit(4))), s
 
 
-@add("R01 R04 R05 R06 R07 R11")
+#: Least arrivals by rides: a ride is a trip from one stop to a later one, ``quick`` the first arrival of a ride that departs at a minute or later.
+#: ``ea`` has the least arrival at each place by a departure at minute t or later; a recursion over changes keeps the least arrival at each station.
+#: Stations 8, 9 and 10 are one place: 7 minutes across it, 4 within station 10; elsewhere a change takes 4.
+EARLIEST = """RECURSIVE {board}, moves AS MATERIALIZED (
+    SELECT trip, row_number() OVER w AS seq, station AS a, lead(station) OVER w AS b, minute AS dep, lead(minute) OVER w AS arr FROM board WINDOW w AS (PARTITION BY trip ORDER BY minute, id)),
+  place AS MATERIALIZED (SELECT DISTINCT station AS s, CASE WHEN station IN (8, 9, 10) THEN 'complex' ELSE CAST(station AS VARCHAR) END AS p FROM board),
+  edges AS MATERIALIZED (SELECT x.s AS a, y.s AS b, CASE WHEN x.p <> 'complex' THEN 4 WHEN x.s = 10 AND y.s = 10 THEN 4 ELSE 7 END AS m FROM place x JOIN place y USING (p)),
+  rides AS MATERIALIZED (SELECT x.a, y.b, x.dep, min(y.arr) AS arr FROM moves x JOIN moves y ON x.trip = y.trip AND y.seq >= x.seq WHERE x.a <> x.b AND y.a <> y.b AND x.a <> y.b AND x.dep >= 300 GROUP BY ALL),
+  minutes AS (SELECT a, b, unnest(range(300, 1441)) AS t FROM (SELECT DISTINCT a, b FROM rides)),
+  quick AS MATERIALIZED (SELECT m.a, m.b, m.t, min(r.arr) OVER (PARTITION BY m.a, m.b ORDER BY m.t DESC) AS arr FROM minutes m LEFT JOIN rides r ON r.a = m.a AND r.b = m.b AND r.dep = m.t),
+  reach(o, t, s, arr) USING KEY (o, t, s) AS (
+    SELECT p, t, b, min(arr) FROM quick JOIN place ON a = place.s WHERE t BETWEEN 300 AND {last} AND arr IS NOT NULL GROUP BY ALL
+    UNION
+    SELECT r.o, r.t, q.b, min(q.arr) FROM reach r JOIN edges e ON e.a = r.s JOIN quick q ON q.a = e.b AND q.t = r.arr + e.m LEFT JOIN recurring.reach x ON x.o = r.o AND x.t = r.t AND x.s = q.b
+    WHERE q.arr IS NOT NULL AND (x.arr IS NULL OR q.arr < x.arr) GROUP BY ALL),
+  ea AS (SELECT o AS origin, p AS destination, t, min(arr) AS arr FROM reach JOIN place USING (s) WHERE o <> p GROUP BY ALL),
+  profile AS MATERIALIZED (SELECT x.origin, x.destination, CAST(x.t AS INT) AS dep, CAST(x.arr AS INT) AS arr FROM ea x LEFT JOIN ea y ON y.origin = x.origin AND y.destination = x.destination AND y.t = x.t + 1 WHERE x.t < {last} AND (y.arr IS NULL OR x.arr < y.arr))"""
+
+
+@add("R01 R04 R06 R07")
 def earliest_routes(spark, sf):
     routes, _ = _routes(spark, sf)
     return routes.select("origin", "ready", "destination", "arrival", "departure", "transfers", "movements", F.size("legs").alias("legs"))
 
 
+#: The same recursion with 4 minutes for every change and stations for places.
+STATIONS = EARLIEST.replace("CASE WHEN station IN (8, 9, 10) THEN 'complex' ELSE CAST(station AS VARCHAR) END AS p", "CAST(station AS VARCHAR) AS p")
+READY = "asked AS (SELECT unnest([360, 420, 480]) AS ready)"
+
+
+@add("R01 R06", f"""WITH {STATIONS.format(board=I.BOARD, last=1440)}, {READY}, first AS (SELECT origin, destination, ready, min(arr) AS arrival FROM profile JOIN asked ON dep >= ready GROUP BY ALL)
+  SELECT origin, ready, destination, arrival, max(dep) AS departure FROM first JOIN profile USING (origin, destination) WHERE dep >= ready AND arr = arrival GROUP BY ALL""", "", "ready arrival departure")
+def earliest_arrivals(spark, sf):
+    """The first arrival at every station after each ready time, and the latest departure for it."""
+    return _routes(spark, sf)[0].select("origin", "ready", "destination", "arrival", "departure")
+
+
+@add("R02 R13", f"""WITH {STATIONS.format(board=I.BOARD, last=1440)}, {READY}, first AS (SELECT origin, destination, ready, min(arr) - ready AS took FROM profile JOIN asked ON dep >= ready GROUP BY origin, destination, ready),
+  per AS (SELECT origin, destination, sum(took) AS total, max(took) AS worst, count(*) AS n FROM first GROUP BY origin, destination)
+  SELECT o.p AS origin, d.p AS destination, coalesce(n, 0) AS reachable, 3 - coalesce(n, 0) AS missing, CASE WHEN o.p = d.p THEN 0 ELSE (coalesce(total, 0) + (3 - coalesce(n, 0)) * greatest(1.5 * coalesce(worst, 0), 960)) / 3 END AS minutes
+  FROM place o CROSS JOIN place d LEFT JOIN per ON per.origin = o.p AND per.destination = d.p""", "minutes", "reachable missing")
+def skim_minutes(spark, sf):
+    """``ready_time_skim`` without its mean number of changes, which no SQL gives."""
+    return ready_time_skim(spark, sf).select("origin", "destination", "reachable", "missing", "minutes")
+
+
 @add("R02 R13")
 def ready_time_skim(spark, sf):
     routes, s = _routes(spark, sf)
@@ -46,6 +92,54 @@ def ready_time_skim(spark, sf):
     return R.skim(routes, pairs, 3)
 
 
+def _places(spark, sf):
+    s = _stations(spark, sf)
+    return s.withColumn("place", F.when(F.col("station").isin("8", "9", "10"), "complex").otherwise(F.col("station")))
+
+
+def _profile(spark, sf, end):
+    s = _places(spark, sf)
+    within = F.when((F.col("from_station") == "10") & (F.col("to_station") == "10"), 4).otherwise(7)
+    return P.profiles(_connections(spark, sf), s, P.complex_transfers(s, F.lit(4), within), 300, end)
+
+
+@add("R03 R04 R05", f"WITH {EARLIEST.format(board=I.BOARD, last=420)} SELECT * FROM profile", "", "dep arr")
+def departure_profiles(spark, sf):
+    """The departures of each pair from 05:00 to 07:00 that no later one reaches as early."""
+    return _profile(spark, sf, 420).select("origin", "destination", "dep", "arr")
+
+
+def _metrics(spark, sf):
+    found = P.service_metrics(P.with_times(_profile(spark, sf, 420)), ["origin", "destination"])
+    return P.all_pairs(found, _places(spark, sf).select("place").distinct())
+
+
+@add("R09 R13 W08 W09", f"""WITH {EARLIEST.format(board=I.BOARD, last=420)},
+  options AS (SELECT origin, destination, dep + k AS dep, arr + k AS arr FROM profile CROSS JOIN (VALUES (0), (120)) AS v(k)),
+  best AS (SELECT origin, destination, m, min((arr, dep)) AS x FROM options JOIN (SELECT unnest(range(300, 420)) AS m) ON dep >= m GROUP BY ALL),
+  means AS (SELECT origin, destination, sum(x[2] - m) / 120 AS wait, sum(x[1] - x[2]) / 120 AS minutes FROM best GROUP BY ALL),
+  per AS (SELECT origin, destination, sum((SELECT count(*) FROM range(0, 20) AS k(k) WHERE dep + 120 * k < 1440 AND dep + 120 * k + arr - dep <= 1440)) AS frequency, min(arr - dep) AS fastest FROM profile GROUP BY ALL),
+  names AS (SELECT DISTINCT p FROM place)
+  SELECT o.p AS origin, d.p AS destination, CASE WHEN o.p = d.p THEN 0 ELSE coalesce(frequency, 0) END AS frequency, CASE WHEN o.p = d.p THEN 0 ELSE fastest END AS fastest, CASE WHEN o.p = d.p THEN 0 ELSE wait END AS wait, CASE WHEN o.p = d.p THEN 0 ELSE minutes END AS minutes
+  FROM names o CROSS JOIN names d LEFT JOIN per ON per.origin = o.p AND per.destination = d.p LEFT JOIN means ON means.origin = o.p AND means.destination = d.p""", "frequency fastest wait minutes")
+def od_service_metrics(spark, sf):
+    """Frequency, fastest time, mean wait and mean minutes on the way of every pair."""
+    return _metrics(spark, sf).select("origin", "destination", "frequency", "fastest", "wait", (F.col("rolling") + F.col("dwell") + F.col("transfer")).alias("minutes"))
+
+
+@add("R08 R09", None, "rolling dwell transfer")
+def od_time_components(spark, sf):
+    """The mean rolling, dwell and transfer minutes of every pair."""
+    return _metrics(spark, sf).select("origin", "destination", "rolling", "dwell", "transfer")
+
+
+@add("R11", f"""WITH {EARLIEST.format(board=I.BOARD, last=1440)}
+  SELECT origin, destination, dep, arr FROM profile QUALIFY row_number() OVER (PARTITION BY origin, destination ORDER BY arr - dep, dep) = 1""", "", "dep arr")
+def best_route_of_day(spark, sf):
+    """The shortest route of each pair on the whole day."""
+    return P.best_of_day(_profile(spark, sf, 1440), ["origin", "destination"]).select("origin", "destination", "dep", "arr")
+
+
 LEGS = f"{I.BOARD}, l AS (SELECT trip AS path, id, service AS trip, minute AS dep, minute + id % 4 AS arr FROM board), g AS (SELECT *, lead(dep) OVER w - arr AS gap, lead(trip) OVER w = trip AS same FROM l WINDOW w AS (PARTITION BY path ORDER BY dep, id))"
 
 

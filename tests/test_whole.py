@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import profiles as P
 from pulsegrid.operators import routing as R
 from pulsegrid.plans import registry
 
@@ -69,7 +70,5 @@ def test_routes_of_a_large_timetable(spark, monkeypatch, unreached):
     found = lambda: sorted(map(str, R.one_to_all(con, asked, stations).collect()))
     want = found()
     assert len(want) > 100
-    monkeypatch.setattr(R, "MOST_CONNECTIONS", 100)
-    assert found() == want
-    monkeypatch.setattr(R, "QUERIES_A_TASK", 2)
+    monkeypatch.setattr(P, "TOGETHER", 2)
     assert found() == want
