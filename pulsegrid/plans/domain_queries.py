@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import joins as J
+from ..operators import path_scores as X
 from ..operators import profiles as P
 from ..operators import routing as R
 from ..operators import selection as Z
@@ -325,6 +326,81 @@ def edit_attribution(spark, sf):
     return Z.attribution(Z.impacted(legs, edits), cells, "path", ["total", "wait"], "weight")
 
 
+#: Paths of four legs each from a user's events in a row; a leg runs to where the next one begins, or to a station beside it.
+#: A change takes 3 to 6 minutes, from S9 to S10 7, and elsewhere there is none.  Edits are of sections of line L2.
+RIDDEN = f"""{I.BOARD}, e AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY minute, id) - 1 AS k FROM board),
+  legs AS (SELECT trip || '/' || (k // 4) AS path, k % 4 AS pos, 'L' || line AS line, service AS trip, 'S' || station AS from_station, minute AS dep, minute + id % 4 AS arr,
+      CASE WHEN nxt IS NULL THEN 'S' || (station + 1) % 11 WHEN nxt = 10 AND id % 2 = 0 THEN 'S9' ELSE 'S' || nxt END AS to_station
+    FROM (SELECT *, lead(station) OVER (PARTITION BY trip, k // 4 ORDER BY k) AS nxt FROM e)),
+  weights AS (SELECT trip || '/' || (k // 4) AS path, sum(pax) AS weight FROM e GROUP BY 1),
+  edits AS (SELECT DISTINCT concat_ws('-', line, from_station, to_station, dep % 120, arr % 120) AS edit, line, from_station, to_station, dep % 120 AS dep, arr % 120 AS arr, dep % 120 % 7 - 3 AS delta FROM legs WHERE line = 'L2' AND dep % 120 % 7 <> 3),
+  made AS (SELECT * FROM edits WHERE (dep + arr) % 3 = 0),
+  hits AS (SELECT edit, path, pos, delta FROM legs JOIN edits USING (line, from_station, to_station) WHERE legs.dep % 120 = edits.dep AND legs.arr % 120 = edits.arr)"""
+
+
+def _valued(name: str, rows: str) -> str:
+    """Whether each path of ``rows`` (path, case, legs) holds, its minutes and its share of rolling."""
+    return f"""{name} AS (
+  SELECT path, c, bool_and(arr >= dep AND coalesce(nd >= arr + CASE WHEN nt = trip THEN 0 ELSE least END, nd IS NULL)) AND last(arr ORDER BY pos) > first(dep ORDER BY pos) AS ok,
+    CAST(last(arr ORDER BY pos) - first(dep ORDER BY pos) AS DOUBLE) AS total, CAST(sum(greatest(arr - dep, 0)) AS DOUBLE) AS r, CAST(coalesce(sum(greatest(nd - arr, 0)) FILTER (nt = trip), 0) AS DOUBLE) AS d,
+    count(*) FILTER (arr <= dep) / 3.0 AS z, count(*) FILTER (nt = trip AND nd <= arr) / 3.0 AS k
+  FROM (SELECT *, lead(dep) OVER w AS nd, lead(trip) OVER w AS nt, CASE WHEN lead(from_station) OVER w = to_station THEN 3 + CAST(substr(to_station, 2) AS INT) % 4 WHEN to_station = 'S9' AND lead(from_station) OVER w = 'S10' THEN 7 END AS least
+    FROM ({rows}) WINDOW w AS (PARTITION BY path, c ORDER BY pos)) GROUP BY path, c),
+  {name}_share AS (SELECT *, CASE WHEN r + d = 0 THEN z ELSE greatest(0, r + z - (z + k) * r / (r + d)) END / total AS share FROM {name})"""
+
+
+def _ridden(spark, sf):
+    b = I.board(spark, sf)
+    by = Window.partitionBy("trip").orderBy("minute", "id")
+    e = b.withColumn("k", F.row_number().over(by) - 1).withColumn("path", F.concat_ws("/", F.col("trip").cast("string"), F.floor(F.col("k") / 4).cast("string")))
+    s = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    nxt = F.lead("station").over(Window.partitionBy("path").orderBy("k"))
+    to = F.when(F.col("nxt").isNull(), s((F.col("station") + 1) % 11)).when((F.col("nxt") == 10) & (F.col("id") % 2 == 0), F.lit("S9")).otherwise(s(F.col("nxt")))
+    leg = F.struct(F.concat(F.lit("L"), F.col("line").cast("string")).alias("line"), F.col("service").alias("trip"), s(F.col("station")).alias("from_station"), to.alias("to_station"), F.col("minute").cast("int").alias("dep"), (F.col("minute") + F.col("id") % 4).cast("int").alias("arr"))
+    paths = e.withColumn("nxt", nxt).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", leg.alias("leg")))), lambda x: x["leg"]).alias("legs"), F.sum("pax").alias("weight"))
+    n = spark.range(11).select(F.col("id"), s(F.col("id")).alias("from_station"))
+    transfers = n.select("from_station", F.col("from_station").alias("to_station"), (3 + F.col("id") % 4).alias("minutes")).unionByName(n.where("id = 9").select("from_station", F.lit("S10").alias("to_station"), F.lit(7).alias("minutes")))
+    ready = X.prepared(paths, transfers)
+    index = X.sections(ready)
+    edits = index.where("line = 'L2'").select(*X.SECTION, (F.col("dep") % 7 - 3).alias("delta")).where("delta <> 0").distinct()
+    edits = edits.select(F.concat_ws("-", *[F.col(c).cast("string") for c in X.SECTION]).alias("edit"), *X.SECTION, "delta")
+    return ready, index, edits
+
+
+SCORES = "paths pax saved won lost invalidated invalidated_paths mean_change rolling_share_change"
+
+
+@add("Z05 Z03 J05", f"""WITH {RIDDEN},
+  base AS (SELECT l.* REPLACE (dep + coalesce(h.delta, 0) AS dep, arr + coalesce(h.delta, 0) AS arr), 0 AS c FROM legs l LEFT JOIN (SELECT * FROM hits WHERE edit IN (SELECT edit FROM made)) h USING (path, pos)),
+  tried AS (SELECT DISTINCT edit, path FROM hits WHERE edit NOT IN (SELECT edit FROM made)),
+  {_valued("was", "SELECT * FROM base")},
+  {_valued("now", "SELECT b.* REPLACE (t.edit AS c, b.dep + coalesce(h.delta, 0) AS dep, b.arr + coalesce(h.delta, 0) AS arr) FROM tried t JOIN base b USING (path) LEFT JOIN hits h ON h.edit = t.edit AND h.path = b.path AND h.pos = b.pos")},
+  twice AS (SELECT n.c AS edit, weight, n.ok, (w.total - n.total) * weight AS saved, (n.share - w.share) * weight AS rolling FROM now_share n JOIN was_share w ON w.path = n.path AND w.ok JOIN weights ON weights.path = n.path AND weight > 0),
+  sums AS (SELECT edit, count(*) AS paths, sum(weight) AS pax, coalesce(sum(saved) FILTER (ok), 0) AS saved, coalesce(sum(saved) FILTER (ok AND saved > 0), 0) AS won, coalesce(sum(saved) FILTER (ok AND saved < 0), 0) AS lost,
+    coalesce(sum(weight) FILTER (NOT ok), 0) AS invalidated, count(*) FILTER (NOT ok) AS invalidated_paths, coalesce(sum(rolling) FILTER (ok), 0) AS rolling FROM twice GROUP BY edit)
+  SELECT edit, coalesce(paths, 0) AS paths, coalesce(pax, 0) AS pax, coalesce(saved, 0) AS saved, coalesce(won, 0) AS won, coalesce(lost, 0) AS lost, coalesce(invalidated, 0) AS invalidated, coalesce(invalidated_paths, 0) AS invalidated_paths,
+    coalesce(-saved / pax, 0) AS mean_change, coalesce(rolling / pax, 0) AS rolling_share_change FROM (SELECT DISTINCT edit FROM edits WHERE edit NOT IN (SELECT edit FROM made)) LEFT JOIN sums USING (edit)""", "pax saved won lost invalidated mean_change rolling_share_change", "paths invalidated_paths", 4)
+def path_scores_of_edits(spark, sf):
+    """What each edit does to the paths that ride its section, after a third of all edits has been made."""
+    paths, index, edits = _ridden(spark, sf)
+    made = (F.col("dep") + F.col("arr")) % 3 == 0
+    return X.marginal(paths, index, edits.where(~made), edits.where(made)).select("edit", *SCORES.split())
+
+
+@add("Z06 Z10", f"""WITH {RIDDEN}, set_hits AS (SELECT * FROM hits WHERE edit IN (SELECT edit FROM made)),
+  {_valued("was", "SELECT *, 0 AS c FROM legs")},
+  {_valued("now", "SELECT l.* REPLACE (dep + coalesce(h.delta, 0) AS dep, arr + coalesce(h.delta, 0) AS arr), 0 AS c FROM legs l LEFT JOIN set_hits h USING (path, pos) WHERE path IN (SELECT path FROM set_hits)")},
+  twice AS (SELECT n.path, weight, n.ok, (w.total - n.total) * weight AS saved FROM now_share n JOIN was_share w ON w.path = n.path AND w.ok JOIN weights ON weights.path = n.path AND weight > 0)
+  SELECT 'all' AS edit, count(*) AS paths, sum(weight) AS pax, coalesce(sum(saved) FILTER (ok), 0) AS saved, coalesce(sum(weight) FILTER (NOT ok), 0) AS invalidated FROM twice
+  UNION ALL SELECT edit, count(*), sum(weight), NULL, sum(weight) FROM twice JOIN (SELECT DISTINCT edit, path FROM set_hits) USING (path) WHERE NOT ok GROUP BY edit""", "pax saved invalidated", "paths", 4)
+def combined_edits(spark, sf):
+    """A third of all edits at once: the totals, and for each edit the paths that no longer hold."""
+    paths, index, edits = _ridden(spark, sf)
+    totals, broken = X.combined(paths, index, edits.where((F.col("dep") + F.col("arr")) % 3 == 0))
+    one = totals.select(F.lit("all").alias("edit"), "paths", "pax", "saved", "invalidated")
+    return one.unionByName(broken.select("edit", "paths", "pax", F.lit(None).cast("double").alias("saved"), F.col("pax").alias("invalidated")))
+
+
 def _surface(spark, sf, shift=0.0):
     s = I.stations(spark, sf).select(((F.col("lon") - 6) * 76).alias("px"), ((F.col("lat") - 45.8) * 111).alias("py"), (F.col("id") + shift).alias("v"), (1 + F.col("id") % 3).alias("w"))
     return G.kernel_surface(G.raster(spark, 0.0, 0.0, 20.0, 16, 12), s, "v", "w", 12.0, 25.0)
