@@ -289,19 +289,34 @@ def ring_centroid(xs, ys) -> tuple[Column, Column]:
     return one(x), one(y)
 
 
-def inside(x, y, xs, ys) -> Column:
-    """Whether a point lies within a ring or on its border (even-odd test)."""
-    x, y, a, b = map(col, (x, y, xs, ys))
+def _corners(a: Column, b: Column):
     n = F.size(a)
-    corner = lambda i: (F.get(a, i), F.get(b, i), F.get(a, (i + 1) % n), F.get(b, (i + 1) % n))
+    return F.sequence(F.lit(0), n - 1), lambda i: (F.get(a, i), F.get(b, i), F.get(a, (i + 1) % n), F.get(b, (i + 1) % n))
+
+
+def crossed(x, y, xs, ys) -> Column:
+    """Whether a ray from a point crosses a ring an odd number of times."""
+    x, y, a, b = map(col, (x, y, xs, ys))
+    edges, corner = _corners(a, b)
 
     def crosses(i):
         x1, y1, x2, y2 = corner(i)
         return ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y1 != y2, y2 - y1) + x1)
 
+    return F.aggregate(edges, F.lit(False), lambda odd, i: F.when(crosses(i), ~odd).otherwise(odd))
+
+
+def on_border(x, y, xs, ys) -> Column:
+    x, y, a, b = map(col, (x, y, xs, ys))
+    edges, corner = _corners(a, b)
+
     def border(i):
         x1, y1, x2, y2 = corner(i)
         return (F.abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) < 1e-12) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
 
-    edges = F.sequence(F.lit(0), n - 1)
-    return F.exists(edges, border) | F.aggregate(edges, F.lit(False), lambda odd, i: F.when(crosses(i), ~odd).otherwise(odd))
+    return F.exists(edges, border)
+
+
+def inside(x, y, xs, ys) -> Column:
+    """Whether a point lies within a ring or on its border (even-odd test)."""
+    return on_border(x, y, xs, ys) | crossed(x, y, xs, ys)

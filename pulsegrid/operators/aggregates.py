@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import running
+
 Keys = Sequence[str]
 
 
@@ -64,17 +67,35 @@ def change_counts(df: DataFrame, keys: Keys, delta: str, weight: str, eps: float
 def weighted_quantiles(df: DataFrame, keys: Keys, value: str, weight: str, levels: Sequence[float]) -> DataFrame:
     """Step quantiles without interpolation: the least value whose cumulative weight reaches the level.
 
-    Rows of one value are added up first, so the running sum sees each value
-    once.  A group is one window partition; very large groups should be binned.
+    Rows of one value are added up first; the sums run over ranges of values, so
+    a group may have any number of them.
     """
     steps = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)) & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    by = Window.partitionBy(*keys)
-    run = steps.withColumns({"cum": F.sum("w").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("w").over(by)})
+    run = running(steps, keys, [value], "w", "cum", "all")
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("cum") >= q * F.col("all") - 1e-9 * F.col("all"), F.col(value))).alias(f"q{round(q * 1000):04d}") for q in levels])
 
 
 def exact_percentiles(df: DataFrame, keys: Keys, value: str, levels: Sequence[float]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.percentile(value, q).alias(f"p{round(q * 1000):04d}") for q in levels])
+    """Percentiles with linear interpolation; null values do not count, and a group of nothing else has null.
+
+    The values that stand at a percentile's two places are found by counts of
+    equal values that run over ranges, so a group may have any number of rows.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    run = running(counts.where(F.col(value).isNotNull()), keys, [value], "n", "cum", "all")
+
+    def percentile(q: float) -> Column:
+        at = (F.col("all") - 1) * q
+        place = lambda i: F.min(F.when(F.col("cum") > i, F.col(value))).cast("double")
+        low, high, share = place(F.floor(at)), place(F.ceil(at)), F.max(at - F.floor(at))
+        return F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(f"p{round(q * 1000):04d}")
+
+    found = run.groupBy(*keys).agg(*[percentile(q) for q in levels])
+    groups = counts.select(*keys).distinct()
+    if not keys:
+        return found
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys]
+    return groups.alias("g").join(found.alias("f"), reduce(Column.__and__, same), "left").select("g.*", *[F.col(f"f.{c}") for c in found.columns if c not in keys])
 
 
 def best_rows(df: DataFrame, keys: Keys, score: str, ties: Sequence[str], most: int = 1, descending: bool = True) -> DataFrame:
@@ -169,14 +190,14 @@ def fit_statistics(df: DataFrame, keys: Keys, observed: str, modelled: str) -> D
 def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's rho with average ranks of ties.
 
-    Ranks come from the distinct values, so the ordered window sees each value
-    once and the rows are joined back.
+    Only rows with both values count.  Ranks come from the distinct values,
+    whose counts run over ranges; the rows are joined back.
     """
+    df = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
 
     def ranked(c: str) -> DataFrame:
-        values = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-        return values.select(c, (before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        values = df.groupBy(c).agg(F.count("*").alias("n"))
+        return running(values, [], [c], "n", "upto").select(c, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     both = df.join(ranked(a), a).join(ranked(b), b)
     return both.agg(F.count("*").alias("n"), correlation(f"rank_{a}", f"rank_{b}").alias("rho"))

@@ -1,14 +1,11 @@
 """Demand: gravity, proportional fitting, calibration by moments and grids, projections, population.
 
-Matrices are long tables.  Fitting runs one kernel per year (a station matrix
-is bounded by the square of the number of stations, which ``MOST_CELLS``
-checks) or, for a fixed number of sweeps, as window aggregates.
+Matrices are long tables.  Fitting keeps two vectors of factors for each key
+or, for a fixed number of sweeps, runs as window aggregates.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from .aggregates import correlation
 from .joins import bounded
-
-MOST_CELLS = 4_000_000
+from .ordering import kept
 
 
 def sweeps(df: DataFrame, keys: list[str], seed: str, row_target: str, column_target: str, count: int) -> DataFrame:
@@ -30,50 +26,71 @@ def sweeps(df: DataFrame, keys: list[str], seed: str, row_target: str, column_ta
     return out
 
 
-def fitted_matrix(seed: np.ndarray, rows: np.ndarray, columns: np.ndarray, tolerance: float, most: int, relative: bool = True, every: int = 1) -> tuple[np.ndarray, int, float]:
-    """The balanced matrix, the iterations taken and the largest error of any row or column sum; a side without a target is emptied."""
-    x, error, n = seed.astype(float).copy(), np.inf, 0
-    r_scale, c_scale = (np.maximum(t, 1e-12) if relative else 1.0 for t in (rows, columns))
-    while n < most:
-        n += 1
-        total = x.sum(1)
-        x *= np.divide(rows, total, out=np.zeros_like(total), where=total > 0)[:, None]
-        total = x.sum(0)
-        x *= np.divide(columns, total, out=np.zeros_like(total), where=total > 0)
-        if n % every == 0:
-            error = float(max(np.max(np.abs(x.sum(1) - rows) / r_scale, initial=0.0), np.max(np.abs(x.sum(0) - columns) / c_scale, initial=0.0)))
-            if error <= tolerance:
-                break
-    return x, n, error
-
-
 #: The three ways of fitting: tolerance, most iterations, whether errors are relative, and after how many iterations they are looked at (fixed values).
 FITS = {"absolute": (1e-8, 500, False, 1), "throughput": (1e-8, 8000, True, 5), "shrunk": (1e-8, 350, True, 25)}
 
 
+#: Errors are looked at after so many iterations at least; they are one plan, so it does not grow further.
+LOOK = 5
+FACTORS = ("origin", "destination")
+
+
 def balanced(df: DataFrame, key: str, seed: str, row_target: str, column_target: str, fit: str = "throughput", active: str | None = None) -> DataFrame:
     """Doubly constrained fitting for each ``key`` by one of ``FITS``: ``value``, ``iterations``, ``error``.
 
-    Cells that ``active`` denies are empty.  Targets are met as they are given:
-    row and column targets of unequal sums leave an error, which is reported.
+    A balanced cell is its seed times a factor of its row and one of its column.
+    Only those vectors change: an iteration sums the seeds times the column
+    factors by row, which gives the row factors, and the other way round.  No
+    task holds a matrix.  The vectors are written after every few iterations,
+    when the largest error of any row or column sum is looked at; keys that have
+    converged leave.  Cells that ``active`` denies are empty, and so is a side
+    without a target.  Targets are met as they are given: those of unequal sums
+    leave an error, which is reported.
     """
     tolerance, most, relative, every = FITS[fit]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        o, oi = np.unique(frame["origin"].to_numpy(), return_inverse=True)
-        d, di = np.unique(frame["destination"].to_numpy(), return_inverse=True)
-        if len(o) * len(d) > MOST_CELLS:
-            raise ValueError(f"a matrix of {len(o)} by {len(d)} cells; fit regions of it, or use sweeps()")
-        x, rows, columns = np.zeros((len(o), len(d))), np.zeros(len(o)), np.zeros(len(d))
-        x[oi, di], rows[oi], columns[di] = frame["__seed"], frame["__row"], frame["__column"]
-        x, n, error = fitted_matrix(x, rows, columns, tolerance, most, relative, every)
-        return pd.DataFrame({key: frame[key], "origin": frame["origin"], "destination": frame["destination"], "value": x[oi, di], "iterations": n, "error": error})
-
-    kind = df.schema[key].dataType.simpleString()
+    step = -(-LOOK // every) * every
     cell = F.col(seed).cast("double")
     cell = F.when(F.col(active), cell).otherwise(0.0) if active else cell
-    source = df.select(key, "origin", "destination", cell.alias("__seed"), F.col(row_target).cast("double").alias("__row"), F.col(column_target).cast("double").alias("__column"))
-    return source.groupBy(key).applyInPandas(run, f"{key} {kind}, origin string, destination string, value double, iterations int, error double")
+    cells = kept(df.select(F.col(key).alias("key"), *FACTORS, cell.alias("seed"), F.col(row_target).cast("double").alias("row"), F.col(column_target).cast("double").alias("column")))
+    targets = [kept(cells.groupBy("key", side).agg(F.max(name).alias("target"))) for side, name in zip(FACTORS, ("row", "column"))]
+    seeds = kept(cells.where("seed > 0").groupBy("key", *FACTORS).agg(F.sum("seed").alias("seed")))
+
+    def sums(over: DataFrame, by: int) -> DataFrame:
+        """Sums of the seeds times the factors of the other side, for each row or column."""
+        return seeds.join(over, ["key", FACTORS[1 - by]]).groupBy("key", FACTORS[by]).agg(F.sum(F.col("seed") * F.col("factor")).alias("total"))
+
+    def factors(over: DataFrame, by: int, keys: DataFrame) -> DataFrame:
+        own = targets[by].join(keys, "key", "left_semi").join(sums(over, by), ["key", FACTORS[by]], "left")
+        return own.select("key", FACTORS[by], F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(0.0).alias("factor"))
+
+    def error(own: DataFrame, over: DataFrame, by: int) -> DataFrame:
+        reached = own.join(sums(over, by), ["key", FACTORS[by]], "left").join(targets[by], ["key", FACTORS[by]])
+        scale = F.greatest("target", F.lit(1e-12)) if relative else F.lit(1.0)
+        return reached.select("key", (F.abs(F.col("factor") * F.coalesce("total", F.lit(0.0)) - F.col("target")) / scale).alias("error"))
+
+    keys = cells.select("key").distinct()
+    columns = targets[1].select("key", FACTORS[1], F.lit(1.0).alias("factor"))
+    rows, done, n = None, None, 0
+    while n < most:
+        for last in reversed(range(min(step, most - n))):
+            # Column factors of the iteration before, even if they are of keys that have left, meet no target row.
+            rows = factors(columns, 0, keys)
+            rows = rows if last else kept(rows)
+            columns = factors(rows, 1, keys)
+            n += 1
+        columns = kept(columns)
+        errors = error(rows, columns, 0).unionByName(error(columns, rows, 1)).groupBy("key").agg(F.max("error").alias("error"))
+        errors = kept(errors.withColumn("iterations", F.lit(n)))
+        ready = errors if n >= most else errors.where(F.col("error") <= tolerance)
+        found = [x.join(ready, "key") for x in (rows, columns)]
+        done = found if done is None else [a.unionByName(b) for a, b in zip(done, found)]
+        keys = errors.join(ready, "key", "left_anti").select("key")
+        if not keys.limit(1).count():
+            break
+    at = lambda x, side: x.select("key", side, F.col("factor").alias(f"{side}_factor"), *(["iterations", "error"] if side == "origin" else []))
+    out = cells.join(at(done[0], "origin"), ["key", "origin"]).join(at(done[1], "destination"), ["key", "destination"])
+    value = F.greatest("seed", F.lit(0.0)) * F.col("origin_factor") * F.col("destination_factor")
+    return out.select(F.col("key").alias(key), *FACTORS, F.coalesce(value, F.lit(0.0)).alias("value"), F.col("iterations").cast("int").alias("iterations"), "error")
 
 
 def throughput_seeds(df: DataFrame, keys: list[str], seed: str, target_o: str, target_d: str) -> DataFrame:

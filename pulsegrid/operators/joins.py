@@ -27,8 +27,20 @@ def repeated_keys(df: DataFrame, keys: Keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def enrich(df: DataFrame, other: DataFrame, keys: Keys) -> DataFrame:
-    return df.join(other, list(keys), "left")
+def one_to_one(df: DataFrame, other: DataFrame, keys: Keys, complete: bool = False) -> DataFrame:
+    """``df`` with the columns of ``other``; fails where ``other`` has a key twice and, if it must be ``complete``, where it lacks one.
+
+    The check is part of the join: keys of ``other`` are aggregated on their way
+    to it, and no job of its own runs before.
+    """
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    rest = [c for c in other.columns if c not in keys]
+    once = other.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(F.struct(F.lit(True).alias("__there"), *rest)).alias("__row"))
+    checked = once.withColumn("__row", F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(F.concat(F.lit("a key that stands more than once: "), named)))).drop("__n")
+    out = df.join(checked, list(keys), "left")
+    there = F.col("__row.__there").isNotNull()
+    fine = F.when(there, F.col("__row")).otherwise(F.raise_error(F.concat(F.lit("a key that is missing: "), named))) if complete else F.col("__row")
+    return out.withColumn("__row", fine).select(*df.columns, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
 def tiered_lookup(df: DataFrame, other: DataFrame, key: str, tier: str, reference: int | str, value: str, fallback: Column) -> DataFrame:

@@ -34,6 +34,16 @@ def unlocks(misses: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("delta", F.when(F.col("action") == "depart later", need).otherwise(-need)).where((need > 0) & (need <= most) & (need <= F.coalesce(room, F.lit(most))))
 
 
+def shift_grid(sections: DataFrame, most: int = 10) -> DataFrame:
+    """A row for every shift ``delta`` of each section, from ``-most`` to ``most`` without 0, that its slack allows.
+
+    ``sections``: ``earlier`` and ``later``, the minutes of slack; null is unbounded, negative is none.
+    """
+    room = lambda c: F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(c, F.lit(most)))).cast("int")
+    grid = F.filter(F.sequence(-room("earlier"), room("later")), lambda d: d != 0)
+    return sections.withColumn("delta", F.explode(grid))
+
+
 def net_impact(effects: DataFrame, keys: list[str]) -> DataFrame:
     """Per candidate: passenger minutes won and lost, counts by outcome, and passengers of broken transfers.
 
@@ -204,11 +214,6 @@ def shifted_paths(paths: DataFrame, shifts: DataFrame, least: int = 0) -> DataFr
     return out.withColumns({"feasible": ok, "change": total("moved") - total("legs"), "times": leg_times(F.col("moved"))}).drop("moves")
 
 
-def deduplicated(edits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Edits in order, each physical one once."""
-    return edits.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
-
-
 def inverse(edits: DataFrame) -> DataFrame:
     """The edits that undo ``edits`` (``edit``, ``dep``, ``arr`` clockface minutes, ``delta``), from where these left their sections."""
     moved = lambda c: F.pmod(F.col(c) + F.col("delta"), F.lit(120))

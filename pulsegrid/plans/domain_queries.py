@@ -22,6 +22,14 @@ def section_slack(spark, sf):
     return T.slack(s, "trip", ["id"]).select("trip", "id", "earlier", "later")
 
 
+@add("X03 Z01", f"""WITH {I.BOARD}, s AS (SELECT trip, id, minute AS arr, minute + id % 6 AS dep FROM board),
+  k AS (SELECT trip, id, CASE WHEN lag(1) OVER w IS NOT NULL THEN dep - arr END AS earlier, CASE WHEN lead(1, 2) OVER w IS NOT NULL THEN lead(dep) OVER w - lead(arr) OVER w END AS later FROM s WINDOW w AS (PARTITION BY trip ORDER BY id) QUALIFY lead(1) OVER w IS NOT NULL)
+  SELECT trip, id, delta FROM k CROSS JOIN (SELECT unnest(range(-10, 11)) AS delta) WHERE delta <> 0 AND delta BETWEEN -greatest(0, coalesce(earlier, 10)) AND greatest(0, coalesce(later, 10))""", "", "delta")
+def shift_candidates(spark, sf):
+    """Every shift of up to ten minutes that the slack of a section allows."""
+    return Z.shift_grid(section_slack(spark, sf)).select("trip", "id", "delta")
+
+
 def _connections(spark, sf):
     """Every move of the board from a station to another, ``seq`` numbering those of a trip."""
     by = Window.partitionBy("trip").orderBy("minute", "id")

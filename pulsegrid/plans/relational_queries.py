@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import sequences as Q
+from ..operators.ordering import numbered
 from . import inputs as I
 from .registry import add
 
@@ -155,6 +156,13 @@ def fit_statistics(spark, sf):
     return A.fit_statistics(d, ["region"], "y", "x")
 
 
+@add("P11 J01", "SELECT o_orderkey, c_custkey, c_mktsegment, c_acctbal FROM orders JOIN (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer) ON o_custkey = c_custkey", "c_acctbal")
+def checked_enrichment(spark, sf):
+    """Every order with its customer, who has to be there, once."""
+    o = I.read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return J.one_to_one(o, I.read(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_custkey"], complete=True).select("o_orderkey", "c_custkey", "c_mktsegment", "c_acctbal")
+
+
 @add("W03 M03", f"""WITH {I.DEMAND}, v AS (SELECT origin, destination, sum(weight) AS a, count(*) AS b FROM demand GROUP BY ALL),
   k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM v)
   SELECT count(*) AS n, corr(ra, rb) AS rho FROM k""", "rho", "n")
@@ -376,7 +384,7 @@ def stations_in_order(spark, sf):
 def anchors_then_size(spark, sf):
     n = I.read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
     s = I.read(spark, sf, "nation").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").withColumn("anchor", F.when(F.col("n_name") == "NATION_7", 0).when(F.col("n_name") == "NATION_3", 1))
-    return s.select("n_name", "anchor", F.row_number().over(Window.orderBy(F.coalesce("anchor", F.lit(2)), F.coalesce("c", F.lit(0)).desc(), "n_name")).alias("place"))
+    return numbered(s, [], [F.coalesce("anchor", F.lit(2)), F.coalesce("c", F.lit(0)).desc(), "n_name"], "place").select("n_name", "anchor", "place")
 
 
 @add("U01 U02", f"WITH {I.DEMAND} SELECT origin, destination, year, weight, NULL AS note FROM demand WHERE year NOT IN (1996) UNION ALL SELECT origin, destination, year, weight * 2, 'new' FROM demand WHERE year = 1996", "weight")

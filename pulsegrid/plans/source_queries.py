@@ -80,12 +80,13 @@ def kept_matrix(spark, sf):
         return I.demand(spark, sf).groupBy("origin", "destination").agg(F.sum("weight").alias("value"))
 
     at = _folder(spark)
-    readers.fingerprinted(spark, at, build, f"demand of {sf}").limit(0).count()
+    made_of = readers.fingerprint(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "customer", "supplier", "nation", "region")])
+    readers.fingerprinted(spark, at, build, made_of).limit(0).count()
 
     def never():
         raise AssertionError("the kept table is there")
 
-    return readers.fingerprinted(spark, at, never, f"demand of {sf}")
+    return readers.fingerprinted(spark, at, never, made_of)
 
 
 @add("S14 S10", "SELECT n_name AS name, n_regionkey AS region FROM nation", "", "region")
@@ -208,6 +209,44 @@ def zone_membership(spark, sf):
     return s.join(cells, "cell").where(S.inside("lon", "lat", "xs", "ys")).select("zone", "id")
 
 
+#: Of each region two boxes, the first with a hole; points of all customers.
+BOXES = """box AS (SELECT r_name AS zone, 6 + r_regionkey * 0.75::DOUBLE AS x FROM region), pt AS (SELECT c_custkey AS id, 5.5 + c_custkey * 37 % 640 / 128.0 AS px, 45.5 + c_custkey * 91 % 256 / 128.0 AS py FROM customer)"""
+
+
+def _zones(spark, sf):
+    at, k = _folder(spark), F.col("r_regionkey")
+
+    def box(x1, y1, x2, y2):
+        return F.array(*[F.array(F.lit(x) if isinstance(x, float) else x, F.lit(y)) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))])
+
+    x = 6 + k * 0.75
+    parts = F.array(F.array(box(x, 45.75, x + 0.75, 47.0), box(x + 0.25, 46.0, x + 0.5, 46.5)), F.array(box(x - 0.25, 47.125, x + 0.5, 47.25)))
+    feature = F.struct(F.struct(F.col("r_name").alias("zone")).alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry"))
+    I.read(spark, sf, "region").agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("value")).coalesce(1).write.text(at)
+    return readers.vector_layer(spark, at, "zone: STRING")
+
+
+@add("S08 J09", f"""WITH {BOXES} SELECT id, zone FROM pt JOIN box ON px BETWEEN x AND x + 0.75 AND py BETWEEN 45.75 AND 47.0 AND NOT (px > x + 0.25 AND px < x + 0.5 AND py > 46.0 AND py < 46.5)
+  OR px BETWEEN x - 0.25 AND x + 0.5 AND py BETWEEN 47.125 AND 47.25""", "", "id")
+def points_of_zones(spark, sf):
+    """All customers' points in areas of two polygons with a hole, by a cover of cells; borders count."""
+    from ..operators import polygons
+
+    k = F.col("c_custkey")
+    points = I.read(spark, sf, "customer").select(k.alias("id"), (5.5 + k * 37 % 640 / 128.0).alias("px"), (45.5 + k * 91 % 256 / 128.0).alias("py"))
+    return polygons.points_in(points, _zones(spark, sf).select("zone", "rings"), "px", "py", 0.3).select("id", "zone")
+
+
+@add("F22 S08", f"""WITH {BOXES}, s AS (SELECT zone, x, 0.75 * 1.25 AS a, 0.25 * 0.5 AS h, 0.75 * 0.125 AS b FROM box)
+  SELECT zone, a - h + b AS size, (a * (x + 0.375) - h * (x + 0.375) + b * (x + 0.125)) / (a - h + b) AS cx, (a * 46.375 - h * 46.25 + b * 47.1875) / (a - h + b) AS cy FROM s""", "size cx cy")
+def zone_sizes(spark, sf):
+    """Size and centre of areas of two polygons with a hole."""
+    from ..operators import polygons
+
+    cx, cy = polygons.centroid("rings")
+    return _zones(spark, sf).select("zone", polygons.size("rings").alias("size"), cx.alias("cx"), cy.alias("cy"))
+
+
 @add("K07", "SELECT CAST(row_number() OVER (ORDER BY r_name) + 3 AS INT) AS n, '| ' || r_name || ' | ' || n || ' |' AS line FROM (SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name) UNION ALL SELECT 0, '# Regions' UNION ALL SELECT 1, '' UNION ALL SELECT 2, '| region | stations |' UNION ALL SELECT 3, '| --- | --- |'", "", "n")
 def markdown_report(spark, sf):
     t = I.stations(spark, sf).groupBy("region").agg(F.count("*").alias("stations")).orderBy("region")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators import polygons as polygons_of
+
 
 def csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: str | None = None) -> DataFrame:
     """All columns as text, nulls as empty, a byte-order mark stripped from names; ``where`` is pushed into the plan."""
@@ -104,8 +106,17 @@ def polygons(df: DataFrame, wkt: str) -> DataFrame:
     return df.withColumns({"xs": part(0), "ys": part(1)})
 
 
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A hash of the path, length and time of change of every file below ``paths``; no content is read."""
+    import hashlib
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", "modificationTime")
+    one = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", "length", "modificationTime"))), ";"), 256).alias("h")).first()["h"]
+    return hashlib.sha256((one or "").encode()).hexdigest()
+
+
 def fingerprinted(spark: SparkSession, folder: str, build, content: str) -> DataFrame:
-    """A table kept below ``folder`` by the hash of what it was made from; built where it is missing."""
+    """A table kept below ``folder`` by the hash of what it was made from (``fingerprint`` of its files, say); built where it is missing."""
     import hashlib
 
     path = f"{folder}/{hashlib.sha256(content.encode()).hexdigest()[:16]}"
@@ -124,8 +135,15 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def vector_layer(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """A layer of polygons from GeoJSON (one collection, or many files of them): the named properties and the outer ring as ``xs`` and ``ys``."""
-    shape = f"features ARRAY<STRUCT<properties: STRUCT<{properties}>, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>>>"
-    f = spark.read.schema(shape).json(path, multiLine=True).select(F.explode("features").alias("f")).where("f.geometry.type = 'Polygon'")
-    axis = lambda i: F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.get(p, F.lit(i)))
-    return f.select("f.properties.*", axis(0).alias("xs"), axis(1).alias("ys"))
+    """A layer of polygons from GeoJSON (one collection, or many files of them): the named properties and all ``rings`` (``operators.polygons``).
+
+    ``xs`` and ``ys`` are the first ring.  Polygons and multipolygons are read
+    whole, with their holes; a geometry of another kind fails.
+    """
+    shape = f"features ARRAY<STRUCT<properties: STRUCT<{properties}>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
+    f = spark.read.schema(shape).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    kind, text, polygon = F.col("f.geometry.type"), F.col("f.geometry.coordinates"), "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, polygon))).when(kind == "MultiPolygon", F.from_json(text, f"ARRAY<{polygon}>"))
+    parts = F.when(kind.isNull() | kind.isin("Polygon", "MultiPolygon"), parts).otherwise(F.raise_error(F.concat(F.lit("a geometry that is no polygon: "), kind)))
+    out = f.select("f.properties.*", polygons_of.rings(parts).alias("rings"))
+    return out.withColumns({c: F.get("rings", F.lit(0))[c] for c in ("xs", "ys")})

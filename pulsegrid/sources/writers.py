@@ -85,8 +85,10 @@ def summary(df: DataFrame) -> str:
 
 
 def markdown(df: DataFrame, title: str) -> DataFrame:
-    """A report of a bounded table in its order of rows, as lines of Markdown: ``n``, ``line``."""
+    """A report of a table in its order of rows, as lines of Markdown: ``n``, ``line``; one of more than ``MOST_LINES`` fails."""
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
-    rows = [r["line"] for r in df.limit(MOST_LINES).select(cells.alias("line")).collect()]
+    rows = [r["line"] for r in df.limit(MOST_LINES + 1).select(cells.alias("line")).collect()]
+    if len(rows) > MOST_LINES:
+        raise ValueError(f"a report of more than {MOST_LINES} lines; write it as a table")
     head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return df.sparkSession.createDataFrame(list(enumerate(head + rows)), "n int, line string")

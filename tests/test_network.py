@@ -182,13 +182,34 @@ def test_routes_against_exhaustive_search(spark):
         assert all(a["to_station"] == b["from_station"] and a["arr"] <= b["dep"] for a, b in zip(path, path[1:]))
 
 
-def test_fitting_converges():
-    rng = np.random.default_rng(0)
-    seed, rows = rng.random((12, 9)), rng.random(12)
-    columns = rng.random(9)
-    columns *= rows.sum() / columns.sum()
-    x, n, error = D.fitted_matrix(seed, rows, columns, 1e-10, 5000)
-    assert error <= 1e-10 and np.allclose(x.sum(0), columns) and n < 5000
+def plain_fit(seed, rows, columns, count):
+    x = seed.copy()
+    for _ in range(count):
+        for axis, target in ((1, rows), (0, columns)):
+            total = x.sum(axis)
+            x = x * np.expand_dims(np.divide(target, total, out=np.zeros_like(total), where=total > 0), axis)
+    return x
+
+
+def test_fitting_converges(spark):
+    """Two keys of different size, one of which converges later; the factors give what scaling the whole matrix gives."""
+    rng, rows = np.random.default_rng(0), []
+    want = {}
+    for key, (m, n) in enumerate([(12, 9), (5, 7)]):
+        seed, r, c = rng.random((m, n)) ** (1 + 6 * key) * (rng.random((m, n)) > 0.1), rng.random(m), rng.random(n)
+        c *= r.sum() / c.sum()
+        rows += [(key, f"o{i}", f"d{j}", float(seed[i, j]), float(r[i]), float(c[j])) for i in range(m) for j in range(n)]
+        want |= {(key, f"o{i}", f"d{j}"): v for (i, j), v in np.ndenumerate(plain_fit(seed, r, c, 400))}
+    df = spark.createDataFrame(rows, "k int, origin string, destination string, s double, r double, c double")
+    got = D.balanced(df, "k", "s", "r", "c").collect()
+    assert len(got) == len(want) and all(abs(r["value"] - want[r["k"], r["origin"], r["destination"]]) < 1e-6 for r in got)
+    ends = {(r["k"], r["iterations"]) for r in got}
+    assert len(ends) == 2 and all(r["error"] <= 1e-8 for r in got) and len({n for _, n in ends}) == 2
+
+
+def test_a_side_without_a_target_is_emptied(spark):
+    df = spark.createDataFrame([(1, "a", "x", 1.0, 0.0, 2.0), (1, "b", "x", 3.0, 2.0, 2.0), (1, "b", "y", 5.0, 2.0, 0.0)], "k int, origin string, destination string, s double, r double, c double")
+    assert {(r["origin"], r["destination"]): r["value"] for r in D.balanced(df, "k", "s", "r", "c").collect()} == {("a", "x"): 0, ("b", "x"): 2, ("b", "y"): 0}
 
 
 def test_greedy_caps_and_events(spark):
