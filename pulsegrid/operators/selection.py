@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import timetable
 from .joins import bounded
+from .ordering import kept
 from .routing import leg_times
 
 #: Fixed: minutes lost with a broken transfer, on top of the wait (an hour to the next connection).
@@ -98,54 +101,67 @@ def marginal(touch: DataFrame, shifts: DataFrame) -> DataFrame:
     return state.groupBy("candidate").agg(F.sum(contribution(after) - contribution(now)).alias("marginal"), F.sum(F.when(broken, F.col("pax")).otherwise(0.0)).alias("broken_pax"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by the session's checkpoint folder, where one is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 DECISION = "candidate long, status string, pass int, marginal double"
+#: Rounds whose tables are joined to one.
+JOINED = 6
 
 
-def greedy(effects: DataFrame, probes: DataFrame, ranks: DataFrame, least: float = 0.0, allow_broken: float = 0.0, passes: int = 8, most: int = 0) -> DataFrame:
+def greedy(
+    effects: DataFrame, probes: DataFrame, ranks: DataFrame, least: float = 0.0, allow_broken: float = 0.0, passes: int = 8, most: int = 0,
+    apart: DataFrame | None = None, refused: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """First-fit selection in order of rank, each candidate scored under all that were accepted before it.
 
     ``ranks``: ``candidate`` (long), ``rank`` (each once).  A candidate that
     breaks more than ``allow_broken`` passengers' transfers, or one of whose
     events an accepted one has moved, is refused for good; one that gains no more
     than ``least`` is deferred to the next pass; passes end when one accepts
-    nothing.  Returns ``candidate``, ``status``, ``pass``, ``marginal`` and, for
-    accepted ones, ``place``.
+    nothing.  ``refused`` is a trial application: of those about to be accepted
+    (``candidate``), after those that are, it gives the ones that the timetable
+    does not take; they are refused for good too.  ``apart`` (``candidate``,
+    ``link``) names what the trials of two candidates would share, their
+    segments say.  Returns ``candidate``, ``rank``, ``status``, ``pass``,
+    ``marginal``.
 
     The order is that of one candidate after the other, the work is not: a
     candidate may be decided as soon as none of lower rank that shares an
-    effect or event with it is undecided, so each round decides all local
-    minima at once.  Acceptances never change earlier decisions, hence ``most``
-    keeps the first ones in order of pass and rank.
+    effect, event or link with it is undecided, so each round decides all local
+    minima at once, and their links go.  Acceptances never change earlier
+    decisions, hence ``most`` keeps the first ones in order of pass and rank.
     """
-    touch = _kept(touched(effects, probes))
-    links = touch.select("candidate", F.concat(F.lit("e"), F.col("effect").cast("string")).alias("link")).unionByName(probes.select("candidate", F.concat(F.lit("k"), F.col("key").cast("string")).alias("link"))).distinct()
-    links = _kept(links.join(ranks, "candidate"))
+    touch = kept(touched(effects, probes))
+    named = lambda df, kind, c: df.select("candidate", F.concat(F.lit(kind), F.col(c).cast("string")).alias("link"))
+    links = named(touch, "e", "effect").unionByName(named(probes, "k", "key"))
+    if apart is not None:
+        links = links.unionByName(named(apart, "s", "link"))
+    # A candidate without any link has one of its own.
+    links = links.unionByName(named(ranks, "c", "candidate")).distinct()
+    links = kept(links.join(ranks, "candidate"))
     spark = effects.sparkSession
     decided = spark.createDataFrame([], DECISION)
     for turn in range(1, passes + 1):
-        gone = decided.where("status <> 'deferred'").select("candidate")
-        open_ = _kept(ranks.join(gone, "candidate", "left_anti"))
-        before = _kept(decided.where("status <> 'deferred'"))
-        now = before
+        now = kept(decided.where("status <> 'deferred'"))
+        waiting, new, rounds = kept(links.join(now.select("candidate"), "candidate", "left_anti")), [], 0
         while True:
-            waiting = links.join(open_.select("candidate"), "candidate", "left_semi")
-            first = waiting.withColumn("__first", F.min("rank").over(Window.partitionBy("link")))
-            ready = _kept(first.groupBy("candidate").agg(F.bool_and(F.col("rank") == F.col("__first")).alias("ok")).where("ok").select("candidate"))
+            least_of = waiting.groupBy("link").agg(F.min("rank").alias("first"))
+            ready = kept(waiting.join(least_of, "link").groupBy("candidate").agg(F.bool_and(F.col("rank") == F.col("first")).alias("ok")).where("ok").select("candidate"))
             if not ready.limit(1).count():
                 break
-            shifts = probes.join(now.where("status = 'accepted'").select("candidate"), "candidate", "left_semi").groupBy("key").agg(F.sum("delta").alias("shift"))
+            taken = now.where("status = 'accepted'").select("candidate")
+            shifts = probes.join(taken, "candidate", "left_semi").groupBy("key").agg(F.sum("delta").alias("shift"))
             stale = probes.join(ready, "candidate", "left_semi").join(shifts, "key", "left_semi").select("candidate").distinct().withColumn("stale", F.lit(True))
             scored = ready.join(marginal(touch.join(ready, "candidate", "left_semi"), shifts), "candidate", "left").join(stale, "candidate", "left").na.fill(0.0, ["marginal", "broken_pax"])
             status = F.when(F.col("broken_pax") > allow_broken, "breaks").when(F.col("marginal") <= least, "deferred").when(F.col("stale"), "stale").otherwise("accepted")
-            new = scored.select("candidate", status.alias("status"), F.lit(turn).alias("pass"), "marginal")
-            now = _kept(now.unionByName(new))
-            open_ = _kept(open_.join(ready, "candidate", "left_anti"))
-        decided = now
+            scored = scored.select("candidate", status.alias("status"), F.lit(turn).alias("pass"), "marginal")
+            if refused:
+                scored = kept(scored)
+                bad = refused(taken, scored.where("status = 'accepted'").select("candidate")).select("candidate").distinct().withColumn("__bad", F.lit(True))
+                scored = scored.join(bad, "candidate", "left").withColumn("status", F.when(F.col("__bad"), "structure").otherwise(F.col("status"))).drop("__bad")
+            new, rounds = kept(scored), rounds + 1
+            now, waiting = now.unionByName(new), waiting.join(ready, "candidate", "left_anti")
+            if rounds % JOINED == 0:
+                now, waiting = kept(now), kept(waiting)
+        decided = kept(now)
         if not decided.where(F.col("status") == "accepted").where(F.col("pass") == turn).limit(1).count():
             break
     out = decided.join(ranks, "candidate")
@@ -155,6 +171,33 @@ def greedy(effects: DataFrame, probes: DataFrame, ranks: DataFrame, least: float
     return out.select("candidate", "rank", "status", "pass", "marginal")
 
 
+def trial(rows: DataFrame, edits: DataFrame) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A trial application for ``greedy``: of the new candidates, those whose edit finds no section after the ones taken, or changes its segment's runs.
+
+    ``rows`` and ``edits`` are a timetable and its edits as ``timetable.matched``
+    takes them, ``edit`` being the candidate.  Only the segments of the new
+    candidates are expanded again; ``greedy`` has to keep candidates of one
+    segment ``apart``.
+    """
+    runs = kept(timetable.structure(rows))
+
+    def refused(taken: DataFrame, new: DataFrame) -> DataFrame:
+        asked = edits.join(new.withColumnRenamed("candidate", "edit"), "edit", "left_semi").withColumn("rank", F.lit(1))
+        before = edits.join(taken.withColumnRenamed("candidate", "edit"), "edit", "left_semi").withColumn("rank", F.lit(0))
+        here = asked.select("segment").distinct()
+        lines = rows.join(here, "segment", "left_semi")
+        made = before.join(here, "segment", "left_semi").unionByName(asked)
+        found = kept(timetable.matched(lines, made))
+        status = found.join(asked.select("edit").distinct(), "edit", "left_semi")
+        idle = status.groupBy("edit").agg(F.max(F.col("status") == "applied").alias("applies")).where("NOT applies").select("edit")
+        after = timetable.structure(timetable.applied(lines, found).drop("edit"))
+        bad = timetable.judged(runs.join(here, "segment", "left_semi"), after).where("reason <> ''").select("segment")
+        broken = asked.join(bad, "segment", "left_semi").select("edit")
+        return idle.unionByName(broken).distinct().withColumnRenamed("edit", "candidate")
+
+    return refused
+
+
 def capped(scored: DataFrame, events: DataFrame, caps: dict[str, int], total: int) -> DataFrame:
     """The candidates taken in order of rank, at most ``total``: each unless one of its events is used or one of its caps is full.
 
@@ -184,7 +227,7 @@ def best_first(effects: DataFrame, probes: DataFrame, most: int, least: float =
     Each round is one distributed scoring; only its best row and that one's events come to the driver.
     """
     spark, chosen, shifts = effects.sparkSession, [], {}
-    touch = _kept(touched(effects, probes))
+    touch = kept(touched(effects, probes))
     schema = f"key {probes.schema['key'].dataType.simpleString()}, shift long"
     for _ in range(most):
         table = spark.createDataFrame(list(shifts.items()), schema)

@@ -177,12 +177,17 @@ def matched(rows: DataFrame, edits: DataFrame) -> DataFrame:
 
 def edited(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """The timetable after the edits that apply: both tokens of a section shift by its ``delta``; ``edit`` names it, or is null."""
-    moves = matched(rows, edits).where("status = 'applied'").select("segment", F.explode(F.array("from_seq", "to_seq")).alias("seq"), "edit", "delta")
+    return applied(rows, matched(rows, edits))
+
+
+def applied(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``edited`` with the edits as ``matched`` gives them."""
+    moves = found.where("status = 'applied'").select("segment", F.explode(F.array("from_seq", "to_seq")).alias("seq"), "edit", "delta")
     out = rows.join(moves, ["segment", "seq"], "left")
     return out.withColumn("token", F.when(F.col("delta").isNotNull(), S.token_shifted("token", F.coalesce("delta", F.lit(0)))).otherwise(F.col("token"))).drop("delta")
 
 
-def _structure(rows: DataFrame) -> DataFrame:
+def structure(rows: DataFrame) -> DataFrame:
     """By segment: number of trips, their shapes (events and running times, as a sorted list), the extreme dwells, and whether rows alternate."""
     order = Window.partitionBy("segment").orderBy("seq")
     alternates = (F.col("kind") == "ab") == (F.row_number().over(order) % 2 == 1)
@@ -203,7 +208,12 @@ def compatibility(before: DataFrame, after: DataFrame) -> DataFrame:
     Both hold active rows.  The number of trips, the multiset of their events
     and running times, and dwells of 0 to ``DWELL_MOST`` minutes must stay.
     """
-    b, a = (_structure(x).select("segment", F.struct("alternates", "ends", "n", "shapes", "low", "high").alias(n)) for x, n in ((before, "b"), (after, "a")))
+    return judged(structure(before), structure(after))
+
+
+def judged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``compatibility`` of what ``structure`` gives of both."""
+    b, a = (x.select("segment", F.struct("alternates", "ends", "n", "shapes", "low", "high").alias(n)) for x, n in ((before, "b"), (after, "a")))
     both = b.join(a, "segment", "full")
     reason = (
         F.when(F.col("a").isNull() | F.col("b").isNull(), "presence").when(~(F.col("a.alternates") & F.col("a.ends")), "sequence").when(F.col("a.n") != F.col("b.n"), "count")

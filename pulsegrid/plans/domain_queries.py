@@ -12,6 +12,7 @@ from ..operators import routing as R
 from ..operators import selection as Z
 from ..operators import spatial as G
 from ..operators import timetable as T
+from ..operators.ordering import kept, numbered
 from . import inputs as I
 from .registry import add
 
@@ -241,6 +242,24 @@ def multi_pass_selection(spark, sf):
     return Z.greedy(effects, own, ranks).select("candidate", "status", "pass", F.round("marginal", 6).alias("marginal"))
 
 
+@add("Z04 T07 T08")
+def selection_with_trials(spark, sf):
+    """The same selection where each candidate also edits a section of the timetable, which must keep its runs."""
+    from . import timetable_queries as Y
+
+    effects, probes, scored = _ranks(spark, sf)
+    rows, edits = Y._edits(spark, sf)
+    rows, edits = kept(rows), edits.where("edit LIKE '%-0'")
+    # Candidates and edits are numbered apart and meet by their numbers.
+    named = numbered(scored.select("candidate"), [], ["candidate"], "n").join(numbered(edits.drop("rank"), [], ["edit"], "n"), "n")
+    own = kept(named.select(F.col("candidate").alias("edit"), *[c for c in edits.columns if c not in ("edit", "rank")]))
+    ranks = kept(scored.join(own.select(F.col("edit").alias("candidate")), "candidate", "left_semi").select("candidate", F.struct((-F.round("marginal", 6)).alias("score"), "candidate").alias("rank")))
+    mine = probes.join(ranks.select("candidate"), "candidate", "left_semi")
+    apart = own.select(F.col("edit").alias("candidate"), F.col("segment").alias("link"))
+    out = Z.greedy(effects, mine, ranks, apart=apart, refused=Z.trial(rows, own))
+    return out.select("candidate", "status", "pass", F.round("marginal", 6).alias("marginal"))
+
+
 TRANSFERS = f"{I.BOARD}, f AS (SELECT trip AS candidate, station AS section, minute % 30 AS wait, 3 + station % 4 AS least FROM board)"
 
 

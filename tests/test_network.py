@@ -278,6 +278,38 @@ def test_multi_pass_selection_equals_one_by_one(spark, seed):
     assert {w[0] for w in want.values()} >= {"accepted"}
 
 
+def test_multi_pass_selection_with_trials(spark):
+    """Each candidate also edits a section of one of four segments; a trial refuses those that change the runs, and the order is still one by one."""
+    from pulsegrid.operators import timetable as T
+
+    effects, probes = example_edits(11)
+    table = [(f"s{k}", i, st, kind, tok) for k in range(4) for i, (st, kind, tok) in enumerate([("a", "ab", "0"), ("b", "an", "10"), ("b", "ab", "12"), ("c", "an", "20"), ("c", "ab", "21"), ("d", "an", "40")])]
+    rows = spark.createDataFrame(table, "segment string, seq int, station string, kind string, text string").withColumn("token", S.token("text")).drop("text").cache()
+    places = [("a", "b", 0, 10), ("b", "c", 12, 20), ("c", "d", 21, 40)]
+    edits = [(c, f"s{c % 4}", *places[c // 4 % 3], (1, 5, -1, 1, 2, -3, 1)[c % 7]) for c in range(14)]
+    own = spark.createDataFrame(edits, "edit long, segment string, from_station string, to_station string, dep int, arr int, delta int").cache()
+
+    def fits(taken, new):
+        made = own.where(F.col("edit").isin([*taken, new])).withColumn("rank", F.when(F.col("edit") == new, 1).otherwise(0))
+        applies = T.matched(rows, made).where((F.col("edit") == new) & (F.col("status") == "applied")).count()
+        return bool(applies) and not T.compatibility(rows, T.edited(rows, made).drop("edit")).where("reason <> ''").count()
+
+    shifts, used, want, taken = {}, set(), {}, []
+    for c in range(14):
+        gain, broken, moved = plain_score(effects, probes, c, shifts)
+        keys = {k for x, k, _ in probes if x == c}
+        status = "breaks" if broken > 99 else "deferred" if gain <= -1e9 else "stale" if keys & used else "accepted" if fits(taken, c) else "structure"
+        want[c] = status
+        if status == "accepted":
+            shifts, used = moved, used | keys
+            taken.append(c)
+    ranks = spark.createDataFrame([(c, c) for c in range(14)], "candidate long, rank int")
+    apart = own.select(F.col("edit").alias("candidate"), F.col("segment").alias("link"))
+    got = Z.greedy(spark.createDataFrame(effects, EFFECT), spark.createDataFrame(probes, PROBE), ranks, least=-1e9, allow_broken=99.0, passes=1, apart=apart, refused=Z.trial(rows, own))
+    assert {r["candidate"]: r["status"] for r in got.collect()} == want
+    assert {"structure", "accepted"} <= set(want.values())
+
+
 def test_best_first_equals_brute_force(spark):
     effects, probes = example_edits(7)
     shifts, want = {}, []
