@@ -6,6 +6,8 @@ or, for a fixed number of sweeps, runs as window aggregates.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
