@@ -308,7 +308,7 @@ def capped_selection(spark, sf):
     return Z.capped(named, events, {"year": 15, "line_of_year": 6}, 40).select("candidate", "year", "line_of_year", "marginal")
 
 
-@add("Z05 Z06 R08", f"""WITH {I.BOARD}, l AS (SELECT trip AS path, id, service AS trip, minute AS dep0, minute + id % 4 AS arr0, CASE service WHEN 'view' THEN -1 WHEN 'purchase' THEN 2 ELSE 0 END AS moved FROM board),
+@add("R08", f"""WITH {I.BOARD}, l AS (SELECT trip AS path, id, service AS trip, minute AS dep0, minute + id % 4 AS arr0, CASE service WHEN 'view' THEN -1 WHEN 'purchase' THEN 2 ELSE 0 END AS moved FROM board),
   o AS (SELECT *, dep0 + moved AS dep, arr0 + moved AS arr FROM l), g AS (SELECT *, lead(dep) OVER w - arr AS gap, lead(trip) OVER w = trip AS same, row_number() OVER w AS i, count(*) OVER (PARTITION BY path) AS n FROM o WINDOW w AS (PARTITION BY path ORDER BY dep0, id)),
   s AS (SELECT path, bool_and(coalesce(gap, 0) >= 0) AS feasible, max(arr) FILTER (i = n) - max(dep) FILTER (i = 1) - max(arr0) FILTER (i = n) + max(dep0) FILTER (i = 1) AS change, sum(arr - dep)::DOUBLE AS r,
     coalesce(sum(greatest(gap, 0)) FILTER (same), 0)::DOUBLE AS d, coalesce(sum(greatest(gap, 0)) FILTER (NOT same), 0)::DOUBLE AS t, (count(*) FILTER (arr = dep)) / 3.0 AS z, (count(*) FILTER (same AND gap <= 0)) / 3.0 AS k FROM g GROUP BY path)

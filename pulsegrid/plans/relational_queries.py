@@ -214,7 +214,7 @@ def dominance_shares(spark, sf):
     return Q.demand_shares(s.withColumn("wait", Q.headway_wait(F.col("dominance"), F.col("instances"))), ["station"], "dominance", "demand").drop("demand")
 
 
-@add("W08 R09", f"""WITH {I.BOARD}, c AS (SELECT station, minute % 120 + 300 AS dep, minute % 120 + 300 + 10 + CAST(id % 40 AS INT) AS arr, id AS idx FROM board WHERE kind = 'ab'),
+@add("W08", f"""WITH {I.BOARD}, c AS (SELECT station, minute % 120 + 300 AS dep, minute % 120 + 300 + 10 + CAST(id % 40 AS INT) AS arr, id AS idx FROM board WHERE kind = 'ab'),
   b AS (SELECT * FROM c UNION ALL SELECT station, dep + 120, arr + 120, idx FROM c), p AS (SELECT station, dep, min((arr, dep, idx)) AS best FROM b GROUP BY ALL)
   SELECT station, minute, best[1] AS arr, best[2] AS dep, best[3] AS idx, best[2] - minute AS wait FROM (
     SELECT s.station, m.minute, min(p.best) AS best FROM (SELECT DISTINCT station FROM c) s CROSS JOIN (SELECT unnest(range(300, 420)) AS minute) m JOIN p ON p.station = s.station AND p.dep >= m.minute GROUP BY ALL)""", "", "minute arr dep idx wait")
@@ -265,7 +265,7 @@ def turnback_events(spark, sf):
     return Q.turnbacks(I.timetable(spark, sf), "segment", ["seq"], "station", "kind").select("segment", "seq", "station", "before")
 
 
-@add("T05 X03", f"WITH {I.BOARD} SELECT id, unnest(range(300 + (minute % 120 - 300 % 120 + 120) % 120, 1440, 120)) AS t FROM board WHERE kind = 'ab'", "", "t")
+@add("T05", f"WITH {I.BOARD} SELECT id, unnest(range(300 + (minute % 120 - 300 % 120 + 120) % 120, 1440, 120)) AS t FROM board WHERE kind = 'ab'", "", "t")
 def periodic_projection(spark, sf):
     b = I.board(spark, sf).where("kind = 'ab'").select("id", (F.col("minute") % 120).alias("m"))
     return Q.periodic(b, "m", 300, 1440).select("id", F.col("at").alias("t"))
