@@ -46,6 +46,8 @@ class Backward:
     def __init__(self, destinations: Sequence[str], place: dict[str, str], edges: dict[str, list[tuple[str, int]]], start: int, end: int, paths: bool):
         self.names, self.place, self.edges, self.start, self.end, self.paths = list(destinations), place, edges, start, end, paths
         self.index = {d: i for i, d in enumerate(self.names)}
+        n = len(self.names)
+        self.none = np.full(n, FAR), np.zeros(n, np.int64), np.full(n, -1, np.int32)
         self.moves: list[tuple] = []
         self.next: list[np.ndarray] = []
         self.trips: dict[str, tuple] = {}  # the label of going on, and when
@@ -53,39 +55,37 @@ class Backward:
         self.open: dict[str, tuple] = {}  # of a place: its departure at hand
         self.best: dict[str, np.ndarray] = {}  # least arrival by a later departure
 
-    @staticmethod
-    def least(a: tuple, b: tuple) -> tuple:
+    def least(self, a: tuple, b: tuple) -> tuple:
         worse = (b[0] < a[0]) | ((b[0] == a[0]) & (b[1] < a[1]))
-        return tuple(np.where(worse, y, x) for x, y in zip(a, b))
+        return np.where(worse, b[0], a[0]), np.where(worse, b[1], a[1]), np.where(worse, b[2], a[2]) if self.paths else a[2]
 
     def take(self, trip: str, start: str, end: str, dep: int, arr: int) -> Iterator[tuple]:
-        n = len(self.names)
-        label = (np.full(n, FAR), np.zeros(n, np.int64), np.full(n, -1, np.int32))
+        # An arrival of FAR or more is none, whatever is added to its label.
+        label = None
         if trip in self.trips:
             hi, lo, number, then = self.trips[trip]
-            label = hi, lo + ((then - arr) << DWELL) + (then == arr), np.full(n, number, np.int32)
+            label = hi, lo + (((then - arr) << DWELL) + (then == arr)), number
         for station, minutes in self.edges.get(end, ()):
             if station in self.boards:
                 times, labels = self.boards[station]
                 k = bisect_right(times, -(arr + minutes)) - 1
                 if k >= 0:
                     hi, lo, first = labels[k]
-                    label = self.least(label, (np.where(hi < FAR, hi + (1 << CHANGE), FAR), lo, first))
+                    other = hi + (1 << CHANGE), lo, first
+                    label = self.least(label, other) if label else other
         at = self.index.get(self.place.get(end, end))
         if at is not None:
-            label = tuple(x.copy() for x in label)
+            label = tuple(x.copy() for x in label or self.none)
             label[0][at], label[1][at], label[2][at] = arr << ARRIVAL, 0, -1
-        known = label[0] < FAR
-        if not known.any():
+        if not label or label[0].min() >= FAR:
             return
-        number = len(self.moves) if self.paths else 0
+        number = self.none[2]
         if self.paths:
+            number = np.full(len(self.names), len(self.moves), np.int32)
             self.moves.append((start, end, dep, arr, trip))
             self.next.append(label[2])
-        hi = np.where(known, label[0] + 1, FAR)
-        lo = np.where(known, label[1] + ((arr - dep) << ROLLING) + ((arr == dep) << STILL), 0)
-        self.trips[trip] = (hi, lo, number, dep)
-        label = hi, lo, np.full(n, number, np.int32)
+        label = label[0] + 1, label[1] + (((arr - dep) << ROLLING) + ((arr == dep) << STILL)), number
+        self.trips[trip] = (*label, dep)
         times, labels = self.boards.setdefault(start, ([], []))
         least = self.least(labels[-1], label) if labels else label
         if times and times[-1] == -dep:
@@ -144,13 +144,13 @@ def profiles(connections: DataFrame, stations: DataFrame, transfers: DataFrame,
     a minute at least.  By the published rule a path of more than ``most_legs``
     trains counts as none.  ``path`` has the hops, or null without ``paths``.
     """
-    spark = connections.sparkSession
     place = {r[0]: r[1] for r in bounded(stations.select(F.col("station").cast("string"), F.col("place").cast("string"))).collect()}
     edges: dict[str, list[tuple[str, int]]] = {}
     for a, b, minutes in bounded(transfers.select(F.col("from_station").cast("string"), F.col("to_station").cast("string"), F.col("minutes").cast("int"))).collect():
         edges.setdefault(a, []).append((b, max(1, minutes)))
     names = sorted(set(place.values()))
-    groups = max(1, min(len(names), max(spark.sparkContext.defaultParallelism, -(-len(names) // TOGETHER))))
+    # A connection takes a task about as long for many destinations as for one.
+    groups = max(1, min(len(names), max(2, -(-len(names) // TOGETHER))))
     columns = [*[F.col(c).cast("string").alias(c) for c in ("trip", "from_station", "to_station")], *[F.col(c).cast("int").alias(c) for c in ("dep", "arr", "seq")]]
     rows = connections.select(*columns).where("arr >= dep").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt = rows.repartition(groups, "g").sortWithinPartitions("g", F.desc("dep"), F.desc("seq"), "trip")
