@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import EARTH_KM
+from .ordering import kept
+
 Keys = Sequence[str]
 
 
@@ -145,14 +149,60 @@ def spread_flows(flows: DataFrame, allocation: DataFrame, zone: str, place: str,
     return out.withColumn("internal", F.col("origin") == F.col("destination"))
 
 
-def nearest(points: DataFrame, places: DataFrame, distance: Column, point: str, place: str, k: int, same: Column | None = None) -> DataFrame:
-    """The ``k`` nearest places of each point, and any that ``same`` says is its own.
+def degrees_beyond(most_lat: float) -> Callable[[float], float]:
+    """Kilometres that two places more than so many degrees of longitude or latitude apart are at least apart.
+
+    ``most_lat`` bounds the latitudes; longitudes must not lie more than 180 degrees apart.
+    """
+
+    def km(width: float) -> float:
+        half = min(math.radians(width) / 2, math.pi / 2)
+        return 2 * EARTH_KM * min(half, math.asin(math.cos(math.radians(most_lat)) * math.sin(half)))
+
+    return km
+
+
+def nearest(points: DataFrame, places: DataFrame, distance: Column, point: str, place: str, k: int, at: Keys, place_at: Keys, beyond: Callable[[float], float] = float) -> DataFrame:
+    """The ``k`` nearest places of each point (all, if fewer) with ``km`` and ``rank``; ties go to the smaller ``place``.
 
-    ``places`` is a bounded table (stations); it is repeated to all points.
+    ``at`` and ``place_at`` name two coordinates, and ``beyond(width)`` is a
+    distance that places which differ by more than ``width`` in one of them
+    exceed.  A point meets the places of its cell and the eight around it, by
+    an equi-join; it is settled when its ``k``-th distance is below what lies
+    beyond them, and otherwise meets cells of twice the width.  The last cells
+    are as wide as the extent, so every point ends.  Only counts and extents
+    come to the driver.  Rows without coordinates take no part; a repeated
+    point is looked up once, with its first coordinates.
     """
-    out = points.crossJoin(F.broadcast(bounded(places))).withColumn("km", distance)
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(point).orderBy("km", place)))
-    return out.where((F.col("rank") <= k) | (same if same is not None else F.lit(False)))
+    there = lambda df, xy: df.where(F.col(xy[0]).isNotNull() & F.col(xy[1]).isNotNull())
+    points, places = kept(there(points, at).dropDuplicates([point])), kept(there(places, place_at))
+    ends = lambda df, xy: df.agg(F.count("*"), *[f(c) for c in xy for f in (F.min, F.max)]).first()
+    p, q = ends(points, at), ends(places, place_at)
+    extent = max(max(p[i + 1], q[i + 1]) - min(p[i], q[i]) for i in (1, 3)) if p[0] and q[0] else 0.0
+    width = extent / max(1.0, math.sqrt(q[0] / k)) or 1.0
+    open_, settled = points, []
+    while True:
+        cells = lambda xy: [F.floor(F.col(c) / width) for c in xy]  # noqa: B023, E731
+        around = lambda c: F.explode(F.sequence(c - 1, c + 1))
+        x, y = cells(place_at)
+        spread = places.withColumn("__x", around(x)).withColumn("__y", around(y))
+        x, y = cells(at)
+        met = open_.withColumns({"__x": x, "__y": y}).join(spread, ["__x", "__y"]).drop("__x", "__y").withColumn("km", distance)
+        found = met.withColumn("rank", F.row_number().over(Window.partitionBy(point).orderBy("km", place))).where(F.col("rank") <= k)
+        if width >= extent:
+            settled.append(found)
+            break
+        found = kept(found)
+        done = found.groupBy(point).agg(F.count("*").alias("n"), F.max("km").alias("km")).where((F.col("n") == k) & (F.col("km") < beyond(width))).select(point)
+        settled.append(found.join(done, point, "left_semi"))
+        open_ = kept(open_.join(done, point, "left_anti"))
+        if open_.isEmpty():
+            break
+        width *= 2
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def replaced(old: DataFrame, new: DataFrame, keys: Keys) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .joins import bounded
-
 
 def raster(spark: SparkSession, low_x: float, low_y: float, step: float, columns: int, rows: int) -> DataFrame:
     return spark.range(columns * rows).select((F.col("id") % columns).cast("int").alias("i"), F.floor(F.col("id") / columns).cast("int").alias("j")).select(
@@ -86,14 +84,39 @@ def crosses(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return (side(a, b[0], b[1]) * side(a, b[2], b[3]) <= 0) & (side(b, a[0], a[1]) * side(b, a[2], a[3]) <= 0)
 
 
-def screenline_links(corridors: DataFrame, links: DataFrame, buffer: float) -> DataFrame:
-    """Links that cross a corridor's screenline or end within ``buffer`` of it; the corridors are a short fixed list.
+def segment_cells(df: DataFrame, ends: tuple[str, str, str, str], width: float, pad: int = 0) -> DataFrame:
+    """``df`` once for each square cell (``cx``, ``cy``) that its segment runs through, and for those ``pad`` cells around.
+
+    A segment is cut by columns of cells, so the rows follow its length, not the area of its box.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ends)
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    at = lambda x: F.when(x1 == x2, F.lit(None)).otherwise(y1 + (x - x1) * (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0)))
+    column = df.withColumn("cx", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    left, right = at(F.greatest(low, F.col("cx") * width)), at(F.least(high, (F.col("cx") + 1) * width))
+    bottom, top = F.coalesce(F.least(left, right), F.least(y1, y2)), F.coalesce(F.greatest(left, right), F.greatest(y1, y2))
+    out = column.withColumn("cy", F.explode(F.sequence(F.floor(bottom / width), F.floor(top / width))))
+    if pad:
+        out = out.withColumn("cx", F.explode(F.sequence(F.col("cx") - pad, F.col("cx") + pad))).withColumn("cy", F.explode(F.sequence(F.col("cy") - pad, F.col("cy") + pad)))
+        out = out.dropDuplicates([*df.columns, "cx", "cy"])
+    return out
+
+
+def screenline_links(corridors: DataFrame, links: DataFrame, buffer: float, width: float | None = None) -> DataFrame:
+    """Links that cross a corridor's screenline or come within ``buffer`` of it, each pair once.
 
     ``corridors``: ``corridor``, ``x1``…``y2``; ``links``: ``link``, ``a_x``, ``a_y``, ``b_x``, ``b_y``.
+    Both are cut to cells wider than the buffer and meet by an equi-join; a pair
+    that shares several is tested in each and counts once.
     """
+    width = width or max(1.0, 8 * buffer)
+    if width <= buffer:
+        raise ValueError("cells must be wider than the buffer")
     line = screenline(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    named = corridors.select("corridor", *[c.alias(n) for c, n in zip(line, ("s_x1", "s_y1", "s_x2", "s_y2"), strict=True)])
+    named = corridors.select("corridor", *[c.alias(n) for c, n in zip(line, ("s_x1", "s_y1", "s_x2", "s_y2"), strict=True)]).na.drop()
     s = tuple(F.col(c) for c in ("s_x1", "s_y1", "s_x2", "s_y2"))
-    link = tuple(F.col(c) for c in ("a_x", "a_y", "b_x", "b_y"))
+    ends = ("a_x", "a_y", "b_x", "b_y")
+    link = tuple(F.col(c) for c in ends)
     close = F.least(segment_distance(link[0], link[1], *s), segment_distance(link[2], link[3], *s), segment_distance(s[0], s[1], *link), segment_distance(s[2], s[3], *link)) <= buffer
-    return links.crossJoin(F.broadcast(bounded(named))).where(crosses(s, link) | close)
+    met = segment_cells(links.na.drop(subset=list(ends)), ends, width).join(segment_cells(named, ("s_x1", "s_y1", "s_x2", "s_y2"), width, 1), ["cx", "cy"])
+    return met.where(crosses(s, link) | close).dropDuplicates(["corridor", "link"]).drop("cx", "cy")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import joins as J
+from ..operators import loads as L
 from ..operators import path_scores as X
 from ..operators import profiles as P
 from ..operators import routing as R
@@ -458,13 +459,73 @@ def region_boxes(spark, sf):
     return G.boxes(I.stations(spark, sf), ["region"], 0.2)
 
 
-@add("J10")
+#: A screenline of each corridor and a short link at each event, on a plane in kilometres.
+CORRIDORS = """corridors AS (SELECT a.id AS corridor, (a.lon - 6) * 76 AS x1, (a.lat - 45.8) * 111 AS y1, (b.lon - 6) * 76 AS x2, (b.lat - 45.8) * 111 AS y2 FROM stations a JOIN stations b ON b.id = (a.id + 1) % 25),
+  lines AS (SELECT corridor, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my, (x2 - x1) * h AS hx, (y2 - y1) * h AS hy FROM (SELECT *, greatest(2.5, least(12, 0.35 * sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2))) / sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS h FROM corridors)),
+  s AS (SELECT corridor, mx - hy AS x1, my + hx AS y1, mx + hy AS x2, my - hx AS y2 FROM lines),
+  l AS (SELECT event_id AS link, event_id * 7919 % 32000 / 100 AS ax, event_id * 104729 % 21500 / 100 AS ay, event_id * 7919 % 32000 / 100 + (event_id % 13 - 6) AS ex, event_id * 104729 % 21500 / 100 + (event_id % 11 - 5) AS ey FROM events)"""
+#: Distance of point (p, q) from the segment from (a, b) to (c, d).
+APART = "sqrt(({p} - {a} - t * ({c} - {a})) ** 2 + ({q} - {b} - t * ({d} - {b})) ** 2)"
+TO_LINK = "(SELECT " + APART.format(p="s.{x}", q="s.{y}", a="ax", b="ay", c="ex", d="ey") + " FROM (SELECT greatest(0, least(1, coalesce(((s.{x} - ax) * (ex - ax) + (s.{y} - ay) * (ey - ay)) / nullif((ex - ax) ** 2 + (ey - ay) ** 2, 0), 0))) AS t))"
+TO_LINE = "(SELECT " + APART.format(p="{x}", q="{y}", a="s.x1", b="s.y1", c="s.x2", d="s.y2") + " FROM (SELECT greatest(0, least(1, (({x} - s.x1) * (s.x2 - s.x1) + ({y} - s.y1) * (s.y2 - s.y1)) / ((s.x2 - s.x1) ** 2 + (s.y2 - s.y1) ** 2))) AS t))"
+NEAREST = ", ".join([TO_LINK.format(x="x1", y="y1"), TO_LINK.format(x="x2", y="y2"), TO_LINE.format(x="ax", y="ay"), TO_LINE.format(x="ex", y="ey")])
+
+
+@add("J10", f"""WITH {I.STATIONS}, {CORRIDORS} SELECT corridor, link FROM s CROSS JOIN l
+  WHERE (((x2 - x1) * (ay - y1) - (y2 - y1) * (ax - x1)) * ((x2 - x1) * (ey - y1) - (y2 - y1) * (ex - x1)) <= 0 AND ((ex - ax) * (y1 - ay) - (ey - ay) * (x1 - ax)) * ((ex - ax) * (y2 - ay) - (ey - ay) * (x2 - ax)) <= 0)
+    OR least({NEAREST}) <= 0.15""")
 def links_at_screenlines(spark, sf):
+    """Short links of all events that cross the screenlines of 25 corridors or come near them."""
     s = I.stations(spark, sf).select("id", ((F.col("lon") - 6) * 76).alias("x"), ((F.col("lat") - 45.8) * 111).alias("y"))
-    a, b = s.toDF("a", "a_x", "a_y"), s.toDF("b", "b_x", "b_y")
-    links = a.join(b, F.col("b") == (F.col("a") + 1) % 25).withColumn("link", F.concat_ws("-", "a", "b"))
-    corridors = spark.createDataFrame([("west", 10.0, 10.0, 90.0, 60.0), ("east", 200.0, 30.0, 260.0, 150.0)], "corridor string, x1 double, y1 double, x2 double, y2 double")
-    return G.screenline_links(corridors, links, 0.15).select("corridor", "link")
+    a, b = s.toDF("corridor", "x1", "y1"), s.toDF("b", "x2", "y2")
+    e, at = F.col("event_id"), lambda by, most: F.col("event_id") * by % most / 100
+    links = I.read(spark, sf, "events").select(e.alias("link"), at(7919, 32000).alias("a_x"), at(104729, 21500).alias("a_y"), (at(7919, 32000) + e % 13 - 6).alias("b_x"), (at(104729, 21500) + e % 11 - 5).alias("b_y"))
+    return G.screenline_links(a.join(b, F.col("b") == (F.col("corridor") + 1) % 25), links, 0.15).select("corridor", "link")
+
+
+#: Each user's events in order as legs of a path; a train carries it for three legs, then it changes.
+LEGS = """legs AS (SELECT user_id AS path, k AS seq, (user_id + k // 3) % 7 AS line, user_id * 1000 + k // 3 AS train, event_id % 11 AS a, next_id % 11 AS b, k * 10 + event_id % 4 AS dep, k * 10 + 5 + event_id % 3 AS arr, user_id % 17 + 0.5 AS flow, 1 + user_id % 5 AS instances
+  FROM (SELECT user_id, event_id, lead(event_id) OVER w AS next_id, row_number() OVER w - 1 AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE next_id IS NOT NULL)"""
+
+
+def _legs(spark, sf):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = I.read(spark, sf, "events").select("user_id", "event_id", F.lead("event_id").over(by).alias("next_id"), (F.row_number().over(by) - 1).cast("long").alias("k")).where("next_id IS NOT NULL")
+    third = F.floor(F.col("k") / 3)
+    return e.select(
+        F.col("user_id").alias("path"), F.col("k").alias("seq"), ((F.col("user_id") + third) % 7).alias("line"), (F.col("user_id") * 1000 + third).alias("train"), (F.col("event_id") % 11).alias("a"), (F.col("next_id") % 11).alias("b"),
+        (F.col("k") * 10 + F.col("event_id") % 4).alias("dep"), (F.col("k") * 10 + 5 + F.col("event_id") % 3).alias("arr"), (F.col("user_id") % 17 + 0.5).alias("flow"), (1 + F.col("user_id") % 5).alias("instances"),
+    )
+
+
+@add("D17 A19", f"""WITH {LEGS}, p AS (SELECT path, line, a, b, max(flow) AS flow FROM legs GROUP BY ALL), r AS (SELECT path, line, max(flow) AS flow, count(*) AS n FROM legs GROUP BY ALL),
+  t AS (SELECT path, line, train, a, b, max(flow) / max(instances) AS flow FROM legs GROUP BY ALL)
+  SELECT 'service' AS kind, line, NULL AS train, a, b, sum(flow) AS load FROM p GROUP BY line, a, b UNION ALL SELECT 'network', NULL, NULL, a, b, sum(flow) FROM p GROUP BY a, b
+  UNION ALL SELECT 'riders', line, NULL, NULL, NULL, sum(flow) FROM r GROUP BY line UNION ALL SELECT 'volume', line, NULL, NULL, NULL, sum(flow * n) FROM r GROUP BY line
+  UNION ALL SELECT 'train', line, train, a, b, sum(flow) FROM t GROUP BY line, train, a, b""", "load", "line train a b")
+def service_loads(spark, sf):
+    """Section loads of lines, of the network and of trains, riders of lines and leg volume, from the flows of paths."""
+    return L.service_loads(_legs(spark, sf))
+
+
+#: Changes of train within the paths, each with the line before and the line after.
+CHANGES = f"""{LEGS}, changes AS (SELECT n.path, n.seq, n.a AS station, p.line AS arrival_line, n.dep - p.arr AS wait, n.line AS departure_line, n.flow, p.train AS from_train, n.train AS to_train FROM legs n JOIN legs p ON p.path = n.path AND p.seq = n.seq - 1 AND p.train <> n.train)"""
+
+
+@add("D18", f"WITH {CHANGES} SELECT station, arrival_line, wait, departure_line, count(DISTINCT path) AS paths, sum(flow) AS flow FROM (SELECT DISTINCT path, station, arrival_line, wait, departure_line, flow FROM changes) GROUP BY ALL", "flow", "station arrival_line wait departure_line paths")
+def transfer_kinds(spark, sf):
+    """Each kind of transfer with the paths and the flow that make it."""
+    return L.transfer_rows(L.path_transfers(_legs(spark, sf)))
+
+
+@add("D18", f"""WITH {CHANGES}, passed AS (
+    SELECT c.*, 'prior' AS side, c.arrival_line AS line, l.a AS other FROM changes c JOIN legs l ON l.path = c.path AND l.train = c.from_train UNION ALL SELECT c.*, 'following', c.departure_line, l.b FROM changes c JOIN legs l ON l.path = c.path AND l.train = c.to_train),
+  known AS (SELECT station AS other, arrival_line AS line FROM changes UNION SELECT station, departure_line FROM changes)
+  SELECT station, arrival_line, wait, departure_line, side, other, count(*) AS paths, sum(flow) AS flow FROM (SELECT DISTINCT path, station, arrival_line, wait, departure_line, side, other, flow FROM passed SEMI JOIN known USING (other, line) WHERE other <> station) GROUP BY ALL""",
+  "flow", "station arrival_line wait departure_line other paths")
+def transfer_overlap(spark, sf):
+    """The flow of each kind of transfer that also passes other stations of change, before and after, on the same train."""
+    return L.transfer_overlap(L.path_transfers(_legs(spark, sf)))
 
 
 @add("I01 I02 K06 K08", "SELECT event_type, sum(value) AS load, count(*) AS n FROM events GROUP BY 1", "load", "n", 3)

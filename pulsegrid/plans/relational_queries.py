@@ -331,8 +331,8 @@ def zone_allocation(spark, sf):
     """Zones to stations: the nearest ones and near ones of the own region, by a decay with a bonus at home."""
     z = I.stations(spark, sf).select(F.col("id").alias("zone"), F.col("region").alias("z_region"), (F.col("lat") + 0.03).alias("z_lat"), (F.col("lon") + 0.05).alias("z_lon"))
     own = (F.col("z_region") == F.col("region")) & (F.col("rank") <= 6)
-    near = J.nearest(z, I.stations(spark, sf), F.round(S.haversine("z_lat", "z_lon", "lat", "lon"), 9), "zone", "station", 4, own)
-    w = near.withColumn("w", F.when(F.col("z_region") == F.col("region"), 1.75).otherwise(1.0) * S.power_decay("km", 3, 2))
+    near = J.nearest(z, I.stations(spark, sf), F.round(S.haversine("z_lat", "z_lon", "lat", "lon"), 9), "zone", "station", 6, ["z_lon", "z_lat"], ["lon", "lat"], J.degrees_beyond(60))
+    w = near.where((F.col("rank") <= 4) | own).withColumn("w", F.when(F.col("z_region") == F.col("region"), 1.75).otherwise(1.0) * S.power_decay("km", 3, 2))
     return w.select("zone", "station", "km", (F.col("w") / F.sum("w").over(Window.partitionBy("zone"))).alias("share"))
 
 
