@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 PATHS, WORDS, HIDDEN = 512, 32, 24
-#: Open elements that a path names; what is nested deeper has the path of this depth.
+#: Open elements that a path names; what is nested deeper has the path of this depth, and only its tags are kept, so that end tags close what they belong to.
 DEEP = 200
 #: Blocks that meet the network at once.
 STEPS = 4096
@@ -117,8 +117,20 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
+    deep: list[str] = []  # open elements beyond the path
+    places: dict[str, list[int]] = {}  # where in them each tag stands
+    scopes: list[int] = []  # for each of them, the innermost scope up to it, or -1
     linked, anchor, at, tags = 0, False, 0, Tags(page)
 
+    def shed(size: int) -> None:
+        while len(deep) > size:
+            places[deep.pop()].pop()
+            scopes.pop()
+
+    def cut(size: int) -> None:
+        shed(0)
+        del stack[size:]
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -146,9 +158,12 @@ def blocks(page: str) -> list[Block]:
                 anchor = False
             elif tag in BLOCK:
                 flush()
+                if places.get(tag):
+                    shed(places[tag][-1])
+                    continue
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
-                        del stack[i:]
+                        cut(i)
                         break
             continue
         if tag in RAW:
@@ -163,21 +178,33 @@ def blocks(page: str) -> list[Block]:
             flush()
             shut = CLOSES.get(tag, set()) | {"p"}
             if tag == "body":
+                shed(0)
                 stack[:] = [s for s in stack if s[0] == "html"]
             elif tag not in ("head", "title", "noscript"):  # a head that is never closed ends at the first block
                 stack[:] = [s for s in stack if s[0] not in ("head", "title")]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE:
-                    break
-            if tag not in VOID and len(stack) < DEEP:
+            scope = scopes[-1] if deep else -1
+            near = max((places[t][-1] for t in shut if places.get(t)), default=-1)
+            if near > scope:
+                shed(near)
+            elif scope < 0:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in shut:
+                        cut(i)
+                        break
+                    if stack[i][0] in SCOPE:
+                        break
+            if tag in VOID:
+                continue
+            if deep or len(stack) >= DEEP:
+                places.setdefault(tag, []).append(len(deep))
+                scopes.append(len(deep) if tag in SCOPE else scopes[-1] if deep else -1)
+                deep.append(tag)
+            else:
                 names = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if rest else ""
                 stack.append((tag, tuple(x.lower() for x in PARTS.findall(names))))
     rest = page[at:]
-    if (cut := rest.rfind("<")) >= 0 and LOOSE.fullmatch(rest[cut:]):
-        rest = rest[:cut]  # a tag that the end of the page cuts short
+    if (end := rest.rfind("<")) >= 0 and LOOSE.fullmatch(rest[end:]):
+        rest = rest[:end]  # a tag that the end of the page cuts short
     add(rest)
     flush()
     return [b for b in out if not any(tag in ("head", "title") for tag, _ in b.path)]

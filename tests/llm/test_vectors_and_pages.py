@@ -139,3 +139,19 @@ def test_gradients_by_differences():
         down = loss()
         net.w[k][at] += 1e-3
         assert grad[k][at] == pytest.approx((up - down) / 2e-3, abs=2e-3)
+
+
+def test_end_tags_of_what_is_nested_deeper(monkeypatch):
+    page = "<body><div class=comments>" + "<div>" * 250 + "x" + "</div>" * 250 + "<p>comment</p></div><p>after</p>"
+    paths = {b.text: [t for t, _ in b.path] for b in html_text.blocks(page)}
+    assert paths["comment"] == ["body", "div", "p"] and paths["after"] == ["body", "p"]
+    assert len(paths["x"]) == html_text.DEEP
+    # With any depth, what is not nested deeper has the path that it has without a bound.
+    rng = np.random.default_rng(8)
+    tags = ["div", "ul", "li", "p", "td", "tr", "table", "center", "section", "option"]
+    for _ in range(300):
+        page = "<body>" + "".join(f"<{'/' if rng.random() < 0.45 else ''}{tags[rng.integers(len(tags))]}>w{i} " for i in range(80))
+        monkeypatch.setattr(html_text, "DEEP", 10_000)
+        whole = html_text.blocks(page)
+        monkeypatch.setattr(html_text, "DEEP", 4)
+        assert [(b.text, b.path) for b in html_text.blocks(page)] == [(b.text, b.path[:4]) for b in whole]
