@@ -14,6 +14,8 @@ from ..operators import selection as Z
 from ..operators import spatial as G
 from ..operators import timetable as T
 from ..operators.ordering import kept, numbered
+from ..sources import readers
+from ..streaming import incremental
 from . import inputs as I
 from .registry import add
 
@@ -532,12 +534,47 @@ def transfer_overlap(spark, sf):
 def streamed_running_loads(spark, sf):
     """A file stream run to its end: its state is the batch aggregate."""
     at = I.shared_folder(spark, "loads")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    schema = I.read(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    partial = stream.select("event_type", "value")
-
-    def merge(batch, number):
-        batch.groupBy("event_type").agg(F.sum("value").alias("load"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{at}/part={number}")
-
-    partial.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(at).groupBy("event_type").agg(F.sum("load").alias("load"), F.sum("n").alias("n"))
+    rows = stream.select("event_type", F.col("value").alias("load"), F.lit(1).cast("long").alias("n"))
+    incremental.merged(rows, f"{at}/state", f"{at}/cursor", ["event_type"], ["load", "n"], []).awaitTermination()
+    return readers.current(spark, f"{at}/state").select("event_type", "load", "n")
+
+
+def _growing(spark, sf, folder):
+    """Writes all events to ``folder`` in three parts, by time: each begins with a repeat of the last hour of the one before, and holds back every tenth row of its last half hour, which comes late with the next."""
+    utc = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")  # the table's times have no zone
+    e = I.read(spark, sf, "events").where("ts IS NOT NULL").withColumn("ts", utc)
+    low, high = e.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    at, begin = F.col("ts").cast("double"), None
+    for third in (1, 2, 3):
+        end = low + (high - low) * third / 3 if third < 3 else high + 1e9
+        part = at < end if begin is None else (at < end) & (at >= begin - 3600)
+        held = (F.col("event_id") % 10 == 0) & (at >= end - 1800)
+        e.where(part & ~held).write.mode("append").parquet(folder)
+        begin = end
+        yield e.schema
+
+
+@add("I02 A05 A02", """SELECT event_type, count(*) AS n, sum(1 + user_id % 5) AS weight, sum((1 + user_id % 5) * value) AS weighted_value, sum((1 + user_id % 5) * value) / sum(1 + user_id % 5) AS mean_value, epoch_us(min(ts)) AS first_us
+  FROM events WHERE ts IS NOT NULL GROUP BY 1""", "weight weighted_value mean_value", "n first_us", 4)
+def streamed_accounts(spark, sf):
+    """Weighted accounts of a growing folder with repeated and late events, by a stream that is started again for each part: equal to the batch."""
+    at = I.shared_folder(spark, "accounts")
+    for schema in _growing(spark, sf, f"{at}/in"):
+        stream = incremental.files(spark, f"{at}/in", schema.simpleString()[7:-1].replace(":", " ")).withColumn("path_weight", 1 + F.col("user_id") % 5)
+        incremental.accounts(stream, f"{at}/state", f"{at}/cursor", ["event_type"], ["user_id", "event_id"], "ts", "2 hours", "path_weight", ["value"]).awaitTermination()
+    rows = incremental.means(readers.current(spark, f"{at}/state"), ["value"])
+    return rows.select("event_type", "n", "weight", "weighted_value", "mean_value", F.unix_micros("first").alias("first_us"))
+
+
+@add("I02 I01", """SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts)) AS start_us, event_type, count(*) AS n, sum(value) AS value FROM events
+  GROUP BY 1, 2 HAVING start_us + 21600000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 7200000000 FROM events)""", "value", "start_us n", 4)
+def closed_windows(spark, sf):
+    """Six-hour windows of the same growing folder, each written once when no late event can change it any more."""
+    at = I.shared_folder(spark, "windows")
+    for schema in _growing(spark, sf, f"{at}/in"):
+        stream = incremental.files(spark, f"{at}/in", schema.simpleString()[7:-1].replace(":", " "))
+        loads = incremental.windowed(incremental.once(stream, ["user_id", "event_id"], "ts", "2 hours"), "ts", None, "6 hours", ["event_type"], "value")
+        incremental.appended(loads, f"{at}/out", f"{at}/cursor").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.unix_micros("start").alias("start_us"), "event_type", "n", "value")

@@ -15,13 +15,40 @@ def files(spark: SparkSession, folder: str, schema: str, most_files: int = 100)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(folder)
 
 
-def running_loads(stream: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    return stream.groupBy(*keys).agg(F.sum(weight).alias("load"), F.count("*").alias("n"))
+def once(stream: DataFrame, event: Sequence[str], time: str, late: str) -> DataFrame:
+    """The first row of each ``event``; one that comes again within ``late`` of it is dropped by the state, which is dropped behind the watermark.
 
+    Rows without a time take no part; rows older than the watermark are late and are dropped.
+    """
+    return stream.where(F.col(time).isNotNull()).withWatermark(time, late).dropDuplicatesWithinWatermark(list(event))
 
-def windowed(stream: DataFrame, time: str, late: str, width: str, keys: Sequence[str], value: str) -> DataFrame:
-    """Loads by window with a bound on lateness: state is dropped behind the watermark."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("value")).select("window.start", "window.end", *keys, "n", "value")
+
+def accounts(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], event: Sequence[str], time: str, late: str, weight: str, values: Sequence[str]) -> StreamingQuery:
+    """Weighted accounts by ``keys`` in the table at ``path``, each event counted once: ``n``, ``weight``, ``weighted_<value>`` and the ``first`` time.
+
+    All of these merge by sums and minima, so a batch is aggregated by itself
+    and added to what stands; means are taken on reading (``means``).  A null
+    weight or value adds nothing.  What was seen is in the checkpoint, so a run
+    over more files goes on where the last one ended.
+    """
+    if taken := {"n", "weight", "first", *(f"weighted_{v}" for v in values)} & set(keys):
+        raise ValueError(f"keys are named like accounts: {sorted(taken)}")
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    rows = once(stream, event, time, late).select(
+        *keys, F.lit(1).cast("long").alias("n"), w.alias("weight"), *[(w * F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"weighted_{v}") for v in values], F.col(time).alias("first")
+    )
+    return merged(rows, path, checkpoint, keys, ["n", "weight", *(f"weighted_{v}" for v in values)], ["first"])
+
+
+def means(accounts: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Accounts with the weighted mean of each value; null where nothing weighs."""
+    return accounts.withColumns({f"mean_{v}": F.col(f"weighted_{v}") / F.nullif(F.col("weight"), F.lit(0.0)) for v in values})
+
+
+def windowed(stream: DataFrame, time: str, late: str | None, width: str, keys: Sequence[str], value: str) -> DataFrame:
+    """Loads by window with a bound on lateness (``None``: the stream has its watermark): a window is final, and its state goes, behind the watermark."""
+    marked = stream.withWatermark(time, late) if late else stream
+    return marked.groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("value")).select("window.start", "window.end", *keys, "n", "value")
 
 
 def appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
