@@ -1,8 +1,9 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is a layer.  A layer is scanned with the base patterns; then each
-encoding found in it (percent escapes, Unicode escapes, base64 runs, and
-compressed data inside base64) is unwrapped to a further layer, which joins
+encoding found in it (percent escapes, Unicode escapes, UTF-16 read as bytes,
+base64 runs, and compressed data inside base64, also without a header where it
+unfolds to readable text) is unwrapped to a further layer, which joins
 the worklist.  The worklist ends at the fixpoint: a layer whose content was
 seen before from the same places of this document is not entered again, so
 cycles end as well, and a payload that stands twice is entered twice.
@@ -41,8 +42,8 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),  # the maximal runs [0-9a-f]+ of enough length
 )
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
-ONE_ESCAPE = re.compile(r"\\[uxU]([0-9A-Fa-f]+)")
+ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,8}\})+")
+ONE_ESCAPE = re.compile(r"\\[uxU]\{?([0-9A-Fa-f]+)\}?")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs that go on over line ends.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -54,10 +55,12 @@ STRETCH = re.compile(
     rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}+" % LEAST_CHARS
 )
+#: ASCII characters as UTF-16, low byte first and high byte first.
+WIDE = tuple(re.compile(form % LEAST_CHARS) for form in (r"(?:[\t\n\r\x20-\x7e]\x00){%d,}+", r"(?:\x00[\t\n\r\x20-\x7e]){%d,}+"))
 #: Compressed data unfolds in steps of so many bytes, and is scanned in layers of about so many characters.
 STEP_BYTES, LAYER_CHARS = 1 << 20, 1 << 22
 #: No pattern of this module matches across such a character, and no decoding removes it.
-BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\\x20\t\r\n-]""")
+BETWEEN = re.compile(r"""[^A-Za-z0-9+/_.=:"'%\\{}\x00\x20\t\r\n-]""")
 
 Span = tuple[str, int, int]
 
@@ -129,20 +132,25 @@ def _percent(run: str) -> list[tuple[str, int, int]]:
 
 
 def _escape(run: str) -> list[tuple[str, int, int]]:
+    """Characters of escapes; half of a pair without its other half is one that cannot be read."""
     out, high = [], None
     for m in ONE_ESCAPE.finditer(run):
-        code = int(m[1], 16)
-        if 0xD800 <= code < 0xDC00:
-            high = (code, m.start())
-            continue
-        start = m.start()
-        if 0xDC00 <= code < 0xE000:
-            if high is None:
-                code = 0xFFFD
-            else:
+        code, start = int(m[1], 16), m.start()
+        low = 0xDC00 <= code < 0xE000
+        if high is not None:
+            if low:
                 code, start = 0x10000 + ((high[0] - 0xD800) << 10) + (code - 0xDC00), high[1]
-        high = None
-        out.append((chr(code) if code < 0x110000 else "�", start, m.end()))
+            else:
+                out.append(("�", high[1], start))
+            high = None
+        elif low:
+            code = 0xFFFD
+        if 0xD800 <= code < 0xDC00:
+            high = code, start
+        else:
+            out.append((chr(code) if code < 0x110000 else "�", start, m.end()))
+    if high is not None:
+        out.append(("�", high[1], len(run)))
     return out
 
 
@@ -200,10 +208,22 @@ def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
     yield decoder.decode(b"", True)
 
 
-def _inflated_texts(raw: bytes, least: int) -> Iterator[str]:
+def _deflated(raw: bytes) -> Iterator[bytes]:
+    """What compressed data without a header unfolds to, up to damage."""
+    member = zlib.decompressobj(-zlib.MAX_WBITS)
+    try:
+        while raw and not member.eof:
+            if out := member.decompress(raw, STEP_BYTES):
+                yield out
+            raw = member.unconsumed_tail
+    except zlib.error:
+        return
+
+
+def _inflated_texts(unfolded: Iterator[bytes], least: int) -> Iterator[str]:
     """The unfolded text, cut where no match can lie, binary or not; nothing that is shorter than ``least``."""
     held, size, n = [], 0, 0
-    for text in _texts(_inflated(raw)):
+    for text in _texts(unfolded):
         n += len(text)
         if size + len(text) >= LAYER_CHARS and (last := BETWEEN.search(text[::-1])):
             cut = len(text) - last.start()
@@ -252,11 +272,11 @@ def _decoded(layer: Layer, raw: bytes, at: np.ndarray, last: int, aligned: bool)
     packed = False
     for m in PACKED.finditer(raw):
         inside = raw[m.start() :]
-        if _inflated(inside) is not None:
+        if (unfolded := _inflated(inside)) is not None:
             first = aligned and not m.start()
             packed |= first
             start, end = layer.starts[at[m.start() * 4 // 3]], layer.ends[last]
-            for text in _inflated_texts(inside, 1 if first else LEAST_CHARS):
+            for text in _inflated_texts(unfolded, 1 if first else LEAST_CHARS):
                 yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)))
     found = None
     if aligned and not packed:
@@ -265,6 +285,13 @@ def _decoded(layer: Layer, raw: bytes, at: np.ndarray, last: int, aligned: bool)
                 found = [(text, 0, raw)]
         except UnicodeDecodeError:
             pass
+        if not found and (head := next(_deflated(raw), b"")) and len(head) >= LEAST_CHARS and _readable(head.decode("utf-8", "replace")):
+            for text in _inflated_texts(_deflated(raw), LEAST_CHARS):
+                yield Layer(text, np.broadcast_to(layer.starts[at[0]], len(text)), np.broadcast_to(layer.ends[last], len(text)))
+    if raw.count(b"\x00") >= LEAST_CHARS:
+        byte = np.arange(len(raw))
+        begin, end = at[byte * 4 // 3], at[np.minimum(-(-(byte + 1) * 4 // 3), len(at)) - 1]
+        yield from _wide(Layer(raw.decode("latin-1"), layer.starts[begin], layer.ends[end]))
     for text, skip, part in found or ((m[0].decode("utf-8"), m.start(), m[0]) for m in STRETCH.finditer(raw)):
         offsets = skip + np.asarray(_decoded_utf8(part)[1])
         first = at[offsets[:-1] * 4 // 3]
@@ -272,8 +299,24 @@ def _decoded(layer: Layer, raw: bytes, at: np.ndarray, last: int, aligned: bool)
         yield Layer(text, layer.starts[first], layer.ends[end])
 
 
+def _wide(layer: Layer) -> Iterator[Layer]:
+    """Stretches of UTF-16 of either byte order; where both read the same bytes, the longer, or else the one at an even place."""
+    kept: list[tuple[int, int]] = []
+    better = lambda x: (x[1] - x[0], x[0] % 2 == 0)
+    for x in sorted(m.span() for form in WIDE for m in form.finditer(layer.text)):
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+        elif better(x) > better(kept[-1]):
+            kept[-1] = x
+    for start, end in kept:
+        text = layer.text[start:end].replace("\x00", "")
+        yield Layer(text, layer.starts[start:end:2], layer.ends[start + 1 : end : 2])
+
+
 def _inner(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside ``layer``, one at a time."""
+    if "\x00" in layer.text:
+        yield from _wide(layer)
     for pattern, decode in ((PERCENT, _percent), (ESCAPE, _escape)):
         if x := _replaced(layer, pattern, decode):
             yield x
@@ -283,7 +326,7 @@ def _inner(layer: Layer) -> Iterator[Layer]:
 def all_spans(text: str) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans (both ordered), and the number of layers entered."""
     base = base_spans(text)
-    if not ("%" in text and PERCENT.search(text) or "\\" in text and ESCAPE.search(text) or any(True for _ in _runs(text))):
+    if not ("\x00" in text or "%" in text and PERCENT.search(text) or "\\" in text and ESCAPE.search(text) or any(True for _ in _runs(text))):
         return base, base, 1
     n = np.arange(len(text) + 1)
     found, seen, layers = set(base), set(), 0
