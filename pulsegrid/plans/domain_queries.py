@@ -486,11 +486,11 @@ def links_at_screenlines(spark, sf):
 
 
 #: Each user's events in order as legs of a path; a train carries it for three legs, then it changes.
-LEGS = """legs AS (SELECT user_id AS path, k AS seq, (user_id + k // 3) % 7 AS line, user_id * 1000 + k // 3 AS train, event_id % 11 AS a, next_id % 11 AS b, k * 10 + event_id % 4 AS dep, k * 10 + 5 + event_id % 3 AS arr, user_id % 17 + 0.5 AS flow, 1 + user_id % 5 AS instances
+CARRIED = """legs AS (SELECT user_id AS path, k AS seq, (user_id + k // 3) % 7 AS line, user_id * 1000 + k // 3 AS train, event_id % 11 AS a, next_id % 11 AS b, k * 10 + event_id % 4 AS dep, k * 10 + 5 + event_id % 3 AS arr, user_id % 17 + 0.5 AS flow, 1 + user_id % 5 AS instances
   FROM (SELECT user_id, event_id, lead(event_id) OVER w AS next_id, row_number() OVER w - 1 AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE next_id IS NOT NULL)"""
 
 
-def _legs(spark, sf):
+def _carried(spark, sf):
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = I.read(spark, sf, "events").select("user_id", "event_id", F.lead("event_id").over(by).alias("next_id"), (F.row_number().over(by) - 1).cast("long").alias("k")).where("next_id IS NOT NULL")
     third = F.floor(F.col("k") / 3)
@@ -500,24 +500,24 @@ def _legs(spark, sf):
     )
 
 
-@add("D17 A19", f"""WITH {LEGS}, p AS (SELECT path, line, a, b, max(flow) AS flow FROM legs GROUP BY ALL), r AS (SELECT path, line, max(flow) AS flow, count(*) AS n FROM legs GROUP BY ALL),
+@add("D17 A19", f"""WITH {CARRIED}, p AS (SELECT path, line, a, b, max(flow) AS flow FROM legs GROUP BY ALL), r AS (SELECT path, line, max(flow) AS flow, count(*) AS n FROM legs GROUP BY ALL),
   t AS (SELECT path, line, train, a, b, max(flow) / max(instances) AS flow FROM legs GROUP BY ALL)
   SELECT 'service' AS kind, line, NULL AS train, a, b, sum(flow) AS load FROM p GROUP BY line, a, b UNION ALL SELECT 'network', NULL, NULL, a, b, sum(flow) FROM p GROUP BY a, b
   UNION ALL SELECT 'riders', line, NULL, NULL, NULL, sum(flow) FROM r GROUP BY line UNION ALL SELECT 'volume', line, NULL, NULL, NULL, sum(flow * n) FROM r GROUP BY line
   UNION ALL SELECT 'train', line, train, a, b, sum(flow) FROM t GROUP BY line, train, a, b""", "load", "line train a b")
 def service_loads(spark, sf):
     """Section loads of lines, of the network and of trains, riders of lines and leg volume, from the flows of paths."""
-    return L.service_loads(_legs(spark, sf))
+    return L.service_loads(_carried(spark, sf))
 
 
 #: Changes of train within the paths, each with the line before and the line after.
-CHANGES = f"""{LEGS}, changes AS (SELECT n.path, n.seq, n.a AS station, p.line AS arrival_line, n.dep - p.arr AS wait, n.line AS departure_line, n.flow, p.train AS from_train, n.train AS to_train FROM legs n JOIN legs p ON p.path = n.path AND p.seq = n.seq - 1 AND p.train <> n.train)"""
+CHANGES = f"""{CARRIED}, changes AS (SELECT n.path, n.seq, n.a AS station, p.line AS arrival_line, n.dep - p.arr AS wait, n.line AS departure_line, n.flow, p.train AS from_train, n.train AS to_train FROM legs n JOIN legs p ON p.path = n.path AND p.seq = n.seq - 1 AND p.train <> n.train)"""
 
 
 @add("D18", f"WITH {CHANGES} SELECT station, arrival_line, wait, departure_line, count(DISTINCT path) AS paths, sum(flow) AS flow FROM (SELECT DISTINCT path, station, arrival_line, wait, departure_line, flow FROM changes) GROUP BY ALL", "flow", "station arrival_line wait departure_line paths")
 def transfer_kinds(spark, sf):
     """Each kind of transfer with the paths and the flow that make it."""
-    return L.transfer_rows(L.path_transfers(_legs(spark, sf)))
+    return L.transfer_rows(L.path_transfers(_carried(spark, sf)))
 
 
 @add("D18", f"""WITH {CHANGES}, passed AS (
@@ -527,7 +527,7 @@ def transfer_kinds(spark, sf):
   "flow", "station arrival_line wait departure_line other paths")
 def transfer_overlap(spark, sf):
     """The flow of each kind of transfer that also passes other stations of change, before and after, on the same train."""
-    return L.transfer_overlap(L.path_transfers(_legs(spark, sf)))
+    return L.transfer_overlap(L.path_transfers(_carried(spark, sf)))
 
 
 @add("I01 I02 K06 K08", "SELECT event_type, sum(value) AS load, count(*) AS n FROM events GROUP BY 1", "load", "n", 3)
