@@ -166,7 +166,7 @@ def _narrower(before: int, width: int):
     return cut
 
 
-RUNS = "key bigint, piece bigint, first int, last int, least bigint"
+RUNS = "key bigint, piece bigint, runs array<struct<first:int,last:int,least:bigint>>"
 
 
 def _search(rows: pa.Table) -> pa.Table:
@@ -176,19 +176,19 @@ def _search(rows: pa.Table) -> pa.Table:
     owners = rows.column("doc_id").to_numpy()
     found = FMIndex(texts, owners, WINDOW).statistics(texts)
     trim()
-    at, first, last, least = [], [], [], []
-    for i, least_owner in enumerate(found):
+    ends, first, last, least = [0], [], [], []
+    for least_owner in found:
         edge = np.flatnonzero(np.r_[True, least_owner[1:] != least_owner[:-1]]) if len(least_owner) else np.zeros(0, int)
-        at += [i] * len(edge)
         first += edge.tolist()
         last += (np.r_[edge[1:], len(least_owner)] - 1).tolist()[: len(edge)]
         least += least_owner[edge].tolist()
-    take = pa.array(at, pa.int64())
-    return pa.table([rows.column("key").take(take), rows.column("piece").take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(least, pa.int64())], names=["key", "piece", "first", "last", "least"])
+        ends.append(len(least))
+    runs = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(least, pa.int64())], names=["first", "last", "least"])
+    return pa.table([rows.column("key"), rows.column("piece"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], names=["key", "piece", "runs"])
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """Intervals of words to remove: ``doc_id``, ``text_hash``, ``start``, ``end`` (word numbers, end exclusive).
+    """Intervals of words to remove: ``doc_id``, ``text_hash``, ``cut``, an array of ``start``, ``end`` (word numbers, end exclusive); a document may have several rows.
 
     ``docs``: ``doc_id`` (long), ``text_hash``, ``text``.
     """
@@ -209,14 +209,22 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
             same = ["doc_id", "text_hash", "place", "a"]
             sharded = content.join(shared.select("key", "piece", *same), same).select(F.pmod(F.xxhash64("key"), F.lit(-(-count // SHARD_PIECES))).alias("shard"), "key", "piece", "doc_id", "words")
             found = written(sharded.groupBy("shard").applyInArrow(_search, RUNS), f"found{level}")
-            hit = spread_join(rows, found, ["key", "piece"], shared, total, ["doc_id", "low"]).where("least < doc_id")
-            parts.append(written(hit.select("doc_id", "text_hash", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("last") + WINDOW).alias("end")).distinct(), f"intervals{level}"))
+            found = found.withColumn("least", F.array_min(F.transform("runs", lambda x: x["least"])))
+            # A passage that goes on and on has the same window at many places of a document: one row has them all.
+            own = ["key", "piece", "doc_id", "text_hash"]
+            placed = rows.select(*own, F.array("low").alias("lows")) if level == 0 else rows.groupBy(*own).agg(F.collect_set("low").alias("lows"))
+            hit = spread_join(placed, found, ["key", "piece"], shared, total, ["doc_id", "lows"] if level == 0 else ["doc_id"]).where("least < doc_id")
+            # All windows of a piece hold its anchor, so those that go make one interval.
+            gone = hit.withColumn("runs", F.filter("runs", lambda x: x["least"] < F.col("doc_id")))
+            gone = gone.withColumns({"first": F.array_min(F.transform("runs", lambda x: x["first"])), "last": F.array_max(F.transform("runs", lambda x: x["last"]))})
+            cut = F.transform("lows", lambda low: F.struct((low + F.col("first")).alias("start"), (low + F.col("last") + WINDOW).alias("end")))
+            parts.append(written(gone.select("doc_id", "text_hash", cut.alias("cut")), f"intervals{level}"))
             old.append(found)
         many = per.where(F.col("n") > KEY_PIECES)
         if last or not many.limit(1).count():
             break
         left = rows.join(many.select("key"), "key", "left_semi")
-    out = parts[0] if parts else spark.createDataFrame([], "doc_id bigint, text_hash bigint, start int, end int")
+    out = parts[0] if parts else spark.createDataFrame([], "doc_id bigint, text_hash bigint, cut array<struct<start:int,end:int>>")
     for more in parts[1:]:
         out = out.unionByName(more)
     for done in old:
@@ -231,7 +239,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     column = lambda c: F.col(f"`{c}`")
     narrow = docs.select(column(id_col).cast("long").alias("doc_id"), F.xxhash64(column(text_col)).alias("text_hash"), column(text_col).alias("text"))
     found = repeated_intervals(narrow)
-    lists = found.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_set(F.struct("start", "end")).alias(cut))
+    lists = found.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias(cut))
     source = docs.select(*map(column, named), column(text_col).alias(text), column(id_col).cast("long").alias(own), F.xxhash64(column(text_col)).alias(hashed))
     source = source.join(lists, (F.col(own) == F.col(id_)) & (F.col(hashed) == F.col(hash_)), "left").select(*map(column, named), text, cut)
     n = len(named)

@@ -15,6 +15,7 @@ from urllib.parse import quote
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import bpe, jaccard, order, packing, quality, secrets, substrings, words
 
@@ -351,3 +352,15 @@ def test_folded_scores_equal_the_average_of_features():
         ids = np.concatenate([f for f, _ in quality.features([text])])
         mean = model[ids].mean() if len(ids) else 0.0
         assert s == pytest.approx(1 / (1 + np.exp(-(mean + 0.25))), abs=1e-6)
+
+
+def test_a_passage_that_repeats_within_documents(spark, monkeypatch):
+    """Every window of a document is at many of its places; it is looked up once, and no word is lost or kept wrongly."""
+    monkeypatch.setattr(substrings, "KEY_PIECES", 2)
+    line = "on and on goes the same old song".split()
+    rows = [(i, " ".join(line * 40 + [f"x{i}"] * (i % 3) + line * 20)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert repeats(substrings.remove_repeated(docs)) == brute_repeats(rows)
+    found = substrings.repeated_intervals(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
+    windows = sum(len(t.split()) - 49 for _, t in rows)
+    assert 0 < found.count() < windows / 3
