@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import joins as J
 from pulsegrid.operators import profiles as P
 from pulsegrid.operators import routing as R
 from pulsegrid.plans import registry
@@ -72,3 +73,19 @@ def test_routes_of_a_large_timetable(spark, monkeypatch, unreached):
     assert len(want) > 100
     monkeypatch.setattr(P, "TOGETHER", 2)
     assert found() == want
+
+
+def test_probes_of_both_ends_without_a_sort_of_the_hits(spark):
+    """Of an effect at both ends the later counts, of a section without an end the other; the hits are not shuffled again."""
+    candidates = [(c, c % 3, c % 5, (c + 1) % 3 if c % 7 else None, (c + 2) % 5) for c in range(60)]
+    effects = [(e, s, m, side, float(e)) for e in range(20) for s in range(3) for m in range(5) for side in ("ab", "an") if (e * 7 + s * 5 + m * 3 + (side == "an")) % 4 == 0]
+    got = J.clockface_probes(
+        spark.createDataFrame(candidates, "candidate int, from_station int, from_mod int, to_station int, to_mod int"), spark.createDataFrame(effects, "effect int, station int, mod int, side string, pax double"), ["station", "mod"], "effect", "candidate"
+    )
+    want = {}
+    for c, *ends in candidates:
+        for k, side in ((0, "ab"), (2, "an")):  # the later replaces the former
+            want |= {(c, e): (s, m, d, p) for e, s, m, d, p in effects if d == side and [s, m] == ends[k : k + 2]}
+    rows = got.select("candidate", "effect", "station", "mod", "side", "pax").collect()
+    assert len(rows) == len(want) and {(r[0], r[1]): tuple(r[2:]) for r in rows} == want
+    assert {r[4] for r in rows} == {"ab", "an"} and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
