@@ -96,16 +96,18 @@ def terminal_aliases(nodes: Column, prefix: str, name: str) -> Column:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``component`` (the least name reachable) of each ``node``, by rounds of least labels and jumps.
 
-    Each round is checkpointed to the shared folder.
+    The edges and each round are checkpointed to the shared folder, so no round asks for the edges' tables again.
     """
+    held = lambda df: df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b"), F.col("a")).toDF("node", "other")).distinct()
+    both = held(both)
     labels = nodes.select("node", F.col("node").alias("component"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "other").withColumnRenamed("component", "__c"), "other").groupBy("node").agg(F.min("__c").alias("__near"))
         new = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("__near", "component")).alias("__new"))
         jump = new.select(F.col("node").alias("__new"), F.col("__new").alias("__far"))
         new = new.join(jump, "__new", "left").select("node", F.least("__new", F.coalesce("__far", "__new")).alias("component"), F.col("component").alias("was"))
-        new = new.checkpoint() if new.sparkSession.conf.get("spark.checkpoint.dir", None) else new.persist()
+        new = held(new)
         if not new.where("component <> was").limit(1).count():
             return new.drop("was")
         labels = new.drop("was")

@@ -89,3 +89,18 @@ def test_probes_of_both_ends_without_a_sort_of_the_hits(spark):
     rows = got.select("candidate", "effect", "station", "mod", "side", "pax").collect()
     assert len(rows) == len(want) and {(r[0], r[1]): tuple(r[2:]) for r in rows} == want
     assert {r[4] for r in rows} == {"ab", "an"} and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_ask_for_their_edges_once(spark):
+    """Labels of a chain take several rounds; its edges are read in one."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)], "a string, b string").mapInArrow(run, "a string, b string")
+    got = R.components(edges, spark.createDataFrame([(f"n{i:02}",) for i in range(21)], "node string")).collect()
+    assert {r["component"] for r in got} == {"n00"} and len(got) == 21
+    assert seen.value <= 2 * 20  # either direction
