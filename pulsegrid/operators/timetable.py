@@ -1,8 +1,7 @@
 """Timetable expansion: active rows, tokens to occurrences, chained trips, signatures, boards, line timings, slack, edits.
 
-A segment is an ordered array of rows (``seq``, ``station``, ``kind``, ``token``);
-a trip is a fold over it, in one expression per start, so trips are made in
-parallel and without Python.
+A segment is an ordered array of rows (``seq``, ``station``, ``kind``, ``token``).
+Spark deals the segments to tasks; ``expansion`` makes the trips of many at once.
 """
 
 from __future__ import annotations
@@ -12,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from . import expansion
 from .sequences import trimmed
 
 #: Fixed bounds of the service day, in minutes.
 DAY_START, DEPARTURE_END, ARRIVAL_END, HOURS = 300, 1440, 1560, (5, 26)
 DWELL_MOST = 15
+BOUNDS = (DAY_START, DEPARTURE_END, ARRIVAL_END, HOURS, DWELL_MOST)
 #: Fixed: line timings show runs that leave from 05:00 to before 07:00.
 SHOWN = (300, 420)
 EVENT = "struct<station:string,kind:string,minute:int>"
@@ -40,32 +41,21 @@ def occurrences(token: Column, kind: Column) -> Column:
     return F.filter(t, lambda x: (x >= DAY_START) & F.when(kind == "ab", x < DEPARTURE_END).otherwise(x <= ARRIVAL_END))
 
 
-def next_occurrence(token: Column, kind: Column, least: Column) -> Column:
-    """The first minute of a token at or after ``least``, or null."""
-    hour = F.greatest(F.ceil((least - token["minute"]) / 60).cast("int"), F.lit(HOURS[0]))
-    wrong = (token["parity"] != "all") & ((token["parity"] == "even") != (hour % 2 == 0))
-    at = (hour + F.when(wrong, 1).otherwise(0)) * 60 + token["minute"]
-    return F.when(F.when(kind == "ab", at < DEPARTURE_END).otherwise(at <= ARRIVAL_END), at)
+def _collected() -> Column:
+    """A segment's rows in order, as ``expansion`` takes them; ``odd``: 1 odd hours, 0 even ones, -1 all."""
+    token = F.col("token")
+    odd = F.when(token["parity"] == "all", -1).when(token["parity"] == "even", 0).otherwise(1)
+    row = F.struct("seq", "station", "kind", token["minute"].alias("minute"), odd.alias("odd"), token["p"].alias("p"), token["q"].alias("q"))
+    return F.array_sort(F.collect_list(F.when(token.isNotNull(), row)))
 
 
-def threshold(token: Column, last: Column, dwell: Column) -> Column:
-    """The earliest minute of the next event: a minute later, in a dwell at once; P not before the next clock hour, Q not before an hour later."""
-    base = F.when(dwell, last).otherwise(last + 1)
-    p = F.when(token["p"], (F.floor(last / 60) + 1) * 60).otherwise(base)
-    q = F.when(token["q"], last + 60).otherwise(base)
-    return F.greatest(base, p, q).cast("int")
+def _spread(rows: DataFrame, segment: str) -> DataFrame:
+    """Little data, much work: as many tasks as the session has shuffle partitions, and no further exchange below."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), segment)
 
 
-def _turned(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``turn``: this departure leaves for where its train has come from, so another trip begins here."""
-    by = Window.partitionBy(*keys).orderBy("seq")
-    near = lambda c, k: F.lag(c, k).over(by) if k > 0 else F.lead(c, -k).over(by)
-    turn = (near("kind", 2) == "ab") & (near("kind", 1) == "an") & (F.col("kind") == "ab") & (near("kind", -1) == "an") & (near("station", 1) == F.col("station")) & (near("station", 2) == near("station", -1))
-    return rows.withColumn("turn", F.coalesce(turn, F.lit(False)))
-
-
-def trips(rows: DataFrame, segment: str = "segment") -> DataFrame:
-    """Trips of each segment: every departure row starts one at each of its minutes.
+def trips(rows: DataFrame, segment: str = "segment", until: int | None = None) -> DataFrame:
+    """Trips of each segment: every departure row starts one at each of its minutes, before ``until`` only if that is given.
 
     ``rows`` (active ones): segment, ``seq``, ``station``, ``kind`` (``an`` or
     ``ab``), ``token``.  A trip ends before a departure at which it would turn
@@ -73,33 +63,10 @@ def trips(rows: DataFrame, segment: str = "segment") -> DataFrame:
     one that does not end in an arrival is none.  Returns segment,
     ``start_seq``, ``start``, ``events``.
     """
-    # Little data, much work: as many tasks as the session has shuffle partitions, and no further exchange below.
-    spread = rows.where("token IS NOT NULL").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), segment)
-    named = _turned(spread, [segment])
-    table = named.groupBy(segment).agg(F.array_sort(F.collect_list(F.struct("seq", "station", "kind", "token", "turn"))).alias("rows"))
-    starts = table.select(segment, "rows", F.posexplode("rows").alias("at", "first")).where("first.kind = 'ab'")
-    starts = starts.withColumn("start", F.explode(occurrences(F.col("first.token"), F.lit("ab"))))
-    rest = F.slice("rows", F.col("at") + 2, F.size("rows"))
-    event = lambda row, minute: F.struct(row["station"].alias("station"), row["kind"].alias("kind"), minute.cast("int").alias("minute"))
-    begin = F.struct(F.array(event(F.col("first"), F.col("start"))).alias("events"), F.lit(False).alias("done"))
-
-    let = lambda value, f: F.get(F.transform(F.array(value), f), 0)  # noqa: E731  evaluates ``value`` once
-
-    def step(state: Column, row: Column) -> Column:
-        stopped = F.struct(state["events"].alias("events"), F.lit(True).alias("done"))
-
-        def after(last: Column) -> Column:
-            dwell = (last["station"] == row["station"]) & (last["kind"] == "an") & (row["kind"] == "ab")
-            grown = lambda at: F.struct(F.concat(state["events"], F.array(event(row, at))).alias("events"), F.lit(False).alias("done"))
-            return let(
-                next_occurrence(row["token"], row["kind"], threshold(row["token"], last["minute"], dwell)),
-                lambda at: F.when(at.isNull() | (dwell & (row["turn"] | (at - last["minute"] > DWELL_MOST))), stopped).otherwise(grown(at)),
-            )
-
-        return F.when(state["done"], state).otherwise(let(F.element_at(state["events"], -1), after))
-
-    made = F.aggregate(rest, begin, step, lambda s: s["events"].cast(f"array<{EVENT}>"))
-    return starts.select(segment, F.col("first.seq").alias("start_seq"), "start", made.alias("events")).where((F.size("events") > 1) & (F.element_at("events", -1)["kind"] == "an"))
+    table = _spread(rows.where("token IS NOT NULL"), segment).groupBy(F.col(segment).alias("segment")).agg(_collected().alias("rows"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    made = table.mapInArrow(expansion.expanded(BOUNDS, until), f"segment {kind[segment]}, start_seq {kind['seq']}, start int, events array<{EVENT}>")
+    return made.withColumnRenamed("segment", segment)
 
 
 def signature(events: Column) -> Column:
@@ -188,18 +155,15 @@ def applied(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def structure(rows: DataFrame) -> DataFrame:
-    """By segment: number of trips, their shapes (events and running times, as a sorted list), the extreme dwells, and whether rows alternate."""
-    order = Window.partitionBy("segment").orderBy("seq")
-    alternates = (F.col("kind") == "ab") == (F.row_number().over(order) % 2 == 1)
-    base = rows.withColumn("__ok", alternates).groupBy("segment").agg(F.bool_and("__ok").alias("alternates"), (F.max_by("kind", "seq") == "an").alias("ends"))
-    at = lambda i: F.get("events", i)
-    steps = F.sequence(F.lit(0), F.size("events") - 2)
-    shape = F.array_join(F.transform("events", lambda e: F.concat_ws(":", e["station"], e["kind"])), "|")
-    running = F.array_join(F.transform(F.filter(steps, lambda i: (at(i)["kind"] == "ab") & (at(i + 1)["kind"] == "an")), lambda i: (at(i + 1)["minute"] - at(i)["minute"]).cast("string")), ",")
-    dwells = F.transform(F.filter(steps, lambda i: (at(i)["kind"] == "an") & (at(i + 1)["kind"] == "ab") & (at(i)["station"] == at(i + 1)["station"])), lambda i: at(i + 1)["minute"] - at(i)["minute"])
-    made = trips(rows).select("segment", F.concat_ws("#", shape, running).alias("shape"), F.array_min(dwells).alias("low"), F.array_max(dwells).alias("high"))
-    made = made.groupBy("segment").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("shape")).alias("shapes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return base.join(made, "segment", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """By segment: number of trips, their shapes (events and running times) with how many trips have each, the extreme dwells, and whether rows alternate."""
+    # The kinds of all rows, also of those without a token.
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda r: r["kind"])
+    table = _spread(rows, "segment").groupBy("segment").agg(_collected().alias("rows"), kinds.alias("kinds"))
+    alternates = F.forall(F.transform("kinds", lambda k, i: (k == "ab") == (i % 2 == 0)), lambda ok: ok)
+    table = table.select("segment", "rows", alternates.alias("alternates"), (F.element_at("kinds", -1) == "an").alias("ends"))
+    kind = rows.schema["segment"].dataType.simpleString()
+    made = table.mapInArrow(expansion.shaped(BOUNDS), f"segment {kind}, alternates boolean, ends boolean, n long, low int, high int, shapes array<struct<shape:string,n:bigint>>")
+    return made.withColumn("shapes", F.array_sort("shapes"))
 
 
 def compatibility(before: DataFrame, after: DataFrame) -> DataFrame:
