@@ -54,12 +54,12 @@ def _active(spark, sf, year=None):
     return rows.where(F.col("year") == year).drop("year", "raw") if year else rows
 
 
-def _trips(spark, sf):
-    return T.trips(_active(spark, sf, "2026"))
+def _trips(spark, sf, until=None):
+    return T.trips(_active(spark, sf, "2026"), until=until)
 
 
-def _once(spark, sf):
-    return T.distinct_trips(_trips(spark, sf), ["segment", "start_seq", "start"])
+def _once(spark, sf, until=None):
+    return T.distinct_trips(_trips(spark, sf, until), ["segment", "start_seq", "start"])
 
 
 @add("T10 F04 W12", f"WITH {ACTIVE} SELECT segment, year, seq, station, kind, m AS minute, CASE half WHEN 'n' THEN 'even' WHEN 'i' THEN 'odd' ELSE 'all' END AS parity, p, q FROM active", "", "seq minute")
@@ -92,14 +92,15 @@ def trips_once(spark, sf):
     AND CASE x.board WHEN 'departure' THEN x.following = y.following AND x.previous = '' AND y.previous <> '' ELSE x.previous = y.previous AND x.following = '' AND y.following <> '' END)""", "", "minute")
 def station_boards(spark, sf):
     """Boards of three hubs from 05:00 to before 07:00, without the ends that only a shorter run of the same train has."""
-    return T.board_rows(_once(spark, sf), ["S1", "S4", "S7"], 300, 420)
+    # Minutes never fall along a trip, and equal trips start together: none that starts later is on a board or hides one that is.
+    return T.board_rows(_once(spark, sf, 420), ["S1", "S4", "S7"], 300, 420)
 
 
 @add("T09 F01", f"""WITH RECURSIVE {ONCE}, e AS (SELECT segment AS line, ev, unnest(range(1, len(ev))) AS j FROM once), x AS (SELECT line, ev[j].s AS from_station, ev[j + 1].s AS to_station, ev[j].m AS d, ev[j + 1].m AS a FROM e WHERE ev[j].k = 'ab' AND ev[j + 1].k = 'an' AND ev[j].m >= 300 AND ev[j].m < 420)
   SELECT line, from_station, to_station, array_to_string(list_transform(list_sort(list_distinct(list(d))), lambda t: printf('%02d:%02d', t // 60, t % 60)), ', ') AS departures,
     array_to_string(list_transform(list_sort(list_distinct(list(a))), lambda t: printf('%02d:%02d', t // 60 % 24, t % 60)), ', ') AS arrivals FROM x GROUP BY ALL""")
 def line_profile_timings(spark, sf):
-    return T.line_timings(_once(spark, sf))
+    return T.line_timings(_once(spark, sf, T.SHOWN[1]))
 
 
 #: An edit for every fourth section of a departure and the arrival next to it; some name a minute that is not theirs, some a section that another edit takes first.
