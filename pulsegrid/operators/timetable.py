@@ -23,11 +23,18 @@ SHOWN = (300, 420)
 EVENT = "struct<station:string,kind:string,minute:int>"
 
 
+def _spread(rows: DataFrame, segment: str) -> DataFrame:
+    """Little data, much work: as many tasks as the session has shuffle partitions, and no further exchange below."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), segment)
+
+
 def active_rows(wide: DataFrame, years: list[str], ids: list[str]) -> DataFrame:
     """One row for each year column whose cell is a token, from the first departure to the last arrival of the segment.
 
     ``wide``: ``segment``, ``seq``, ``station``, ``kind`` and the year columns.
     """
+    # Dealt by segment before a row becomes one for each year; what follows goes by segment and needs no other exchange.
+    wide = _spread(wide, "segment")
     cells = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(f"`{y}`").alias("raw")) for y in years])).alias("cell")
     long = wide.select(*ids, cells).select(*ids, "cell.*").withColumns({"token": S.token("raw"), "kind": F.lower(F.trim("kind"))})
     return trimmed(long.where("token IS NOT NULL AND kind IN ('an', 'ab')"), ["segment", "year"], "seq", "kind")
@@ -49,11 +56,6 @@ def _collected() -> Column:
     return F.array_sort(F.collect_list(F.when(token.isNotNull(), row)))
 
 
-def _spread(rows: DataFrame, segment: str) -> DataFrame:
-    """Little data, much work: as many tasks as the session has shuffle partitions, and no further exchange below."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), segment)
-
-
 def trips(rows: DataFrame, segment: str = "segment", until: int | None = None) -> DataFrame:
     """Trips of each segment: every departure row starts one at each of its minutes, before ``until`` only if that is given.
 
@@ -130,6 +132,12 @@ def matched(rows: DataFrame, edits: DataFrame) -> DataFrame:
     stand at those minutes.  Edits apply in order of rank: one that shares a row
     with an earlier match is ``stale``, one without a section ``unmatched``.
     """
+    some = F.max(F.col("from_seq").isNotNull()).over(Window.partitionBy("edit"))
+    return _found(rows, edits).withColumn("__some", some).where("from_seq IS NOT NULL OR NOT __some").drop("__some")
+
+
+def _found(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """``matched`` where an edit also has a row without a section beside those with one."""
     by = Window.partitionBy("segment").orderBy("seq")
     pair = rows.withColumns({"to_seq": F.lead("seq").over(by), "__to": F.lead("station").over(by), "__kind": F.lead("kind").over(by), "__faces": F.lead(S.token_faces("token")).over(by)})
     pair = pair.where("kind = 'ab' AND __kind = 'an'").select("segment", F.col("station").alias("from_station"), F.col("__to").alias("to_station"), F.col("seq").alias("from_seq"), "to_seq", S.token_faces("token").alias("__dep"), F.col("__faces").alias("__arr"))
@@ -137,21 +145,24 @@ def matched(rows: DataFrame, edits: DataFrame) -> DataFrame:
     hit = F.coalesce(F.array_contains("__dep", F.col("dep")) & F.array_contains("__arr", F.col("arr")), F.lit(False))
     found = found.select("edit", "rank", "segment", "delta", F.when(hit, F.col("from_seq")).alias("from_seq"), F.when(hit, F.col("to_seq")).alias("to_seq")).distinct()
     first = F.min("rank").over(Window.partitionBy("segment", "from_seq"))  # a departure row and its arrival row always go together
-    named = found.withColumn("status", F.when(F.col("from_seq").isNull(), "unmatched").when(F.col("rank") > first, "stale").otherwise("applied"))
-    some = F.max(F.col("from_seq").isNotNull()).over(Window.partitionBy("edit"))
-    return named.withColumn("__some", some).where("from_seq IS NOT NULL OR NOT __some").drop("__some")
+    return found.withColumn("status", F.when(F.col("from_seq").isNull(), "unmatched").when(F.col("rank") > first, "stale").otherwise("applied"))
 
 
 def edited(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """The timetable after the edits that apply: both tokens of a section shift by its ``delta``; ``edit`` names it, or is null."""
-    return applied(rows, matched(rows, edits))
+    return applied(rows, _found(rows, edits))
 
 
 def applied(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``edited`` with the edits as ``matched`` gives them."""
+    return _moved(rows, found).withColumn("token", F.coalesce("moved", "token")).drop("moved")
+
+
+def _moved(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the ``edit`` that applies and the token it makes, ``moved``; both are null where none does."""
     moves = found.where("status = 'applied'").select("segment", F.explode(F.array("from_seq", "to_seq")).alias("seq"), "edit", "delta")
     out = rows.join(moves, ["segment", "seq"], "left")
-    return out.withColumn("token", F.when(F.col("delta").isNotNull(), S.token_shifted("token", F.coalesce("delta", F.lit(0)))).otherwise(F.col("token"))).drop("delta")
+    return out.withColumn("moved", F.when(F.col("delta").isNotNull(), S.token_shifted("token", F.col("delta")))).drop("delta")
 
 
 def structure(rows: DataFrame) -> DataFrame:
@@ -188,8 +199,9 @@ def judged(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def composed(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """The final timetable: the edits that apply, but for segments that they would leave incompatible, which stay as they were."""
-    after = edited(rows, edits)
-    bad = compatibility(rows, after.drop("edit")).where("reason <> ''").select("segment", "reason")
-    old = rows.select("segment", "seq", F.col("token").alias("__old"))
-    out = after.join(old, ["segment", "seq"]).join(bad, "segment", "left")
-    return out.withColumns({"token": F.when(F.col("reason").isNull(), F.col("token")).otherwise(F.col("__old")), "edit": F.when(F.col("reason").isNull(), F.col("edit")), "reason": F.coalesce("reason", F.lit(""))}).drop("__old")
+    both = _moved(rows, _found(rows, edits))
+    after = both.withColumn("token", F.coalesce("moved", "token")).drop("moved", "edit")
+    bad = compatibility(rows, after).where("reason <> ''").select("segment", "reason")
+    stays = F.col("reason").isNotNull()
+    out = both.join(bad, "segment", "left").withColumns({"token": F.when(stays, F.col("token")).otherwise(F.coalesce("moved", "token")), "edit": F.when(~stays, F.col("edit"))})
+    return out.withColumn("reason", F.coalesce("reason", F.lit(""))).drop("moved")

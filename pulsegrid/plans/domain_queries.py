@@ -252,7 +252,7 @@ def selection_with_trials(spark, sf):
 
     effects, probes, scored = _ranks(spark, sf)
     rows, edits = Y._edits(spark, sf)
-    rows, edits = kept(rows), edits.where("edit LIKE '%-0'")
+    edits = edits.where("edit LIKE '%-0'")
     # Candidates and edits are numbered apart and meet by their numbers.
     named = numbered(scored.select("candidate"), [], ["candidate"], "n").join(numbered(edits.drop("rank"), [], ["edit"], "n"), "n")
     own = kept(named.select(F.col("candidate").alias("edit"), *[c for c in edits.columns if c not in ("edit", "rank")]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import timetable as T
+from ..operators.ordering import kept
 from . import inputs as I
 from .registry import add
 
@@ -118,7 +119,7 @@ EDITS = f"""{ACTIVE}, now AS (SELECT * FROM active WHERE year = '2026'), nx AS (
 def _edits(spark, sf):
     from pyspark.sql.window import Window
 
-    rows = _active(spark, sf, "2026")
+    rows = kept(_active(spark, sf, "2026"))  # the edits are made from them too
     by = Window.partitionBy("segment").orderBy("seq")
     nxt = rows.withColumns({"to_station": F.lead("station").over(by), "to_kind": F.lead("kind").over(by), "to": F.lead("token").over(by)})
     sections = nxt.where("kind = 'ab' AND to_kind = 'an'").withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).where("c = 0 OR token.minute % 4 = 0")
