@@ -102,12 +102,13 @@ def segment_cells(df: DataFrame, ends: tuple[str, str, str, str], width: float,
     return out
 
 
-def screenline_links(corridors: DataFrame, links: DataFrame, buffer: float, width: float | None = None) -> DataFrame:
+def screenline_links(corridors: DataFrame, links: DataFrame, buffer: float, width: float | None = None, few: bool = False) -> DataFrame:
     """Links that cross a corridor's screenline or come within ``buffer`` of it, each pair once.
 
     ``corridors``: ``corridor``, ``x1``…``y2``; ``links``: ``link``, ``a_x``, ``a_y``, ``b_x``, ``b_y``.
     Both are cut to cells wider than the buffer and meet by an equi-join; a pair
-    that shares several is tested in each and counts once.
+    that shares several is tested in each and counts once.  Where corridors are
+    ``few`` their cells go to all tasks, and only the pairs found are shuffled.
     """
     width = width or max(1.0, 8 * buffer)
     if width <= buffer:
@@ -118,5 +119,6 @@ def screenline_links(corridors: DataFrame, links: DataFrame, buffer: float, widt
     ends = ("a_x", "a_y", "b_x", "b_y")
     link = tuple(F.col(c) for c in ends)
     close = F.least(segment_distance(link[0], link[1], *s), segment_distance(link[2], link[3], *s), segment_distance(s[0], s[1], *link), segment_distance(s[2], s[3], *link)) <= buffer
-    met = segment_cells(links.na.drop(subset=list(ends)), ends, width).join(segment_cells(named, ("s_x1", "s_y1", "s_x2", "s_y2"), width, 1), ["cx", "cy"])
+    lines = segment_cells(named, ("s_x1", "s_y1", "s_x2", "s_y2"), width, 1)
+    met = segment_cells(links.na.drop(subset=list(ends)), ends, width).join(F.broadcast(lines) if few else lines, ["cx", "cy"])
     return met.where(crosses(s, link) | close).dropDuplicates(["corridor", "link"]).drop("cx", "cy")

@@ -482,7 +482,7 @@ def links_at_screenlines(spark, sf):
     a, b = s.toDF("corridor", "x1", "y1"), s.toDF("b", "x2", "y2")
     e, at = F.col("event_id"), lambda by, most: F.col("event_id") * by % most / 100
     links = I.read(spark, sf, "events").select(e.alias("link"), at(7919, 32000).alias("a_x"), at(104729, 21500).alias("a_y"), (at(7919, 32000) + e % 13 - 6).alias("b_x"), (at(104729, 21500) + e % 11 - 5).alias("b_y"))
-    return G.screenline_links(a.join(b, F.col("b") == (F.col("corridor") + 1) % 25), links, 0.15).select("corridor", "link")
+    return G.screenline_links(a.join(b, F.col("b") == (F.col("corridor") + 1) % 25), links, 0.15, few=True).select("corridor", "link")
 
 
 #: Each user's events in order as legs of a path; a train carries it for three legs, then it changes.

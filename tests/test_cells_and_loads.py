@@ -106,3 +106,16 @@ def test_transfer_overlap(spark):
     # B is a station of change of line I; A, D, E and X are not, and C is the end of what path 3 rides.
     assert passed == {("C", "I", 4, "II", "prior", "B"): 14.0, ("B", "III", 3, "I", "following", "C"): 1.0}
     assert L.transfer_overlap(L.path_transfers(spark.createDataFrame([], LEG))).count() == 0
+
+
+def test_links_of_few_corridors_are_not_shuffled(spark):
+    c = spark.createDataFrame([(0, 0.0, 0.0, 10.0, 0.0), (1, 0.0, 0.0, 0.0, 10.0)], "corridor int, x1 double, y1 double, x2 double, y2 double")
+    li = spark.range(5000).select(F.col("id").alias("link"), (F.col("id") % 100 / 5).alias("a_x"), (F.floor(F.col("id") / 100) / 5).alias("a_y"), (F.col("id") % 97 / 5).alias("b_x"), (F.col("id") % 41 / 5).alias("b_y"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [sorted(map(tuple, G.screenline_links(c, li, 0.5, few=few).select("corridor", "link").collect())) for few in (False, True)]
+        plan = G.screenline_links(c, li, 0.5, few=True)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == got[1] and got[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
