@@ -125,17 +125,16 @@ def transfer_contexts(spark, sf):
 @add("S03 W11", f"WITH {I.TIMETABLE} SELECT segment, seq, station, kind, trim(y2026) AS a, trim(y2035) AS b FROM timetable", "", "seq")
 def headed_timetable(spark, sf):
     """The timetable as a file whose first line is data and whose segments begin with a row of their own, read again into numbered segments."""
-    from ..operators.sequences import runs
+    from ..operators.ordering import running
 
     at = _folder(spark)
     t = I.timetable(spark, sf)
     order = ["segment", "seq"]
     head = t.select("segment").distinct().select("segment", F.lit(-1).alias("seq"), F.concat_ws(",", "segment", F.lit("an/ab"), F.lit("2026"), F.lit("2035")).alias("line"))
     lines = head.unionByName(t.select(*order, F.concat_ws(",", "station", "kind", "`2026`", "`2035`").alias("line")))
-    lines.repartitionByRange(1, *order).sortWithinPartitions(*order).select("line").write.text(at)
+    lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("line").write.text(at)
     rows = readers.headed_rows(spark, at, 4).toDF("rownum", "station", "kind", "a", "b")
-    # A file is read as one row and has an order, so its blocks are numbered in one task.
-    named = runs(rows, [], ["rownum"], F.col("kind") == "an/ab", "block")
+    named = running(rows, [], ["rownum"], F.when(F.col("kind") == "an/ab", 1).otherwise(0), "block")
     heads = named.where("kind = 'an/ab'").select("block", F.col("station").alias("segment"), F.col("rownum").alias("first"))
     out = named.where("kind <> 'an/ab'").join(heads, "block")
     return out.select("segment", (F.col("rownum") - F.col("first") - 1).alias("seq"), "station", "kind", F.trim("a").alias("a"), F.trim("b").alias("b"))

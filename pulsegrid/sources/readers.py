@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators import polygons as polygons_of
+from ..operators.ordering import kept
 
 
 def csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: str | None = None) -> DataFrame:
@@ -25,9 +26,18 @@ def csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, wh
 def headed_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
     """A table whose first line is data: ``rownum`` from 1 and ``c0`` to ``c<width-1>``; short rows are filled, wider ones fail.
 
-    ``path`` is one file, read whole, since its order has a meaning.
+    ``path`` is one file, or a folder of parts in the order of their names.  Its
+    order has a meaning: lines are in order within a block of a file, and only
+    the blocks' numbers of lines are summed in one task.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace(F.col("value"), "^﻿", ""), r"\r?\n")).alias("n", "line")).where("trim(line) <> ''")
+    block = ["__file", "__from"]
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    read = kept(read)  # a block's lines keep their numbers
+    blocks = read.groupBy(*block).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*block, (before - F.col("__first")).alias("__add"))
+    lines = read.join(F.broadcast(blocks), block).select((F.col("__id") + F.col("__add")).cast("long").alias("n"), "line")
+    lines = lines.withColumn("line", F.when(F.col("n") == 0, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line"))).where("trim(line) <> ''")
     kind = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width + 1)])
     out = lines.select((F.col("n") + 1).alias("rownum"), F.from_csv("line", ", ".join(f"{f.name} STRING" for f in kind)).alias("r")).select("rownum", "r.*")
     wide = F.col(f"c{width}").isNotNull()
