@@ -92,3 +92,20 @@ def test_rows_without_tokens_count_for_the_order_alone(spark):
     got = {r["segment"]: (r["n"], r["alternates"], r["ends"], r["shapes"] is None) for r in T.structure(rows).collect()}
     assert got["s"][1:] == (True, True, False) and got["none"] == (0, True, False, True)
     assert T.trips(rows.where(F.col("segment") == "none")).count() == 0
+
+
+def test_headed_rows_are_numbered_over_blocks_and_parts(spark, tmp_path):
+    from pulsegrid.sources import readers
+
+    lines = [f"S{i},an" + ("\r" if i % 3 else "") if i % 7 else "" for i in range(500)]
+    (tmp_path / "part-0.csv").write_bytes("\n".join(["﻿head,ab", *lines[:300], ""]).encode())
+    (tmp_path / "part-1.csv").write_bytes("\n".join(lines[300:]).encode())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = readers.headed_rows(spark, str(tmp_path), 2)
+        got = sorted(tuple(r) for r in rows.collect())
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [(1, "head", "ab"), *((i + 2, f"S{i}", "an") for i in range(500) if i % 7)]
