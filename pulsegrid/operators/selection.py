@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..plans.inputs import shared_folder
 from . import timetable
 from .joins import bounded
 from .ordering import kept
@@ -71,11 +73,11 @@ def net_impact(effects: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def contribution(now: Column) -> Column:
+def contribution(now: Column, of: Callable[[str], Column] = F.col) -> Column:
     """What an effect contributes at a wait of ``now`` minutes; a broken transfer costs its shortfall and an hour."""
-    short = lambda wait: F.greatest(F.lit(0), F.col("least") - wait)
-    existing = F.when(now < F.col("least"), -(F.col("least") - now + BROKEN)).otherwise(F.col("wait") - now)
-    return F.col("pax") * F.when(F.col("source") == "near", short(F.col("wait")) - short(now)).otherwise(existing)
+    short = lambda wait: F.greatest(F.lit(0), of("least") - wait)
+    existing = F.when(now < of("least"), -(of("least") - now + BROKEN)).otherwise(of("wait") - now)
+    return of("pax") * F.when(of("source") == "near", short(of("wait")) - short(now)).otherwise(existing)
 
 
 def touched(effects: DataFrame, probes: DataFrame) -> DataFrame:
@@ -88,7 +90,8 @@ def touched(effects: DataFrame, probes: DataFrame) -> DataFrame:
     moved = probes.groupBy("candidate", "key").agg(F.sum("delta").alias("delta"))
     own = ["effect", "source", "arr_key", "dep_key", "wait", "least", "pax"]
     ends = [moved.join(effects.select(own), F.col("key") == F.col(side)).withColumn("by", F.col("delta") * sign) for side, sign in (("dep_key", 1), ("arr_key", -1))]
-    return ends[0].unionByName(ends[1]).groupBy("candidate", *own).agg(F.sum("by").alias("by"))
+    # Dealt by candidate alone: what gathers a candidate's effects needs no other exchange.
+    return ends[0].unionByName(ends[1]).repartition("candidate").groupBy("candidate", *own).agg(F.sum("by").alias("by"))
 
 
 def marginal(touch: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -101,14 +104,53 @@ def marginal(touch: DataFrame, shifts: DataFrame) -> DataFrame:
     return state.groupBy("candidate").agg(F.sum(contribution(after) - contribution(now)).alias("marginal"), F.sum(F.when(broken, F.col("pax")).otherwise(0.0)).alias("broken_pax"))
 
 
-DECISION = "candidate long, status string, pass int, marginal double"
-#: Rounds whose tables are joined to one.
-JOINED = 6
+def gathered(effects: DataFrame, probes: DataFrame) -> DataFrame:
+    """A row for each candidate of ``probes``: ``effects``, all that it touches in order, and ``moves``, the ``delta`` of each of its events."""
+    touch = touched(effects, probes)
+    whole = touch.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct(*[c for c in touch.columns if c != "candidate"]))).alias("effects"))
+    moved = probes.groupBy("candidate", "key").agg(F.sum("delta").alias("delta"))
+    moves = moved.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("key", "delta"))).alias("moves"))
+    return moves.join(whole, "candidate", "left").withColumn("effects", F.coalesce("effects", F.array().cast(whole.schema["effects"].dataType)))
+
+
+def scores(shifts: Column | None = None) -> list[Column]:
+    """``marginal`` and ``broken_pax`` of a row that ``gathered`` gives, under a map from events to their shifts."""
+    by = lambda key: F.lit(0) if shifts is None else F.coalesce(F.element_at(shifts, key), F.lit(0))
+    total = lambda term: F.aggregate("effects", F.lit(0.0), lambda s, x: s + F.coalesce(term(x, x["wait"] + by(x["dep_key"]) - by(x["arr_key"])).cast("double"), F.lit(0.0)))
+    gain = total(lambda x, now: contribution(now + x["by"], x.getField) - contribution(now, x.getField))
+    broken = total(lambda x, now: F.when((x["source"] == "existing") & (now + x["by"] < x["least"]), x["pax"]))
+    return [gain.alias("marginal"), broken.alias("broken_pax")]
+
+
+def stored(df: DataFrame, at: str, *by: str) -> DataFrame:
+    """``df`` written to the folder ``at``, partitioned by the columns ``by``, and read back."""
+    df.write.partitionBy(*by).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def levels(links: DataFrame, at: str) -> tuple[DataFrame, int]:
+    """``candidate`` and ``level`` of those that wait for another, and the number of levels; the others' level is 0.
+
+    ``links``: ``candidate``, ``rank``, ``link``.  A candidate's level is above
+    those of all of lower rank that share a link with it.  As each waits for the
+    one before it on a link, a link of many is as many rows, not their pairs.
+    """
+    before = F.lag("candidate").over(Window.partitionBy("link").orderBy("rank", "candidate"))
+    waits = links.where("link IS NOT NULL").withColumn("after", before).where("after <> candidate").select("candidate", "after").distinct()
+    waits, found = stored(waits, f"{at}/waits-0"), []
+    while not waits.isEmpty():
+        held = waits.select("candidate").distinct()
+        found.append(held.withColumn("level", F.lit(len(found) + 1)))
+        waits = stored(waits.join(held.withColumnRenamed("candidate", "after"), "after", "left_semi").select("candidate", "after"), f"{at}/waits-{len(found)}")
+    out = links.sparkSession.createDataFrame([], "candidate long, level int")
+    for f in found:
+        out = out.unionByName(f)
+    return out.groupBy("candidate").agg(F.max("level").alias("level")), len(found) + 1
 
 
 def greedy(
     effects: DataFrame, probes: DataFrame, ranks: DataFrame, least: float = 0.0, allow_broken: float = 0.0, passes: int = 8, most: int = 0,
-    apart: DataFrame | None = None, refused: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    apart: DataFrame | None = None, refused: Callable[[DataFrame, DataFrame], DataFrame] | None = None, rows: DataFrame | None = None,
 ) -> DataFrame:
     """First-fit selection in order of rank, each candidate scored under all that were accepted before it.
 
@@ -120,51 +162,62 @@ def greedy(
     (``candidate``), after those that are, it gives the ones that the timetable
     does not take; they are refused for good too.  ``apart`` (``candidate``,
     ``link``) names what the trials of two candidates would share, their
-    segments say.  Returns ``candidate``, ``rank``, ``status``, ``pass``,
-    ``marginal``.
+    segments say.  ``rows`` is what ``gathered`` gives, if it is there already.
+    Returns ``candidate``, ``rank``, ``status``, ``pass``, ``marginal``.
 
     The order is that of one candidate after the other, the work is not: a
-    candidate may be decided as soon as none of lower rank that shares an
-    effect, event or link with it is undecided, so each round decides all local
-    minima at once, and their links go.  Acceptances never change earlier
-    decisions, hence ``most`` keeps the first ones in order of pass and rank.
+    candidate may be decided as soon as all of lower rank that share an effect,
+    event or link with it are, so candidates have levels, which are the same in
+    each pass, and those of a level are decided at once.  A candidate is one row
+    with all that it touches, and rows are stored by level: a pass reads and
+    exchanges each once.  Acceptances never change earlier decisions, hence
+    ``most`` keeps the first ones in order of pass and rank.
     """
-    touch = kept(touched(effects, probes))
-    named = lambda df, kind, c: df.select("candidate", F.concat(F.lit(kind), F.col(c).cast("string")).alias("link"))
-    links = named(touch, "e", "effect").unionByName(named(probes, "k", "key"))
+    spark, at = effects.sparkSession, shared_folder(effects.sparkSession, "selection")
+    rows = gathered(effects, probes) if rows is None else rows
+    kinds = {c: rows.schema[c].dataType for c in ("effects", "moves")}
+    rows = ranks.join(rows, "candidate", "left").select("candidate", "rank", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in kinds.items()])
+    rows = stored(rows, f"{at}/whole")
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    named = F.concat(F.transform("effects", lambda x: name("e", x["effect"])), F.transform("moves", lambda m: name("k", m["key"])))
+    links = rows.select("candidate", "rank", F.explode(named).alias("link"))
     if apart is not None:
-        links = links.unionByName(named(apart, "s", "link"))
-    # A candidate without any link has one of its own.
-    links = links.unionByName(named(ranks, "c", "candidate")).distinct()
-    links = kept(links.join(ranks, "candidate"))
-    spark = effects.sparkSession
-    decided = spark.createDataFrame([], DECISION)
+        links = links.unionByName(apart.join(rows.select("candidate", "rank"), "candidate").select("candidate", "rank", name("s", F.col("link")).alias("link")))
+    level, depth = levels(links, at)
+    rows = stored(rows.join(level, "candidate", "left").na.fill(0, ["level"]), f"{at}/rows", "level")
+    keys = F.array_distinct(F.concat(F.transform("effects", lambda x: x["dep_key"]), F.transform("effects", lambda x: x["arr_key"]), F.transform("moves", lambda m: m["key"])))
+    stale = F.coalesce(F.exists("moves", lambda m: F.element_at("shifts", m["key"]).isNotNull()), F.lit(False))
+    marginal_, broken = scores(F.col("shifts"))
+    status = F.when(F.col("broken_pax") > allow_broken, "breaks").when(F.col("marginal") <= least, "deferred").when(F.col("stale"), "stale").otherwise("accepted")
+    own = ["candidate", "rank", "status", "marginal", "moves"]
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    decision = f"candidate {kind['candidate']}, rank {kind['rank']}, status string, marginal double, moves {kind['moves']}, pass int, level int"
+    empty = spark.createDataFrame([], decision)
+    decided, open_levels = empty, list(range(depth))
     for turn in range(1, passes + 1):
-        now = kept(decided.where("status <> 'deferred'"))
-        waiting, new, rounds = kept(links.join(now.select("candidate"), "candidate", "left_anti")), [], 0
-        while True:
-            least_of = waiting.groupBy("link").agg(F.min("rank").alias("first"))
-            ready = kept(waiting.join(least_of, "link").groupBy("candidate").agg(F.bool_and(F.col("rank") == F.col("first")).alias("ok")).where("ok").select("candidate"))
-            if not ready.limit(1).count():
-                break
-            taken = now.where("status = 'accepted'").select("candidate")
-            shifts = probes.join(taken, "candidate", "left_semi").groupBy("key").agg(F.sum("delta").alias("shift"))
-            stale = probes.join(ready, "candidate", "left_semi").join(shifts, "key", "left_semi").select("candidate").distinct().withColumn("stale", F.lit(True))
-            scored = ready.join(marginal(touch.join(ready, "candidate", "left_semi"), shifts), "candidate", "left").join(stale, "candidate", "left").na.fill(0.0, ["marginal", "broken_pax"])
-            status = F.when(F.col("broken_pax") > allow_broken, "breaks").when(F.col("marginal") <= least, "deferred").when(F.col("stale"), "stale").otherwise("accepted")
-            scored = scored.select("candidate", status.alias("status"), F.lit(turn).alias("pass"), "marginal")
+        open_ = decided.where((F.col("pass") == turn - 1) & (F.col("status") == "deferred"))
+        for n in open_levels:
+            here = rows.where(F.col("level") == n)
+            if turn > 1:
+                here = here.join(open_.where(F.col("level") == n).select("candidate"), "candidate", "left_semi")
+            taken = decided.where("status = 'accepted'")
+            shifts = taken.select(F.explode("moves").alias("m")).groupBy(F.col("m.key").alias("key")).agg(F.sum("m.delta").alias("shift"))
+            state = here.select("candidate", F.explode(keys).alias("key")).join(shifts, "key").groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("key", "shift"))).alias("shifts"))
+            scored = here.join(state, "candidate", "left").select("candidate", "rank", "moves", marginal_, broken, stale.alias("stale")).na.fill(0.0, ["marginal", "broken_pax"])
+            scored = scored.withColumn("status", status).select(own)
             if refused:
-                scored = kept(scored)
-                bad = refused(taken, scored.where("status = 'accepted'").select("candidate")).select("candidate").distinct().withColumn("__bad", F.lit(True))
-                scored = scored.join(bad, "candidate", "left").withColumn("status", F.when(F.col("__bad"), "structure").otherwise(F.col("status"))).drop("__bad")
-            new, rounds = kept(scored), rounds + 1
-            now, waiting = now.unionByName(new), waiting.join(ready, "candidate", "left_anti")
-            if rounds % JOINED == 0:
-                now, waiting = kept(now), kept(waiting)
-        decided = kept(now)
-        if not decided.where(F.col("status") == "accepted").where(F.col("pass") == turn).limit(1).count():
+                scored = stored(scored, f"{at}/asked/pass={turn}/level={n}")
+                bad = refused(taken.select("candidate"), scored.where("status = 'accepted'").select("candidate")).select("candidate").distinct().withColumn("__bad", F.lit(True))
+                scored = scored.join(bad, "candidate", "left").withColumn("status", F.when(F.col("__bad"), "structure").otherwise(F.col("status"))).select(own)
+            scored.write.parquet(f"{at}/decided/pass={turn}/level={n}")
+            decided = spark.read.schema(decision).parquet(f"{at}/decided")
+        count = lambda s: F.count_if(F.col("status") == s).alias(s)
+        found = decided.where(F.col("pass") == turn).groupBy("level").agg(count("accepted"), count("deferred")).collect()
+        open_levels = sorted(r["level"] for r in found if r["deferred"])
+        if not sum(r["accepted"] for r in found) or not open_levels:
             break
-    out = decided.join(ranks, "candidate")
+    # A candidate that was deferred has a row in each pass; the last one counts.
+    out = decided.where((F.col("status") != "deferred") | (F.col("pass") == turn))
     if most:
         early = out.where("status = 'accepted'").orderBy("pass", "rank").limit(most).select("candidate", F.lit(True).alias("__early"))
         out = out.join(early, "candidate", "left").withColumn("status", F.when((F.col("status") == "accepted") & F.col("__early").isNull(), "over the cap").otherwise(F.col("status"))).drop("__early")

@@ -235,14 +235,24 @@ def _ranks(spark, sf):
     return effects, probes, scored
 
 
+def _gathered(spark, sf):
+    """The effects, the probes, and each candidate with all that it touches, stored once for scores and selection."""
+    effects, probes = _effects(spark, sf), _probes(spark, sf)
+    return effects, probes, Z.stored(Z.gathered(effects, probes), I.shared_folder(spark, "candidates"))
+
+
+def _ranked(rows):
+    """Candidates of positive score on the untouched timetable with their ranks."""
+    scored = rows.select("candidate", *Z.scores()).where("marginal > 0")
+    # Ranks need no total order in one task: score and id tell any two apart.
+    return scored.select("candidate", F.struct((-F.round("marginal", 6)).alias("score"), "candidate").alias("rank"))
+
+
 @add("Z04")
 def multi_pass_selection(spark, sf):
     """First-fit selection among all candidates of positive score, rescored as it goes."""
-    effects, probes, scored = _ranks(spark, sf)
-    # Ranks need no total order in one task: score and id tell any two apart.
-    ranks = scored.select("candidate", F.struct((-F.round("marginal", 6)).alias("score"), "candidate").alias("rank"))
-    own = probes.join(ranks.select("candidate"), "candidate", "left_semi")
-    return Z.greedy(effects, own, ranks).select("candidate", "status", "pass", F.round("marginal", 6).alias("marginal"))
+    effects, probes, rows = _gathered(spark, sf)
+    return Z.greedy(effects, probes, _ranked(rows), rows=rows).select("candidate", "status", "pass", F.round("marginal", 6).alias("marginal"))
 
 
 @add("Z04 T07 T08")

@@ -278,6 +278,43 @@ def test_multi_pass_selection_equals_one_by_one(spark, seed):
     assert {w[0] for w in want.values()} >= {"accepted"}
 
 
+def chained_edits(n, chain):
+    """``n`` candidates with three effects each; each of the first ``chain`` also shares an effect with the next, so that they are decided one after the other."""
+    effects = [(f"{c}/{i}", "existing", f"a{c}/{i}", f"d{c}", 20, 4, 1.0) for c in range(n) for i in range(3)] + [(f"{c}-", "existing", f"b{c + 1}", f"d{c}", 20, 4, 1.0) for c in range(chain - 1)]
+    probes = [(c, f"d{c}", -2) for c in range(n)] + [(c, f"b{c}", 1) for c in range(1, chain)]
+    return effects, probes
+
+
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_rounds_of_a_selection_do_not_exchange_all_rows(spark):
+    """A longer chain of candidates means more rounds, but each exchanges only what it decides."""
+    made, broadcast = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        for chain in (2, 10):
+            effects, probes = chained_edits(4000, chain)
+            ranks = spark.createDataFrame([(c, c) for c in range(4000)], "candidate long, rank int")
+            before = shuffled(spark)
+            got = Z.greedy(spark.createDataFrame(effects, EFFECT.replace("effect int", "effect string")), spark.createDataFrame(probes, PROBE), ranks, passes=1).collect()
+            made.append(shuffled(spark) - before)
+            assert len(got) == 4000 and {r["status"] for r in got} == {"accepted"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert made[1] < 1.5 * made[0], made
+
+
+def test_levels_of_candidates(spark):
+    """A candidate's level is above that of all before it on each of its links; a link of many is a chain, one of none or of one makes none wait."""
+    links = [(c, c, "all") for c in range(0, 8, 2)] + [(c, c, f"own{c}") for c in range(10)] + [(1, 1, "x"), (6, 6, "x"), (6, 6, "x"), (7, 7, "x"), (9, 9, None), (8, 8, None)]
+    from pulsegrid.plans.inputs import shared_folder
+
+    got, depth = Z.levels(spark.createDataFrame(links, "candidate long, rank int, link string"), shared_folder(spark, "levels"))
+    assert {r["candidate"]: r["level"] for r in got.collect()} == {2: 1, 4: 2, 6: 3, 7: 4} and depth == 5
+
+
 def test_multi_pass_selection_with_trials(spark):
     """Each candidate also edits a section of one of four segments; a trial refuses those that change the runs, and the order is still one by one."""
     from pulsegrid.operators import timetable as T
