@@ -260,16 +260,16 @@ def selection_with_trials(spark, sf):
     """The same selection where each candidate also edits a section of the timetable, which must keep its runs."""
     from . import timetable_queries as Y
 
-    effects, probes, scored = _ranks(spark, sf)
+    effects, probes, made = _gathered(spark, sf)
+    ranks = _ranked(made)
     rows, edits = Y._edits(spark, sf)
     edits = edits.where("edit LIKE '%-0'")
     # Candidates and edits are numbered apart and meet by their numbers.
-    named = numbered(scored.select("candidate"), [], ["candidate"], "n").join(numbered(edits.drop("rank"), [], ["edit"], "n"), "n")
+    named = numbered(ranks.select("candidate"), [], ["candidate"], "n").join(numbered(edits.drop("rank"), [], ["edit"], "n"), "n")
     own = kept(named.select(F.col("candidate").alias("edit"), *[c for c in edits.columns if c not in ("edit", "rank")]))
-    ranks = kept(scored.join(own.select(F.col("edit").alias("candidate")), "candidate", "left_semi").select("candidate", F.struct((-F.round("marginal", 6)).alias("score"), "candidate").alias("rank")))
-    mine = probes.join(ranks.select("candidate"), "candidate", "left_semi")
+    ranks = ranks.join(own.select(F.col("edit").alias("candidate")), "candidate", "left_semi")
     apart = own.select(F.col("edit").alias("candidate"), F.col("segment").alias("link"))
-    out = Z.greedy(effects, mine, ranks, apart=apart, refused=Z.trial(rows, own))
+    out = Z.greedy(effects, probes, ranks, apart=apart, refused=Z.trial(rows, own), rows=made)
     return out.select("candidate", "status", "pass", F.round("marginal", 6).alias("marginal"))
 
 

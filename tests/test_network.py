@@ -347,6 +347,25 @@ def test_multi_pass_selection_with_trials(spark):
     assert {"structure", "accepted"} <= set(want.values())
 
 
+def test_trials_exchange_only_the_segments_of_new_candidates(spark):
+    """The same two candidates are tried on timetables of few and of many segments, all of which have an edit; one of them changes its segment's runs."""
+    made, broadcast = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        for n in (10, 1000):
+            table = [(f"s{k}", i, st, kind, tok) for k in range(n) for i, (st, kind, tok) in enumerate([("a", "ab", "0"), ("b", "an", "10"), ("b", "ab", "12"), ("c", "an", "20")])]
+            rows = spark.createDataFrame(table, "segment string, seq int, station string, kind string, text string").withColumn("token", S.token("text")).drop("text")
+            edits = [(c, f"s{c}", *(("a", "b", 0, 10) if c % 2 else ("b", "c", 12, 20)), 1 if c != 4 else -3) for c in range(n)]
+            own = spark.createDataFrame(edits, "edit long, segment string, from_station string, to_station string, dep int, arr int, delta int")
+            refused, ids = Z.trial(rows, own), lambda *c: spark.createDataFrame([(x,) for x in c], "candidate long")
+            before = shuffled(spark)
+            assert [r["candidate"] for r in refused(ids(5, 7), ids(3, 4)).collect()] == [4]
+            made.append(shuffled(spark) - before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert made[1] < 1.5 * made[0], made
+
+
 def test_best_first_equals_brute_force(spark):
     effects, probes = example_edits(7)
     shifts, want = {}, []
