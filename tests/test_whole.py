@@ -37,6 +37,23 @@ def test_near_misses_of_all_trips(spark, events):
     assert any(trip[i] % 20 != trip[j] % 20 for i, j, _ in got)
 
 
+def test_a_band_exchanges_in_proportion_to_its_input(spark):
+    """Also where the smaller of two tables would go to all tasks and the larger would not."""
+    made, broadcast = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        for n in (2000, 8000):
+            at = spark.range(n).select((F.col("id") % 11).alias("station"), (F.col("id") * 37 % 1440).cast("int").alias("minute"), "id")
+            a = at.select("station", F.col("id").alias("arrival"), F.col("minute").alias("arr"), F.lit(3).alias("least"))
+            d = at.select("station", F.col("id").alias("departure"), F.col("minute").alias("dep"))
+            before = spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+            J.band(a, d, ["station"], 5, 10, "least").write.format("noop").mode("overwrite").save()
+            made.append(spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite() - before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert 0 < made[1] < 6 * made[0], made
+
+
 def test_best_departure_of_all_lines(spark, events):
     path, rows = events
     copies = [(i % 11, m % 120 + 300 + cycle, m % 120 + 310 + i % 40 + cycle, i) for i, _, kind, m in rows if kind == "purchase" for cycle in (0, 120)]
