@@ -108,6 +108,39 @@ def test_probes_of_both_ends_without_a_sort_of_the_hits(spark):
     assert {r[4] for r in rows} == {"ab", "an"} and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """A folder with a table of 15,000 events of a few minutes, whose ids, trips and values are in no order."""
+    path, mixed = str(tmp_path_factory.mktemp("crowded")), lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_000))
+    kind = F.element_at(F.array(*map(F.lit, ("view", "purchase", "click"))), (mixed(0) % 3 + 1).cast("int"))
+    ts = F.timestamp_seconds(1_704_100_000 + mixed(1) % 6 * 60)
+    table = spark.range(15_000).select((mixed(2) * 15_000 + F.col("id")).alias("event_id"), mixed(3).alias("user_id"), kind.alias("event_type"), ts.alias("ts"), (mixed(4) / 7).alias("value"))
+    table.write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def bytes_a_row(df, path):
+    df.write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / df.sparkSession.read.parquet(str(path)).count()
+
+
+def test_pairs_are_those_of_a_join(spark, monkeypatch):
+    """Also of keys with several blocks, with rows that stand twice and with nulls."""
+    monkeypatch.setattr(J, "BLOCK", 2)
+    monkeypatch.setattr(J, "HELD", 6)
+    left = spark.createDataFrame([(i % 5 or None, i % 2, i // 2 % 15 or None) for i in range(80)], "k int, m int, a int")
+    right = spark.createDataFrame([(i % 6 or None, i % 3, i // 3 % 9 or None) for i in range(60)], "k int, n int, b int")
+    want = left.join(right, "k").where("n >= m")
+    got = J.pairs(left, right, ["k"], ["m"], F.col("n") >= F.col("m"), ["n"])
+    assert got.columns == want.columns and want.count() > 300
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_probes_take_little_room(spark, crowded, tmp_path):
+    """Rows of the probes are far more than the events, so their files are what fills a disk."""
+    assert bytes_a_row(registry.QUERIES["clockface_effect_probes"](spark, crowded), tmp_path / "out") < 0.8
+
+
 def test_components_ask_for_their_edges_once(spark):
     """Labels of a chain take several rounds; its edges are read in one."""
     seen = spark.sparkContext.accumulator(0)
