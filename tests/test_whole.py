@@ -141,6 +141,11 @@ def test_probes_take_little_room(spark, crowded, tmp_path):
     assert bytes_a_row(registry.QUERIES["clockface_effect_probes"](spark, crowded), tmp_path / "out") < 0.8
 
 
+def test_near_misses_take_little_room(spark, crowded, tmp_path):
+    """Rows of the near misses are far more than the events, so their files are what fills a disk."""
+    assert bytes_a_row(registry.QUERIES["near_miss_all_trips"](spark, crowded), tmp_path / "out") < 0.8
+
+
 def test_components_ask_for_their_edges_once(spark):
     """Labels of a chain take several rounds; its edges are read in one."""
     seen = spark.sparkContext.accumulator(0)
