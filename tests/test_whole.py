@@ -131,7 +131,7 @@ def test_pairs_are_those_of_a_join(spark, monkeypatch):
     left = spark.createDataFrame([(i % 5 or None, i % 2, i // 2 % 15 or None) for i in range(80)], "k int, m int, a int")
     right = spark.createDataFrame([(i % 6 or None, i % 3, i // 3 % 9 or None) for i in range(60)], "k int, n int, b int")
     want = left.join(right, "k").where("n >= m")
-    got = J.pairs(left, right, ["k"], ["m"], F.col("n") >= F.col("m"), ["n"])
+    got = J.pairs(left, right, ["k"], ["m"], ["n"], F.col("n") >= F.col("m"))
     assert got.columns == want.columns and want.count() > 300
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
